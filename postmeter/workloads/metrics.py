@@ -416,7 +416,7 @@ def kinded(spark: SparkSession, sf: str) -> DataFrame:
 @query("m17_resample", f"""
 WITH {METRICS}, kinded AS (
   SELECT *, ['query', 'explain', 'schema', 'replication', 'variable', 'status'][CAST(id % 6 AS INT) + 1] AS kind,
-    [12000, 30000, 12000, 500, 3000, 200][CAST(id % 6 AS INT) + 1] AS every FROM metrics)
+    CAST([12000, 30000, 12000, 500, 3000, 200][CAST(id % 6 AS INT) + 1] AS BIGINT) AS every FROM metrics)
 SELECT node, metric, kind, CAST(floor(epoch_us(ts) / (every * 1000000)) * every AS BIGINT) AS bucket,
   max_by(value, (ts, id)) AS value, count(*) AS samples
 FROM kinded GROUP BY 1, 2, 3, 4""")
