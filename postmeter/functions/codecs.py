@@ -37,11 +37,11 @@ def base64_text(data: Column, wrap: int | None = None) -> Column:
 
 def base64_bytes(text: Column) -> Column:
     """Decode up to the first ``=``; blanks are skipped, a lone last digit is dropped."""
-    digits = F.regexp_extract(F.translate(text, " \t\r\n", ""), r"\A([A-Za-z0-9+/]*)", 1)
-    tail = F.char_length(digits) % 4
-    whole = F.substr(digits, F.lit(1), F.char_length(digits) - F.when(tail == 1, 1).otherwise(0))
-    padded = F.concat(whole, F.when(tail == 2, "==").when(tail == 3, "=").otherwise(""))
-    return F.unbase64(padded)
+    digits = F.substring_index(text, "=", 1)
+    for blank in "\r\n \t":
+        digits = F.replace(digits, F.lit(blank), F.lit(""))
+    digit = "[A-Za-z0-9+/]"
+    return F.unbase64(F.regexp_extract(digits, rf"\A((?:{digit}{{4}})*+(?:{digit}{{2,3}}+)?+)", 1))
 
 
 def _percent(data: Column) -> Column:
@@ -83,15 +83,19 @@ def quoted_printable(text: Column, wrap: int | None = 74) -> Column:
 def quoted_printable_bytes(text: Column, header: bool = False) -> Column:
     """Decode; soft breaks vanish, and in headers ``_`` is a blank."""
     body = F.replace(text, F.lit("_"), F.lit(" ")) if header else text
-    body = F.regexp_replace(body, r"=\r?\n|=\r?\z", "")
-    tokens = F.regexp_extract_all(body, F.lit(rf"(?s)(?:={_HEX_PAIR})+|[^=]+|="), F.lit(0))
-    as_hex = F.transform(
-        tokens,
-        lambda t: F.when(F.rlike(t, F.lit(rf"\A={_HEX_PAIR}")), F.replace(t, F.lit("="), F.lit(""))).otherwise(
-            F.hex(F.encode(t, "ISO-8859-1"))
-        ),
-    )
-    return F.unhex(F.array_join(as_hex, ""))
+    body = F.regexp_replace(body, r"=\r?(?:\n|\z)", "")
+
+    def piece(p: Column, i: Column) -> Column:
+        # Behind each equals sign: two hex digits, then plain text.
+        plain = lambda c: F.hex(F.encode(c, "ISO-8859-1"))
+        escaped = F.concat(F.substring(p, 1, 2), plain(F.substr(p, F.lit(3))))
+        return (
+            F.when(i == 0, plain(p))
+            .when(F.rlike(p, F.lit(rf"\A{_HEX_PAIR}")), escaped)
+            .otherwise(plain(F.concat(F.lit("="), p)))
+        )
+
+    return F.unhex(F.array_join(F.transform(F.split(body, "="), piece), ""))
 
 
 def word_q(text: Column) -> Column:

@@ -12,34 +12,37 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from postmeter.functions import codecs
-from postmeter.functions.text import octets_to_text, trim_blanks, unescape
+from postmeter.functions.text import is_ascii, octets_to_text, trim_blanks, unescape
 
-# Where a header ends: an empty line, or a blank line at the top or behind lines
-# that are no fields. A blank line behind a field is a fold of that field.
+# Where a header ends, for a text with a line feed put in front: an empty line, or
+# a blank line at the top or behind lines that are no fields. A blank line behind a
+# field is a fold of that field.
 _BAD = r"(?![^\s:]*[ \t]*:)[^\s][^\n]*\n(?:[ \t]+[^\s][^\n]*\n)*"
-HEADER_END = rf"\A[ \t]*\r?\n|(?<=\n)\r?\n|(?:\A|(?<=\n)){_BAD}[ \t]+\r?\n"
+HEADER_END = rf"\n(?:\r?\n|{_BAD}[ \t]+\r?\n)|\A\n[ \t]+\r?\n"
 _FOLD = r"\r?\n(?:[ \t]+\r?\n)*[ \t]+"
-_FIELD = r"^(?![ \t])([^\s:]*)[ \t]*:(.*)$"
+_FIELD = r"^(?![ \t])[^\s:]*[ \t]*:"
 
 
 def split_message(text: Column) -> Column:
     """Octet string to ``[head, body]``; the body is missing when no line ends the header."""
-    return F.split(text, HEADER_END, 2)
+    return F.split(F.concat(F.lit("\n"), text), HEADER_END, 2)
 
 
 def header_fields(head: Column) -> Column:
     """Unfold, keep the lines that are fields, number them, trim the values."""
     lines = F.filter(
-        F.split(F.regexp_replace(head, _FOLD, " "), r"\r?\n"), lambda line: F.rlike(line, F.lit(_FIELD))
+        F.split(F.regexp_replace(head, _FOLD, " "), "\n"), lambda line: F.rlike(line, F.lit(_FIELD))
     )
-    return F.transform(
-        lines,
-        lambda line, i: F.struct(
+
+    def one(line: Column, i: Column) -> Column:
+        value = trim_blanks(F.substr(line, F.instr(line, F.lit(":")) + 1))
+        return F.struct(
             i.alias("pos"),
-            F.regexp_extract(line, _FIELD, 1).alias("name"),
-            octets_to_text(trim_blanks(F.regexp_extract(line, _FIELD, 2))).alias("value"),
-        ),
-    )
+            F.rtrim(F.substring_index(line, ":", 1), F.lit(" \t")).alias("name"),
+            F.when(is_ascii(value), value).otherwise(octets_to_text(value)).alias("value"),
+        )
+
+    return F.transform(lines, one)
 
 
 def header_all(headers: Column, name: str) -> Column:

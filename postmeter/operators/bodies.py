@@ -33,148 +33,123 @@ def _pieces(body: Column, boundary: Column) -> Column:
     return F.slice(pieces, 2, F.greatest(F.size(pieces) - 1, F.lit(0)))
 
 
-def _media(value: Column) -> Column:
-    main = F.lower(mail.main_value(value))
-    return F.struct(
-        text.trim_blanks(F.regexp_extract(main, r"^([^/]*)", 1)).alias("type"),
-        text.trim_blanks(F.regexp_extract(main, r"^[^/]*/(.*)$", 1)).alias("subtype"),
-    )
-
-
 def is_attachment(p, root: Column, inline: bool) -> Column:
     """Attachment test on a part's facts. With ``inline`` embedded objects count as well."""
     disposition, has_id, has_loc = p["disposition"], p["content_id"].isNotNull(), p["location"].isNotNull()
     by_type = (
-        F.when(p["media"]["type"].isNull(), ~root)
-        .when(p["media"]["type"].isin("text", "multipart"), F.lit(False))
+        F.when(p["type"].isNull(), ~root)
+        .when(p["type"].isin("text", "multipart"), F.lit(False))
         .when(p["has_name"], F.lit(True))
     )
-    if not inline:
-        untyped_embedded = p["media"]["type"].isNull() & ~root & has_id
-        by_type = F.when(untyped_embedded, F.lit(False)).otherwise(by_type.when(has_id, F.lit(False)).otherwise(F.lit(True)))
-        inline_rule = F.when(has_id | has_loc, F.lit(False)).otherwise(~root)
-        return (
-            F.when(disposition.isNull(), by_type).when(disposition != "inline", F.lit(True)).otherwise(inline_rule)
-        )
-    by_type = by_type.otherwise(F.lit(True))
-    return F.when(disposition.isNotNull() & (disposition != "inline"), F.lit(True)).otherwise(by_type)
+    if inline:
+        return F.when(disposition != "inline", F.lit(True)).otherwise(by_type.otherwise(F.lit(True)))
+    # An object that is shown inside the message is not one, unless its type has a name.
+    embedded = has_id & ~root & p["type"].isNull()
+    rest = F.when(has_id, F.lit(False)).otherwise(F.lit(True))
+    by_type = F.when(embedded, F.lit(False)).otherwise(by_type.otherwise(rest))
+    inline_rule = F.when(has_id | has_loc, F.lit(False)).otherwise(~root)
+    return F.when(disposition.isNull(), by_type).when(disposition != "inline", F.lit(True)).otherwise(inline_rule)
+
+
+# Columns of a part, in the order in which levels pass them on.
+PART_COLUMNS = [
+    "part_path", "type", "subtype", "content_type", "disposition", "disposition_value", "encoding", "content_id",
+    "location", "description", "has_name", "n_children", "hidden", "hidden_inline", "parent_kind", "grand_kind",
+    "headers", "body",
+]
 
 
-def _facts(node) -> Column:
-    """Parse one part text into header, body, and the facts operators use."""
-    split = mail.split_message(node["raw"])
-    headers = mail.header_fields(F.get(split, F.lit(0)))
-    first = lambda name: mail.header_first(headers, name)
-    content_type = first("content-type")
-    return F.struct(
-        node["path"].alias("path"),
-        headers.alias("headers"),
-        F.coalesce(F.get(split, F.lit(1)), F.lit("")).alias("body"),
-        _media(content_type).alias("media"),
-        content_type.alias("content_type"),
-        F.lower(text.trim_blanks(mail.main_value(first("content-disposition")))).alias("disposition"),
-        first("content-disposition").alias("disposition_value"),
-        F.lower(mail.main_value(first("content-transfer-encoding"))).alias("encoding"),
-        mail.message_id(first("content-id")).alias("content_id"),
-        mail.decoded(first("content-location")).alias("location"),
-        mail.decoded(first("content-description")).alias("description"),
-        F.coalesce(F.map_contains_key(mail.header_params(content_type), F.lit("name")), F.lit(False)).alias("has_name"),
-        node["hidden"].alias("hidden"),
-        node["hidden_inline"].alias("hidden_inline"),
-        node["parent_kind"].alias("parent_kind"),
-        node["grand_kind"].alias("grand_kind"),
-    )
+def _row() -> dict[str, Column]:
+    return {c: F.col(c) for c in PART_COLUMNS}
 
 
-def _close(p, children: Column) -> Column:
-    """A finished part: facts plus what is known about its children."""
+def _node(**known: Column) -> Column:
+    """A row that still has to be parsed: place in the tree and text, all other columns null."""
     return F.struct(
-        *[
-            p[c].alias(c)
-            for c in (
-                "path", "headers", "body", "media", "content_type", "disposition", "disposition_value", "encoding",
-                "content_id", "location", "description", "has_name", "hidden", "hidden_inline", "parent_kind", "grand_kind",
-            )
-        ],
-        F.size(children).alias("n_children"),
-        children.alias("children"),
+        *[known[c].alias(c) if c in known else F.lit(None).cast(_TYPES[c]).alias(c) for c in PART_COLUMNS],
+        known["raw"].alias("raw"),
     )
 
 
-def _open(parts: Column) -> Column:
-    """Facts and child texts of each node of one level."""
-    facts = F.transform(parts, _facts)
-    return F.transform(
-        facts,
-        lambda p: _close(
-            p,
-            F.when(
-                p["media"]["type"] == "multipart",
-                F.coalesce(_pieces(p["body"], _boundary(p["content_type"], p["body"])), F.array().cast("array<string>")),
-            ).otherwise(F.array().cast("array<string>")),
-        ),
+_TYPES = {
+    **{c: "string" for c in PART_COLUMNS},
+    "part_path": "array<int>",
+    "has_name": "boolean",
+    "hidden": "boolean",
+    "hidden_inline": "boolean",
+    "n_children": "int",
+    "headers": "array<struct<pos:int,name:string,value:string>>",
+}
+
+
+def _child(parent, raw: Column, i: Column, path: Column, depth: Column) -> Column:
+    root = depth == 0
+    return _node(
+        part_path=F.concat(path, F.array(i)),
+        hidden=parent["hidden"] | is_attachment(parent, root, False),
+        hidden_inline=parent["hidden_inline"] | is_attachment(parent, root, True),
+        parent_kind=F.when(parent["type"] == "multipart", parent["subtype"]),
+        grand_kind=parent["parent_kind"],
+        raw=raw,
     )
 
 
-def _children(parts: Column) -> Column:
-    """Nodes of the next level."""
-    kind = lambda p: F.when(p["media"]["type"] == "multipart", p["media"]["subtype"])
-    return F.flatten(
-        F.transform(
-            parts,
-            lambda p: F.transform(
-                p["children"],
-                lambda raw, i: F.struct(
-                    F.concat(p["path"], F.array(i)).alias("path"),
-                    raw.alias("raw"),
-                    (p["hidden"] | is_attachment(p, F.size(p["path"]) == 0, False)).alias("hidden"),
-                    (p["hidden_inline"] | is_attachment(p, F.size(p["path"]) == 0, True)).alias("hidden_inline"),
-                    kind(p).alias("parent_kind"),
-                    p["parent_kind"].alias("grand_kind"),
-                ),
+def _open_level(rows: DataFrame, keep: list[str], last: bool) -> DataFrame:
+    """Parse the rows that still have text and put their children behind them.
+
+    Finished rows pass through. Each step is a projection of top-level columns, so
+    a header is parsed once however many fields are taken from it.
+    """
+    first = lambda name: mail.header_first(F.col("headers"), name)
+    fresh = F.col("raw").isNotNull()
+    new = lambda name, value: F.when(fresh, value).otherwise(F.col(name))
+    split = rows.withColumn("__m", F.when(fresh, mail.split_message(F.col("raw"))))
+    parsed = split.withColumns(
+        {
+            "headers": new("headers", mail.header_fields(F.get("__m", F.lit(0)))),
+            "body": new("body", F.coalesce(F.get("__m", F.lit(1)), F.lit(""))),
+        }
+    ).drop("__m")
+    valued = parsed.withColumns(
+        {
+            "content_type": new("content_type", first("content-type")),
+            "disposition_value": new("disposition_value", first("content-disposition")),
+            "encoding": new("encoding", F.lower(mail.main_value(first("content-transfer-encoding")))),
+            "content_id": new("content_id", mail.message_id(first("content-id"))),
+            "location": new("location", mail.unfold(first("content-location"))),
+            "description": new("description", mail.unfold(first("content-description"))),
+        }
+    )
+    main = F.lower(mail.main_value(F.col("content_type")))
+    typed = valued.withColumns(
+        {
+            "type": new("type", text.trim_blanks(F.regexp_extract(main, r"^([^/]*)", 1))),
+            "subtype": new("subtype", text.trim_blanks(F.regexp_extract(main, r"^[^/]*/(.*)$", 1))),
+            "disposition": new("disposition", F.lower(text.trim_blanks(mail.main_value(F.col("disposition_value"))))),
+            "has_name": new("has_name", F.coalesce(F.rlike("content_type", F.lit(r";\s*name\*?[0-9]*\*?\s*=")), F.lit(False))),
+            "__b": F.when(
+                fresh & main.startswith("multipart/"), _boundary(F.col("content_type"), F.col("body"))
             ),
-        )
+        }
     )
-
-
-def _strip(parts: Column, deepest: bool) -> Column:
-    """Drop the child texts once they have become nodes; keep them where the pass ends."""
-    return F.transform(
-        parts,
-        lambda p: p.dropFields("children").withField(
-            "pending", p["children"] if deepest else F.array().cast("array<string>")
-        ),
+    opened = typed.withColumn(
+        "__children",
+        F.coalesce(F.when(F.col("__b").isNotNull(), _pieces(F.col("body"), F.col("__b"))), F.array().cast("array<string>")),
+    ).withColumn("n_children", F.when(fresh, F.size("__children")).otherwise(F.col("n_children")))
+    if last:
+        return opened.select(*keep, *PART_COLUMNS, F.col("__children").alias("pending"))
+    done = F.struct(*PART_COLUMNS, F.lit(None).cast("string").alias("raw"))
+    children = F.transform(
+        "__children", lambda raw, i: _child(_row(), raw, i, F.col("part_path"), F.size("part_path"))
     )
+    return opened.select(*keep, F.inline(F.concat(F.array(done), children)))
 
 
-_PART_COLUMNS = [
-    "part_path", "depth", "type", "subtype", "content_type", "disposition", "disposition_value", "encoding",
-    "content_id", "location", "description", "has_name", "n_children", "hidden", "hidden_inline", "parent_kind",
-    "grand_kind", "headers", "body", "size", "pending",
-]
-
-
-def _levels(rows: DataFrame, keep: list[str], levels: int) -> DataFrame:
-    """``rows`` has one array of nodes, ``__n0``; the result has one row per part."""
+def _open_tree(rows: DataFrame, keep: list[str], levels: int) -> DataFrame:
     for level in range(levels):
-        rows = rows.withColumn(f"__p{level}", _open(F.col(f"__n{level}")))
-        if level + 1 < levels:
-            rows = rows.withColumn(f"__n{level + 1}", _children(F.col(f"__p{level}")))
-    # Levels are exploded as one array of level arrays, so the message text is read once.
-    everything = F.concat(
-        *[_strip(F.col(f"__p{level}"), level + 1 == levels) for level in range(levels)]
-    )
-    parts = rows.select(*keep, F.explode(everything).alias("p"))
-    return parts.select(
-        *keep,
-        F.col("p.path").alias("part_path"),
-        F.size("p.path").alias("depth"),
-        F.col("p.media.type").alias("type"),
-        F.col("p.media.subtype").alias("subtype"),
-        *[F.col(f"p.{c}").alias(c) for c in _PART_COLUMNS[4:18]],
-        F.col("p.body").alias("body"),
-        F.char_length("p.body").alias("size"),
-        F.col("p.pending").alias("pending"),
+        rows = _open_level(rows, keep, last=level + 1 == levels)
+    return rows.select(
+        *keep, F.size("part_path").alias("depth"), *PART_COLUMNS, F.char_length("body").alias("size"), "pending"
     )
 
 
@@ -184,15 +159,13 @@ def explode_parts(messages: DataFrame, levels: int = LEVELS) -> DataFrame:
     Parts below ``levels`` stay in ``pending`` of their parent (see ``explode_all_parts``).
     """
     keep = [c for c in messages.columns if c != "raw"]
-    root = F.struct(
-        F.array().cast("array<int>").alias("path"),
-        text.octets(F.col("raw")).alias("raw"),
-        F.lit(False).alias("hidden"),
-        F.lit(False).alias("hidden_inline"),
-        F.lit(None).cast("string").alias("parent_kind"),
-        F.lit(None).cast("string").alias("grand_kind"),
+    root = _node(
+        part_path=F.array().cast("array<int>"),
+        hidden=F.lit(False),
+        hidden_inline=F.lit(False),
+        raw=text.octets(F.col("raw")),
     )
-    return _levels(messages.select(*keep, F.array(root).alias("__n0")), keep, levels)
+    return _open_tree(messages.select(*keep, F.inline(F.array(root))), keep, levels)
 
 
 def explode_all_parts(spark: SparkSession, messages: DataFrame, levels: int = LEVELS) -> DataFrame:
@@ -205,19 +178,13 @@ def explode_all_parts(spark: SparkSession, messages: DataFrame, levels: int = LE
     rest = done.filter(F.size("pending") > 0)
     result = done
     while not rest.isEmpty():
-        parent = F.struct(
-            F.struct(F.col("type"), F.col("subtype")).alias("media"), "has_name", "disposition", "content_id", "location"
-        )
-        node = lambda raw, i: F.struct(
-            F.concat("part_path", F.array(i)).alias("path"),
-            raw.alias("raw"),
-            (F.col("hidden") | is_attachment(parent, F.col("depth") == 0, False)).alias("hidden"),
-            (F.col("hidden_inline") | is_attachment(parent, F.col("depth") == 0, True)).alias("hidden_inline"),
-            F.when(F.col("type") == "multipart", F.col("subtype")).alias("parent_kind"),
-            F.col("parent_kind").alias("grand_kind"),
+        nodes = rest.select(
+            *keep,
+            F.inline(
+                F.transform("pending", lambda raw, i: _child(_row(), raw, i, F.col("part_path"), F.col("depth")))
+            ),
         )
-        nodes = rest.select(*keep, F.transform("pending", node).alias("__n0"))
-        more = _levels(nodes, keep, levels).checkpoint()
+        more = _open_tree(nodes, keep, levels).checkpoint()
         result = result.unionByName(more)
         rest = more.filter(F.size("pending") > 0)
     return result
@@ -276,19 +243,9 @@ def to_utf8(df: DataFrame, data: str, charset: str, out: str = "text") -> DataFr
     return df.withColumn(out, codecs.text_of(F.col(data), F.col(charset), rare=True))
 
 
-def _row_facts() -> dict[str, Column]:
-    return {
-        "media": F.struct(F.col("type"), F.col("subtype")),
-        "has_name": F.col("has_name"),
-        "disposition": F.col("disposition"),
-        "content_id": F.col("content_id"),
-        "location": F.col("location"),
-    }
-
-
 def attachments(parts: DataFrame, inline: bool = False) -> DataFrame:
     """Add ``is_attachment``."""
-    return parts.withColumn("is_attachment", is_attachment(_row_facts(), F.col("depth") == 0, inline))
+    return parts.withColumn("is_attachment", is_attachment(_row(), F.col("depth") == 0, inline))
 
 
 def attachment_inventory(parts: DataFrame, inline: bool = False) -> DataFrame:

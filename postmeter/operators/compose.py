@@ -54,109 +54,123 @@ def compose(df: DataFrame) -> DataFrame:
     One part stands alone, two texts are alternatives, attachments make it mixed.
     """
     have = set(df.columns)
-
-    def col(name: str) -> Column:
-        return F.col(name) if name in have else F.lit(None).cast("string")
-
-    def text_part(body: Column, kind: str) -> Column:
-        clean = text.to_crlf(body)
-        encoding = text.choose_encoding(clean)
-        return F.when(
-            body.isNotNull(),
-            part(
-                [
-                    ("Content-Type", F.lit(f"text/{kind}; charset=utf-8")),
-                    ("Content-Transfer-Encoding", encoding),
-                ],
-                encoded_body(clean, encoding),
-            ),
-        )
-
-    b = F.concat(F.lit("=_"), F.sha1(F.concat_ws("|", col("subject"), col("plain"), col("html"))))
-    alt, mixed = F.concat(b, F.lit("_a")), F.concat(b, F.lit("_m"))
-    plain, html = text_part(col("plain"), "plain"), text_part(col("html"), "html")
+    missing_ = {c: F.lit(None).cast("string") for c in _TEXT_INPUTS if c not in have}
+    rows = df.withColumns(missing_) if missing_ else df
+    # One projection per step: what a later step uses twice is computed once.
+    rows = rows.withColumns({"__plain": text.to_crlf(F.col("plain")), "__html": text.to_crlf(F.col("html"))})
+    rows = rows.withColumns(
+        {
+            "__plain_enc": text.choose_encoding(F.col("__plain")),
+            "__html_enc": text.choose_encoding(F.col("__html")),
+            "__b": F.concat(F.lit("=_"), F.sha1(F.concat_ws("|", "subject", "plain", "html"))),
+        }
+    )
+    rows = rows.withColumns(
+        {"__plain_part": _text_part("plain"), "__html_part": _text_part("html")}
+    )
     if "embedded" in have:
-        related = F.concat(b, F.lit("_r"))
-        objects = F.transform(
-            F.coalesce(F.col("embedded"), F.array()),
-            lambda o: F.concat(
-                F.lit("--"), related, F.lit(CRLF),
-                part(
-                    [
-                        ("Content-Type", o["type"]),
-                        ("Content-Transfer-Encoding", F.lit("base64")),
-                        ("Content-ID", F.concat(F.lit("<"), o["id"], F.lit(">"))),
-                    ],
-                    codecs.base64_text(o["content"], 76),
-                ),
-                F.lit(CRLF),
-            ),
-        )
-        together = F.concat(
-            field("Content-Type", F.concat(F.lit('multipart/related; boundary="'), related, F.lit('"'))),
-            F.lit(CRLF), F.lit("--"), related, F.lit(CRLF), html, F.lit(CRLF),
-            F.array_join(objects, ""), F.lit("--"), related, F.lit("--" + CRLF),
-        )
-        html = F.when(F.size(objects) > 0, together).otherwise(html)
-    both = col("plain").isNotNull() & col("html").isNotNull()
-    alternative = F.concat(
-        field("Content-Type", F.concat(F.lit('multipart/alternative; boundary="'), alt, F.lit('"'))),
-        F.lit(CRLF),
-        multipart([plain, html], alt),
+        rows = rows.withColumn("__html_part", _related(F.col("__html_part"), F.concat("__b", F.lit("_r"))))
+    alternative = _wrapped(
+        "alternative", F.concat("__b", F.lit("_a")), [F.col("__plain_part"), F.col("__html_part")]
+    )
+    both = F.col("plain").isNotNull() & F.col("html").isNotNull()
+    rows = rows.withColumn(
+        "__texts", F.when(both, alternative).otherwise(F.coalesce("__plain_part", "__html_part"))
     )
-    texts = F.when(both, alternative).otherwise(F.coalesce(plain, html))
-    body = texts
     if "attachments" in have:
-        files = F.transform(
-            F.coalesce(F.col("attachments"), F.array()),
-            lambda a: F.concat(
-                F.lit("--"), mixed, F.lit(CRLF),
-                part(
-                    [
-                        ("Content-Type", F.concat(a["type"], F.lit('; name="'), text.quote(a["name"]), F.lit('"'))),
-                        ("Content-Description", a["description"]),
-                        ("Content-Transfer-Encoding", F.lit("base64")),
-                        ("Content-Disposition", F.concat(F.lit('attachment; filename="'), text.quote(a["name"]), F.lit('"'))),
-                    ],
-                    codecs.base64_text(a["content"], 76),
-                ),
-                F.lit(CRLF),
-            ),
-        )
-        n_files = F.size(files)
-        wrapped = F.concat(
-            field("Content-Type", F.concat(F.lit('multipart/mixed; boundary="'), mixed, F.lit('"'))),
-            F.lit(CRLF),
-            F.coalesce(F.concat(F.lit("--"), mixed, F.lit(CRLF), texts, F.lit(CRLF)), F.lit("")),
-            F.array_join(files, ""),
-            F.lit("--"), mixed, F.lit("--" + CRLF),
+        rows = rows.withColumn("__files", F.transform(F.coalesce("attachments", F.array()), _file_part))
+        mixed = F.concat("__b", F.lit("_m"))
+        lone = (F.size("__files") == 1) & F.col("__texts").isNull()
+        rows = rows.withColumn(
+            "__body",
+            F.when(F.size("__files") == 0, F.col("__texts"))
+            .when(lone, F.get("__files", F.lit(0)))
+            .otherwise(_wrapped("mixed", mixed, [F.col("__texts")], F.col("__files"))),
         )
-        # A message of one attachment and no text is that part itself.
-        lone = F.regexp_replace(F.get(files, F.lit(0)), r"\A--[^\r\n]*\r\n|\r\n\z", "")
-        body = F.when(n_files == 0, texts).when((n_files == 1) & texts.isNull(), lone).otherwise(wrapped)
+    else:
+        rows = rows.withColumn("__body", F.col("__texts"))
     extra = F.lit("")
     if "extra" in have:
-        lines = F.transform(F.array_compact("extra"), lambda e: F.concat(fold(F.concat(e["name"], F.lit(": "), e["value"])), F.lit(CRLF)))
+        lines = F.transform(
+            F.array_compact("extra"),
+            lambda e: F.concat(fold(F.concat(e["name"], F.lit(": "), e["value"])), F.lit(CRLF)),
+        )
         extra = F.array_join(lines, "")
     head = F.concat(
-        *[
-            field(name, col(c))
-            for name, c in [
-                ("From", "from_"), ("To", "to"), ("Cc", "cc"), ("Bcc", "bcc"), ("Subject", "subject"),
-                ("Date", "date"), ("Message-ID", "message_id"), ("In-Reply-To", "in_reply_to"),
-                ("References", "references"),
-            ]
-        ],
-        extra,
-        field("Mime-Version", F.lit("1.0")),
+        *[field(name, F.col(c)) for name, c in _FIELDS], extra, field("Mime-Version", F.lit("1.0"))
     )
-    recipient = F.concat_ws("", col("to"), col("cc"), col("bcc"))
-    missing = text.trim_blanks(recipient) == ""
-    used = {"from_", "to", "cc", "bcc", "subject", "date", "message_id", "in_reply_to", "references", "plain", "html", "attachments", "embedded", "extra"}
-    keep = [c for c in df.columns if c not in used]
-    whole = F.concat(head, F.coalesce(body, F.lit(CRLF)))
-    return df.select(
+    missing = text.trim_blanks(F.concat_ws("", "to", "cc", "bcc")) == ""
+    keep = [c for c in df.columns if c not in _INPUTS]
+    return rows.select(
         *keep,
-        F.when(~missing, whole).alias("raw"),
+        F.when(~missing, F.concat(head, F.coalesce("__body", F.lit(CRLF)))).alias("raw"),
         F.when(missing, "no recipient").alias("error"),
     )
+
+
+_FIELDS = [
+    ("From", "from_"),
+    ("To", "to"),
+    ("Cc", "cc"),
+    ("Bcc", "bcc"),
+    ("Subject", "subject"),
+    ("Date", "date"),
+    ("Message-ID", "message_id"),
+    ("In-Reply-To", "in_reply_to"),
+    ("References", "references"),
+]
+_TEXT_INPUTS = [c for _, c in _FIELDS] + ["plain", "html"]
+_INPUTS = {*_TEXT_INPUTS, "attachments", "embedded", "extra"}
+
+
+def _text_part(kind: str) -> Column:
+    fields = [
+        ("Content-Type", F.lit(f"text/{kind}; charset=utf-8")),
+        ("Content-Transfer-Encoding", F.col(f"__{kind}_enc")),
+    ]
+    return F.when(
+        F.col(f"__{kind}").isNotNull(), part(fields, encoded_body(F.col(f"__{kind}"), F.col(f"__{kind}_enc")))
+    )
+
+
+def _wrapped(subtype: str, boundary: Column, parts: list[Column], more: Column | None = None) -> Column:
+    """A multipart with its own header; ``more`` is an array of further parts."""
+    head = field("Content-Type", F.concat(F.lit(f'multipart/{subtype}; boundary="'), boundary, F.lit('"')))
+    rest = F.lit("")
+    if more is not None:
+        rest = F.array_join(
+            F.transform(more, lambda p: F.concat(F.lit("--"), boundary, F.lit(CRLF), p, F.lit(CRLF))), ""
+        )
+    closing = F.concat(F.lit("--"), boundary, F.lit("--" + CRLF))
+    opened = [
+        F.coalesce(F.concat(F.lit("--"), boundary, F.lit(CRLF), p, F.lit(CRLF)), F.lit("")) for p in parts
+    ]
+    return F.concat(head, F.lit(CRLF), *opened, rest, closing)
+
+
+def _related(html: Column, boundary: Column) -> Column:
+    objects = F.transform(
+        F.coalesce("embedded", F.array()),
+        lambda o: part(
+            [
+                ("Content-Type", o["type"]),
+                ("Content-Transfer-Encoding", F.lit("base64")),
+                ("Content-ID", F.concat(F.lit("<"), o["id"], F.lit(">"))),
+            ],
+            codecs.base64_text(o["content"], 76),
+        ),
+    )
+    return F.when(F.size("embedded") > 0, _wrapped("related", boundary, [html], objects)).otherwise(html)
+
+
+def _file_part(a: Column) -> Column:
+    name = F.concat(F.lit('"'), text.quote(a["name"]), F.lit('"'))
+    return part(
+        [
+            ("Content-Type", F.concat(a["type"], F.lit("; name="), name)),
+            ("Content-Description", a["description"]),
+            ("Content-Transfer-Encoding", F.lit("base64")),
+            ("Content-Disposition", F.concat(F.lit("attachment; filename="), name)),
+        ],
+        codecs.base64_text(a["content"], 76),
+    )
