@@ -45,13 +45,13 @@ def header_fields(head: Column) -> Column:
     return F.transform(lines, one)
 
 
-def header_all(headers: Column, name: str) -> Column:
-    """All values of a field in order."""
-    return F.transform(F.filter(headers, lambda h: F.lower(h["name"]) == name.lower()), lambda h: h["value"])
+def header_all(headers: str, name: str) -> Column:
+    """All values of a field, in order, from the header column of that name."""
+    return F.expr(f"transform(filter({headers}, h -> lower(h.name) = '{name.lower()}'), h -> h.value)")
 
 
-def header_first(headers: Column, name: str) -> Column:
-    return F.get(header_all(headers, name), F.lit(0))
+def header_first(headers: str, name: str) -> Column:
+    return F.expr(f"get(filter({headers}, h -> lower(h.name) = '{name.lower()}'), 0).value")
 
 
 # Encoded words -------------------------------------------------------------

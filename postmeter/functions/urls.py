@@ -269,8 +269,13 @@ def human_size(size: Column, is_dir: Column) -> Column:
     """Size as a listing shows it."""
 
     def tenth(divisor: int) -> Column:
-        # Rounded half to even on the exact binary value, as C's printf does.
-        return F.format_string("%.1f", size / divisor)
+        # One decimal, ties to the even digit, in whole numbers so that nothing is lost.
+        scaled = size.cast("bigint") * 10
+        rest = F.pmod(scaled, F.lit(divisor))
+        down = ((scaled - rest) / divisor).cast("bigint")
+        up = (rest * 2 > divisor) | ((rest * 2 == divisor) & (down % 2 == 1))
+        n = down + up.cast("bigint")
+        return F.concat(F.floor(n / 10).cast("string"), F.lit("."), (n % 10).cast("string"))
 
     return (
         F.when(is_dir, F.lit("[DIRECTORY]"))

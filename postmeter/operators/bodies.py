@@ -94,23 +94,24 @@ def _child(parent, raw: Column, i: Column, path: Column, depth: Column) -> Colum
     )
 
 
-def _open_level(rows: DataFrame, keep: list[str], last: bool) -> DataFrame:
-    """Parse the rows that still have text and put their children behind them.
+def _level_steps() -> list[dict[str, Column]]:
+    """The projections that parse the rows which still have text; finished rows pass through.
 
-    Finished rows pass through. Each step is a projection of top-level columns, so
-    a header is parsed once however many fields are taken from it.
+    Each step uses the columns of the one before, so a header is parsed once however
+    many fields are taken from it. All levels share these expressions.
     """
-    first = lambda name: mail.header_first(F.col("headers"), name)
+    first = lambda name: mail.header_first("headers", name)
     fresh = F.col("raw").isNotNull()
     new = lambda name, value: F.when(fresh, value).otherwise(F.col(name))
-    split = rows.withColumn("__m", F.when(fresh, mail.split_message(F.col("raw"))))
-    parsed = split.withColumns(
+    main = F.lower(mail.main_value(F.col("content_type")))
+    name_given = F.rlike("content_type", F.lit(r";\s*name\*?[0-9]*\*?\s*="))
+    no_parts = F.array().cast("array<string>")
+    return [
+        {"__m": F.when(fresh, mail.split_message(F.col("raw")))},
         {
             "headers": new("headers", mail.header_fields(F.get("__m", F.lit(0)))),
             "body": new("body", F.coalesce(F.get("__m", F.lit(1)), F.lit(""))),
-        }
-    ).drop("__m")
-    valued = parsed.withColumns(
+        },
         {
             "content_type": new("content_type", first("content-type")),
             "disposition_value": new("disposition_value", first("content-disposition")),
@@ -118,38 +119,37 @@ def _open_level(rows: DataFrame, keep: list[str], last: bool) -> DataFrame:
             "content_id": new("content_id", mail.message_id(first("content-id"))),
             "location": new("location", mail.unfold(first("content-location"))),
             "description": new("description", mail.unfold(first("content-description"))),
-        }
-    )
-    main = F.lower(mail.main_value(F.col("content_type")))
-    typed = valued.withColumns(
+        },
         {
             "type": new("type", text.trim_blanks(F.regexp_extract(main, r"^([^/]*)", 1))),
             "subtype": new("subtype", text.trim_blanks(F.regexp_extract(main, r"^[^/]*/(.*)$", 1))),
             "disposition": new("disposition", F.lower(text.trim_blanks(mail.main_value(F.col("disposition_value"))))),
-            "has_name": new("has_name", F.coalesce(F.rlike("content_type", F.lit(r";\s*name\*?[0-9]*\*?\s*=")), F.lit(False))),
+            "has_name": new("has_name", F.coalesce(name_given, F.lit(False))),
             "__b": F.when(
                 fresh & main.startswith("multipart/"), _boundary(F.col("content_type"), F.col("body"))
             ),
-        }
-    )
-    opened = typed.withColumn(
-        "__children",
-        F.coalesce(F.when(F.col("__b").isNotNull(), _pieces(F.col("body"), F.col("__b"))), F.array().cast("array<string>")),
-    ).withColumn("n_children", F.when(fresh, F.size("__children")).otherwise(F.col("n_children")))
-    if last:
-        return opened.select(*keep, *PART_COLUMNS, F.col("__children").alias("pending"))
+        },
+        {"__children": F.coalesce(F.when(F.col("__b").isNotNull(), _pieces(F.col("body"), F.col("__b"))), no_parts)},
+        {"n_children": new("n_children", F.size("__children"))},
+    ]
+
+
+def _open_tree(rows: DataFrame, keep: list[str], levels: int) -> DataFrame:
+    steps = _level_steps()
     done = F.struct(*PART_COLUMNS, F.lit(None).cast("string").alias("raw"))
     children = F.transform(
         "__children", lambda raw, i: _child(_row(), raw, i, F.col("part_path"), F.size("part_path"))
     )
-    return opened.select(*keep, F.inline(F.concat(F.array(done), children)))
-
-
-def _open_tree(rows: DataFrame, keep: list[str], levels: int) -> DataFrame:
+    with_children = F.inline(F.concat(F.array(done), children))
     for level in range(levels):
-        rows = _open_level(rows, keep, last=level + 1 == levels)
+        for step in steps:
+            rows = rows.withColumns(step)
+        if level + 1 < levels:
+            # A part is followed by its children, which the next level parses.
+            rows = rows.select(*keep, with_children)
     return rows.select(
-        *keep, F.size("part_path").alias("depth"), *PART_COLUMNS, F.char_length("body").alias("size"), "pending"
+        *keep, F.size("part_path").alias("depth"), *PART_COLUMNS, F.char_length("body").alias("size"),
+        F.col("__children").alias("pending"),
     )
 
 
@@ -336,7 +336,7 @@ def receipt_requests(messages: DataFrame) -> DataFrame:
     """Each address that asks for a receipt, and whether the user must confirm."""
     from postmeter.operators.headers import with_headers
 
-    h = F.col("headers")
+    h = "headers"
     keep = [c for c in messages.columns if c != "raw"]
     asked = F.transform(
         mail.address_list(mail.header_first(h, "disposition-notification-to")), lambda a: mail.mailbox(a["address"])
@@ -369,7 +369,7 @@ def receipts(parts: DataFrame) -> DataFrame:
     content = codecs.transfer_bytes(F.col("body"), codecs.encoding_name(F.col("encoding")))
     fields = mail.header_fields(F.get(mail.split_message(F.decode(content, "ISO-8859-1")), F.lit(0)))
     rows = notices.join(reports, "msg_key", "left_semi").select("msg_key", "part_path", fields.alias("f"))
-    value = mail.header_first(F.col("f"), "disposition")
+    value = mail.header_first("f", "disposition")
     mode = text.trim_blanks(F.regexp_extract(value, r"^([^;]*)", 1))
     rest = F.regexp_extract(value, r"^[^;]*;(.*)$", 1)
     modifiers = F.filter(
@@ -377,12 +377,12 @@ def receipts(parts: DataFrame) -> DataFrame:
     )
     return rows.select(
         "msg_key", "part_path",
-        mail.message_id(mail.header_first(F.col("f"), "original-message-id")).alias("original_id"),
+        mail.message_id(mail.header_first("f", "original-message-id")).alias("original_id"),
         F.regexp_extract(mode, r"^([^/]*)", 1).alias("action_mode"),
         F.regexp_extract(mode, r"^[^/]*/(.*)$", 1).alias("sending_mode"),
         text.trim_blanks(F.regexp_extract(rest, r"^([^/]*)", 1)).alias("type"),
         modifiers.alias("modifiers"),
-        mail.header_first(F.col("f"), "received-content-mic").alias("mic"),
+        mail.header_first("f", "received-content-mic").alias("mic"),
     )
 
 

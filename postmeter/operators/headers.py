@@ -50,7 +50,7 @@ def envelope(messages: DataFrame, ingest_ts: Column | None = None, host: str = "
     both header dates are kept.
     """
     keep = [c for c in messages.columns if c != "raw"]
-    h = F.col("headers")
+    h = "headers"
     first = lambda name: mail.header_first(h, name)
     hop = mail.received(first("received"))["date"]
     rows = with_headers(messages).select(
@@ -192,7 +192,7 @@ def calendar(df: DataFrame, ts: str, zone: str | None = None) -> DataFrame:
 
 def reference_edges(messages: DataFrame, fields: Sequence[str] = ("references", "in-reply-to")) -> DataFrame:
     """Message → referenced id, in order, per field."""
-    h = F.col("headers")
+    h = "headers"
     own = mail.message_id(mail.header_first(h, "message-id"))
     keep = [c for c in messages.columns if c != "raw"]
     lists = F.array(
@@ -210,7 +210,7 @@ def thread_keys(messages: DataFrame) -> DataFrame:
 
     The root is the first reference, else the first In-Reply-To, else the message itself.
     """
-    h = F.col("headers")
+    h = "headers"
     keep = [c for c in messages.columns if c != "raw"]
     rows = with_headers(messages).select(
         *keep,
@@ -242,7 +242,7 @@ def received_hops(messages: DataFrame) -> DataFrame:
     """One row per Received field, newest first, with the delay since the hop before it."""
     keep = [c for c in messages.columns if c != "raw"]
     hops = F.transform(
-        mail.header_all(F.col("headers"), "received"),
+        mail.header_all("headers", "received"),
         lambda v, i: F.struct(
             i.alias("pos"), mail.received(v).alias("r"), dates.mail_date(mail.received(v)["date"])["ts"].alias("ts")
         ),
@@ -270,13 +270,13 @@ def received_hops(messages: DataFrame) -> DataFrame:
 def return_path(messages: DataFrame) -> DataFrame:
     keep = [c for c in messages.columns if c != "raw"]
     rows = with_headers(messages).select(
-        *keep, mail.return_path(mail.header_first(F.col("headers"), "return-path")).alias("p")
+        *keep, mail.return_path(mail.header_first("headers", "return-path")).alias("p")
     )
     return rows.select(*keep, F.col("p.local").alias("local"), F.col("p.domain").alias("domain"))
 
 
 def importance(messages: DataFrame) -> DataFrame:
-    h = F.col("headers")
+    h = "headers"
     keep = [c for c in messages.columns if c != "raw"]
     return with_headers(messages).select(
         *keep,

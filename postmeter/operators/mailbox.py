@@ -258,7 +258,7 @@ def uid_ranges(df: DataFrame, keys: Sequence[str], uid: str = "uid", width: int
     plain = df.groupBy(*keys).agg(F.bool_and(numeric).alias("__all"))
     tagged = df.join(plain, list(keys))
     ranged = to_ranges(
-        tagged.filter("__all").withColumn("__n", F.col(uid).cast("bigint")), keys, "__n", width
+        tagged.filter("__all").withColumn("__n", F.col(uid).try_cast("bigint")), keys, "__n", width
     ).select(*keys, F.col("lo").cast("string").alias("lo"), F.col("hi").cast("string").alias("hi"))
     single = tagged.filter("not __all").select(*keys, F.col(uid).alias("lo"), F.col(uid).alias("hi"))
     return ranged.unionByName(single)
@@ -308,7 +308,7 @@ def select_set(state: DataFrame, ranges: DataFrame, n: str = "num", width: int =
 
 def since_uid(state: DataFrame, uid: int, include_last: bool = False) -> DataFrame:
     """Messages from a uid on; with ``include_last`` the last message of a folder always comes."""
-    number = F.col("uid").cast("bigint")
+    number = F.col("uid").try_cast("bigint")
     if not include_last:
         return state.filter(number >= uid)
     last = state.groupBy("folder").agg(F.max(number).alias("__last"))

@@ -208,7 +208,7 @@ UNION ALL SELECT 'x' || doc_id, NULL, NULL, true FROM documents""")
 def compose(spark: SparkSession, sf: str) -> DataFrame:
     """Composed, parsed again, and compared with the source; rows without recipient fail."""
     messages = corpus.document_messages(spark, sf)
-    sender = mail.header_first(F.col("headers"), "from")
+    sender = mail.header_first("headers", "from")
     parts = b.decode_parts(b.explode_parts(messages))
     files = parts.filter(F.col("disposition") == "attachment").select("msg_key", F.md5("content").alias("attachment"))
     good = h.with_headers(messages).select("msg_key", sender.alias("sender")).join(files, "msg_key")

@@ -234,7 +234,7 @@ SELECT 'd' || doc_id AS msg_key, 'lang/' || lang AS folder, 'multipart/mixed' AS
 def fetch(spark: SparkSession, sf: str) -> DataFrame:
     """Content info, importance and one named header; bodies are not parsed."""
     rows = h.with_headers(corpus.document_messages(spark, sf))
-    first = lambda name: mail.header_first(F.col("headers"), name)
+    first = lambda name: mail.header_first("headers", name)
     wide = rows.select(
         "folder", F.col("msg_key").alias("num"), "headers",
         mail.main_value(first("content-type")).alias("content_type"),
