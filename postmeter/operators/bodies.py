@@ -7,10 +7,11 @@ ancestors, so no operator joins parts back to parts of the tree.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from postmeter.functions import codecs, mail, text
+from postmeter.plans.workspace import materialise
 
 # Levels opened in one pass. Deeper parts come out marked ``open`` and are opened
 # by another pass over just those rows (``explode_all_parts``).
@@ -168,13 +169,13 @@ def explode_parts(messages: DataFrame, levels: int = LEVELS) -> DataFrame:
     return _open_tree(messages.select(*keep, F.inline(F.array(root))), keep, levels)
 
 
-def explode_all_parts(spark: SparkSession, messages: DataFrame, levels: int = LEVELS) -> DataFrame:
+def explode_all_parts(messages: DataFrame, levels: int = LEVELS) -> DataFrame:
     """The same to any depth: rows with pending children are opened again until none is left.
 
-    Each pass is checkpointed, so a pass is not repeated when an executor is lost.
+    Each pass is written to the shared folder, so it is done once and survives a lost executor.
     """
     keep = [c for c in messages.columns if c != "raw"]
-    done = explode_parts(messages, levels).checkpoint()
+    done = materialise(explode_parts(messages, levels), "parts")
     rest = done.filter(F.size("pending") > 0)
     result = done
     while not rest.isEmpty():
@@ -184,7 +185,7 @@ def explode_all_parts(spark: SparkSession, messages: DataFrame, levels: int = LE
                 F.transform("pending", lambda raw, i: _child(_row(), raw, i, F.col("part_path"), F.col("depth")))
             ),
         )
-        more = _open_tree(nodes, keep, levels).checkpoint()
+        more = materialise(_open_tree(nodes, keep, levels), "parts")
         result = result.unionByName(more)
         rest = more.filter(F.size("pending") > 0)
     return result

@@ -8,7 +8,6 @@ from pyspark.sql import functions as F
 from postmeter.functions import dates, mail, text, urls
 from postmeter.operators import bodies, metrics, weblog
 from postmeter.operators.headers import with_headers
-from postmeter.plans.workspace import ensure_checkpoints
 from postmeter.sources import nodes
 
 
@@ -77,23 +76,24 @@ def reject_reason(raw: Column) -> Column:
 def ingest(spark: SparkSession, messages: DataFrame, path: str) -> DataFrame:
     """Write ``messages``, ``headers``, ``parts`` and ``rejects`` by folder; returns counts per folder.
 
-    Every message is parsed once: the open part tree is a checkpointed table that
-    the three outputs read.
+    The raw table is written first and read back, so each message is rendered or
+    fetched once and parsed once. A folder may hold a third of all mail: its rows
+    are spread over a hash of the key as well.
     """
-    ensure_checkpoints(spark)
-    named = messages.withColumn("folder", F.array_join("folder", "/"))
-    reason = reject_reason(F.col("raw"))
-    tagged = named.withColumn("reason", reason)
-    # A folder may hold a third of all mail: its rows are spread over the hash of the key too.
     by_folder = lambda df: df.repartition("folder", F.pmod(F.xxhash64("msg_key"), F.lit(64)))
-    parts = bodies.explode_all_parts(spark, tagged.filter("reason is null").drop("reason"))
-    raw = named.select("folder", "msg_key", F.octet_length("raw").cast("bigint").alias("bytes"), "raw")
+    raw = messages.select(
+        F.array_join("folder", "/").alias("folder"), "msg_key", "raw", reject_reason(F.col("raw")).alias("reason")
+    )
     by_folder(raw).write.mode("overwrite").partitionBy("folder").parquet(f"{path}/messages")
+    stored = spark.read.schema(raw.schema).parquet(f"{path}/messages")
+    stored.filter("reason is not null").groupBy("folder", "reason").agg(
+        F.count(F.lit(1)).alias("messages")
+    ).write.mode("overwrite").parquet(f"{path}/rejects")
+    parts = bodies.explode_all_parts(stored.filter("reason is null").drop("reason"))
     fields = parts.select("folder", "msg_key", "part_path", F.inline("headers"))
     by_folder(fields).write.mode("overwrite").partitionBy("folder").parquet(f"{path}/headers")
-    by_folder(parts.drop("headers", "pending")).write.mode("overwrite").partitionBy("folder").parquet(f"{path}/parts")
-    rejects = tagged.filter("reason is not null").groupBy("folder", "reason").agg(F.count(F.lit(1)).alias("messages"))
-    rejects.write.mode("overwrite").parquet(f"{path}/rejects")
+    bare = parts.drop("headers", "pending")
+    by_folder(bare).write.mode("overwrite").partitionBy("folder").parquet(f"{path}/parts")
     return ingest_counts(parts)
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -27,12 +27,13 @@ def _local_dir() -> str:
     return _LOCAL[0]
 
 
-def ensure_checkpoints(spark: SparkSession) -> None:
-    """Give ``checkpoint()`` its folder unless the session has one."""
-    if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(shared_dir(spark) + "/checkpoints")
-
-
 def new_folder(spark: SparkSession, name: str) -> str:
     """A folder of its own for one run."""
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+def materialise(df: DataFrame, name: str) -> DataFrame:
+    """Write a table to the shared folder and read it back: lineage ends there, and the work is done once."""
+    path = new_folder(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
