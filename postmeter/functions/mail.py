@@ -362,6 +362,11 @@ def importance(x_priority: Column, importance: Column) -> Column:
 _KEYWORDS = ["from", "by", "via", "with", "id", "for"]
 
 
+def received_date(text: Column) -> Column:
+    """Date text of a Received value: what follows its last semicolon."""
+    return F.when(text.contains(";"), F.regexp_extract(text, r"(?s);([^;]*)$", 1))
+
+
 def received(text: Column) -> Column:
     """``struct(from, by, via, with array, id, for, date)`` of one Received value.
 

@@ -50,17 +50,19 @@ def envelope(messages: DataFrame, ingest_ts: Column | None = None, host: str = "
     both header dates are kept.
     """
     keep = [c for c in messages.columns if c != "raw"]
-    h = "headers"
-    first = lambda name: mail.header_first(h, name)
-    hop = mail.received(first("received"))["date"]
-    rows = with_headers(messages).select(
+    names = ("from", "to", "cc", "bcc", "subject", "received", "date")
+    # The values come out in a projection of their own: each is looked up once.
+    values = with_headers(messages).select(
+        *keep, *[mail.header_first("headers", n).alias(f"__{n}") for n in names]
+    )
+    rows = values.select(
         *keep,
-        mail.mailbox(first("from")).alias("from"),
-        *[mail.address_list(first(n)).alias(n) for n in ("to", "cc", "bcc")],
-        mail.decoded(first("subject")).alias("subject"),
-        dates.mail_date(hop, ingest_ts).alias("received_date"),
-        dates.mail_date(first("date"), ingest_ts).alias("header_date"),
-        first("received").isNotNull().alias("has_received"),
+        mail.mailbox(F.col("__from")).alias("from"),
+        *[mail.address_list(F.col(f"__{n}")).alias(n) for n in ("to", "cc", "bcc")],
+        mail.decoded(F.col("__subject")).alias("subject"),
+        dates.mail_date(mail.received_date(F.col("__received")), ingest_ts).alias("received_date"),
+        dates.mail_date(F.col("__date"), ingest_ts).alias("header_date"),
+        F.col("__received").isNotNull().alias("has_received"),
     )
     now = ingest_ts if ingest_ts is not None else F.lit(None).cast("timestamp")
     return rows.withColumn(
@@ -241,29 +243,23 @@ def threads(messages: DataFrame) -> DataFrame:
 def received_hops(messages: DataFrame) -> DataFrame:
     """One row per Received field, newest first, with the delay since the hop before it."""
     keep = [c for c in messages.columns if c != "raw"]
-    hops = F.transform(
-        mail.header_all("headers", "received"),
-        lambda v, i: F.struct(
-            i.alias("pos"), mail.received(v).alias("r"), dates.mail_date(mail.received(v)["date"])["ts"].alias("ts")
-        ),
-    )
-    rows = with_headers(messages).select(*keep, hops.alias("hops"))
-    # Hops are listed newest first, so the hop before is the next entry of the same row.
-    older = F.transform(
-        F.col("hops"),
-        lambda x, i: F.struct(
-            x["pos"].alias("pos"),
-            x["r"].alias("r"),
-            x["ts"].alias("ts"),
-            (F.unix_seconds(x["ts"]) - F.unix_seconds(F.get(F.col("hops"), i + 1)["ts"])).alias("delay"),
-        ),
+    # Hops are listed newest first, so the hop before is the next value of the same message.
+    values = mail.header_all("headers", "received")
+    pairs = "inline(transform(hops, (v, i) -> struct(i as pos, v as value, get(hops, i + 1) as older)))"
+    rows = with_headers(messages).select(*keep, values.alias("hops")).select(*keep, F.expr(pairs))
+    parsed = rows.select(
+        *keep,
+        "pos",
+        mail.received(F.col("value")).alias("r"),
+        dates.mail_date(mail.received_date(F.col("value")))["ts"].alias("ts"),
+        dates.mail_date(mail.received_date(F.col("older")))["ts"].alias("older_ts"),
     )
-    return rows.select(*keep, F.inline(older)).select(
+    return parsed.select(
         *keep,
         "pos",
         *[F.col(f"r.{k}").alias(k) for k in ("from", "by", "via", "with", "id", "for")],
         "ts",
-        "delay",
+        (F.unix_seconds("ts") - F.unix_seconds("older_ts")).alias("delay"),
     )
 
 

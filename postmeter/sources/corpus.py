@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from postmeter.operators import compose as c
 from postmeter.operators import headers as h
 from postmeter.operators import sliced
-from postmeter.sources.tables import table
+from postmeter.sources.tables import table, texts
 
 # Zones a message date cycles through, with their offset in minutes.
 ZONES = [("+0000", 0), ("-0500", -300), ("+0530", 330), ("EST", -300), ("Z", 0)]
@@ -31,7 +31,7 @@ EPOCH_2024 = 1704067200
 
 def conversation_messages(spark: SparkSession, sf: str) -> DataFrame:
     """One message per turn, with references to all earlier turns."""
-    t = table(spark, sf, "conversations")
+    t = texts(spark, sf, "conversations")
     conv, turn = F.col("conv_id"), F.col("turn")
     mid = lambda n: F.concat(F.lit("<c"), conv, F.lit(".t"), n, F.lit("@corpus.example>"))
     user = F.concat(F.lit('"User, '), conv, F.lit('" <user'), conv, F.lit("@d"), conv % 5, F.lit(".example>"))
@@ -80,7 +80,7 @@ def conversation_messages(spark: SparkSession, sf: str) -> DataFrame:
 
 def document_messages(spark: SparkSession, sf: str) -> DataFrame:
     """A text and an attachment of the same text; the subject is its start in encoded words."""
-    d = table(spark, sf, "documents")
+    d = texts(spark, sf, "documents")
     name = F.concat("source", F.lit("-"), "doc_id", F.lit(".txt"))
     file = F.struct(
         name.alias("name"),
@@ -102,7 +102,7 @@ def document_messages(spark: SparkSession, sf: str) -> DataFrame:
 
 def page_messages(spark: SparkSession, sf: str) -> DataFrame:
     """Html with an embedded object and a plain alternative."""
-    p = table(spark, sf, "pages")
+    p = texts(spark, sf, "pages")
     k = F.col("page_id")
     obj = F.struct(
         F.concat(F.lit("p"), k, F.lit("@x")).alias("id"),
@@ -152,7 +152,7 @@ def mailbox_state(spark: SparkSession, sf: str) -> DataFrame:
 def receipt_messages(spark: SparkSession, sf: str) -> DataFrame:
     """Receipts for every third order's message; one in five reports lacks the original id."""
     k = F.col("o_orderkey")
-    o = table(spark, sf, "orders").filter(k % 3 == 0)
+    o = texts(spark, sf, "orders").filter(k % 3 == 0)
     b = F.concat(F.lit("=_r"), k)
     notice = F.concat(
         F.lit("Reporting-UA: reader.example\r\n"),

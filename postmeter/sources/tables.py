@@ -15,6 +15,21 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return df.withColumns({c: F.col(c).cast("timestamp") for c in zoneless}) if zoneless else df
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Use all cores where a scan has fewer tasks than the cluster has cores.
+
+    Parsing is work per row. A table of few row groups would leave cores idle, so
+    it is dealt out; a table with enough splits of its own is left as it is.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
+def texts(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """A given table for work that is heavy per row."""
+    return spread(table(spark, sf_dir, name))
+
+
 def metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``node, metric, ts, id, value``: events as samples, values in bands of 50."""
     return table(spark, sf_dir, "events").select(

@@ -10,7 +10,7 @@ from postmeter.operators import bodies as b
 from postmeter.operators import compose as c
 from postmeter.operators import headers as h
 from postmeter.sources import corpus
-from postmeter.sources.tables import table
+from postmeter.sources.tables import table, texts
 from postmeter.workloads.registry import query
 
 
@@ -84,7 +84,7 @@ CHOICE = (
 SELECT doc_id, md5({CRLF_TEXT.format(t='text')}) AS digest, true AS lines_ok FROM documents""")
 def encode_parts(spark: SparkSession, sf: str) -> DataFrame:
     """Encode by choice and decode again; encoded lines stay within 76 columns."""
-    docs = table(spark, sf, "documents").select("doc_id", text.to_crlf(F.col("text")).alias("t"))
+    docs = texts(spark, sf, "documents").select("doc_id", text.to_crlf(F.col("text")).alias("t"))
     chosen = docs.withColumn("encoding", text.choose_encoding(F.col("t")))
     out = b.encode_parts(chosen, "t")
     octet = text.octets(F.col("t"))
@@ -97,7 +97,7 @@ def encode_parts(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("e35_choose_encoding", f"SELECT doc_id, {CHOICE.format(t='text')} AS encoding FROM documents")
 def choose_encoding(spark: SparkSession, sf: str) -> DataFrame:
-    return table(spark, sf, "documents").select("doc_id", text.choose_encoding(F.col("text")).alias("encoding"))
+    return texts(spark, sf, "documents").select("doc_id", text.choose_encoding(F.col("text")).alias("encoding"))
 
 
 @query("e36_to_utf8", """
@@ -105,7 +105,7 @@ SELECT doc_id, text = regexp_replace(text, '[^\\x00-\\xFF]', '?', 'g') AS latin,
   md5(regexp_replace(text, '[^\\x00-\\xFF]', '?', 'g')) AS from_latin, md5(text) AS from_utf16 FROM documents""")
 def to_utf8(spark: SparkSession, sf: str) -> DataFrame:
     """Texts stored in two charsets and read back, one natively and one through Python."""
-    docs = table(spark, sf, "documents")
+    docs = texts(spark, sf, "documents")
     safe = F.regexp_replace("text", r"[^\x00-\xFF]", "?")
     stored = docs.select(
         "doc_id", (safe == F.col("text")).alias("latin"),
@@ -124,7 +124,7 @@ def utf8_quality(spark: SparkSession, sf: str) -> DataFrame:
     broken = F.when(F.col("doc_id") % 10 == 0, F.concat(F.col("text").cast("binary"), F.unhex(F.lit("C3")))).otherwise(
         F.col("text").cast("binary")
     )
-    q = b.utf8_quality(table(spark, sf, "documents").select("doc_id", "lang", broken.alias("data")), "data")
+    q = b.utf8_quality(texts(spark, sf, "documents").select("doc_id", "lang", broken.alias("data")), "data")
     return q.groupBy("lang").agg(
         F.count(F.lit(1)).alias("documents"),
         F.sum(F.col("code_points") - F.when(F.col("valid"), 0).otherwise(1)).alias("code_points"),
@@ -140,7 +140,7 @@ SELECT lang, count(*) AS documents, sum(length({CRLF_TEXT.format(t='text')})) AS
   count(*) AS restored FROM documents GROUP BY lang""")
 def normalise_lines(spark: SparkSession, sf: str) -> DataFrame:
     t = F.col("text")
-    docs = table(spark, sf, "documents").select(
+    docs = texts(spark, sf, "documents").select(
         "lang", "text", text.to_crlf(t).alias("crlf"), text.to_lf(text.to_crlf(t)).alias("lf"), text.stuff_dots(t).alias("dots")
     )
     return docs.groupBy("lang").agg(
@@ -194,12 +194,12 @@ def plain_alternative(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("e44_digests", "SELECT doc_id, md5(text) AS md5, sha1(text) AS sha1 FROM documents")
 def digests(spark: SparkSession, sf: str) -> DataFrame:
-    return b.digests(table(spark, sf, "documents").select("doc_id", "text"), "text").select("doc_id", "md5", "sha1")
+    return b.digests(texts(spark, sf, "documents").select("doc_id", "text"), "text").select("doc_id", "md5", "sha1")
 
 
 @query("e44_duplicates", "SELECT sha1(text) AS sha1, count(*) AS copies, min(doc_id) AS first_key FROM documents GROUP BY 1 HAVING count(*) > 1")
 def duplicates(spark: SparkSession, sf: str) -> DataFrame:
-    return b.duplicates(table(spark, sf, "documents"), "text", "doc_id")
+    return b.duplicates(texts(spark, sf, "documents"), "text", "doc_id")
 
 
 @query("e45_compose", """
@@ -212,7 +212,7 @@ def compose(spark: SparkSession, sf: str) -> DataFrame:
     parts = b.decode_parts(b.explode_parts(messages))
     files = parts.filter(F.col("disposition") == "attachment").select("msg_key", F.md5("content").alias("attachment"))
     good = h.with_headers(messages).select("msg_key", sender.alias("sender")).join(files, "msg_key")
-    none = table(spark, sf, "documents").select(F.concat(F.lit("x"), "doc_id").alias("msg_key"), F.lit("").alias("to"), F.col("text").alias("plain"))
+    none = texts(spark, sf, "documents").select(F.concat(F.lit("x"), "doc_id").alias("msg_key"), F.lit("").alias("to"), F.col("text").alias("plain"))
     bad = c.compose(none).select(
         "msg_key", F.lit(None).cast("string").alias("sender"), F.lit(None).cast("string").alias("attachment"), F.col("error").isNotNull().alias("failed")
     )
@@ -275,7 +275,7 @@ SELECT lang, source, count(*) AS documents, sum(strlen(text)) AS bytes, sum({ASC
   sum(length(replace(replace(text, '\\', '\\\\'), '"', '\\"'))) AS quoted
 FROM documents GROUP BY lang, source""")
 def text_quality(spark: SparkSession, sf: str) -> DataFrame:
-    q = b.text_quality(table(spark, sf, "documents"), "text")
+    q = b.text_quality(texts(spark, sf, "documents"), "text")
     return q.groupBy("lang", "source").agg(
         F.count(F.lit(1)).alias("documents"), F.sum("bytes").alias("bytes"), F.sum("ascii").alias("ascii"),
         F.count_if("is_7bit").alias("seven_bit"), F.sum("trimmed").alias("trimmed"), F.sum("quoted").alias("quoted"),

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from postmeter.functions import dates, mail
 from postmeter.operators import headers as h
 from postmeter.sources import corpus
 from postmeter.sources.tables import table
@@ -103,8 +104,6 @@ def envelope(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def _mailbox_name(col: str):
-    from postmeter.functions import mail
-
     return mail.mailbox(F.get(col, F.lit(0))["address"])["name"]
 
 
@@ -136,13 +135,13 @@ SELECT lang, source, count(*) AS messages, count(DISTINCT s) AS subjects, sum(le
 FROM (SELECT lang, source, trim(left(text, 40), ' ' || chr(9) || chr(10) || chr(13)) AS s FROM documents) GROUP BY lang, source""")
 def decode_words(spark: SparkSession, sf: str) -> DataFrame:
     """Subjects that travelled as encoded words, per language and sender."""
-    flat = h.explode_headers(corpus.document_messages(spark, sf))
-    subjects = h.decode_words(h.header(flat, "subject"), "value")
-    senders = h.header(flat, "from").select("msg_key", F.col("value").alias("sender"))
-    rows = subjects.join(senders, "msg_key").select(
+    parsed = h.with_headers(corpus.document_messages(spark, sf)).select(
+        mail.header_first("headers", "subject").alias("subject"), mail.header_first("headers", "from").alias("sender")
+    )
+    rows = h.decode_words(parsed, "subject").select(
         F.regexp_extract("sender", "@([^.]*)", 1).alias("lang"),
         F.regexp_extract("sender", "^([^@]*)", 1).alias("source"),
-        F.btrim("value", F.lit(" \t\r\n")).alias("s"),
+        F.btrim("subject", F.lit(" \t\r\n")).alias("s"),
     )
     return rows.groupBy("lang", "source").agg(
         F.count(F.lit(1)).alias("messages"),
@@ -218,8 +217,6 @@ def idna_domain(spark: SparkSession, sf: str) -> DataFrame:
 @query("e12_mail_date", f"""
 SELECT 'c' || conv_id || '.t' || turn AS msg_key, {SENT} AS utc, {ZONE_MIN.format(i='(conv_id + turn)')} AS zone_min FROM conversations""")
 def mail_date_query(spark: SparkSession, sf: str) -> DataFrame:
-    from postmeter.functions import dates
-
     d = h.header(h.explode_headers(corpus.conversation_messages(spark, sf)), "date")
     return d.select("msg_key", dates.mail_date(F.col("value")).alias("d")).select(
         "msg_key", F.unix_seconds("d.ts").alias("utc"), F.col("d.zone_min").alias("zone_min")
@@ -232,8 +229,6 @@ SELECT CAST(week(l) AS BIGINT) AS iso_week, CASE WHEN week(l) = 1 AND month(l) =
   dayofweek(l) AS weekday, year(l) = 2024 AS leap, day(last_day(l)) AS month_days, count(*) AS messages
 FROM t GROUP BY ALL""")
 def calendar(spark: SparkSession, sf: str) -> DataFrame:
-    from postmeter.functions import dates
-
     d = h.header(h.explode_headers(corpus.conversation_messages(spark, sf)), "date")
     rows = d.select(dates.mail_date(F.col("value")).alias("d")).select("d.*")
     return h.calendar(rows, "ts", "zone_min").groupBy("iso_week", "plain_week", "weekday", "leap", "month_days").agg(

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from postmeter.functions import fixed
 from postmeter.operators import metrics as m
 from postmeter.sources import nodes as src
-from postmeter.sources.tables import TICK_SECONDS, metrics, table, tick_of, ticks
+from postmeter.sources.tables import TICK_SECONDS, metrics, table, texts, tick_of, ticks
 from postmeter.workloads.registry import query
 
 METRICS = """metrics AS (
@@ -457,7 +457,7 @@ def dictionary(spark: SparkSession, sf: str) -> DataFrame:
 @query("m20_encrypt", "SELECT doc_id, text, false AS plain FROM documents")
 def encrypt(spark: SparkSession, sf: str) -> DataFrame:
     """Round trip through the encrypted column."""
-    docs = table(spark, sf, "documents").select("doc_id", "text", F.col("text").alias("clear"))
+    docs = texts(spark, sf, "documents").select("doc_id", "text", F.col("text").alias("clear"))
     hidden = m.encrypt(docs, "text", "key").withColumn("plain", F.col("text") == F.col("clear"))
     return m.decrypt(hidden, "text", "key").select("doc_id", "text", "plain")
 
@@ -468,7 +468,7 @@ SELECT page_id, CASE WHEN instr(h, '<h1>') > 0 AND instr(substr(h, instr(h, '<h1
 FROM (SELECT page_id, decode(CASE WHEN octet_length(encode(html)) <= 1023 THEN encode(html) ELSE
    encode(left(html, list_max(list_filter(range(0, 1024), lambda i: octet_length(encode(left(html, i))) <= 1023)))) END) AS h FROM pages)""")
 def reply_text(spark: SparkSession, sf: str) -> DataFrame:
-    return m.reply_text(table(spark, sf, "pages"), "html").select("page_id", "reply")
+    return m.reply_text(texts(spark, sf, "pages"), "html").select("page_id", "reply")
 
 
 @query("m22_by_group", """

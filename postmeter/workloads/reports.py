@@ -10,7 +10,7 @@ from postmeter.operators import headers as h
 from postmeter.plans import jobs
 from postmeter.plans.workspace import new_folder
 from postmeter.sources import corpus
-from postmeter.sources.tables import table
+from postmeter.sources.tables import table, texts
 from postmeter.workloads import metrics as mq
 from postmeter.workloads.bodies import document_parts, page_parts
 from postmeter.workloads.headers import BOT, ROLE, SENT, USER
@@ -58,7 +58,7 @@ FROM (SELECT lang, source, strlen(text) AS n, {SHARE} AS share, CASE WHEN strlen
     CASE WHEN regexp_matches(text, '[^\\n]{{79}}') OR contains(text, chr(10) || '.') THEN 'qp' ELSE '7bit' END
     WHEN strlen(text) - {LOW} <= strlen(text) // 5 THEN 'qp' ELSE 'base64' END AS e FROM documents) GROUP BY lang, source""")
 def text_report(spark: SparkSession, sf: str) -> DataFrame:
-    return jobs.text_report(table(spark, sf, "documents"), "text")
+    return jobs.text_report(texts(spark, sf, "documents"), "text")
 
 
 @query("j6_attachment_report", """

@@ -9,7 +9,7 @@ from postmeter.functions import dates, urls
 from postmeter.operators import weblog as w
 from postmeter.plans import jobs
 from postmeter.sources.corpus import pick
-from postmeter.sources.tables import table
+from postmeter.sources.tables import table, texts
 from postmeter.workloads.registry import query
 
 SUFFIXES = [".html", ".PNG", ".js", ".tar.gz", ".odd", ""]
@@ -34,7 +34,7 @@ def requests(spark: SparkSession, sf: str) -> DataFrame:
     u = F.col("user_id")
     path = F.concat(F.lit("/"), "event_type", F.lit("//%2e./"), e % 40, pick(SUFFIXES, e))
     uri = F.concat(path, F.lit("?page="), e % 5, F.lit("&q=a+b%20"), u, F.lit("&flag&page=x"), e % 3)
-    return table(spark, sf, "events").select(
+    return texts(spark, sf, "events").select(
         e.alias("event_id"),
         F.concat(F.lit("10.0."), F.floor(u / 250), F.lit("."), u % 250).alias("ip"),
         F.when(u % 3 == 0, F.concat(F.lit("u"), u)).alias("user"),
@@ -112,7 +112,7 @@ FROM documents GROUP BY lang""")
 def percent(spark: SparkSession, sf: str) -> DataFrame:
     """Texts escaped in both styles and decoded again."""
     t = F.col("text")
-    rows = table(spark, sf, "documents").select(
+    rows = texts(spark, sf, "documents").select(
         "lang", t, urls.percent_encode(t, "server").alias("s"), urls.percent_encode(t, "mail").alias("m")
     )
     return rows.groupBy("lang").agg(
@@ -140,7 +140,7 @@ def url_catalogue(spark: SparkSession, sf: str) -> DataFrame:
         F.lit("no-scheme"),
         F.lit("http://h:80x/x"),
     )
-    rows = table(spark, sf, "pages").select(F.explode(more).alias("url"))
+    rows = texts(spark, sf, "pages").select(F.explode(more).alias("url"))
     out = jobs.url_catalogue(rows, "url")
     return out
 
@@ -163,7 +163,7 @@ def endpoint_catalogue(spark: SparkSession, sf: str) -> DataFrame:
 @query("j2_reply_texts", """
 SELECT reply, count(*) AS replies FROM (SELECT split_part(split_part(html, '<h1>', 2), '</h1>', 1) AS reply FROM pages) GROUP BY 1""")
 def reply_texts(spark: SparkSession, sf: str) -> DataFrame:
-    return jobs.reply_texts(table(spark, sf, "pages"), "html")
+    return jobs.reply_texts(texts(spark, sf, "pages"), "html")
 
 
 @query("w7_normalise_path", """
