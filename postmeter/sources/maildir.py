@@ -8,9 +8,32 @@ from pyspark.sql import functions as F
 from postmeter.functions import codecs
 from postmeter.operators.mailbox import file_id_flags
 
+# The checksum layer of the local file system cannot open names with a colon, which
+# message files have. These options only concern file: paths.
+PLAIN_LOCAL_FILES = {
+    "fs.file.impl": "org.apache.hadoop.fs.RawLocalFileSystem",
+    "fs.file.impl.disable.cache": "true",
+}
+
 STORE_SCHEMA = "path string, modificationTime timestamp, length bigint, content binary"
 
 
+def folder_roots(spark: SparkSession, root: str) -> list[str]:
+    """The store and patterns for its folders, whose directories start with a dot.
+
+    A recursive scan passes over such directories, so each level of them is named.
+    Only directories are looked at here, until a level has none.
+    """
+    hadoop = spark._jvm.org.apache.hadoop.fs
+    patterns = [root.rstrip("/")]
+    while True:
+        level = hadoop.Path(patterns[-1] + "/.*/*")
+        hits = level.getFileSystem(spark._jsc.hadoopConfiguration()).globStatus(level)
+        if hits is None or not any(h.isDirectory() for h in hits):
+            return patterns
+        patterns.append(patterns[-1] + "/.*")
+
+
 def folder_of_directory(directory: Column, layout: str = "dots") -> Column:
     """Folder path from the directory of a message file.
 
@@ -54,21 +77,28 @@ def scan_maildir(spark: SparkSession, root: str, layout: str = "dots", content:
     Without ``content`` the file bytes are not read.
     """
     files = (
-        spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
+        spark.read.format("binaryFile")
+        .options(**PLAIN_LOCAL_FILES)
+        .option("recursiveFileLookup", "true")
+        .load(folder_roots(spark, root))
     )
     rows = message_files(files, root, layout)
     cols = ["folder", "uid", "flags", F.col("length").alias("size"), "file_name"]
     return rows.select(*cols, *([F.col("content").alias("raw")] if content else []))
 
 
-def stream_maildir(spark: SparkSession, root: str, layout: str = "dots", max_files: int = 10000) -> DataFrame:
-    """The same as a stream of arriving files."""
+def stream_maildir(
+    spark: SparkSession, root: str, layout: str = "dots", max_files: int = 10000, levels: int = 1
+) -> DataFrame:
+    """The same as a stream of arriving files; ``levels`` of folder directories are watched, one for ``dots``."""
+    watched = root.rstrip("/") + "{" + ",".join("/.*" * i for i in range(levels + 1)) + "}"
     files = (
         spark.readStream.format("binaryFile")
         .schema(STORE_SCHEMA)
+        .options(**PLAIN_LOCAL_FILES)
         .option("recursiveFileLookup", "true")
         .option("maxFilesPerTrigger", max_files)
-        .load(root)
+        .load(watched)
     )
     rows = message_files(files, root, layout)
     return rows.select(
