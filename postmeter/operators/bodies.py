@@ -56,7 +56,7 @@ def is_attachment(p, root: Column, inline: bool) -> Column:
 PART_COLUMNS = [
     "part_path", "type", "subtype", "content_type", "disposition", "disposition_value", "encoding", "content_id",
     "location", "description", "has_name", "n_children", "hidden", "hidden_inline", "parent_kind", "grand_kind",
-    "headers", "body",
+    "parent_type", "headers", "body",
 ]
 
 
@@ -91,6 +91,7 @@ def _child(parent, raw: Column, i: Column, path: Column, depth: Column) -> Colum
         hidden_inline=parent["hidden_inline"] | is_attachment(parent, root, True),
         parent_kind=F.when(parent["type"] == "multipart", parent["subtype"]),
         grand_kind=parent["parent_kind"],
+        parent_type=parent["content_type"],
         raw=raw,
     )
 
@@ -250,7 +251,10 @@ def attachments(parts: DataFrame, inline: bool = False) -> DataFrame:
 
 
 def attachment_inventory(parts: DataFrame, inline: bool = False) -> DataFrame:
-    """Attachments not inside another one: name, description, type, encoded size, nested message flag."""
+    """Attachments not inside another one: name, description, type, encoded size, nested message flag.
+
+    The decoded ``content`` comes along where the parts have it.
+    """
     tested = attachments(parts, inline)
     hidden = F.col("hidden_inline" if inline else "hidden")
     kept = media_type(tested.filter(F.col("is_attachment") & ~hidden), attachment=True)
@@ -261,6 +265,7 @@ def attachment_inventory(parts: DataFrame, inline: bool = False) -> DataFrame:
         F.coalesce(by_disposition, by_type).alias("name"),
         "description", "type", "subtype", "size",
         ((F.col("type") == "message") & (F.col("subtype") == "rfc822")).alias("is_message"),
+        *[c for c in ("content",) if c in parts.columns],
     )
 
 
@@ -357,19 +362,14 @@ def receipt_requests(messages: DataFrame) -> DataFrame:
 
 def receipts(parts: DataFrame) -> DataFrame:
     """Receipt messages: original id, disposition and digest from the notification part."""
-    is_report = (
-        (F.col("type") == "multipart")
-        & (F.col("subtype") == "report")
-        & (mail.param(F.col("content_type"), "report-type") == "disposition-notification")
-        & (F.col("depth") == 0)
-    )
-    reports = parts.filter(is_report).select("msg_key")
-    notices = parts.filter(
-        "depth = 1 and parent_kind = 'report' and type = 'message' and subtype = 'disposition-notification'"
+    # A part knows the Content-Type of its parent, so the report needs no join.
+    in_report = (F.col("parent_kind") == "report") & (
+        mail.param(F.col("parent_type"), "report-type") == "disposition-notification"
     )
+    notices = parts.filter("depth = 1 and type = 'message' and subtype = 'disposition-notification'").filter(in_report)
     content = codecs.transfer_bytes(F.col("body"), codecs.encoding_name(F.col("encoding")))
     fields = mail.header_fields(F.get(mail.split_message(F.decode(content, "ISO-8859-1")), F.lit(0)))
-    rows = notices.join(reports, "msg_key", "left_semi").select("msg_key", "part_path", fields.alias("f"))
+    rows = notices.select("msg_key", "part_path", fields.alias("f"))
     value = mail.header_first("f", "disposition")
     mode = text.trim_blanks(F.regexp_extract(value, r"^([^;]*)", 1))
     rest = F.regexp_extract(value, r"^[^;]*;(.*)$", 1)

@@ -127,8 +127,10 @@ def append(state: DataFrame, rows: DataFrame, width: int = NUMBER_WIDTH) -> Data
 
 def copy(state: DataFrame, chosen: DataFrame, dest: Sequence[str], modseq: int) -> DataFrame:
     """Copy messages to a folder with new ids, flags kept."""
+    # The folder depends on the row as far as the optimizer knows, so it stays a join key.
+    target = F.when(F.col("uid").isNotNull(), F.array(*map(F.lit, dest)))
     rows = chosen.select(
-        F.array(*map(F.lit, dest)).alias("folder"),
+        target.alias("folder"),
         F.concat_ws("/", F.concat_ws("/", "folder"), "uid").alias("source"),
         "flags",
         F.lit(modseq).cast("bigint").alias("modseq"),

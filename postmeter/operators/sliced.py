@@ -13,12 +13,11 @@ order column must share a slice.
 from __future__ import annotations
 
 from collections.abc import Sequence
-from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-SLICE = "__slice"
+KEY, SLICE = "__key", "__slice"
 
 
 def time_slice(ts: Column, seconds: int) -> Column:
@@ -29,28 +28,23 @@ def number_slice(n: Column, width: int) -> Column:
     return F.floor(n / width)
 
 
-def _carry(df: DataFrame, keys: Sequence[str], summary: Column, fold) -> DataFrame:
+def _prepare(df: DataFrame, keys: Sequence[str], slice_by: Column) -> DataFrame:
+    """Add the key as one struct, which is never null and joins by plain equality.
+
+    Window and join then ask for the same partitioning, so the rows move once.
+    """
+    return df.withColumns({KEY: F.struct(*keys), SLICE: slice_by})
+
+
+def _carry(df: DataFrame, summary: Column, fold) -> DataFrame:
     """One row per (key, slice) with ``fold`` of the summaries of all earlier slices."""
-    per_slice = df.groupBy(*keys, SLICE).agg(summary.alias("__s"))
-    before = (
-        Window.partitionBy(*keys).orderBy(SLICE).rowsBetween(Window.unboundedPreceding, -1)
-    )
-    return per_slice.select(*keys, SLICE, fold(F.col("__s")).over(before).alias("__carry"))
+    per_slice = df.groupBy(KEY, SLICE).agg(summary.alias("__s"))
+    before = Window.partitionBy(KEY).orderBy(SLICE).rowsBetween(Window.unboundedPreceding, -1)
+    return per_slice.select(KEY, SLICE, fold(F.col("__s")).over(before).alias("__carry"))
 
 
-def _attach(rows: DataFrame, carried: DataFrame, keys: Sequence[str]) -> DataFrame:
-    right = carried.select(
-        *[F.col(k).alias(f"__k{i}") for i, k in enumerate(keys)],
-        F.col(SLICE).alias("__ks"),
-        "__carry",
-    )
-    on = reduce(
-        lambda a, b: a & b,
-        [F.col(k).eqNullSafe(F.col(f"__k{i}")) for i, k in enumerate(keys)],
-        F.col(SLICE) == F.col("__ks"),
-    )
-    drop = [f"__k{i}" for i in range(len(keys))] + ["__ks"]
-    return rows.join(right, on, "left").drop(*drop)
+def _attach(rows: DataFrame, carried: DataFrame) -> DataFrame:
+    return rows.join(carried, [KEY, SLICE], "left")
 
 
 def previous(
@@ -62,13 +56,13 @@ def previous(
     name: str,
 ) -> DataFrame:
     """Add ``name``: ``struct(v)`` of the row before this one, null for the first row."""
-    w = Window.partitionBy(*keys, SLICE).orderBy(*order)
-    boxed = df.withColumn(SLICE, slice_by).withColumn("__v", F.struct(value.alias("v")))
+    w = Window.partitionBy(KEY, SLICE).orderBy(*order)
+    boxed = _prepare(df, keys, slice_by).withColumn("__v", F.struct(value.alias("v")))
     carried = _carry(
-        boxed, keys, F.max_by("__v", F.struct(*order)), lambda c: F.last(c, ignorenulls=True)
+        boxed, F.max_by("__v", F.struct(*order)), lambda c: F.last(c, ignorenulls=True)
     )
-    out = _attach(boxed.withColumn("__p", F.lag("__v").over(w)), carried, keys)
-    return out.withColumn(name, F.coalesce("__p", "__carry")).drop("__v", "__p", "__carry", SLICE)
+    out = _attach(boxed.withColumn("__p", F.lag("__v").over(w)), carried)
+    return out.withColumn(name, F.coalesce("__p", "__carry")).drop("__v", "__p", "__carry", KEY, SLICE)
 
 
 def last_known(
@@ -80,12 +74,12 @@ def last_known(
     name: str,
 ) -> DataFrame:
     """Add ``name``: the newest non-null ``value`` at or before this row."""
-    w = Window.partitionBy(*keys, SLICE).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    rows = df.withColumn(SLICE, slice_by).withColumn("__v", value)
+    w = Window.partitionBy(KEY, SLICE).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    rows = _prepare(df, keys, slice_by).withColumn("__v", value)
     newest = F.max_by("__v", F.when(F.col("__v").isNotNull(), F.struct(*order)))
-    carried = _carry(rows, keys, newest, lambda c: F.last(c, ignorenulls=True))
-    out = _attach(rows.withColumn("__p", F.last("__v", ignorenulls=True).over(w)), carried, keys)
-    return out.withColumn(name, F.coalesce("__p", "__carry")).drop("__v", "__p", "__carry", SLICE)
+    carried = _carry(rows, newest, lambda c: F.last(c, ignorenulls=True))
+    out = _attach(rows.withColumn("__p", F.last("__v", ignorenulls=True).over(w)), carried)
+    return out.withColumn(name, F.coalesce("__p", "__carry")).drop("__v", "__p", "__carry", KEY, SLICE)
 
 
 def running_max(
@@ -97,23 +91,23 @@ def running_max(
     name: str,
 ) -> DataFrame:
     """Add ``name``: the largest ``value`` at or before this row."""
-    w = Window.partitionBy(*keys, SLICE).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    rows = df.withColumn(SLICE, slice_by).withColumn("__v", value)
-    carried = _carry(rows, keys, F.max("__v"), F.max)
-    out = _attach(rows.withColumn("__p", F.max("__v").over(w)), carried, keys)
-    return out.withColumn(name, F.greatest("__p", "__carry")).drop("__v", "__p", "__carry", SLICE)
+    w = Window.partitionBy(KEY, SLICE).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    rows = _prepare(df, keys, slice_by).withColumn("__v", value)
+    carried = _carry(rows, F.max("__v"), F.max)
+    out = _attach(rows.withColumn("__p", F.max("__v").over(w)), carried)
+    return out.withColumn(name, F.greatest("__p", "__carry")).drop("__v", "__p", "__carry", KEY, SLICE)
 
 
 def row_numbers(
     df: DataFrame, keys: Sequence[str], order: Sequence[str], slice_by: Column, name: str
 ) -> DataFrame:
     """Add ``name``: 1..n along ``order`` within the key."""
-    w = Window.partitionBy(*keys, SLICE).orderBy(*order)
-    rows = df.withColumn(SLICE, slice_by)
-    carried = _carry(rows, keys, F.count(F.lit(1)), F.sum)
-    out = _attach(rows.withColumn("__p", F.row_number().over(w)), carried, keys)
+    w = Window.partitionBy(KEY, SLICE).orderBy(*order)
+    rows = _prepare(df, keys, slice_by)
+    carried = _carry(rows, F.count(F.lit(1)), F.sum)
+    out = _attach(rows.withColumn("__p", F.row_number().over(w)), carried)
     return out.withColumn(name, F.col("__p") + F.coalesce("__carry", F.lit(0))).drop(
-        "__p", "__carry", SLICE
+        "__p", "__carry", KEY, SLICE
     )
 
 
@@ -121,11 +115,11 @@ def dense_ranks(
     df: DataFrame, keys: Sequence[str], order: str, slice_by: Column, name: str
 ) -> DataFrame:
     """Add ``name``: dense rank of ``order`` within the key."""
-    w = Window.partitionBy(*keys, SLICE).orderBy(order)
-    rows = df.withColumn(SLICE, slice_by)
-    distinct = rows.select(*keys, SLICE, order).distinct()
-    carried = _carry(distinct, keys, F.count(F.lit(1)), F.sum)
-    out = _attach(rows.withColumn("__p", F.dense_rank().over(w)), carried, keys)
+    w = Window.partitionBy(KEY, SLICE).orderBy(order)
+    rows = _prepare(df, keys, slice_by)
+    distinct = rows.select(KEY, SLICE, order).distinct()
+    carried = _carry(distinct, F.count(F.lit(1)), F.sum)
+    out = _attach(rows.withColumn("__p", F.dense_rank().over(w)), carried)
     return out.withColumn(name, F.col("__p") + F.coalesce("__carry", F.lit(0))).drop(
-        "__p", "__carry", SLICE
+        "__p", "__carry", KEY, SLICE
     )

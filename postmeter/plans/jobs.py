@@ -166,15 +166,12 @@ def text_report(docs: DataFrame, col: str) -> DataFrame:
 
 def attachment_report(parts: DataFrame) -> DataFrame:
     """Attachments per type and file suffix, with encoded and decoded sizes."""
-    listed = bodies.attachment_inventory(parts)
-    body = bodies.decode_parts(parts).filter("disposition = 'attachment'").select(
-        "msg_key", "part_path", F.octet_length("content").alias("bytes")
-    )
+    listed = bodies.attachment_inventory(bodies.decode_parts(parts))
     suffix = F.lower(F.regexp_extract("name", r"\.([^.]*)$", 1))
-    return listed.join(body, ["msg_key", "part_path"], "left").groupBy(
-        "type", "subtype", suffix.alias("suffix")
-    ).agg(
-        F.count(F.lit(1)).alias("attachments"), F.sum("size").alias("encoded"), F.sum("bytes").alias("decoded")
+    return listed.groupBy("type", "subtype", suffix.alias("suffix")).agg(
+        F.count(F.lit(1)).alias("attachments"),
+        F.sum("size").alias("encoded"),
+        F.sum(F.octet_length("content")).alias("decoded"),
     )
 
 
