@@ -26,12 +26,28 @@ def _boundary(content_type: Column, body: Column) -> Column:
 
 
 def _pieces(body: Column, boundary: Column) -> Column:
-    """Child texts of a multipart; the text before the first boundary is not one."""
+    """Child texts of a multipart, cut in one pass.
+
+    A boundary line is not taken to its end, so that boundaries may follow each other
+    directly; the line end in front of each child goes afterwards. The text before the
+    first boundary is no child, nor is anything from the closing boundary on.
+    """
     literal = F.concat(F.lit(r"\Q"), F.replace(boundary, F.lit(r"\E"), F.lit(r"\E\\E\Q")), F.lit(r"\E"))
-    start = F.concat(F.lit(r"(?:\r?\n|(?<=\n)|\A)--[ \t]*"), literal)
-    closed = F.get(F.split(body, F.concat(start, F.lit(r"--")), F.lit(2)), F.lit(0))
-    pieces = F.split(closed, F.concat(start, F.lit(r"(?=[\r\n-])(?:\r?\n)?")))
-    return F.slice(pieces, 2, F.greatest(F.size(pieces) - 1, F.lit(0)))
+    line = F.concat(F.lit(r"\r?\n--[ \t]*"), literal, F.lit(r"(?=[\r\n-])"))
+    pieces = F.split(F.concat(F.lit("\n"), body), line)
+
+    def children(all_: Column) -> Column:
+        end = F.array_position(F.transform(all_, lambda p: p.startswith("--")), F.lit(True))
+        count = F.when(end > 0, end - 2).otherwise(F.size(all_) - 1)
+        return F.transform(
+            F.slice(all_, F.lit(2), F.greatest(count.cast("int"), F.lit(0))),
+            lambda p: F.when(p.startswith("\r\n"), F.substr(p, F.lit(3)))
+            .when(p.startswith("\n"), F.substr(p, F.lit(2)))
+            .otherwise(p),
+        )
+
+    # Bound once: the pieces are used three times.
+    return F.get(F.transform(F.array(pieces), children), F.lit(0))
 
 
 def is_attachment(p, root: Column, inline: bool) -> Column:

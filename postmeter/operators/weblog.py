@@ -14,9 +14,10 @@ from postmeter.functions import dates, urls
 def parse_access_log(df: DataFrame, col: str) -> DataFrame:
     """Log lines to columns; lines of another form give no row."""
     keep = [c for c in df.columns if c != col]
+    pieces = df.select(*keep, urls.access_log_pieces(F.col(col)).alias("__p"))
     return (
-        df.select(*keep, urls.access_log_fields(F.col(col)).alias("__l"))
-        .filter(F.col("__l").isNotNull())
+        pieces.filter(F.size("__p") == len(urls.LOG_FIELDS))
+        .select(*keep, urls.access_log_fields(F.col("__p")).alias("__l"))
         .select(*keep, "__l.*")
     )
 
