@@ -11,7 +11,6 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
-from pyspark.sql.utils import AnalysisException
 
 from postmeter.operators import metrics
 from postmeter.sources.maildir import stream_maildir
@@ -21,13 +20,13 @@ _STATE = "node string, metric string, ts timestamp, id bigint, value string"
 
 
 def _before(spark: SparkSession, folder: str, batch: int, schema: str) -> DataFrame:
-    """What the batch before left in ``folder``; nothing for the first batch."""
-    if batch > 0:
-        try:
-            return spark.read.schema(schema).parquet(f"{folder}/batch={batch - 1}")
-        except AnalysisException:
-            pass
-    return spark.createDataFrame([], schema)
+    """What the batch before left in ``folder``; nothing for the first batch.
+
+    Every batch leaves its state, so a missing one is an error and stops the stream.
+    """
+    if batch == 0:
+        return spark.createDataFrame([], schema)
+    return spark.read.schema(schema).parquet(f"{folder}/batch={batch - 1}")
 
 
 def change_stream(
@@ -130,11 +129,9 @@ def delivery_stream(
             "node", "batch", "section", "name", "content", "content_type", "sink"
         )
         if batch > 0:
-            try:
-                log = spark.read.schema(_LOG + ", micro int").parquet(f"{out}/log").filter(F.col("micro") < batch)
-                plan = plan.join(log.select("node", "batch", "section", "sink"), ["node", "batch", "section", "sink"], "left_anti")
-            except AnalysisException:
-                pass
+            log = spark.read.schema(_LOG + ", micro int").parquet(f"{out}/log").filter(F.col("micro") < batch)
+            keys = ["node", "batch", "section", "sink"]
+            plan = plan.join(log.select(*keys), keys, "left_anti")
         plan.write.mode("overwrite").parquet(f"{out}/log/micro={batch}")
 
     return (

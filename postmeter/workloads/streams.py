@@ -1,4 +1,4 @@
-"""Streaming queries: the stream runs over the given files to its end, the result is read back."""
+"""Streaming and sink queries: a stream runs over the given files to its end, the result is read back."""
 
 from __future__ import annotations
 
@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from postmeter.functions import fixed
 from postmeter.plans.workspace import new_folder
+from postmeter.sources.nodes import write_contents as write
 from postmeter.sources.tables import tick_of
 from postmeter.streaming import jobs
 from postmeter.workloads.metrics import BATCHES, CHANGES, CONTENTS, DUE, METRICS, contents
@@ -74,3 +75,15 @@ def delivery_stream(spark: SparkSession, sf: str) -> DataFrame:
     )
     q.awaitTermination()
     return spark.read.parquet(f"{out}/log").select("node", "batch", "section", "name", "content", "sink")
+
+
+@query("s5_write_contents", f"""
+WITH {CONTENTS}
+SELECT name, content, 'text/html' AS content_type FROM contents""")
+def write_contents(spark: SparkSession, sf: str) -> DataFrame:
+    """Contents written one file per row, and read back."""
+    out = new_folder(spark, "contents")
+    write(contents(spark, sf), out)
+    return spark.read.schema("name string, content string, content_type string").json(out).select(
+        "name", "content", "content_type"
+    )

@@ -207,7 +207,7 @@ def test_embedded_rules(spark):
 
 # Queries that need a charset or a label codec Spark does not have.
 PYTHON = {"e11_idna_domain", "e36_to_utf8"}
-STREAMS = {"t1_change_stream", "t2_cadence_stream", "t3_delivery_stream", "j3_mail_ingest"}
+STREAMS = {"t1_change_stream", "t2_cadence_stream", "t3_delivery_stream", "j3_mail_ingest", "s5_write_contents"}
 
 
 @pytest.mark.parametrize("name", [n for n in QUERIES if n not in STREAMS])
