@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from postmeter.llm import licenses, simhash
+from postmeter.llm import decontaminate, language, licenses, neardup, simhash, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -32,3 +32,97 @@ def op1_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash.simhash_classes(table(spark, sf_dir, "documents"))
     return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+
+
+@query
+def op7_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+@query
+def op2_embedding_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neardup.near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
+def remainder(n: int, key: str = "doc_id"):
+    return F.crc32(F.col(key).cast("string").cast("binary")) % n
+
+
+@query
+def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = (table(spark, sf_dir, n) for n in ("documents", "labels"))
+    model = toxicity.train(docs, labels.filter(remainder(5) != 0), "toxic")
+    scored = toxicity.toxicity(docs, model)
+    held_out = F.coalesce(remainder(5) == 0, F.lit(False)).alias("held_out")
+    return scored.select("doc_id", held_out, "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
+@query
+def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = language.train(docs.filter(remainder(3) != 1))
+    found = language.languages(docs, model)
+    held_out = F.coalesce(remainder(3) == 1, F.lit(False)).alias("held_out")
+    return found.select("doc_id", held_out, "lang_pred", "score")
+
+
+_WORDS = r"regexp_extract_all({}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')".format(
+    f"translate(coalesce(text, ''), '{licenses.UPPER}', '{licenses.LOWER}')"
+)
+
+ORACLES["op7_decontaminate"] = f"""
+WITH d AS (SELECT doc_id, {_WORDS} AS w FROM documents),
+i AS (SELECT item_id, {_WORDS} AS w FROM benchmark),
+n AS (SELECT item_id, w, least(13, len(w)) AS n FROM i WHERE len(w) > 0),
+s AS (SELECT item_id, n, w, unnest(range(0, len(w) - n + 1)) AS s FROM n),
+win AS (SELECT DISTINCT item_id, n, array_to_string(w[s + 1:s + n], ' ') AS t FROM s),
+lengths AS (SELECT DISTINCT n FROM win),
+starts AS (SELECT doc_id, w, n, unnest(range(0, len(w) - n + 1)) AS s FROM d, lengths WHERE len(w) >= n),
+hit AS (SELECT doc_id, s, x.n, item_id FROM (SELECT doc_id, s, n, array_to_string(w[s + 1:s + n], ' ') AS t FROM starts) x
+  JOIN win ON win.t = x.t AND win.n = x.n),
+place AS (SELECT doc_id, count(DISTINCT p) AS n_hit FROM (SELECT doc_id, unnest(range(s, s + n)) AS p FROM hit) GROUP BY ALL),
+item AS (SELECT doc_id, count(*) AS n_items, string_agg(k, ',' ORDER BY k) AS ids
+  FROM (SELECT DISTINCT doc_id, item_id::VARCHAR AS k FROM hit) GROUP BY ALL)
+SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, coalesce(n_items, 0)::BIGINT AS n_items,
+  sha256(coalesce(ids, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(w) AS contaminated
+FROM d LEFT JOIN place USING (doc_id) LEFT JOIN item USING (doc_id)
+"""
+
+ORACLES["op2_embedding_neardup"] = """
+WITH RECURSIVE v AS (
+  SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings
+  WHERE len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
+l AS (SELECT a.vec_id AS a, b.vec_id AS b FROM v a JOIN v b ON a.vec_id <> b.vec_id AND len(a.e) = len(b.e)
+  WHERE list_cosine_similarity(a.e, b.e) >= 0.95),
+r(n, c) AS (SELECT vec_id, vec_id FROM embeddings UNION SELECT l.b, r.c FROM r JOIN l ON r.n = l.a)
+SELECT vec_id, coalesce(k, 0)::BIGINT AS n_links, c AS component_id, c = vec_id AS kept
+FROM (SELECT n AS vec_id, min(c) AS c FROM r GROUP BY n) LEFT JOIN (SELECT a AS vec_id, count(*) AS k FROM l GROUP BY a) USING (vec_id)
+"""
+
+
+def _license_sql() -> str:
+    found = []
+    for t in licenses.TEMPLATES:
+        (one, p), (two, q) = licenses.rarest(t, licenses.TEMPLATES)
+        words, key = t.words.split(), t.key.split()
+        at = next(i for i in range(len(words)) if words[i : i + len(key)] == key)
+        same = " + ".join(f"(coalesce(w[s + {i + 1}], '') = '{x}' AND s + {i} >= 0)::INT" for i, x in enumerate(words))
+        found.append(
+            f"SELECT doc_id, '{t.label}' AS label, {t.base} AS base, s, ({same}) / {len(words)}::DOUBLE AS share"
+            f" FROM (SELECT doc_id, w, unnest(range({-at}, len(w)::INT - {at} - {len(key)} + 1)) AS s FROM d)"
+            f" WHERE array_to_string(w[s + {at + 1}:s + {at + len(key)}], ' ') = '{t.key}'"
+        )
+    return f"""
+WITH d AS (SELECT doc_id, {_WORDS} AS w FROM documents),
+f AS ({" UNION ALL ".join(found)}),
+g AS (SELECT doc_id, count(*) FILTER (base) AS n_base, min(s) FILTER (base) AS first_word, max(s) FILTER (base) AS last_word,
+  string_agg(DISTINCT label, ',' ORDER BY label) FILTER (base) AS base_labels,
+  string_agg(DISTINCT label, ',' ORDER BY label) AS labels, max(share) AS score FROM f GROUP BY doc_id)
+SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_base, 0)::BIGINT AS n_base, first_word::BIGINT AS first_word,
+  last_word::BIGINT AS last_word, coalesce(base_labels, '') AS base_labels, coalesce(labels, '') AS labels,
+  coalesce(score, 0.0)::DOUBLE AS score
+FROM d LEFT JOIN g USING (doc_id)
+"""
+
+
+ORACLES["op1_license_scan"] = _license_sql()

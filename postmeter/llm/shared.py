@@ -126,3 +126,37 @@ def whole_runs(batches: Iterator, key: str) -> Iterator:
             kept.append(batch)
     if kept:
         yield pa.Table.from_batches(kept)
+
+
+def numbered(df: DataFrame, by: str, name: str) -> DataFrame:
+    """Adds ``name``, a number from 0 without gaps within each value of ``by``.
+
+    ``by`` is an integer of few values. Each task counts its own rows; the counts of tasks are
+    summed up per value and joined back, so a value may hold any share of the rows.
+    """
+    import pyarrow as pa
+    from pyspark import TaskContext
+    from pyspark.sql import Window
+
+    def count(batches: Iterator) -> Iterator:
+        seen: dict[int, int] = {}
+        part = TaskContext.get().partitionId()
+        for batch in batches:
+            values = batch.column(by).to_numpy(zero_copy_only=False)
+            local = np.empty(len(values), np.int64)
+            for v in np.unique(values).tolist():
+                at = np.flatnonzero(values == v)
+                local[at] = seen.get(v, 0) + np.arange(len(at))
+                seen[v] = seen.get(v, 0) + len(at)
+            columns = [*batch.columns, pa.array(np.full(len(values), part, np.int64)), pa.array(local)]
+            yield pa.RecordBatch.from_arrays(columns, [*batch.schema.names, "_part", "_local"])
+
+    schema = ", ".join(f"`{n}` {t}" for n, t in df.dtypes)
+    rows, _ = stored(df.mapInArrow(count, f"{schema}, _part long, _local long"))
+    before = Window.partitionBy(by).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    parts = rows.groupBy(by, "_part").count().withColumn("_before", F.coalesce(F.sum("count").over(before), F.lit(0)))
+    return (
+        rows.join(parts.select(by, "_part", "_before"), [by, "_part"])
+        .withColumn(name, F.col("_before") + F.col("_local"))
+        .select(*df.columns, name)
+    )
