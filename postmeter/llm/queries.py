@@ -101,19 +101,21 @@ FROM (SELECT n AS vec_id, min(c) AS c FROM r GROUP BY n) LEFT JOIN (SELECT a AS
 
 
 def _license_sql() -> str:
-    found = []
+    found, first = [], set()
     for t in licenses.TEMPLATES:
-        (one, p), (two, q) = licenses.rarest(t, licenses.TEMPLATES)
         words, key = t.words.split(), t.key.split()
         at = next(i for i in range(len(words)) if words[i : i + len(key)] == key)
         same = " + ".join(f"(coalesce(w[s + {i + 1}], '') = '{x}' AND s + {i} >= 0)::INT" for i, x in enumerate(words))
         found.append(
             f"SELECT doc_id, '{t.label}' AS label, {t.base} AS base, s, ({same}) / {len(words)}::DOUBLE AS share"
-            f" FROM (SELECT doc_id, w, unnest(range({-at}, len(w)::INT - {at} - {len(key)} + 1)) AS s FROM d)"
+            f" FROM (SELECT doc_id, w, i - {at} AS s FROM u JOIN d USING (doc_id) WHERE x = '{key[0]}')"
             f" WHERE array_to_string(w[s + {at + 1}:s + {at + len(key)}], ' ') = '{t.key}'"
         )
+        first.add(f"'{key[0]}'")
     return f"""
 WITH d AS (SELECT doc_id, {_WORDS} AS w FROM documents),
+u AS MATERIALIZED (SELECT doc_id, x, i FROM (SELECT doc_id, unnest(w) AS x, unnest(range(len(w))) AS i FROM d)
+  WHERE x IN ({", ".join(sorted(first))})),
 f AS ({" UNION ALL ".join(found)}),
 g AS (SELECT doc_id, count(*) FILTER (base) AS n_base, min(s) FILTER (base) AS first_word, max(s) FILTER (base) AS last_word,
   string_agg(DISTINCT label, ',' ORDER BY label) FILTER (base) AS base_labels,
