@@ -1,27 +1,60 @@
 """The corpus pipeline: toxicity, near-dedup, substring dedup, decontamination, packing.
 
 Each stage takes what its predecessor kept, stored as Parquet, and returns the columns of
-``documents``; the last returns the packed pieces.
+``documents``; the last returns the packed pieces. Empty tables pass through all stages.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from postmeter.llm import simhash
+from postmeter.llm import decontaminate, packing, simhash, substrings, toxicity
+from postmeter.llm.queries import remainder
 from postmeter.llm.shared import stored
 
 
+def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents scored toxic go. Learns from the labels outside the held-out fifth."""
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet").filter(remainder(5) != 0)
+    return toxicity.without_toxic(docs, toxicity.train(docs, labels, "toxic"))
+
+
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each SimHash class stays."""
+    """One document of each SimHash class stays, the one with the smallest doc_id."""
     return simhash.one_per_class(docs)
 
 
+def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Characters that earlier documents hold in runs of 50 bytes go, and documents of which nothing is left.
+
+    ``n_chars`` follows the text.
+    """
+    found = substrings.dedup_substrings(docs, keep=True)
+    found = found.filter("NOT (n_bytes > 0 AND n_removed = n_bytes)")
+    chars = F.when(F.col("n_removed") > 0, F.length("text")).otherwise(F.col("n_chars"))
+    return found.withColumn("n_chars", chars.cast(dict(docs.dtypes)["n_chars"])).select(*docs.columns)
+
+
+def contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Contaminated documents go."""
+    return decontaminate.without_contaminated(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
+def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The pieces of what is left, with their sequences."""
+    return packing.pack(docs)
+
+
 STAGES = [
+    ("toxicity", drop_toxic),
     ("simhash", near_copies),
+    ("substrings", repeated_passages),
+    ("decontamination", contaminated),
+    ("packing", packed),
 ]
 
-#: Training of dictionaries, tokenizing and packing have no SQL form.
+#: Dictionary training, XXH64 with a seed and tokenizing have no SQL form.
 ORACLE_SQL = None
 
 

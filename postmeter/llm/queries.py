@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from postmeter.llm import decontaminate, language, licenses, neardup, packing, sharding, simhash, substrings, toxicity
+from postmeter.llm import decontaminate, language, licenses, modelling, neardup, packing, sharding, simhash, substrings, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -146,3 +146,11 @@ def op4_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substrings.dedup_substrings(table(spark, sf_dir, "documents"))
+
+
+@query
+def op9_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    held_out = F.coalesce(remainder(7) == 2, F.lit(False)).alias("held_out")
+    scored = modelling.score_texts(docs, remainder(7) != 2)
+    return scored.select("doc_id", held_out, "n_tokens", "n_known", "train_tokens", "base_score", "score")

@@ -38,6 +38,20 @@ def stored(df: DataFrame) -> tuple[DataFrame, Callable[[], None]]:
     return spark.read.schema(df.schema).parquet(path), remove
 
 
+def bucketed(df: DataFrame, by: str, count: int) -> tuple[DataFrame, Callable[[], None]]:
+    """The frame stored in the shared folder in buckets of ``by``, and a call that forgets the table.
+
+    Groups of ``by`` are then read as they lie, pass after pass, without a shuffle.
+    """
+    spark = df.sparkSession
+    count = max(1, min(count, 100_000))
+    name = f"llm_{uuid.uuid4().hex}"
+    df.repartition(count, by).write.bucketBy(count, by).option("path", f"{shared_folder(spark)}/llm/{name}").option(
+        "compression", "zstd"
+    ).saveAsTable(name)
+    return spark.table(name), lambda: spark.sql(f"DROP TABLE {name}")
+
+
 def components(links: DataFrame) -> DataFrame:
     """``links(a, b)`` to ``(node, root)``: the smallest node that each linked node reaches.
 

@@ -19,7 +19,6 @@ from __future__ import annotations
 
 import hashlib
 import math
-import uuid
 from collections.abc import Callable
 from dataclasses import dataclass
 
@@ -28,7 +27,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from postmeter.llm.shared import shared_folder, stored
+from postmeter.llm.shared import bucketed, stored
 
 LENGTH = 50
 GRAM = 32
@@ -217,7 +216,6 @@ def dedup_substrings(docs: DataFrame, key: str = "doc_id", text: str = "text", k
     null keys come after all others and not before each other. A task holds a batch of texts,
     about ``BATCH_BYTES``, or a single longer document, at some eighty bytes per byte.
     """
-    spark = docs.sparkSession
     if not keep:
         docs = docs.select(key, text)
     columns = docs.columns
@@ -228,14 +226,8 @@ def dedup_substrings(docs: DataFrame, key: str = "doc_id", text: str = "text", k
     plain = docs.select(*[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(columns)])
     k, t = (f"c{columns.index(c)}" for c in (key, text))
     plain = plain.withColumn("batch", _batch_of(plain, k, batches))
-    buckets = min(batches, 100_000)
-    name = f"llm_{uuid.uuid4().hex}"
-    path = f"{shared_folder(spark)}/llm/{name}"
-    # Bucketed by batch, so that each pass reads the batches as they lie, without a shuffle.
-    plain.repartition(buckets, "batch").write.bucketBy(buckets, "batch").option("path", path).option(
-        "compression", "zstd"
-    ).saveAsTable(name)
-    table = spark.table(name)
+    # Each pass reads the batches as they lie.
+    table, forget = bucketed(plain, "batch", batches)
 
     def first(rows: pd.DataFrame) -> pd.DataFrame:
         values, more, _ = Batch.of(rows[k], rows[t]).buckets()
@@ -292,7 +284,7 @@ def dedup_substrings(docs: DataFrame, key: str = "doc_id", text: str = "text", k
     added = "n_bytes long, n_removed long, n_spans long, kept_sha256 string"
     both = table.groupBy("batch").cogroup(flags.groupBy("batch"))
     result, _ = stored(both.applyInPandas(third, f"{kinds}, {added}"))
-    spark.sql(f"DROP TABLE {name}")
+    forget()
     own = [F.col(f"c{i}").alias(c) for i, c in enumerate(columns)]
     return result.select(*(own if keep else own[:1]), "n_bytes", "n_removed", "n_spans", "kept_sha256")
 
