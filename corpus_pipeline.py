@@ -7,7 +7,6 @@ Each stage takes what its predecessor kept, stored as Parquet, and returns the c
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from postmeter.llm import decontaminate, packing, simhash, substrings, toxicity
 from postmeter.llm.queries import remainder
@@ -30,10 +29,7 @@ def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
     ``n_chars`` follows the text.
     """
-    found = substrings.dedup_substrings(docs, keep=True)
-    found = found.filter("NOT (n_bytes > 0 AND n_removed = n_bytes)")
-    chars = F.when(F.col("n_removed") > 0, F.length("text")).otherwise(F.col("n_chars"))
-    return found.withColumn("n_chars", chars.cast(dict(docs.dtypes)["n_chars"])).select(*docs.columns)
+    return substrings.without_repeats(docs, length="n_chars")
 
 
 def contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

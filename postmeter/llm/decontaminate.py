@@ -172,5 +172,5 @@ def contamination(
 
 def without_contaminated(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id") -> DataFrame:
     """The rows whose key has no contaminated row, with the columns of the input."""
-    bad = contamination(docs, benchmark, key).filter("contaminated").select(F.col(key).alias("_key")).distinct()
-    return docs.join(bad, F.col(key).eqNullSafe(F.col("_key")), "left_anti")
+    bad = contamination(docs, benchmark, key).filter("contaminated").select(F.col(key).alias("_llm_key")).distinct()
+    return docs.join(bad, F.col(key).eqNullSafe(F.col("_llm_key")), "left_anti")

@@ -138,7 +138,7 @@ def one_per_class(df: DataFrame, key: str = "doc_id", text: str = "text") -> Dat
     Rows that repeat that key count as one: any of them stays.
     """
     kept = simhash_classes(df, key, text).filter(F.col(key).eqNullSafe(F.col("component_id")))
-    kept = kept.groupBy(F.col(key).alias("_key")).agg(F.first("fp").alias("_fp"))
+    kept = kept.groupBy(F.col(key).alias("_llm_key")).agg(F.first("fp").alias("_llm_fp"))
     return (
-        df.join(kept, F.col(key).eqNullSafe(F.col("_key")), "left_semi").dropDuplicates([key]).select(*df.columns)
+        df.join(kept, F.col(key).eqNullSafe(F.col("_llm_key")), "left_semi").dropDuplicates([key]).select(*df.columns)
     )

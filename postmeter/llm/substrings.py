@@ -19,13 +19,15 @@ from __future__ import annotations
 
 import hashlib
 import math
-from collections.abc import Callable
+from collections.abc import Callable, Iterable
 from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from postmeter.llm.shared import bucketed, stored
 
@@ -77,7 +79,7 @@ class Batch:
     low: np.ndarray  # smallest identifier of the windows
 
     @classmethod
-    def of(cls, keys: pd.Series, texts: pd.Series) -> Batch:
+    def of(cls, keys: pd.Series, texts: Iterable[str | None]) -> Batch:
         own = [("" if t is None else t).encode() for t in texts]
         raw = b"".join(own)
         sizes = np.array([len(t) for t in own], np.int64)
@@ -208,16 +210,36 @@ def _batch_of(docs: DataFrame, key: str, batches: int) -> Column:
     return F.when(F.col(key).isNull(), len(cuts) * each).otherwise(number).cast("int")
 
 
-def dedup_substrings(docs: DataFrame, key: str = "doc_id", text: str = "text", keep: bool = False) -> DataFrame:
+def dedup_substrings(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """One row per row of the input: key, n_bytes, n_removed, n_spans, kept_sha256.
 
-    With ``keep`` the input's own columns come first, the text without the characters whose
-    bytes all go. Null texts are empty. Rows that share a key are not earlier than each other;
-    null keys come after all others and not before each other. A task holds a batch of texts,
-    about ``BATCH_BYTES``, or a single longer document, at some eighty bytes per byte.
+    Null texts are empty. Rows that share a key are not earlier than each other; null keys come
+    after all others and not before each other. A task holds a batch of texts, about
+    ``BATCH_BYTES``, or a single longer document, at some eighty bytes per byte.
     """
-    if not keep:
-        docs = docs.select(key, text)
+    found = _dedup(docs.select(key, text), key, text, keep=False)
+    return found.select(F.col("c0").alias(key), "n_bytes", "n_removed", "n_spans", "kept_sha256")
+
+
+def without_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", length: str | None = None) -> DataFrame:
+    """The columns of the input, the text without the characters whose bytes all go.
+
+    Rows of which nothing is left go too; texts that were null or empty stay. ``length`` names a
+    column that holds the number of characters and follows the text.
+    """
+    found = _dedup(docs, key, text, keep=True).filter("NOT (n_bytes > 0 AND n_removed = n_bytes)")
+    own = []
+    for i, (name, kind) in enumerate(docs.dtypes):
+        column = F.col(f"c{i}")
+        if name == length:
+            chars = F.length(f"c{docs.columns.index(text)}")
+            column = F.when(F.col("n_removed") > 0, chars).otherwise(column).cast(kind)
+        own.append(column.alias(name))
+    return found.select(*own)
+
+
+def _dedup(docs: DataFrame, key: str, text: str, keep: bool) -> DataFrame:
+    """The input's columns as c0, c1, ... and the counts."""
     columns = docs.columns
     size = docs.agg(F.sum(F.octet_length(text))).first()[0] or 0
     batches = max(1, math.ceil(size / BATCH_BYTES))
@@ -249,13 +271,18 @@ def dedup_substrings(docs: DataFrame, key: str = "doc_id", text: str = "text", k
     lower, _ = stored(sent.groupBy("part").applyInPandas(_in_lower_batch, BITS))
     flags = several.withColumn("step", F.lit(1)).union(lower.withColumn("step", F.lit(2)))
 
-    def third(rows: pd.DataFrame, flags: pd.DataFrame) -> pd.DataFrame:
+    kinds = ", ".join(f"c{i} {kind}" for i, (_, kind) in enumerate(docs.dtypes))
+    added = "n_bytes long, n_removed long, n_spans long, kept_sha256 string"
+
+    def third(rows: pa.Table, flags: pa.Table) -> pa.Table:
         if not len(rows):
-            return rows.assign(n_bytes=0, n_removed=0, n_spans=0, kept_sha256="")
-        batch = Batch.of(rows[k], rows[t])
-        at = _candidates(batch, flags[flags["step"] == 1], parts)
+            return pa.table({f.name: [] for f in wanted})
+        old = rows.column(t).to_pylist()
+        batch = Batch.of(rows.column(k).to_pandas(), old)
+        answers = flags.to_pandas()
+        at = _candidates(batch, answers[answers["step"] == 1], parts)
         one, _, lowest, index = batch.windows(at)
-        known = _gather(flags[flags["step"] == 2], parts, one)
+        known = _gather(answers[answers["step"] == 2], parts, one)
         gone = known[index] | (lowest[index] < batch.rank[batch.document[at]])
         starts = batch.starts[at[gone]]
         edge = np.zeros(len(batch.raw) + 1, np.int32)
@@ -263,30 +290,28 @@ def dedup_substrings(docs: DataFrame, key: str = "doc_id", text: str = "text", k
         np.add.at(edge, starts + LENGTH, -1)
         covered = np.cumsum(edge[:-1]) > 0
         raw = np.frombuffer(batch.raw, np.uint8)
-        out = {"n_bytes": [], "n_removed": [], "n_spans": [], "kept_sha256": []}
-        texts = []
-        begin = 0
-        for end, old in zip(batch.ends.tolist(), rows[t], strict=True):
+        counts, texts, begin = [], [], 0
+        for end, kept in zip(batch.ends.tolist(), old, strict=True):
             own, hit = raw[begin:end], covered[begin:end]
-            out["n_bytes"].append(end - begin)
-            out["n_removed"].append(int(hit.sum()))
-            out["n_spans"].append(int(hit[:1].sum() + (hit[1:] > hit[:-1]).sum()))
-            out["kept_sha256"].append(hashlib.sha256(own[~hit].tobytes()).hexdigest())
+            spans = int(hit[:1].sum() + (hit[1:] > hit[:-1]).sum())
+            counts.append((end - begin, int(hit.sum()), spans, hashlib.sha256(own[~hit].tobytes()).hexdigest()))
             if keep and hit.any():
                 head = np.flatnonzero((own & 0xC0) != 0x80)
                 stay = ~np.logical_and.reduceat(hit, head)
-                old = own[np.repeat(stay, np.diff(np.append(head, len(own))))].tobytes().decode()
-            texts.append(old)
+                kept = own[np.repeat(stay, np.diff(np.append(head, len(own))))].tobytes().decode()
+            texts.append(kept)
             begin = end
-        return rows.assign(**{t: texts}, **out)[[c for c in rows.columns if c != "batch"] + list(out)]
+        columns = [rows.column(c) for c in rows.column_names if c != "batch"]
+        if keep:
+            columns[int(t[1:])] = pa.array(texts, pa.string())
+        columns += [pa.array(c) for c in zip(*counts, strict=True)]
+        return pa.Table.from_arrays(columns, wanted.names)
 
-    kinds = ", ".join(f"c{i} {kind}" for i, (_, kind) in enumerate(docs.dtypes))
-    added = "n_bytes long, n_removed long, n_spans long, kept_sha256 string"
     both = table.groupBy("batch").cogroup(flags.groupBy("batch"))
-    result, _ = stored(both.applyInPandas(third, f"{kinds}, {added}"))
+    wanted = StructType.fromDDL(f"{kinds}, {added}")
+    result, _ = stored(both.applyInArrow(third, wanted))
     forget()
-    own = [F.col(f"c{i}").alias(c) for i, c in enumerate(columns)]
-    return result.select(*(own if keep else own[:1]), "n_bytes", "n_removed", "n_spans", "kept_sha256")
+    return result
 
 
 def _candidates(batch: Batch, flags: pd.DataFrame, parts: int) -> np.ndarray:

@@ -9,6 +9,7 @@ score by logistic regression on labelled documents that no dictionary has seen.
 from __future__ import annotations
 
 import math
+import zlib
 from collections import Counter
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
@@ -16,7 +17,6 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-import zlib
 import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -161,7 +161,8 @@ def train(docs: DataFrame, labels: DataFrame, label: str, key: str = "doc_id", t
         part = known.filter((F.col("y") > 0) == F.lit(bool(y))).orderBy(F.xxhash64(key), key).limit(sample_rows)
         chosen = part if chosen is None else chosen.union(part)
     # At most twice sample_rows ids.
-    rows = docs.join(F.broadcast(chosen), key).select(F.col(text).alias("t"), "y", F.xxhash64(key).alias("h")).collect()
+    texts = docs.select(F.col(key), F.col(text).alias("t"))
+    rows = texts.join(F.broadcast(chosen), key).select("t", "y", F.xxhash64(key).alias("h")).collect()
     rows.sort(key=lambda r: (r.h, r.y, r.t or ""))
     split: dict[tuple[int, int], list[list[bytes]]] = {(h, y): [] for h in (0, 1) for y in (0, 1)}
     for n, r in enumerate(rows):
