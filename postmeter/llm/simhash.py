@@ -96,9 +96,9 @@ def _link_runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def link_fingerprints(fps: DataFrame) -> DataFrame:
-    """Distinct ``fp`` values to links (a, b) that join all those within three bits.
+    """Distinct ``fp`` values to pairs (a, b) of one class that connect all those within three bits.
 
-    The links of a variant form trees, so their number is at most that of the index rows.
+    The pairs of a variant form trees, each to the first of its tree, so their number is at most that of the index rows.
     """
     half = "shiftrightunsigned(fp, 32 * int(v / 32)) & 4294967295"
     variants = fps.select("fp", F.explode(F.expr("sequence(0, 63)")).alias("v")).selectExpr(
