@@ -16,10 +16,10 @@ from postmeter.functions.text import is_ascii, octets_to_text, trim_blanks, unes
 
 # Where a header ends, for a text with a line feed put in front: an empty line, or
 # a blank line at the top or behind lines that are no fields. A blank line behind a
-# field is a fold of that field.
-_BAD = r"(?![^\s:]*[ \t]*:)[^\s][^\n]*\n(?:[ \t]+[^\s][^\n]*\n)*"
+# field is a fold of that field. Groups are possessive: a header may have any number of lines.
+_BAD = r"(?![^\s:]*[ \t]*:)[^\s][^\n]*\n(?:[ \t]+[^\s][^\n]*\n)*+"
 HEADER_END = rf"\n(?:\r?\n|{_BAD}[ \t]+\r?\n)|\A\n[ \t]+\r?\n"
-_FOLD = r"\r?\n(?:[ \t]+\r?\n)*[ \t]+"
+_FOLD = r"(?:\r?\n[ \t]+)++"
 _FIELD = r"^(?![ \t])[^\s:]*[ \t]*:"
 
 
@@ -56,7 +56,7 @@ def header_first(headers: str, name: str) -> Column:
 
 # Encoded words -------------------------------------------------------------
 
-_WORD = r"=\?[^?\n]*\?[^?\n]*\?(?:(?!\?=)[^\n])*\?="
+_WORD = r"=\?[^?\n]*\?[^?\n]*\?(?:(?!\?=)[^\n])*+\?="
 _WORD_PARTS = r"(?s)\A=\?([^?*]*)(?:\*([^?]*))?\?([^?]*)\?(.*)\?=\z"
 _KNOWN_CHARSETS = r"(?i)us-ascii|ascii|utf-8|utf8|iso-8859-1|latin1"
 _RARE_WORD = rf"=\?(?!(?:{_KNOWN_CHARSETS})[*?])[^?\n]*\?[BbQq][^?\n]*\?"
@@ -202,6 +202,7 @@ def param(value: Column, name: str) -> Column:
 # Addresses -----------------------------------------------------------------
 
 _QUOTED = r'"(?:[^"\\]|\\.)*+"'
+# Comments within comments that a pattern follows; deeper ones are flattened first.
 _COMMENT_DEPTH = 4
 
 
@@ -216,13 +217,32 @@ _MARK = "\x02"
 _PROTECTED = rf'{_QUOTED}|{COMMENT}|<[^>]*+>?|=\?(?:(?!\?=).)*+(?:\?=)?|\\.'
 
 
+def flat_comments(text: Column) -> Column:
+    """Comments nested deeper than the patterns follow lose their inner parentheses.
+
+    One scan with a running depth; texts with few parentheses are left as they are.
+    """
+    tokens = F.regexp_extract_all(text, F.lit(rf"(?s){_QUOTED}|\\.|[()]|[^()\\\"]++|.") , F.lit(0))
+    start = F.struct(F.lit(0).alias("depth"), F.array().cast("array<string>").alias("out"))
+
+    def step(state: Column, token: Column) -> Column:
+        depth, out = state["depth"], state["out"]
+        opened, closed = token == "(", (token == ")") & (depth > 0)
+        level = F.when(opened, depth + 1).otherwise(depth)
+        kept = F.when((opened | closed) & (level > _COMMENT_DEPTH), out).otherwise(F.array_append(out, token))
+        return F.struct(F.when(closed, depth - 1).otherwise(level).alias("depth"), kept.alias("out"))
+
+    flat = F.aggregate(tokens, start, step, lambda state: F.array_join(state["out"], ""))
+    return F.when(F.regexp_count(text, F.lit("[(]")) > _COMMENT_DEPTH, flat).otherwise(text)
+
+
 def strip_comments(text: Column) -> Column:
-    return F.regexp_replace(text, rf"({_QUOTED}|\\.)|{COMMENT}", "$1")
+    return F.regexp_replace(flat_comments(text), rf"({_QUOTED}|\\.)|{COMMENT}", "$1")
 
 
 def address_list(text: Column) -> Column:
     """Address list to ``array<struct<group, address>>``; groups are flattened one level."""
-    marked = F.regexp_replace(text, rf"(?s)({_PROTECTED})|([,;:])", f"$1{_MARK}$2")
+    marked = F.regexp_replace(flat_comments(text), rf"(?s)({_PROTECTED})|([,;:])", f"$1{_MARK}$2")
 
     def clean(s: Column) -> Column:
         return trim_blanks(F.replace(s, F.lit(_MARK), F.lit("")))
@@ -308,7 +328,7 @@ def address_parts(address: Column, host: Column | str = "localhost") -> Column:
 
 def message_id(text: Column) -> Column:
     """``left@right`` of the first angle brackets outside comments, or of the bare token."""
-    s = F.regexp_replace(text, rf"(\\.)|{COMMENT}", "$1")
+    s = F.regexp_replace(flat_comments(text), rf"(\\.)|{COMMENT}", "$1")
     opened = F.regexp_extract(s, r"(?s)^(?:[^<\\]|\\.)*+<(.*)$", 1)
     has = F.rlike(s, F.lit(r"(?s)^(?:[^<\\]|\\.)*+<."))
     plain = F.regexp_extract(s, r"^\s*(.*)$", 1)
@@ -376,7 +396,7 @@ def received(text: Column) -> Column:
     date = F.regexp_extract(text, r"(?s);([^;]*)$", 1)
     flat = F.concat(F.lit(" "), trim_blanks(F.regexp_replace(body, r"\s+", " ")), F.lit(" "))
     # Keywords outside comments get a mark in front; each run then starts with its keyword.
-    marked = F.regexp_replace(flat, rf"(?i)({COMMENT})|(?<= )(from|by|via|with|id|for)(?= )", f"$1{_MARK}$2")
+    marked = F.regexp_replace(flat_comments(flat), rf"(?i)({COMMENT})|(?<= )(from|by|via|with|id|for)(?= )", f"$1{_MARK}$2")
     runs = F.filter(
         F.split(marked, f"{_MARK}(?=(?i:from|by|via|with|id|for) )"), lambda r, i: i > 0
     )

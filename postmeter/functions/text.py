@@ -14,7 +14,6 @@ BLANKS = " \t\r\n"
 
 # Size from which a text is sent as base64 without inspection, and
 # the longest line that a 7-bit body may have.
-INSPECT_LIMIT = 32768
 LINE_LIMIT = 78
 
 
@@ -94,15 +93,20 @@ def charset_encoding(charset: Column) -> Column:
     )
 
 
-def choose_encoding(text: Column, charset: Column | str | None = "utf-8") -> Column:
-    """Transfer encoding for a text body; works on UTF-8 strings and octet strings of ASCII."""
+def choose_encoding(
+    text: Column, charset: Column | str | None = "utf-8", inspect_below: int | None = None
+) -> Column:
+    """Transfer encoding for a text body; works on UTF-8 strings and octet strings of ASCII.
+
+    The whole text is looked at; with ``inspect_below`` texts of that size or more are base64 unseen.
+    """
     size = F.octet_length(text)
     # Bytes below 127: ASCII without DEL.
     low = F.char_length(F.regexp_replace(text, r"[^\x00-\x7E]+", ""))
     high = size - low
     long_line = F.rlike(text, F.lit(r"[^\n]{%d}" % (LINE_LIMIT + 1))) | text.contains("\n.")
     by_content = (
-        F.when((size == 0) | (size >= INSPECT_LIMIT), F.lit("base64"))
+        F.when((size == 0) | (size >= inspect_below if inspect_below else F.lit(False)), F.lit("base64"))
         .when(high == 0, F.when(long_line, F.lit("quoted-printable")).otherwise(F.lit("7bit")))
         .when(high <= F.floor(size / 5), F.lit("quoted-printable"))
         .otherwise(F.lit("base64"))

@@ -210,9 +210,13 @@ _SEP = "\x01"
 
 def access_log_pieces(line: Column) -> Column:
     """The fields of one line in one pass; a line of another form gives an array of another size."""
-    return F.split(
+    in_one = F.split(
         F.regexp_replace(line, LOG_LINE, _SEP.join(f"${i + 1}" for i in range(len(LOG_FIELDS)))), _SEP
     )
+    # A line that holds the separator itself is cut group by group.
+    each = F.array(*[F.regexp_extract(line, LOG_LINE, i + 1) for i in range(len(LOG_FIELDS))])
+    none = F.array().cast("array<string>")
+    return F.when(~line.contains(_SEP), in_one).otherwise(F.when(F.rlike(line, F.lit(LOG_LINE)), each).otherwise(none))
 
 
 def access_log_fields(pieces: Column) -> Column:

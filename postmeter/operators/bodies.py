@@ -13,8 +13,7 @@ from pyspark.sql import functions as F
 from postmeter.functions import codecs, mail, text
 from postmeter.plans.workspace import materialise
 
-# Levels opened in one pass. Deeper parts come out marked ``open`` and are opened
-# by another pass over just those rows (``explode_all_parts``).
+# Levels opened in one projection; texts below them are opened by further passes.
 LEVELS = 4
 
 
@@ -171,10 +170,18 @@ def _open_tree(rows: DataFrame, keep: list[str], levels: int) -> DataFrame:
     )
 
 
+def _nesting(messages: DataFrame) -> int:
+    """No part lies deeper than the most multipart types that a message names."""
+    names = F.regexp_count(text.octets(F.col("raw")), F.lit("(?i)multipart/"))
+    return messages.agg(F.max(names)).first()[0] or 0
+
+
 def explode_parts(messages: DataFrame, levels: int = LEVELS) -> DataFrame:
-    """One row per part of each message, the message itself being the part with an empty path.
+    """One row per part of each message, at any depth, the message itself being the part with an empty path.
 
-    Parts below ``levels`` stay in ``pending`` of their parent (see ``explode_all_parts``).
+    A scan bounds the depth. Trees of up to ``levels`` levels are opened in one projection; for
+    deeper ones the texts below are written to the shared folder and opened from there, pass
+    after pass, until none is left.
     """
     keep = [c for c in messages.columns if c != "raw"]
     root = _node(
@@ -183,28 +190,17 @@ def explode_parts(messages: DataFrame, levels: int = LEVELS) -> DataFrame:
         hidden_inline=F.lit(False),
         raw=text.octets(F.col("raw")),
     )
-    return _open_tree(messages.select(*keep, F.inline(F.array(root))), keep, levels)
-
-
-def explode_all_parts(messages: DataFrame, levels: int = LEVELS) -> DataFrame:
-    """The same to any depth: rows with pending children are opened again until none is left.
-
-    Each pass is written to the shared folder, so it is done once and survives a lost executor.
-    """
-    keep = [c for c in messages.columns if c != "raw"]
-    done = materialise(explode_parts(messages, levels), "parts")
-    rest = done.filter(F.size("pending") > 0)
-    result = done
-    while not rest.isEmpty():
-        nodes = rest.select(
-            *keep,
-            F.inline(
-                F.transform("pending", lambda raw, i: _child(_row(), raw, i, F.col("part_path"), F.col("depth")))
-            ),
-        )
-        more = materialise(_open_tree(nodes, keep, levels), "parts")
-        result = result.unionByName(more)
-        rest = more.filter(F.size("pending") > 0)
+    needed = _nesting(messages) + 1
+    opened = _open_tree(messages.select(*keep, F.inline(F.array(root))), keep, min(needed, levels))
+    result = opened.drop("pending")
+    while needed > levels:
+        children = F.transform("pending", lambda raw, i: _child(_row(), raw, i, F.col("part_path"), F.col("depth")))
+        below = materialise(opened.filter(F.size("pending") > 0).select(*keep, F.inline(children)), "parts")
+        if below.isEmpty():
+            break
+        needed -= levels
+        opened = _open_tree(below, keep, min(needed, levels))
+        result = result.unionByName(opened.drop("pending"))
     return result
 
 

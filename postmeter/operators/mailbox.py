@@ -72,16 +72,28 @@ def encode_flags(df: DataFrame, uid: str = "uid", flags: str = "flags") -> DataF
 
 
 def update_flags(state: DataFrame, updates: DataFrame) -> DataFrame:
-    """Apply ``folder, uid, mode, mask`` rows; modes are set, add and remove. One update per message."""
-    joined = state.join(updates.select("folder", "uid", "mode", "mask"), ["folder", "uid"], "left")
-    f, m = F.col("flags"), F.col("mask")
-    new = (
-        F.when(F.col("mode") == "set", m)
-        .when(F.col("mode") == "add", f.bitwiseOR(m))
-        .when(F.col("mode") == "remove", f.bitwiseAND(F.bitwise_not(m)))
-        .otherwise(f)
+    """Apply ``folder, uid, mode, mask[, seq]`` rows; modes are set, add and remove.
+
+    Several updates of a message are applied in the order of ``seq``, then mode and mask. Each is
+    "keep these bits, then set those"; such steps fold into one before the join.
+    """
+    seq = F.col("seq") if "seq" in updates.columns else F.lit(0)
+    m = F.col("mask").cast("int")
+    keep = F.when(F.col("mode") == "set", 0).when(F.col("mode") == "remove", F.bitwise_not(m)).otherwise(-1)
+    put = F.when(F.col("mode").isin("set", "add"), m).otherwise(0)
+    steps = F.array_sort(F.collect_list(F.struct(seq.alias("seq"), "mode", m.alias("mask"), keep.alias("k"), put.alias("p"))))
+    start = F.struct(F.lit(-1).alias("k"), F.lit(0).alias("p"))
+    folded = F.aggregate(
+        steps,
+        start,
+        lambda a, s: F.struct(
+            a["k"].bitwiseAND(s["k"]).alias("k"), a["p"].bitwiseAND(s["k"]).bitwiseOR(s["p"]).alias("p")
+        ),
     )
-    return joined.withColumn("flags", new).select(*state.columns)
+    each = updates.groupBy("folder", "uid").agg(folded.alias("__u"))
+    new = F.col("flags").bitwiseAND(F.coalesce("__u.k", F.lit(-1))).bitwiseOR(F.coalesce("__u.p", F.lit(0)))
+    kind = dict(state.dtypes)["flags"]
+    return state.join(each, ["folder", "uid"], "left").withColumn("flags", new.cast(kind)).select(*state.columns)
 
 
 def delete(state: DataFrame, chosen: Column) -> DataFrame:
@@ -337,6 +349,8 @@ def fetch(state: DataFrame, attributes: Sequence[str], headers: Mapping[str, Col
     Columns that are not asked for are pruned down to the scan.
     """
     wanted = [a for a in attributes if not (a == "envelope" and "full_header" in attributes)]
-    cols = [c for a in wanted for c in FETCH_GROUPS[a] if c in state.columns]
+    cols = [c for a in wanted for c in FETCH_GROUPS[a]]
+    if missing := [c for c in cols if c not in state.columns]:
+        raise ValueError(f"the state has no columns {missing}")
     extra = [c.alias(name) for name, c in (headers or {}).items()]
     return state.select("folder", "num", *cols, *extra)

@@ -121,8 +121,8 @@ def metrics_json(report: DataFrame, keys: Sequence[str]) -> DataFrame:
 
 
 def metrics_tsv(report: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """``name<TAB>value`` lines per key, ordered by name, closed by an empty line."""
-    line = F.concat("metric", F.lit("\t"), "value", F.lit("\n"))
+    """``name<TAB>value`` lines per key, ordered by name, closed by an empty line; a null value is empty."""
+    line = F.concat("metric", F.lit("\t"), F.coalesce("value", F.lit("")), F.lit("\n"))
     lines = F.sort_array(F.collect_list(F.struct("metric", line.alias("line"))))
     return report.groupBy(*keys).agg(
         F.concat(F.array_join(F.transform(lines, lambda x: x["line"]), ""), F.lit("\n")).alias(
@@ -152,8 +152,11 @@ def health(report: DataFrame, keys: Sequence[str]) -> DataFrame:
 
 
 def to_snapshot(df: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """Rows to one name→value map per key; the newest value of a name stays."""
-    newest = df.groupBy(*keys, "metric").agg(
+    """Rows to one name→value map per key; the newest value of a name stays.
+
+    A row without a name is no entry of the map.
+    """
+    newest = df.filter(F.col("metric").isNotNull()).groupBy(*keys, "metric").agg(
         F.max_by("value", F.struct("ts", "id")).alias("value")
     )
     return newest.groupBy(*keys).agg(
@@ -343,9 +346,10 @@ def decrypt(df: DataFrame, col: str, key: Column | str) -> DataFrame:
     return df.withColumn(col, F.try_aes_decrypt(F.unbase64(col), k).cast("string"))
 
 
-def reply_text(df: DataFrame, col: str, limit: int = 1023) -> DataFrame:
-    """Text of the first ``<h1>`` pair within the first ``limit`` bytes, else null."""
-    head = F.decode(F.substring(F.col(col).cast("binary"), 1, limit), "ISO-8859-1")
+def reply_text(df: DataFrame, col: str, limit: int | None = None) -> DataFrame:
+    """Text of the first ``<h1>`` pair, else null; with ``limit`` only that many bytes are read."""
+    raw = F.col(col).cast("binary")
+    head = F.decode(F.substring(raw, 1, limit) if limit else raw, "ISO-8859-1")
     found = F.regexp_extract(head, r"(?s)<h1>(.*?)</h1>", 1)
     text = F.make_valid_utf8(F.encode(found, "ISO-8859-1").cast("string"))
     return df.withColumn("reply", F.when(F.rlike(head, F.lit(r"(?s)<h1>.*?</h1>")), text))

@@ -60,7 +60,7 @@ _RULE = re.compile(r"([+-])(\d{1,3})\.(\d{1,3})\.(\d{1,3})\.(\d{1,3})(?:/(\d{1,2
 def access_rules(text: str) -> list[tuple[int, str, int, int]] | None:
     """``+net/mask,-net/mask`` settings as (position, flag, net, bits); None if an entry is malformed."""
     rules = []
-    for pos, entry in enumerate(text.split(",")):
+    for pos, entry in enumerate(text.removesuffix(",").split(",")):
         m = _RULE.match(entry)
         if not m:
             return None
@@ -77,40 +77,31 @@ def access_rules(text: str) -> list[tuple[int, str, int, int]] | None:
 def ip_access(df: DataFrame, ip: str, rules: str | None) -> DataFrame:
     """Add ``access``: 1 allowed, 0 denied, -1 when the rule text is malformed.
 
-    The last matching rule wins. Each distinct address is masked once per mask
-    length in use and meets the rules in an equality join, so neither many rules
-    nor many addresses make a product.
+    The last matching rule wins. The rules are a literal map from masked net to position
+    and flag; an address is masked once per mask length in use and looked up, in its row.
+    An empty list denies all.
     """
     if rules is None:
         return df.withColumn("access", F.lit(1))
+    if not rules:
+        return df.withColumn("access", F.lit(0))
     parsed = access_rules(rules)
     if parsed is None:
         return df.withColumn("access", F.lit(-1))
     number = urls.ip_number(F.col(ip))
-    lengths = sorted({bits for *_, bits in parsed})
-    masked = F.array(
-        *[
-            F.struct(
-                F.lit(bits).alias("bits"),
-                (F.floor(F.col("__n") / (1 << (32 - bits))) * (1 << (32 - bits))).cast("bigint").alias("net"),
-            )
-            for bits in lengths
-        ]
-    )
-    values = ", ".join(f"({pos}, '{flag}', {net}L, {bits})" for pos, flag, net, bits in parsed)
-    table = df.sparkSession.sql(f"select * from values {values} as t(pos, flag, net, bits)")
-    found = (
-        df.select(F.col(ip).alias("__ip"), number.alias("__n"))
-        .distinct()
-        .select("__ip", F.inline(masked))
-        .join(table, ["bits", "net"])
-        .groupBy("__ip")
-        .agg(F.max_by("flag", "pos").alias("__flag"))
-    )
+    last = {(bits, net): pos * 2 + (flag == "+") for pos, flag, net, bits in parsed}
+    found = []
+    for bits in sorted({bits for bits, _ in last}):
+        size = 1 << (32 - bits)
+        nets = F.create_map(
+            *[x for (b, net), rank in last.items() if b == bits for x in (F.lit(net).cast("bigint"), F.lit(rank))]
+        )
+        found.append(F.try_element_at(nets, (F.floor(F.col("__n") / size) * size).cast("bigint")))
+    rank = F.greatest(*found, F.lit(-2)) if len(found) == 1 else F.greatest(*found)
     return (
-        df.join(found, F.col(ip) == F.col("__ip"), "left")
-        .withColumn("access", F.coalesce((F.col("__flag") == "+").cast("int"), F.lit(0)))
-        .drop("__ip", "__flag")
+        df.withColumn("__n", number)
+        .withColumn("access", F.coalesce(F.pmod(F.nullif(rank, F.lit(-2)), F.lit(2)), F.lit(0)).cast("int"))
+        .drop("__n")
     )
 
 

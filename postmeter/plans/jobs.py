@@ -77,10 +77,10 @@ def ingest(spark: SparkSession, messages: DataFrame, path: str) -> DataFrame:
     """Write ``messages``, ``headers``, ``parts`` and ``rejects`` by folder; returns counts per folder.
 
     The raw table is written first and read back, so each message is rendered or
-    fetched once and parsed once. A folder may hold a third of all mail: its rows
-    are spread over a hash of the key as well.
+    fetched once. A folder may hold a third of all mail: rows are rebalanced by folder at
+    run time, which splits it by its size.
     """
-    by_folder = lambda df: df.repartition("folder", F.pmod(F.xxhash64("msg_key"), F.lit(64)))
+    by_folder = lambda df: df.hint("rebalance", "folder")
     raw = messages.select(
         F.array_join("folder", "/").alias("folder"), "msg_key", "raw", reject_reason(F.col("raw")).alias("reason")
     )
@@ -89,10 +89,10 @@ def ingest(spark: SparkSession, messages: DataFrame, path: str) -> DataFrame:
     stored.filter("reason is not null").groupBy("folder", "reason").agg(
         F.count(F.lit(1)).alias("messages")
     ).write.mode("overwrite").parquet(f"{path}/rejects")
-    parts = bodies.explode_all_parts(stored.filter("reason is null").drop("reason"))
+    parts = bodies.explode_parts(stored.filter("reason is null").drop("reason"))
     fields = parts.select("folder", "msg_key", "part_path", F.inline("headers"))
     by_folder(fields).write.mode("overwrite").partitionBy("folder").parquet(f"{path}/headers")
-    bare = parts.drop("headers", "pending")
+    bare = parts.drop("headers")
     by_folder(bare).write.mode("overwrite").partitionBy("folder").parquet(f"{path}/parts")
     return ingest_counts(parts)
 

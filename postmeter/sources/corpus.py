@@ -78,8 +78,21 @@ def conversation_messages(spark: SparkSession, sf: str) -> DataFrame:
     return c.compose(rows).drop("error")
 
 
+def subject_messages(spark: SparkSession, sf: str) -> DataFrame:
+    """A message for each document with the whole text as its subject, in encoded words."""
+    rows = texts(spark, sf, "documents").select(
+        F.concat(F.lit("d"), "doc_id").alias("msg_key"),
+        F.array(F.lit("lang"), "lang").alias("folder"),
+        F.concat("source", F.lit("@"), "lang", F.lit(".example")).alias("from_"),
+        F.lit("archive@corpus.example").alias("to"),
+        F.col("text").alias("subject"),
+        F.lit("see the subject").alias("plain"),
+    )
+    return c.compose(h.encode_words(rows, "subject")).drop("error")
+
+
 def document_messages(spark: SparkSession, sf: str) -> DataFrame:
-    """A text and an attachment of the same text; the subject is its start in encoded words."""
+    """A text and an attachment of the same text; the subject names it in encoded words."""
     d = texts(spark, sf, "documents")
     name = F.concat("source", F.lit("-"), "doc_id", F.lit(".txt"))
     file = F.struct(
@@ -93,7 +106,7 @@ def document_messages(spark: SparkSession, sf: str) -> DataFrame:
         F.array(F.lit("lang"), "lang").alias("folder"),
         F.concat("source", F.lit("@"), "lang", F.lit(".example")).alias("from_"),
         F.lit("archive@corpus.example").alias("to"),
-        F.substring("text", 1, 40).alias("subject"),
+        F.concat(F.lit("é "), "doc_id").alias("subject"),
         F.col("text").alias("plain"),
         F.array(file).alias("attachments"),
     )
@@ -150,9 +163,9 @@ def mailbox_state(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def receipt_messages(spark: SparkSession, sf: str) -> DataFrame:
-    """Receipts for every third order's message; one in five reports lacks the original id."""
+    """A message for each order: a receipt for every third, one in five without the original id, else plain mail."""
     k = F.col("o_orderkey")
-    o = texts(spark, sf, "orders").filter(k % 3 == 0)
+    o = texts(spark, sf, "orders")
     b = F.concat(F.lit("=_r"), k)
     notice = F.concat(
         F.lit("Reporting-UA: reader.example\r\n"),
@@ -175,4 +188,9 @@ def receipt_messages(spark: SparkSession, sf: str) -> DataFrame:
         F.lit("\r\n"),
         c.multipart([human, machine], b),
     )
-    return o.select(F.concat(F.lit("o"), k).alias("msg_key"), raw.alias("raw"))
+    plain = F.concat(
+        c.field("From", F.concat(F.lit("reader"), F.col("o_custkey") % 50, F.lit("@c.example"))),
+        c.field("Subject", F.concat(F.lit("order "), k)),
+        F.lit("\r\nThe message was shown.\r\n"),
+    )
+    return o.select(F.concat(F.lit("o"), k).alias("msg_key"), F.when(k % 3 == 0, raw).otherwise(plain).alias("raw"))

@@ -15,6 +15,9 @@ PLAIN_LOCAL_FILES = {
     "fs.file.impl.disable.cache": "true",
 }
 
+# Levels of folder directories watched beyond those that a store has at the start of a stream.
+DEEPER = 8
+
 STORE_SCHEMA = "path string, modificationTime timestamp, length bigint, content binary"
 
 
@@ -88,9 +91,15 @@ def scan_maildir(spark: SparkSession, root: str, layout: str = "dots", content:
 
 
 def stream_maildir(
-    spark: SparkSession, root: str, layout: str = "dots", max_files: int = 10000, levels: int = 1
+    spark: SparkSession, root: str, layout: str = "dots", max_files: int = 10000
 ) -> DataFrame:
-    """The same as a stream of arriving files; ``levels`` of folder directories are watched, one for ``dots``."""
+    """The same as a stream of arriving files, in folder directories of any depth that exist or appear.
+
+    A listing skips dotted directories below its start, so each level is named: all that the
+    store has now and ``DEEPER`` beyond; a store that grows deeper is watched by a new start.
+    """
+    depths = [p.count("/.") for p in folder_roots(spark, root)]
+    levels = max([1, *(d - min(depths) for d in depths)]) + DEEPER
     watched = root.rstrip("/") + "{" + ",".join("/.*" * i for i in range(levels + 1)) + "}"
     files = (
         spark.readStream.format("binaryFile")

@@ -82,11 +82,10 @@ def parse_listing(df: DataFrame, col: str) -> DataFrame:
 def write_contents(df: DataFrame, path: str, fmt: str = "json") -> None:
     """Content rows ``name, content, content_type`` as files, one directory per name.
 
-    Rows are spread by a hash of the content as well, so one busy name does not
-    become one task.
+    Rows are rebalanced by name at run time, so one busy name is split by its size.
     """
     rows = df.withColumn("file", F.regexp_replace("name", r"^/", ""))
-    spread = rows.repartition("file", F.pmod(F.xxhash64("content"), F.lit(16)))
+    spread = rows.hint("rebalance", "file")
     if fmt == "json":
         spread.write.mode("append").option("maxRecordsPerFile", 1).partitionBy("file").json(path)
     else:

@@ -74,7 +74,7 @@ def decode_parts(spark: SparkSession, sf: str) -> DataFrame:
 
 LOW = "length(regexp_replace({t}, '[^\\x00-\\x7E]', '', 'g'))"
 CHOICE = (
-    "CASE WHEN strlen({t}) = 0 OR strlen({t}) >= 32768 THEN 'base64' "
+    "CASE WHEN strlen({t}) = 0 THEN 'base64' "
     "WHEN " + LOW + " = strlen({t}) THEN CASE WHEN regexp_matches({t}, '[^\\n]{{79}}') OR contains({t}, chr(10) || '.') THEN 'quoted-printable' ELSE '7bit' END "
     "WHEN strlen({t}) - " + LOW + " <= strlen({t}) // 5 THEN 'quoted-printable' ELSE 'base64' END"
 )

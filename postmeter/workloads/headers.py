@@ -132,10 +132,10 @@ def typed_headers(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("e5_decode_words", """
 SELECT lang, source, count(*) AS messages, count(DISTINCT s) AS subjects, sum(length(s)) AS chars, min(s) AS first_subject
-FROM (SELECT lang, source, trim(left(text, 40), ' ' || chr(9) || chr(10) || chr(13)) AS s FROM documents) GROUP BY lang, source""")
+FROM (SELECT lang, source, trim(text, ' ' || chr(9) || chr(10) || chr(13)) AS s FROM documents) GROUP BY lang, source""")
 def decode_words(spark: SparkSession, sf: str) -> DataFrame:
     """Subjects that travelled as encoded words, per language and sender."""
-    parsed = h.with_headers(corpus.document_messages(spark, sf)).select(
+    parsed = h.with_headers(corpus.subject_messages(spark, sf)).select(
         mail.header_first("headers", "subject").alias("subject"), mail.header_first("headers", "from").alias("sender")
     )
     rows = h.decode_words(parsed, "subject").select(
@@ -158,10 +158,10 @@ ASCII_COUNT = "(length(regexp_replace({t}, '[^\\x00-\\x7F]', '', 'g')) - len(reg
 SELECT lang, choice, count(*) AS documents FROM (
   SELECT lang, CASE WHEN NOT (length(s) <> strlen(s) OR regexp_matches(s, '[\\r\\n]') OR s LIKE '%=?%' OR s LIKE '%?=%') THEN 'none'
     WHEN floor(100 * {ASCII_COUNT.format(t='s')} / strlen(s)) < 60 THEN 'B' ELSE 'Q' END AS choice
-  FROM (SELECT lang, left(text, 40) AS s FROM documents)) GROUP BY lang, choice""")
+  FROM (SELECT lang, text AS s FROM documents)) GROUP BY lang, choice""")
 def word_choice(spark: SparkSession, sf: str) -> DataFrame:
     """Encoding chosen for each subject, read back from the raw message."""
-    flat = h.explode_headers(corpus.document_messages(spark, sf))
+    flat = h.explode_headers(corpus.subject_messages(spark, sf))
     choice = F.when(~F.col("value").startswith("=?"), "none").otherwise(F.regexp_extract("value", r"^=\?[^?]*\?([BQ])\?", 1))
     lang = F.regexp_extract(F.element_at("folder", 2), "(.*)", 1)
     return (

@@ -11,10 +11,6 @@ from postmeter.sources import nodes as src
 from postmeter.sources.tables import TICK_SECONDS, metrics, table, texts, tick_of, ticks
 from postmeter.workloads.registry import query
 
-# The events lie hours apart, not the ten seconds of a monitored fleet, so a slice is wider
-# than the default: a month holds a few hundred samples of a series.
-SPARSE = 30 * 86400
-
 METRICS = """metrics AS (
   SELECT 'n' || user_id AS node, upper(event_type) AS metric, ts, event_id AS id,
          CAST(CAST(floor(value / 50) AS BIGINT) AS VARCHAR) AS value,
@@ -37,7 +33,7 @@ BATCHES = METRICS + """, batches AS (
 WITH {CHANGES}
 SELECT node, metric, epoch_us(ts) AS ts_us, id, value FROM changes""")
 def changes(spark: SparkSession, sf: str) -> DataFrame:
-    return m.changes_only(metrics(spark, sf), slice_seconds=SPARSE).select(
+    return m.changes_only(metrics(spark, sf)).select(
         "node", "metric", F.unix_micros("ts").alias("ts_us"), "id", "value"
     )
 
@@ -51,7 +47,7 @@ def change_ratio(spark: SparkSession, sf: str) -> DataFrame:
     """Changes against samples per node: how much the change-only history saves."""
     base = metrics(spark, sf)
     samples = base.groupBy("node").agg(F.count(F.lit(1)).alias("samples"))
-    kept = m.changes_only(base, slice_seconds=SPARSE).groupBy("node").agg(F.count(F.lit(1)).alias("changes"))
+    kept = m.changes_only(base).groupBy("node").agg(F.count(F.lit(1)).alias("changes"))
     return samples.join(kept, "node")
 
 
@@ -329,7 +325,7 @@ def fill_forward(spark: SparkSession, sf: str) -> DataFrame:
     wanted = base.select("node", "metric").distinct().join(ticks(spark, sf), "node").select(
         "node", "metric", F.timestamp_micros(F.col("tick") * TICK_SECONDS * 1_000_000).alias("ts")
     )
-    return m.fill_forward(m.changes_only(base, slice_seconds=SPARSE), wanted, slice_seconds=SPARSE).select(
+    return m.fill_forward(m.changes_only(base), wanted).select(
         "node", "metric", F.unix_micros("ts").alias("ts_us"), "value"
     )
 
@@ -472,7 +468,7 @@ SELECT page_id, CASE WHEN instr(h, '<h1>') > 0 AND instr(substr(h, instr(h, '<h1
 FROM (SELECT page_id, decode(CASE WHEN octet_length(encode(html)) <= 1023 THEN encode(html) ELSE
    encode(left(html, list_max(list_filter(range(0, 1024), lambda i: octet_length(encode(left(html, i))) <= 1023)))) END) AS h FROM pages)""")
 def reply_text(spark: SparkSession, sf: str) -> DataFrame:
-    return m.reply_text(texts(spark, sf, "pages"), "html").select("page_id", "reply")
+    return m.reply_text(texts(spark, sf, "pages"), "html", limit=1023).select("page_id", "reply")
 
 
 @query("m22_by_group", """
@@ -501,5 +497,5 @@ def alerts(spark: SparkSession, sf: str) -> DataFrame:
     contacts = table(spark, sf, "customer").select(
         F.concat(F.lit("n"), "c_custkey").alias("node"), F.col("c_name").alias("contact")
     )
-    return m.alerts(states, contacts, "replication_up", SPARSE).select("node", "tick", "contact")
+    return m.alerts(states, contacts, "replication_up").select("node", "tick", "contact")
 

@@ -54,7 +54,7 @@ SHARE = "floor(100 * (length(regexp_replace(text, '[^\\x00-\\x7F]', '', 'g')) -
 @query("j5_text_report", f"""
 SELECT lang, source, count(*) AS documents, count(CASE WHEN e = '7bit' THEN 1 END) AS seven_bit, count(CASE WHEN e = 'qp' THEN 1 END) AS qp, count(CASE WHEN e = 'base64' THEN 1 END) AS base64,
   quantile_cont(share, 0.5) AS median_share, CAST(min(share) AS BIGINT) AS min_share, 0 AS invalid, CAST(sum(ceil(n / 3.0) * 4 - n) AS BIGINT) AS base64_growth
-FROM (SELECT lang, source, strlen(text) AS n, {SHARE} AS share, CASE WHEN strlen(text) >= 32768 THEN 'base64' WHEN {LOW} = strlen(text) THEN
+FROM (SELECT lang, source, strlen(text) AS n, {SHARE} AS share, CASE WHEN {LOW} = strlen(text) THEN
     CASE WHEN regexp_matches(text, '[^\\n]{{79}}') OR contains(text, chr(10) || '.') THEN 'qp' ELSE '7bit' END
     WHEN strlen(text) - {LOW} <= strlen(text) // 5 THEN 'qp' ELSE 'base64' END AS e FROM documents) GROUP BY lang, source""")
 def text_report(spark: SparkSession, sf: str) -> DataFrame:
