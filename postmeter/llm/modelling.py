@@ -24,7 +24,7 @@ import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from postmeter.llm.shared import bucketed, stored
+from postmeter.llm.shared import bucketed, shrink, stored, unshrink
 
 DEPTH = 5
 BATCH_BYTES = 4_000_000
@@ -35,21 +35,6 @@ END = b"\n"
 SENT = "batch int, slot int, n long, ids binary, counts binary"
 
 
-def shrink(values: np.ndarray, delta: bool = False) -> bytes:
-    """Compressed numbers, byte planes apart; sorted ones as differences."""
-    if delta:
-        values = np.diff(values, prepend=values.dtype.type(0))
-    planes = values.view(np.uint8).reshape(len(values), -1).T.tobytes()
-    return zstandard.ZstdCompressor(level=1).compress(planes)
-
-
-def unshrink(data: bytes, kind: str, delta: bool = False) -> np.ndarray:
-    planes = np.frombuffer(zstandard.ZstdDecompressor().decompress(data), np.uint8)
-    width = np.dtype(kind).itemsize
-    values = np.ascontiguousarray(planes.reshape(width, -1).T).view(kind).ravel()
-    return np.cumsum(values, dtype=kind) if delta else values
-
-
 def grams(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     """A number for each byte and end of text: nearest context byte first, the byte itself last.
 

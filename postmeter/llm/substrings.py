@@ -1,17 +1,20 @@
 """Substring dedup by bucket-pointer refinement.
 
 A byte goes if a string of 50 bytes that covers it also starts in an earlier document. As in a
-suffix array, places are first put into buckets by q-gram, and the buckets of places are refined
-by the bucket identifiers of later offsets: the identifier of 2q bytes is made of those at
-offsets 0 and q, again and again, and that of 50 bytes of two of 32. An identifier is a hash of
-the bytes, so that all tasks agree on it without a common sort.
-
-Only buckets that hold several documents are refined to 50 bytes. A window of 50 bytes is first
-represented by the smallest of its 32-gram identifiers, which neighbouring windows share, so a
-tenth of the places is exchanged; the windows of buckets with one document are settled at once.
+suffix array, places are first put into buckets by q-gram, and the buckets are refined by the
+bucket identifiers of later offsets: the identifier of 2q bytes is made of those at offsets 0
+and q, again and again up to 32. An identifier is a hash of the bytes, so that all tasks agree
+on it without a common sort. Three steps settle more and more windows of 50 bytes:
+
+1. A window's bucket is the smallest 32-gram identifier in it, which neighbouring windows share,
+   so a tenth of the places is exchanged. Buckets of a single document are settled.
+2. A run of windows of one bucket is refined by the identifiers at its first, middle and last
+   offset. A run that an earlier document holds too is covered as a whole; if all runs of a
+   bucket are equal, the first of them is settled as well.
+3. What is left, mostly at the ends of shared passages, is refined window by window.
 
 Documents are dealt into batches in the order of their keys. A batch sends the distinct
-identifiers that it holds, split by range, and gets a bit back for each. However often a string
+identifiers that it holds, split by range, and gets bits back for each. However often a string
 occurs, a batch sends it once, so there is no hot key.
 """
 
@@ -20,7 +23,6 @@ from __future__ import annotations
 import hashlib
 import math
 from collections.abc import Callable, Iterable
-from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
@@ -29,170 +31,215 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from postmeter.llm.shared import bucketed, stored
+from postmeter.llm.shared import bucketed, shrink, stored, unshrink
 
 LENGTH = 50
 GRAM = 32
 #: Text of a batch, and identifiers of a range, in bytes.
-BATCH_BYTES = 2_000_000
+BATCH_BYTES = 1_500_000
 RANGE_BYTES = 12_000_000
 #: Cuts of the key order that the driver holds; more batches divide these evenly.
 CUTS = 2000
 
-_A, _B = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
+_A = np.uint64(0x9E3779B97F4A7C15)
+_BYTES = np.random.default_rng(0).integers(1, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+#: Windows that can share a smallest identifier at one place; longer runs are cut at this length.
+WIDTH = LENGTH - GRAM + 1
 
 
-def _join(x: np.ndarray, y: np.ndarray) -> np.ndarray:
-    z = x * _A + (y ^ (y >> np.uint64(31))) * _B
-    return z ^ (z >> np.uint64(29))
+def _mix(h: np.ndarray) -> np.ndarray:
+    h = (h ^ (h >> np.uint64(32))) * _A
+    return h ^ (h >> np.uint64(29))
 
 
 def identifiers(raw: np.ndarray) -> np.ndarray:
     """The 32-gram identifier at each place, by five doublings."""
-    h = (raw.astype(np.uint64) + np.uint64(1)) * _B
+    h = _BYTES[raw]
     k = 1
     while k < GRAM:
-        h = _join(h[:-k], h[k:])
+        h = h[:-k] * np.uint64(pow(int(_A), k, 1 << 64)) + h[k:]
         k *= 2
-    return h
+    return _mix(h)
 
 
 def smallest(h: np.ndarray) -> np.ndarray:
     """For each window of 50 bytes the smallest identifier in it."""
-    width, k = LENGTH - GRAM + 1, 1
-    while 2 * k <= width:
+    k = 1
+    while 2 * k <= WIDTH:
         h = np.minimum(h[:-k], h[k:])
         k *= 2
-    return np.minimum(h[: len(h) - (width - k)], h[width - k :]) if width > k else h
+    return np.minimum(h[: len(h) - (WIDTH - k)], h[WIDTH - k :])
+
+
+def _distinct(one: np.ndarray, two: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct pairs in order, and the index of each pair among them."""
+    order = np.lexsort((two, one))
+    new = np.ones(len(order), bool)
+    new[1:] = (np.diff(one[order]) != 0) | (np.diff(two[order]) != 0)
+    index = np.empty(len(order), np.int64)
+    index[order] = np.cumsum(new) - 1
+    return one[order][new], two[order][new], index
+
+
+def _lowest(index: np.ndarray, rank: np.ndarray, count: int) -> np.ndarray:
+    out = np.full(count, np.iinfo(np.int64).max)
+    np.minimum.at(out, index, rank)
+    return out
 
 
-@dataclass
 class Batch:
-    """Texts of a batch in one row of bytes, with the windows that lie within a document."""
-
-    raw: bytes
-    ends: np.ndarray
-    rank: np.ndarray  # of each document's key among those of the batch
-    starts: np.ndarray  # of the windows
-    document: np.ndarray  # of the windows
-    grams: np.ndarray
-    low: np.ndarray  # smallest identifier of the windows
-
-    @classmethod
-    def of(cls, keys: pd.Series, texts: Iterable[str | None]) -> Batch:
-        own = [("" if t is None else t).encode() for t in texts]
-        raw = b"".join(own)
-        sizes = np.array([len(t) for t in own], np.int64)
-        ends = np.cumsum(sizes)
+    """Windows of a batch's texts, in runs that share a bucket within a document."""
+
+    def __init__(self, keys: pd.Series, texts: Iterable[str | None]) -> None:
+        self.texts = [("" if t is None else t).encode() for t in texts]
         rank = keys.rank(method="dense", na_option="bottom").to_numpy().astype(np.int64)
-        none = np.empty(0, np.int64)
-        if len(raw) < LENGTH:
-            return cls(raw, ends, rank, none, none, none.astype(np.uint64), none.astype(np.uint64))
-        document = np.repeat(np.arange(len(own)), sizes)[: len(raw) - LENGTH + 1]
-        starts = np.flatnonzero(np.arange(len(document)) + LENGTH <= ends[document])
-        grams = identifiers(np.frombuffer(raw, np.uint8))
-        return cls(raw, ends, rank, starts, document[starts], grams, smallest(grams)[starts])
-
-    def buckets(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Distinct smallest identifiers, whether several documents of the batch hold one, and its index for each window."""
-        if not len(self.low):
-            return self.low, np.empty(0, bool), np.empty(0, np.int64)
-        new = np.append(True, (self.low[1:] != self.low[:-1]) | (self.document[1:] != self.document[:-1]))
+        grams, low, self.at = [], [], []
+        for i, t in enumerate(self.texts):
+            if len(t) >= LENGTH:
+                h = identifiers(np.frombuffer(t, np.uint8))
+                grams.append(h)
+                low.append(smallest(h))
+                self.at.append(i)
+        none = np.empty(0, np.uint64)
+        self.grams = np.concatenate([none, *grams])
+        low = np.concatenate([none, *low])
+        sizes = np.array([len(self.texts[i]) - LENGTH + 1 for i in self.at], np.int64)
+        self.first = np.cumsum(sizes) - sizes  # window of each document with windows
+        new = np.ones(len(low), bool)
+        new[1:] = low[1:] != low[:-1]
+        new[self.first] = True
         head = np.flatnonzero(new)
-        values, index = np.unique(self.low[head], return_inverse=True)
-        rank = self.rank[self.document[head]]
-        first, last = np.full(len(values), rank.max() + 1), np.full(len(values), -1)
-        np.minimum.at(first, index, rank)
-        np.maximum.at(last, index, rank)
-        return values, first < last, index[np.cumsum(new) - 1]
-
-    def windows(self, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """Of the windows ``at``: distinct identifiers of 50 bytes in two parts, the lowest rank, the index for each."""
-        near, far = self.grams[self.starts[at]], self.grams[self.starts[at] + LENGTH - GRAM]
-        one, two = _join(near, far), _join(far, near)
-        order = np.lexsort((two, one))
-        new = np.append(True, (np.diff(one[order]) != 0) | (np.diff(two[order]) != 0))[: len(order)]
-        index = np.empty(len(order), np.int64)
-        index[order] = np.cumsum(new) - 1
-        rank = self.rank[self.document[at]]
-        first = np.full(int(new.sum()), np.iinfo(np.int64).max)
-        np.minimum.at(first, index, rank)
-        return one[order][new], two[order][new], first, index
+        size = np.diff(np.append(head, len(low)))
+        # A run of repeated bytes is cut, so that three identifiers cover a run.
+        pieces = -(-size // WIDTH)
+        step = np.arange(int(pieces.sum())) - np.repeat(np.cumsum(pieces) - pieces, pieces)
+        self.head = np.repeat(head, pieces) + step * WIDTH
+        self.size = np.diff(np.append(self.head, len(low)))
+        self.low = low[self.head]
+        self.document = np.searchsorted(self.first, self.head, "right") - 1  # of each run, among those with windows
+        self.rank = rank[np.array(self.at, np.int64)][self.document] if self.at else np.empty(0, np.int64)
+        self.values, self.bucket = np.unique(self.low, return_inverse=True)
+
+    def _gram(self, window: np.ndarray, document: np.ndarray) -> np.ndarray:
+        # A document has so many more 32-grams than windows.
+        return window + (LENGTH - GRAM) * document
+
+    def shared(self) -> np.ndarray:
+        """Whether several documents of the batch hold a bucket."""
+        low = _lowest(self.bucket, self.rank, len(self.values))
+        return low < -_lowest(self.bucket, -self.rank, len(self.values))
+
+    def contexts(self, runs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Distinct (bucket, refined identifier) of the runs, and the index of each run among them."""
+        start = self._gram(self.head[runs], self.document[runs])
+        size = self.size[runs]
+        last = self.grams[start + size + LENGTH - GRAM - 1]
+        middle = self.grams[start + np.minimum(GRAM, size + LENGTH - GRAM - 1)]
+        refined = _mix(self.grams[start] + _mix(middle + _mix(last + size.astype(np.uint64))))
+        return _distinct(self.low[runs], refined)
+
+    def windows(self, runs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The windows of the runs, and the run of each."""
+        run = np.repeat(runs, self.size[runs])
+        step = np.arange(len(run)) - np.repeat(np.cumsum(self.size[runs]) - self.size[runs], self.size[runs])
+        return self.head[run] + step, run
+
+    def strings(self, window: np.ndarray, run: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Distinct identifiers of 50 bytes, in 64 and 16 bits, and the index of each window among them."""
+        gram = self._gram(window, self.document[run])
+        near, far = self.grams[gram], self.grams[gram + LENGTH - GRAM]
+        return _distinct(_mix(near + _mix(far)), _mix(far + _mix(near)) >> np.uint64(48))
 
 
 SENT = "batch int, part int, one binary, two binary, more binary"
 BITS = "batch int, part int, bits binary"
 
 
-def _split(batch: int, parts: int, one: np.ndarray, two: np.ndarray | None, more: np.ndarray | None) -> pd.DataFrame:
-    """Sorted identifiers cut into ``parts`` ranges, a row for each that has some."""
+def _split(batch: int, parts: int, one: np.ndarray, two: np.ndarray | None = None, more: np.ndarray | None = None,
+           drop: int = 0) -> pd.DataFrame:
+    """Sorted identifiers cut into ``parts`` ranges, a row for each that has some; ``drop`` low bits are not sent."""
     step = (1 << 64) // parts
-    cuts = np.searchsorted(one, np.array([min(i * step, (1 << 64) - 1) for i in range(1, parts)], np.uint64))
+    cuts = np.searchsorted(one, np.array([i * step for i in range(1, parts)], np.uint64))
     cuts = np.concatenate([[0], cuts, [len(one)]])
     rows = [
-        (batch, p, one[i:j].tobytes(), b"" if two is None else two[i:j].tobytes(),
+        (batch, p, shrink(one[i:j] >> np.uint64(drop), True), b"" if two is None else shrink(two[i:j]),
          b"" if more is None else np.packbits(more[i:j]).tobytes())
         for p, (i, j) in enumerate(zip(cuts[:-1], cuts[1:], strict=True)) if i < j
     ]
     return pd.DataFrame(rows, columns=["batch", "part", "one", "two", "more"])
 
 
-def _answers(rows: pd.DataFrame, judge: Callable[[pd.DataFrame, np.ndarray, np.ndarray], np.ndarray]) -> pd.DataFrame:
+def _answers(rows: pd.DataFrame, judge: Callable) -> pd.DataFrame:
+    """``judge(rows, one, sizes)`` gives rows of bits, a column for each identifier."""
     rows = rows.sort_values("batch")
-    one = np.frombuffer(b"".join(rows["one"]), np.uint64)
-    sizes = rows["one"].str.len().to_numpy() // 8
-    bits = judge(rows, one, sizes)
+    own = [unshrink(d, "<u8", True) for d in rows["one"]]
+    sizes = [len(x) for x in own]
+    bits = np.atleast_2d(judge(rows, np.concatenate(own), sizes))
     ends = np.cumsum(sizes)
-    packed = [np.packbits(bits[e - n : e]).tobytes() for n, e in zip(sizes, ends, strict=True)]
+    packed = [np.packbits(bits[:, e - n : e]).tobytes() for n, e in zip(sizes, ends, strict=True)]
     return pd.DataFrame({"batch": rows["batch"], "part": rows["part"], "bits": packed})
 
 
 def _in_several(rows: pd.DataFrame) -> pd.DataFrame:
-    """Which identifiers are held by several documents."""
-
-    def judge(rows: pd.DataFrame, one: np.ndarray, sizes: np.ndarray) -> np.ndarray:
-        more = np.concatenate([_bits(b, n) for b, n in zip(rows["more"], sizes, strict=True)])
-        order = np.argsort(one, kind="stable")
-        new = np.append(True, np.diff(one[order]) != 0)
-        run = np.cumsum(new) - 1
-        several = (np.bincount(run) > 1) | (np.bincount(run, more[order]) > 0)
-        out = np.empty(len(one), bool)
-        out[order] = several[run]
-        return out
+    """Which buckets several documents hold."""
+
+    def judge(rows: pd.DataFrame, one: np.ndarray, sizes: list[int]) -> np.ndarray:
+        more = np.concatenate([_bits(b, n, 1)[0] for b, n in zip(rows["more"], sizes, strict=True)])
+        _, run = np.unique(one, return_inverse=True)
+        return ((np.bincount(run) > 1) | (np.bincount(run, more) > 0))[run]
 
     return _answers(rows, judge)
 
 
 def _in_lower_batch(rows: pd.DataFrame) -> pd.DataFrame:
-    """Which identifiers a batch of smaller keys holds too."""
+    """Which pairs a batch of smaller keys holds too, and which have a bucket of several pairs."""
 
-    def judge(rows: pd.DataFrame, one: np.ndarray, sizes: np.ndarray) -> np.ndarray:
-        two = np.frombuffer(b"".join(rows["two"]), np.uint64)
+    def judge(rows: pd.DataFrame, one: np.ndarray, sizes: list[int]) -> np.ndarray:
+        two = np.concatenate([unshrink(d, "<u8") for d in rows["two"]])
         order = np.lexsort((np.arange(len(one)), two, one))  # rows stand in the order of batches
-        same = np.append(False, (np.diff(one[order]) == 0) & (np.diff(two[order]) == 0))
-        out = np.empty(len(one), bool)
-        out[order] = same
+        bucket = np.append(False, np.diff(one[order]) == 0)
+        pair = bucket & np.append(False, np.diff(two[order]) == 0)
+        run = np.cumsum(~bucket) - 1
+        out = np.empty((2, len(one)), bool)
+        out[0, order] = pair
+        out[1, order] = (np.bincount(run, ~pair) > 1)[run]
         return out
 
     return _answers(rows, judge)
 
 
-def _bits(packed: bytes, n: int) -> np.ndarray:
-    return np.unpackbits(np.frombuffer(packed, np.uint8), count=int(n)).astype(bool)
+def _bits(packed: bytes, n: int, layers: int) -> np.ndarray:
+    return np.unpackbits(np.frombuffer(packed, np.uint8), count=layers * n).astype(bool).reshape(layers, n)
 
 
-def _gather(flags: pd.DataFrame, parts: int, one: np.ndarray) -> np.ndarray:
+def _gather(flags: pd.DataFrame, step: int, parts: int, one: np.ndarray) -> np.ndarray:
     """The bits of a batch's sorted identifiers from the answers of the ranges."""
-    step = (1 << 64) // parts
-    out = np.zeros(len(one), bool)
+    flags = flags[flags["step"] == step]
+    layers = 1 if step == 1 else 2
+    width = (1 << 64) // parts
+    out = np.zeros((layers, len(one)), bool)
     for part, bits in zip(flags["part"], flags["bits"], strict=True):
-        low = np.uint64(part * step)
-        i = int(np.searchsorted(one, low))
-        j = len(one) if part == parts - 1 else int(np.searchsorted(one, np.uint64((part + 1) * step)))
-        out[i:j] = _bits(bits, j - i)
+        i = int(np.searchsorted(one, np.uint64(part * width)))
+        j = len(one) if part == parts - 1 else int(np.searchsorted(one, np.uint64((part + 1) * width)))
+        out[:, i:j] = _bits(bits, j - i, layers)
     return out
 
 
+def _candidates(batch: Batch, flags: pd.DataFrame, parts: int) -> np.ndarray:
+    """Runs whose bucket several documents hold."""
+    return np.flatnonzero(_gather(flags, 1, parts, batch.values)[0][batch.bucket])
+
+
+def _undecided(batch: Batch, flags: pd.DataFrame, parts: int) -> tuple[np.ndarray, np.ndarray]:
+    """Runs that an earlier document holds as a whole, and runs to be looked at window by window."""
+    runs = _candidates(batch, flags, parts)
+    one, _, index = batch.contexts(runs)
+    lower, varied = _gather(flags, 2, parts, one)
+    later = batch.rank[runs] > _lowest(index, batch.rank[runs], len(one))[index]
+    held = lower[index] | later
+    return runs[held], runs[~held & varied[index]]
+
+
 def _batch_of(docs: DataFrame, key: str, batches: int) -> Column:
     """Batch numbers in the order of the keys; equal keys share one, null keys the last."""
     wanted = min(batches, CUTS)
@@ -251,49 +298,59 @@ def _dedup(docs: DataFrame, key: str, text: str, keep: bool) -> DataFrame:
     # Each pass reads the batches as they lie.
     table, forget = bucketed(plain, "batch", batches)
 
-    def first(rows: pd.DataFrame) -> pd.DataFrame:
-        values, more, _ = Batch.of(rows[k], rows[t]).buckets()
-        return _split(int(rows["batch"].iloc[0]), parts, values, None, more)
+    def number(rows: pd.DataFrame) -> int:
+        return int(rows["batch"].iloc[0])
 
-    sent = table.select("batch", k, t).groupBy("batch").applyInPandas(first, SENT)
-    several, _ = stored(sent.groupBy("part").applyInPandas(_in_several, BITS))
+    def first(rows: pd.DataFrame) -> pd.DataFrame:
+        batch = Batch(rows[k], rows[t])
+        # 48 bits do here: a bucket that is wrongly kept is settled by the next step.
+        return _split(number(rows), parts, batch.values, more=batch.shared(), drop=16)
 
     def second(rows: pd.DataFrame, flags: pd.DataFrame) -> pd.DataFrame:
-        if not len(rows):
-            return _split(0, parts, np.empty(0, np.uint64), None, None)
-        batch = Batch.of(rows[k], rows[t])
-        one, two, _, _ = batch.windows(_candidates(batch, flags, parts))
-        return _split(int(rows["batch"].iloc[0]), parts, one, two, None)
-
-    sent = (
-        table.select("batch", k, t).groupBy("batch").cogroup(several.groupBy("batch")).applyInPandas(second, SENT)
+        batch = Batch(rows[k], rows[t])
+        one, two, _ = batch.contexts(_candidates(batch, flags, parts))
+        return _split(number(rows), parts, one, two)
+
+    def third(rows: pd.DataFrame, flags: pd.DataFrame) -> pd.DataFrame:
+        batch = Batch(rows[k], rows[t])
+        one, two, _ = batch.strings(*batch.windows(_undecided(batch, flags, parts)[1]))
+        return _split(number(rows), parts, one, two)
+
+    texts = table.select("batch", k, t).groupBy("batch")
+    flags, _ = stored(
+        texts.applyInPandas(first, SENT).groupBy("part").applyInPandas(_in_several, BITS).withColumn("step", F.lit(1))
     )
-    lower, _ = stored(sent.groupBy("part").applyInPandas(_in_lower_batch, BITS))
-    flags = several.withColumn("step", F.lit(1)).union(lower.withColumn("step", F.lit(2)))
+    for step, ask in ((2, second), (3, third)):
+        sent = texts.cogroup(flags.groupBy("batch")).applyInPandas(ask, SENT)
+        known, _ = stored(sent.groupBy("part").applyInPandas(_in_lower_batch, BITS).withColumn("step", F.lit(step)))
+        flags = flags.union(known)
 
     kinds = ", ".join(f"c{i} {kind}" for i, (_, kind) in enumerate(docs.dtypes))
     added = "n_bytes long, n_removed long, n_spans long, kept_sha256 string"
     wanted = StructType.fromDDL(f"{kinds}, {added}")
 
-    def third(rows: pa.Table, flags: pa.Table) -> pa.Table:
-        if not len(rows):
-            return pa.table({f.name: [] for f in wanted})
+    def last(rows: pa.Table, flags: pa.Table) -> pa.Table:
         old = rows.column(t).to_pylist()
-        batch = Batch.of(rows.column(k).to_pandas(), old)
-        answers = flags.to_pandas()
-        at = _candidates(batch, answers[answers["step"] == 1], parts)
-        one, _, lowest, index = batch.windows(at)
-        known = _gather(answers[answers["step"] == 2], parts, one)
-        gone = known[index] | (lowest[index] < batch.rank[batch.document[at]])
-        starts = batch.starts[at[gone]]
-        edge = np.zeros(len(batch.raw) + 1, np.int32)
+        batch, answers = Batch(rows.column(k).to_pandas(), old), flags.to_pandas()
+        held, open_runs = _undecided(batch, answers, parts)
+        window, run = batch.windows(open_runs)
+        one, _, index = batch.strings(window, run)
+        lowest = _lowest(index, batch.rank[run], len(one))
+        gone = _gather(answers, 3, parts, one)[0][index] | (lowest[index] < batch.rank[run])
+        window = np.concatenate([batch.windows(held)[0], window[gone]])
+        # Windows to bytes: a document with windows has 49 bytes more than those.
+        owner = np.searchsorted(batch.first, window, "right") - 1
+        sizes = np.array([len(x) for x in batch.texts], np.int64)
+        begins = (np.cumsum(sizes) - sizes)[np.array(batch.at, np.int64)]
+        starts = window - batch.first[owner] + begins[owner] if len(window) else window
+        edge = np.zeros(int(sizes.sum()) + 1, np.int32)
         np.add.at(edge, starts, 1)
         np.add.at(edge, starts + LENGTH, -1)
         covered = np.cumsum(edge[:-1]) > 0
-        raw = np.frombuffer(batch.raw, np.uint8)
         counts, texts, begin = [], [], 0
-        for end, kept in zip(batch.ends.tolist(), old, strict=True):
-            own, hit = raw[begin:end], covered[begin:end]
+        for body, kept in zip(batch.texts, old, strict=True):
+            end = begin + len(body)
+            own, hit = np.frombuffer(body, np.uint8), covered[begin:end]
             spans = int(hit[:1].sum() + (hit[1:] > hit[:-1]).sum())
             counts.append((end - begin, int(hit.sum()), spans, hashlib.sha256(own[~hit].tobytes()).hexdigest()))
             if keep and hit.any():
@@ -309,12 +366,6 @@ def _dedup(docs: DataFrame, key: str, text: str, keep: bool) -> DataFrame:
         return pa.Table.from_arrays(columns, wanted.names)
 
     both = table.groupBy("batch").cogroup(flags.groupBy("batch"))
-    result, _ = stored(both.applyInArrow(third, wanted))
+    result, _ = stored(both.applyInArrow(last, wanted))
     forget()
     return result
-
-
-def _candidates(batch: Batch, flags: pd.DataFrame, parts: int) -> np.ndarray:
-    """Windows whose bucket holds several documents."""
-    values, _, index = batch.buckets()
-    return np.flatnonzero(_gather(flags, parts, values)[index])
