@@ -88,7 +88,7 @@ def subject_messages(spark: SparkSession, sf: str) -> DataFrame:
         F.col("text").alias("subject"),
         F.lit("see the subject").alias("plain"),
     )
-    return c.compose(h.encode_words(rows, "subject")).drop("error")
+    return c.compose(h.encode_words(rows, "subject", chunk=200)).drop("error")
 
 
 def document_messages(spark: SparkSession, sf: str) -> DataFrame:
