@@ -177,15 +177,15 @@ SELECT msg_key, 0 AS pos, 'team' AS "group", '' AS name, 'a' || conv_id || '@x.e
 UNION ALL SELECT msg_key, 1, 'team', 'B, C', 'b@y.example' FROM c WHERE turn % 3 = 0
 UNION ALL SELECT msg_key, 2, NULL, '', 'z' || turn || '@z.example' FROM c WHERE turn % 3 = 0""")
 def explode_addresses(spark: SparkSession, sf: str) -> DataFrame:
-    cc = h.header(h.explode_headers(corpus.conversation_messages(spark, sf)), "cc")
-    return h.explode_addresses(cc, "value")
+    cc = h.field(corpus.conversation_messages(spark, sf), "cc")
+    return h.explode_addresses(cc.drop("folder"), "value")
 
 
 @query("e9_split_mailbox", f"""
 SELECT {ROLE.format(u="'User, ' || conv_id", a="'Assistant'")} AS name, {ROLE.format(u=USER, a=BOT)} AS email, count(*) AS messages
 FROM conversations GROUP BY 1, 2""")
 def split_mailbox(spark: SparkSession, sf: str) -> DataFrame:
-    senders = h.header(h.explode_headers(corpus.conversation_messages(spark, sf)), "from")
+    senders = h.field(corpus.conversation_messages(spark, sf), "from")
     return h.explode_addresses(senders, "value").groupBy("name", "email").agg(F.count(F.lit(1)).alias("messages"))
 
 
@@ -193,7 +193,7 @@ def split_mailbox(spark: SparkSession, sf: str) -> DataFrame:
 SELECT split_part(a, '@', 2) AS domain, count(*) AS messages, count(DISTINCT split_part(a, '@', 1)) AS senders
 FROM (SELECT {ROLE.format(u=USER, a=BOT)} AS a FROM conversations) GROUP BY 1""")
 def domain_volume(spark: SparkSession, sf: str) -> DataFrame:
-    senders = h.header(h.explode_headers(corpus.conversation_messages(spark, sf)), "from")
+    senders = h.field(corpus.conversation_messages(spark, sf), "from")
     parts = h.split_address(h.explode_addresses(senders, "value"), "email")
     return parts.groupBy("domain").agg(
         F.count(F.lit(1)).alias("messages"), F.countDistinct("local").alias("senders")
@@ -217,7 +217,7 @@ def idna_domain(spark: SparkSession, sf: str) -> DataFrame:
 @query("e12_mail_date", f"""
 SELECT 'c' || conv_id || '.t' || turn AS msg_key, {SENT} AS utc, {ZONE_MIN.format(i='(conv_id + turn)')} AS zone_min FROM conversations""")
 def mail_date_query(spark: SparkSession, sf: str) -> DataFrame:
-    d = h.header(h.explode_headers(corpus.conversation_messages(spark, sf)), "date")
+    d = h.field(corpus.conversation_messages(spark, sf), "date")
     return d.select("msg_key", dates.mail_date(F.col("value")).alias("d")).select(
         "msg_key", F.unix_seconds("d.ts").alias("utc"), F.col("d.zone_min").alias("zone_min")
     )
@@ -229,7 +229,7 @@ SELECT CAST(week(l) AS BIGINT) AS iso_week, CASE WHEN week(l) = 1 AND month(l) =
   dayofweek(l) AS weekday, year(l) = 2024 AS leap, day(last_day(l)) AS month_days, count(*) AS messages
 FROM t GROUP BY ALL""")
 def calendar(spark: SparkSession, sf: str) -> DataFrame:
-    d = h.header(h.explode_headers(corpus.conversation_messages(spark, sf)), "date")
+    d = h.field(corpus.conversation_messages(spark, sf), "date")
     rows = d.select(dates.mail_date(F.col("value")).alias("d")).select("d.*")
     return h.calendar(rows, "ts", "zone_min").groupBy("iso_week", "plain_week", "weekday", "leap", "month_days").agg(
         F.count(F.lit(1)).alias("messages")
