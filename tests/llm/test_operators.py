@@ -333,7 +333,7 @@ def test_encoder_on_white_space():
 
     path = public_tokenizers.path(packing.VOCABULARY)
     tokenizer = Tokenizer.from_file(path)
-    texts = ["", " ", "a  b\n\n c", "\n x\t\ty ", "it's  1,000  z", "a\x0b b", "   ", "Übergrößenträger ça, ǅ ʼn z²Ⅷ x_y don't ÿ×÷.", " \u00adsoft\u0301 ﬁn", "x   y", "<|endoftext|> a", "é à\r\n\r\nü"]
+    texts = ["", " ", "a  b\n\n c", "\n x\t\ty ", "it's  1,000  z", "a\x0b b", "   ", "Übergrößenträger ça, ǅ ʼn z²Ⅷ x_y don't ÿ×÷.", " \u00adsoft\u0301 ﬁn", "x   y", "<|endoftext|> a", "a \u2003b\u3000 c\u1680 d\u2028\n e\u205f f\u202f\n", "é à\r\n\r\nü"]
     want = [np.array(tokenizer.encode(t, add_special_tokens=False).ids, "<u4").tobytes() for t in texts]
     assert packing.Encoder(path)(texts) == want
 
