@@ -53,6 +53,29 @@ def grams(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     return key[at], np.cumsum(sizes)
 
 
+def tally(sorted_: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct values of sorted numbers and how often each occurs."""
+    if not len(sorted_):
+        return sorted_, np.empty(0, np.int64)
+    starts = np.flatnonzero(np.append(True, sorted_[1:] != sorted_[:-1]))
+    return sorted_[starts], np.diff(np.append(starts, len(sorted_)))
+
+
+def places(keys: np.ndarray, code: np.ndarray) -> np.ndarray:
+    """The index of each code among the sorted keys, which hold it: by a hash table, the rest by search."""
+    bits = max(8, int(len(keys)).bit_length() + 2)
+
+    def slot(values: np.ndarray) -> np.ndarray:
+        return (values * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - bits)
+
+    table = np.zeros(1 << bits, np.int32)
+    table[slot(keys)] = np.arange(len(keys), dtype=np.int32)
+    index = table[slot(code)]
+    missed = np.flatnonzero(keys[index] != code)
+    index[missed] = np.searchsorted(keys, code[missed])
+    return index
+
+
 def log_gamma(x: np.ndarray) -> np.ndarray:
     shift = sum(np.log(x + k) for k in range(7))
     y = x + 7
@@ -177,9 +200,11 @@ def score_texts(
         texts = _bytes(rows["t"])
         trains = rows["train"].to_numpy(dtype=bool)
         code, ends = grams(texts)
-        keys, index = np.unique(code, return_inverse=True)
-        weight = np.repeat(trains, np.diff(ends, prepend=0))
-        counts = np.bincount(index, weight, len(keys)).astype("<u4")
+        seen_keys, seen_counts = tally(np.sort(code[np.repeat(trains, np.diff(ends, prepend=0))]))
+        code.sort()
+        keys, _ = tally(code)
+        counts = np.zeros(len(keys), "<u4")
+        counts[np.searchsorted(keys, seen_keys)] = seen_counts
         slots = _gram_slots(keys, parts)
         for slot in np.unique(slots).tolist():
             at = slots == slot
@@ -245,12 +270,12 @@ def score_texts(
         texts = _bytes(rows["t"])
         values = dict(zip(found["slot"].tolist(), found["values"], strict=True))
         code, ends = grams(texts)
-        keys, index = np.unique(code, return_inverse=True)
+        keys, _ = tally(np.sort(code))
         logs = np.zeros(len(keys))
         slots = _gram_slots(keys, parts)
         for slot in np.unique(slots).tolist():
             logs[slots == slot] = unshrink(values[slot], "<f4")
-        each = logs[index]
+        each = logs[places(keys, code)]
         begins = np.append(0, ends[:-1]).astype(np.int64)
         sums = np.add.reduceat(each, begins) if len(begins) else np.empty(0)
         lists = [t.lower().split() + [END] for t in texts]
