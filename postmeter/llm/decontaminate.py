@@ -46,7 +46,7 @@ def shingle_hashes(words: list[bytes], k: int) -> np.ndarray:
     """A hash for each run of k words."""
     if len(words) < k:
         return np.empty(0, np.uint64)
-    if len(_seen) > 1 << 20:
+    if len(_seen) > 1 << 18:
         _seen.clear()
     own = np.fromiter(map(_seen.__getitem__, words), np.uint64, len(words))
     total = np.full(len(words) - k + 1, k, np.uint64)
@@ -103,6 +103,7 @@ def _find(lengths: list[int], slots: bytes):
             yield pa.RecordBatch.from_arrays(
                 [batch.column("row"), pa.array(counts, pa.int64()), pa.array(found, kind)], ["row", "n_words", "places"]
             )
+        _seen.clear()
 
     return run
 

@@ -27,7 +27,7 @@ CAPACITY = 1024
 END = 2
 VOCABULARY = "byte_bpe_50k.json"
 #: Chunks whose ids a task keeps.
-KEPT = 600_000
+KEPT = 400_000
 
 # No token of the vocabulary crosses from text into white space, from a letter into these marks,
 # or from a single line feed into text, so chunks may end there.

@@ -36,8 +36,8 @@ from postmeter.llm.shared import bucketed, shrink, stored, unshrink
 LENGTH = 50
 GRAM = 32
 #: Text of a batch, and identifiers of a range, in bytes.
-BATCH_BYTES = 1_500_000
-RANGE_BYTES = 12_000_000
+BATCH_BYTES = 1_000_000
+RANGE_BYTES = 4_000_000
 #: Cuts of the key order that the driver holds; more batches divide these evenly.
 CUTS = 2000
 

@@ -26,8 +26,8 @@ SAMPLE_ROWS = 2000
 THRESHOLDS = (2, 3, 4, 5, 6)
 TOXIC_BYTES, ORDINARY_BYTES = 4096, 8192
 LEVEL, MIN_MATCH = 9, 4
-#: Windows whose lengths a task keeps.
-KEPT = 1 << 19
+#: Windows whose lengths a task keeps while it runs.
+KEPT = 1 << 18
 
 
 @dataclass(frozen=True)
@@ -148,6 +148,10 @@ def score(words: list[bytes], model: Model) -> float:
     return 1 / (1 + math.exp(-max(-30.0, min(30.0, float(f @ model.weights[:-1]) + model.weights[-1]))))
 
 
+def _scores(texts: pa.Array, model: Model | None) -> list[float]:
+    return [score(words_of(t), model) if model else 0.0 for t in texts.to_pylist()]
+
+
 def train(docs: DataFrame, labels: DataFrame, label: str, key: str = "doc_id", text: str = "text",
           sample_rows: int = SAMPLE_ROWS) -> Model | None:
     """Fits on at most ``sample_rows`` labelled documents of each class, chosen by a hash.
@@ -187,8 +191,9 @@ def toxicity(docs: DataFrame, model: Model | None, key: str = "doc_id", text: st
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            scores = [score(words_of(t), model) if model else 0.0 for t in batch.column(1).to_pylist()]
+            scores = _scores(batch.column(1), model)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(scores, pa.float64())], ["k", "score"])
+        _savings.cache_clear()
 
     kind = dict(docs.dtypes)[key]
     plain = docs.select(F.col(key).alias("k"), F.col(text).alias("t"))
@@ -198,8 +203,11 @@ def toxicity(docs: DataFrame, model: Model | None, key: str = "doc_id", text: st
 def without_toxic(docs: DataFrame, model: Model | None, text: str = "text", limit: float = 0.5) -> DataFrame:
     """The rows whose text scores below the limit, with the columns of the input."""
 
-    @F.pandas_udf("double")
-    def of(texts):
-        return texts.map(lambda t: score(words_of(t), model) if model else 0.0).astype("float64")
+    at = docs.columns.index(text)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield batch.filter(pa.array(np.array(_scores(batch.column(at), model)) < limit))
+        _savings.cache_clear()
 
-    return docs.filter(of(F.coalesce(F.col(text), F.lit(""))) < limit)
+    return docs.mapInArrow(run, docs.schema)
