@@ -175,3 +175,10 @@ def without_contaminated(docs: DataFrame, benchmark: DataFrame, key: str = "doc_
     """The rows whose key has no contaminated row, with the columns of the input."""
     bad = contamination(docs, benchmark, key).filter("contaminated").select(F.col(key).alias("_llm_key")).distinct()
     return docs.join(bad, F.col(key).eqNullSafe(F.col("_llm_key")), "left_anti")
+
+
+def without_contaminated_rows(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
+    """The rows that are not contaminated themselves, whatever their keys, with the columns of the input."""
+    rows, _ = stored(docs.withColumn("_llm_row", F.monotonically_increasing_id()))
+    bad = contamination(rows, benchmark, "_llm_row").filter("contaminated").select("_llm_row")
+    return rows.join(bad, "_llm_row", "left_anti").select(*docs.columns)

@@ -13,7 +13,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from postmeter.llm.shared import components, roots, run_pairs, stored, whole_runs
@@ -112,6 +112,18 @@ def link_fingerprints(fps: DataFrame) -> DataFrame:
     )
 
 
+def _rooted(prints: DataFrame, low: Column) -> DataFrame:
+    """(fp, low, root) for each distinct fingerprint, stored; ``root`` names its class."""
+    classes = prints.groupBy("fp").agg(low.alias("low"))
+    links = components(link_fingerprints(classes.select("fp")))
+    rooted, _ = stored(
+        classes.join(links, classes.fp == links.node, "left").select(
+            "fp", "low", F.coalesce("root", "fp").alias("root")
+        )
+    )
+    return rooted
+
+
 def simhash_classes(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """(key, fp, component_id): the smallest key whose fingerprint is reached over links.
 
@@ -119,13 +131,7 @@ def simhash_classes(df: DataFrame, key: str = "doc_id", text: str = "text") -> D
     a class's key unless it has no other. Repeated rows return one row each.
     """
     prints, _ = stored(with_fingerprint(df.select(F.col(key), F.col(text).alias("_t")), "_t").select(key, "fp"))
-    classes = prints.groupBy("fp").agg(F.min(key).alias("low"))
-    links = components(link_fingerprints(classes.select("fp")))
-    rooted, _ = stored(
-        classes.join(links, classes.fp == links.node, "left").select(
-            "fp", "low", F.coalesce("root", "fp").alias("root")
-        )
-    )
+    rooted = _rooted(prints, F.min(key))
     lowest = rooted.groupBy("root").agg(F.min("low").alias("component_id"))
     return prints.join(rooted.join(lowest, "root").select("fp", "component_id"), "fp").select(
         key, "fp", "component_id"
@@ -135,10 +141,12 @@ def simhash_classes(df: DataFrame, key: str = "doc_id", text: str = "text") -> D
 def one_per_class(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """The row with the smallest key of each class, with the columns of the input.
 
-    Rows that repeat that key count as one: any of them stays.
+    Rows are told apart by a stored number, so keys may be null or repeated: of the rows with
+    the smallest key of a class one stays, and a null key only where the class has no other.
     """
-    kept = simhash_classes(df, key, text).filter(F.col(key).eqNullSafe(F.col("component_id")))
-    kept = kept.groupBy(F.col(key).alias("_llm_key")).agg(F.first("fp").alias("_llm_fp"))
-    return (
-        df.join(kept, F.col(key).eqNullSafe(F.col("_llm_key")), "left_semi").dropDuplicates([key]).select(*df.columns)
-    )
+    rows, _ = stored(df.withColumn("_llm_row", F.monotonically_increasing_id()))
+    own = rows.select("_llm_row", F.col(key).alias("_k"), F.col(text).alias("_t"))
+    prints, _ = stored(with_fingerprint(own, "_t").select("_llm_row", "_k", "fp"))
+    rooted = _rooted(prints, F.min(F.struct(F.col("_k").isNull().alias("none"), "_k", "_llm_row")))
+    kept = rooted.groupBy("root").agg(F.min("low").alias("low")).select(F.col("low._llm_row"))
+    return rows.join(kept, "_llm_row", "left_semi").select(*df.columns)

@@ -3,6 +3,7 @@
 import hashlib
 import math
 import re
+import tempfile
 import zlib
 from collections import Counter, defaultdict
 
@@ -275,6 +276,20 @@ def test_simhash_classes(docs, empty):
     assert simhash.one_per_class(empty).count() == 0
 
 
+def unlike(n, seed=3):
+    """Texts of which no two are near copies."""
+    rng = np.random.default_rng(seed)
+    return [" ".join("".join(rng.choice(list("abcdefgh"), 6)) for _ in range(40)) for _ in range(n)]
+
+
+def test_simhash_null_and_repeated_keys(spark):
+    a, b, c, d, e = unlike(5)
+    rows = [(1, a), (None, a), (None, b), (None, b), (None, c), (7, d), (7, e), (8, e)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    kept = [tuple(r) for r in simhash.one_per_class(df).collect()]
+    assert sorted(kept, key=str) == sorted([(1, a), (None, b), (None, c), (7, d), (7, e)], key=str)
+
+
 # 7 ---------------------------------------------------------------------------------------------
 
 
@@ -307,6 +322,22 @@ def test_contamination(docs, spark, empty):
     assert decontaminate.contamination(docs, bench.limit(0)).filter("contaminated").count() == 0
 
 
+def test_contaminated_rows_go_alone(docs, spark, empty):
+    import corpus_pipeline
+
+    bad, *clean = unlike(4)
+    rows = [(None, bad), (None, clean[0]), (None, None), (7, bad), (7, clean[1]), (8, clean[2]), (8, clean[2])]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    bench = spark.createDataFrame([(1, bad)], "item_id long, text string")
+    kept = [tuple(r) for r in decontaminate.without_contaminated_rows(df, bench).collect()]
+    assert sorted(kept, key=str) == sorted([r for r in rows if r[1] != bad], key=str)
+    assert decontaminate.without_contaminated_rows(docs, bench).columns == docs.columns
+    assert decontaminate.without_contaminated_rows(empty, bench).count() == 0
+    folder = tempfile.mkdtemp(prefix="bench-")
+    bench.write.parquet(f"{folder}/benchmark.parquet")
+    assert corpus_pipeline.contaminated(spark, df, folder).count() == 5
+
+
 # 8 ---------------------------------------------------------------------------------------------
 
 
