@@ -115,12 +115,12 @@ def contamination(
 
     ``n_hit`` counts the words inside an occurrence of a window of 13 item words (the whole item
     if shorter); a document is contaminated if they are a twentieth of its words or more. Null
-    or empty texts have no words, items without words match nothing, an item whose id is null
-    takes no part. Repeated rows are judged each for themselves.
+    or empty texts have no words, items without words match nothing. An item whose id is null
+    hits like any other, but is not among the ids counted in ``n_items`` and hashed. Repeated rows
+    are judged each for themselves.
     """
     shingles, _ = stored(
-        benchmark.filter(F.col(item).isNotNull())
-        .select(F.col(item).cast("string").alias("item"), F.col(text).alias("text"))
+        benchmark.select(F.col(item).cast("string").alias("item"), F.col(text).alias("text"))
         .mapInArrow(_windows, "item string, window string, n int, k int, offset int, shingle long")
     )
     # At most five lengths and 2^22 slots, whatever the benchmark holds.

@@ -322,6 +322,16 @@ def test_contamination(docs, spark, empty):
     assert decontaminate.contamination(docs, bench.limit(0)).filter("contaminated").count() == 0
 
 
+def test_contamination_by_items_without_id(spark):
+    leak, both, clean = unlike(3)
+    df = spark.createDataFrame([(1, leak), (2, both), (3, clean)], "doc_id long, text string")
+    bench = spark.createDataFrame([(None, leak), (None, both), (9, both)], "item_id long, text string")
+    got = sorted(tuple(r) for r in decontaminate.contamination(df, bench).collect())
+    sha = [hashlib.sha256(t).hexdigest() for t in (b"", b"9")]
+    assert got == [(1, 40, 40, 0, sha[0], True), (2, 40, 40, 1, sha[1], True), (3, 40, 0, 0, sha[0], False)]
+    assert [r.doc_id for r in decontaminate.without_contaminated_rows(df, bench).collect()] == [3]
+
+
 def test_contaminated_rows_go_alone(docs, spark, empty):
     import corpus_pipeline
 
