@@ -14,11 +14,13 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 #: Labelled documents that training may take; the rest of the corpus is only scored.
 SAMPLE_ROWS = 3000
+#: Hashes are ranked within slices by so many leading bits.
+PART_BITS = 12
 LANDMARKS = 192
 GRAMS = 6000
 LENGTHS = (1, 2, 3, 4)
@@ -132,11 +134,28 @@ def predict(texts: list[str], model: Model) -> tuple[list[str], np.ndarray]:
     return [model.languages[k] for k in best], sure
 
 
-def train(docs: DataFrame, text: str = "text", lang: str = "lang", sample_rows: int = SAMPLE_ROWS) -> Model | None:
-    """Fits on at most ``sample_rows`` rows that have text and language, chosen by a hash of the text."""
+def sample(docs: DataFrame, text: str, lang: str, rows: int) -> list[tuple[str, str]]:
+    """At most ``rows`` different (text, language), ordered by a hash of the text.
+
+    The languages take turns, each by the order of the hash, so none is left out while there are
+    fewer languages than rows, and what a rare one leaves goes to the others. Hashes are ranked
+    alone, by slices of which only the first ones are needed; copies count once.
+    """
     known = docs.select(F.col(text).alias("t"), F.col(lang).alias("l")).filter("t IS NOT NULL AND l IS NOT NULL")
-    rows = known.orderBy(F.xxhash64("t"), "t", "l").limit(sample_rows).collect()
-    return fit([(r.t, r.l) for r in rows])
+    known = known.withColumn("h", F.xxhash64("t"))
+    hashes = known.select("l", "h").distinct().withColumn("part", F.shiftright("h", 64 - PART_BITS))
+    before = Window.partitionBy("l").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    parts = hashes.groupBy("l", "part").count().withColumn("before", F.coalesce(F.sum("count").over(before), F.lit(0)))
+    turn = F.row_number().over(Window.partitionBy("l").orderBy("h"))
+    first = hashes.join(parts.filter(F.col("before") < rows).select("l", "part"), ["l", "part"])
+    chosen = first.withColumn("turn", turn).orderBy("turn", "h", "l").limit(rows).select("l", "h")
+    found = known.join(chosen, ["l", "h"], "left_semi").distinct().collect()
+    return [(r.t, r.l) for r in sorted(found, key=lambda r: (r.h, r.t, r.l))]
+
+
+def train(docs: DataFrame, text: str = "text", lang: str = "lang", sample_rows: int = SAMPLE_ROWS) -> Model | None:
+    """Fits on at most ``sample_rows`` different texts that have a language, spread over the languages."""
+    return fit(sample(docs, text, lang, sample_rows))
 
 
 def languages(docs: DataFrame, model: Model | None, key: str = "doc_id", text: str = "text") -> DataFrame:

@@ -10,6 +10,7 @@ from collections import Counter, defaultdict
 import numpy as np
 import pytest
 import xxhash
+from pyspark.sql import functions as F
 
 from postmeter.llm import (
     decontaminate,
@@ -497,6 +498,19 @@ def test_language(spark, docs, empty):
     assert {r.lang_pred for r in language.languages(docs, None).collect()} == {"und"}
 
 
+def test_language_sample_is_spread(spark):
+    texts = unlike(40)
+    hashed = spark.createDataFrame([(t,) for t in texts], "t string").orderBy(F.xxhash64("t")).collect()
+    low, *rest = [r.t for r in hashed]
+    rows = [(low, "aa")] * 50 + [(t, "aa") for t in rest[:35]] + [(t, "bb") for t in rest[35:]]
+    df = spark.createDataFrame([*rows, (None, "cc"), (low, None)], "text string, lang string").repartition(4)
+    got = language.sample(df, "text", "lang", 20)
+    count = Counter(s for _, s in got)
+    assert len(got) == len(set(got)) == 20 and count == {"aa": 16, "bb": 4}
+    assert language.train(df, sample_rows=20).languages == ("aa", "bb")
+    assert set(language.sample(df, "text", "lang", 100)) == set(rows)
+
+
 # helpers ---------------------------------------------------------------------------------------
 
 
