@@ -4,7 +4,8 @@ A byte goes if a string of 50 bytes that covers it also starts in an earlier doc
 suffix array, places are first put into buckets by q-gram, and the buckets are refined by the
 bucket identifiers of later offsets: the identifier of 2q bytes is made of those at offsets 0
 and q, again and again up to 32. An identifier is a hash of the bytes, so that all tasks agree
-on it without a common sort. Three steps settle more and more windows of 50 bytes:
+on it without a common sort. They stand in for bucket pointers: computed once per
+text and never updated or fed back. Three steps settle more and more windows of 50 bytes:
 
 1. A window's bucket is the smallest 32-gram identifier in it, which neighbouring windows share,
    so a tenth of the places is exchanged. Buckets of a single document are settled.
