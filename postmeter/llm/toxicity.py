@@ -1,7 +1,7 @@
 """Toxicity by compression distance.
 
-Two zstandard dictionaries are trained, one on toxic and one on ordinary text. A window of a
-text is a word with its bounds; what the toxic dictionary saves on it against the ordinary one
+Two zstandard dictionaries are trained, one on ordinary words and one on words that a frequency
+test finds in excess in toxic texts. A window of a text is a single word with its bounds; what the toxic dictionary saves on it against the ordinary one
 tells them apart. Shares and counts of windows beyond several thresholds are calibrated into a
 score by logistic regression on labelled documents that no dictionary has seen.
 """
