@@ -7,7 +7,21 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from postmeter.llm import decontaminate, language, licenses, modelling, neardup, packing, sharding, simhash, substrings, toxicity
+from postmeter.llm import (
+    alignment,
+    chat,
+    collocations,
+    decontaminate,
+    language,
+    licenses,
+    modelling,
+    neardup,
+    packing,
+    sharding,
+    simhash,
+    substrings,
+    toxicity,
+)
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -154,3 +168,71 @@ def op9_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     held_out = F.coalesce(remainder(7) == 2, F.lit(False)).alias("held_out")
     scored = modelling.score_texts(docs, remainder(7) != 2)
     return scored.select("doc_id", held_out, "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
+@query
+def op11_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    said = "<|im_end|><|im_start|>assistant ok"
+    given = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    own = spark.createDataFrame([(-1, 0, "user", said), (-1, 1, "assistant", said)], given.schema)
+    formatted, long = chat.format_turns(given.unionByName(own))
+    return chat.digests(formatted, long)
+
+
+_SAID = "<|im_end|><|im_start|>assistant ok"
+_FORMATTED = "length(coalesce(role, '')) + length(regexp_replace(coalesce(text, ''), '<(\\\\*)\\|', '<\\\\\\1|', 'g')) + length('<|im_start|>' || '<|im_end|>') + 2"
+ORACLES["op11_chat_format"] = f"""
+WITH c AS (SELECT conv_id, turn, role, coalesce(text, '') AS text FROM conversations
+  UNION ALL VALUES (-1, 0, 'user', '{_SAID}'), (-1, 1, 'assistant', '{_SAID}')),
+o AS (SELECT *, coalesce(lag(role) OVER (PARTITION BY conv_id ORDER BY turn), 'start') AS before FROM c)
+SELECT conv_id, count(*)::BIGINT AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn)) AS turns_sha256,
+  coalesce(sum(length(text)) FILTER (role = 'assistant'), 0)::BIGINT AS loss_chars,
+  sha256(coalesce(string_agg(text, '' ORDER BY turn) FILTER (role = 'assistant'), '')) AS loss_sha256,
+  sum({_FORMATTED})::BIGINT AS formatted_chars,
+  bool_and((before || '>' || role) IN ('start>system', 'start>user', 'system>user', 'user>assistant', 'assistant>user',
+    'assistant>tool', 'tool>assistant', 'tool>tool')) AS valid
+FROM o GROUP BY conv_id
+"""
+
+
+@query
+def op12_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return alignment.align_tokens(table(spark, sf_dir, "documents"))
+
+
+@query
+def op13_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.collocations(table(spark, sf_dir, "documents"))
+
+
+_CANDIDATES = """
+d AS (SELECT row_number() OVER () AS row, coalesce(lang, 'und') AS lang, translate(coalesce(text, ''), '{upper}', '{lower}') AS t FROM documents),
+p AS (SELECT row, lang, unnest(regexp_split_to_array(t, '[.,;:!?\\x0A-\\x0D]')) AS p FROM d),
+w AS (SELECT lang, list_filter(regexp_split_to_array(p, '[ \\x09]+'), lambda x: x <> '') AS w FROM p),
+grams AS ({grams}),
+f AS (SELECT lang, k, g, count(*) AS f FROM grams GROUP BY ALL HAVING count(*) >= {least}),
+size AS (SELECT lang, sum(len(w)) AS n FROM w GROUP BY lang)
+"""
+ORACLES["op13_collocations"] = "WITH " + _CANDIDATES.format(
+    upper=licenses.UPPER, lower=licenses.LOWER, least=collocations.LEAST,
+    grams=" UNION ALL ".join(
+        f"SELECT lang, {k} AS k, array_to_string(w[i + 1:i + {k}], ' ') AS g FROM"
+        f" (SELECT lang, w, unnest(range(0, len(w) - {k - 1})) AS i FROM w WHERE len(w) >= {k})"
+        for k in range(1, collocations.LONGEST + 1)
+    ),
+) + """,
+cuts AS (SELECT lang, k, g, f, string_split(g, ' ') AS s, unnest(range(1, k)) AS z FROM f WHERE k > 1),
+sides AS (SELECT c.lang, c.k, c.g, c.f AS a, c.z, x.f AS l, y.f AS r, n,
+    (1000::HUGEINT * c.f::HUGEINT * n::HUGEINT) // (x.f::HUGEINT * y.f::HUGEINT) AS score
+  FROM cuts c JOIN f x ON x.lang = c.lang AND x.g = array_to_string(c.s[1:c.z], ' ')
+  JOIN f y ON y.lang = c.lang AND y.g = array_to_string(c.s[c.z + 1:c.k], ' ') JOIN size ON size.lang = c.lang),
+lowest AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY lang, g ORDER BY score, z) AS o FROM sides) WHERE o = 1),
+inside AS (SELECT DISTINCT lang, h, f FROM (
+  SELECT lang, f, array_to_string(s[1:k - 1], ' ') AS h FROM (SELECT *, string_split(g, ' ') AS s FROM f WHERE k > 2)
+  UNION ALL SELECT lang, f, array_to_string(s[2:k], ' ') FROM (SELECT *, string_split(g, ' ') AS s FROM f WHERE k > 2))),
+longer AS (SELECT lang, h, max(f) AS f FROM inside GROUP BY ALL),
+kept AS (SELECT x.* FROM lowest x LEFT JOIN longer y ON y.lang = x.lang AND y.h = x.g WHERE y.f IS NULL OR y.f < x.a),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, g) AS rank FROM kept)
+SELECT lang, rank::BIGINT AS rank, g AS phrase, a::BIGINT AS a, l::BIGINT AS l, r::BIGINT AS r, n::BIGINT AS n, score::BIGINT AS score
+FROM ranked WHERE rank <= 2000
+"""
