@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from postmeter.functions import codecs
-from postmeter.operators.mailbox import file_id_flags
+from postmeter.operators.mailbox import encode_flags, file_id_flags
 
 # The checksum layer of the local file system cannot open names with a colon, which
 # message files have. These options only concern file: paths.
@@ -15,11 +18,6 @@ PLAIN_LOCAL_FILES = {
     "fs.file.impl.disable.cache": "true",
 }
 
-# Levels of folder directories watched beyond those that a store has at the start of a stream.
-DEEPER = 8
-
-STORE_SCHEMA = "path string, modificationTime timestamp, length bigint, content binary"
-
 
 def folder_roots(spark: SparkSession, root: str) -> list[str]:
     """The store and patterns for its folders, whose directories start with a dot.
@@ -74,43 +72,84 @@ def message_files(files: DataFrame, root: str, layout: str = "dots") -> DataFram
     )
 
 
-def scan_maildir(spark: SparkSession, root: str, layout: str = "dots", content: bool = True) -> DataFrame:
-    """``folder, uid, flags, size[, raw]`` of all messages under a store. Files are never moved.
-
-    Without ``content`` the file bytes are not read.
-    """
-    files = (
+def _files(spark: SparkSession, root: str) -> DataFrame:
+    """All files of the store, at any depth of folders; the levels are listed anew with each call."""
+    return (
         spark.read.format("binaryFile")
         .options(**PLAIN_LOCAL_FILES)
         .option("recursiveFileLookup", "true")
         .load(folder_roots(spark, root))
     )
-    rows = message_files(files, root, layout)
+
+
+def scan_maildir(spark: SparkSession, root: str, layout: str = "dots", content: bool = True) -> DataFrame:
+    """``folder, uid, flags, size, file_name[, raw]`` of all messages under a store. Files are never moved.
+
+    Without ``content`` the file bytes are not read. An empty file is no message and gives no row.
+    """
+    rows = message_files(_files(spark, root), root, layout)
     cols = ["folder", "uid", "flags", F.col("length").alias("size"), "file_name"]
     return rows.select(*cols, *([F.col("content").alias("raw")] if content else []))
 
 
-def stream_maildir(
-    spark: SparkSession, root: str, layout: str = "dots", max_files: int = 10000
-) -> DataFrame:
-    """The same as a stream of arriving files, in folder directories of any depth that exist or appear.
+def store_listing(spark: SparkSession, root: str, layout: str = "dots") -> DataFrame:
+    """``folder, uid, flags, size, state, ts, path`` of all messages, without their bytes."""
+    rows = message_files(_files(spark, root), root, layout)
+    return rows.select("folder", "uid", "flags", F.col("length").alias("size"), "state", F.col("modificationTime").alias("ts"), "path")
 
-    A listing skips dotted directories below its start, so each level is named: all that the
-    store has now and ``DEEPER`` beyond; a store that grows deeper is watched by a new start.
+
+def listed_messages(spark: SparkSession, listing: DataFrame, root: str) -> DataFrame:
+    """The listing with ``raw``. Files that are older than all listed ones are not opened."""
+    since = listing.agg(F.min("ts")).first()[0]
+    if since is None:
+        return listing.withColumn("raw", F.lit(None).cast("binary"))
+    recent = _files(spark, root).filter(F.col("modificationTime") >= F.lit(since))
+    return listing.join(recent.select("path", F.col("content").alias("raw")), "path").select(*listing.columns, "raw")
+
+
+def directory_of_folder(folder: Column, layout: str = "dots") -> Column:
+    """The directory of a folder below the store, with a slash behind it; the empty path is the store itself."""
+    names = F.transform(folder, codecs.folder_name_encoded)
+    if layout == "dots":
+        below = F.concat(F.lit("."), F.array_join(names, "."), F.lit("/"))
+    else:
+        above = F.transform(F.slice(names, F.lit(1), F.size(names) - 1), lambda n: F.concat(F.lit("."), n, F.lit(".directory/")))
+        below = F.concat(F.array_join(above, ""), F.element_at(names, -1), F.lit("/"))
+    return F.when(F.size(folder) > 0, below).otherwise("")
+
+
+def write_maildir(messages: DataFrame, root: str, layout: str = "dots") -> int:
+    """Writes ``folder, uid, flags, raw`` rows as message files and returns how many.
+
+    Tasks write their own files, first under ``tmp/``, so that a reader sees whole messages only.
+    A row's file name follows from its columns: a task that runs again writes the same files.
+    Messages without flags lie in ``new/``, others in ``cur/``.
     """
-    depths = [p.count("/.") for p in folder_roots(spark, root)]
-    levels = max([1, *(d - min(depths) for d in depths)]) + DEEPER
-    watched = root.rstrip("/") + "{" + ",".join("/.*" * i for i in range(levels + 1)) + "}"
-    files = (
-        spark.readStream.format("binaryFile")
-        .schema(STORE_SCHEMA)
-        .options(**PLAIN_LOCAL_FILES)
-        .option("recursiveFileLookup", "true")
-        .option("maxFilesPerTrigger", max_files)
-        .load(watched)
-    )
-    rows = message_files(files, root, layout)
-    return rows.select(
-        "folder", "uid", "flags", F.col("length").alias("size"), "file_name", F.col("content").alias("raw"),
-        F.col("modificationTime").alias("ts"),
+    named = encode_flags(messages)
+    is_new = F.col("flags") == 0
+    rows = named.select(
+        directory_of_folder(F.col("folder"), layout).alias("directory"),
+        F.when(is_new, "new").otherwise("cur").alias("state"),
+        F.when(is_new, F.col("uid")).otherwise(F.col("file_name")).alias("name"),
+        F.col("raw").cast("binary").alias("raw"),
     )
+    place = root.replace("file:///", "/").replace("file:/", "/")
+
+    def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyarrow import fs
+
+        store, base = fs.FileSystem.from_uri(place)
+        made: set[str] = set()
+        for batch in batches:
+            for directory, state, name, raw in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                home = f"{base.rstrip('/')}/{directory}"
+                if directory not in made:
+                    for d in ("new", "cur", "tmp"):
+                        store.create_dir(home + d, recursive=True)
+                    made.add(directory)
+                with store.open_output_stream(f"{home}tmp/{name}") as f:
+                    f.write(raw or b"")
+                store.move(f"{home}tmp/{name}", f"{home}{state}/{name}")
+            yield pa.RecordBatch.from_arrays([pa.array([batch.num_rows], pa.int64())], ["files"])
+
+    return rows.mapInArrow(write, "files long").agg(F.sum("files")).first()[0] or 0

@@ -13,7 +13,9 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from postmeter.operators import metrics
-from postmeter.sources.maildir import stream_maildir
+from postmeter.operators.mailbox import diff_listing
+from postmeter.plans.workspace import remove_folder
+from postmeter.sources.maildir import listed_messages, store_listing
 
 KEYS = ("node", "metric")
 _STATE = "node string, metric string, ts timestamp, id bigint, value string"
@@ -142,9 +144,46 @@ def delivery_stream(
     )
 
 
-def arrivals(spark: SparkSession, root: str, layout: str = "dots") -> DataFrame:
-    """ADDED events of a mail store: one row per message file that arrives."""
-    rows = stream_maildir(spark, root, layout)
-    return rows.select("folder", "uid", "flags", "size", F.lit("added").alias("event"), "ts", "raw")
+_LISTING = "folder array<string>, uid string, flags int, size bigint, state string, ts timestamp, path string"
 
 
+def mailbox_stream(
+    ticks: DataFrame,
+    root: str,
+    out: str,
+    checkpoint: str,
+    layout: str = "dots",
+    trigger: Mapping | None = None,
+) -> StreamingQuery:
+    """Events of a mail store, at any depth of folders: added, removed and changed flags.
+
+    Every micro-batch of ``ticks``, whatever its rows, lists the store anew, folder levels that
+    have appeared since included, and compares the listing with that of the batch before. The
+    listing is kept as a table of its batch, so that a repeated batch starts from the same one;
+    older ones are removed. Events of a batch lie in ``events/batch=<number>`` and have the path
+    of the message, from which ``listed_messages`` reads the bytes of those that were added.
+    """
+
+    def one_batch(batch_df: DataFrame, batch: int) -> None:
+        spark = batch_df.sparkSession
+        store_listing(spark, root, layout).write.mode("overwrite").parquet(f"{out}/listing/batch={batch}")
+        now = _before(spark, f"{out}/listing", batch + 1, _LISTING)
+        before = _before(spark, f"{out}/listing", batch, _LISTING)
+        keys = ["folder", "uid"]
+        facts = now.select(*keys, "size", "ts", "path")
+        events = diff_listing(before, now, keys).join(facts, keys, "left")
+        events.write.mode("overwrite").parquet(f"{out}/events/batch={batch}")
+        remove_folder(spark, f"{out}/listing/batch={batch - 2}")
+
+    return (
+        ticks.writeStream.foreachBatch(one_batch)
+        .option("checkpointLocation", checkpoint)
+        .trigger(**(trigger or {"availableNow": True}))
+        .start()
+    )
+
+
+def added_messages(spark: SparkSession, events: DataFrame, root: str) -> DataFrame:
+    """``folder, uid, flags, size, ts, raw`` of the added events, for the mail operators."""
+    added = events.filter("event = 'added'").withColumnRenamed("new_flags", "flags")
+    return listed_messages(spark, added.select("folder", "uid", "flags", "size", "ts", "path"), root).drop("path")
