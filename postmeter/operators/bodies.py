@@ -1,7 +1,7 @@
 """Message bodies: part trees, decoding, text parts, attachments, receipts.
 
-A multipart is opened inside its message row, level by level, and exploded once
-at the end. A part takes along what its operators need to know about its
+A message is opened inside its row, in one pass with a stack of multiparts, and exploded
+once. A part takes along what its operators need to know about its
 ancestors, so no operator joins parts back to parts of the tree.
 """
 
@@ -11,42 +11,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from postmeter.functions import codecs, mail, text
-from postmeter.plans.workspace import materialise
 
-# Levels opened in one projection; texts below them are opened by further passes.
-LEVELS = 4
+# Text before each line that starts with two dashes, and from the last one on.
+_AT_DASHES = r"(?<=\n)(?=--)"
 
 
-def _boundary(content_type: Column, body: Column) -> Column:
-    """Boundary parameter, else the first line that starts with two dashes."""
-    guess = F.rtrim(F.regexp_extract(body, r"(?:\A|\n)--[ \t\r\n]*([^\r\n]*)", 1), F.lit(" \t"))
-    size = F.char_length(guess)
-    return F.coalesce(mail.param(content_type, "boundary"), F.when(size.between(1, 99), guess))
-
-
-def _pieces(body: Column, boundary: Column) -> Column:
-    """Child texts of a multipart, cut in one pass.
-
-    A boundary line is not taken to its end, so that boundaries may follow each other
-    directly; the line end in front of each child goes afterwards. The text before the
-    first boundary is no child, nor is anything from the closing boundary on.
-    """
-    literal = F.concat(F.lit(r"\Q"), F.replace(boundary, F.lit(r"\E"), F.lit(r"\E\\E\Q")), F.lit(r"\E"))
-    line = F.concat(F.lit(r"\r?\n--[ \t]*"), literal, F.lit(r"(?=[\r\n-])"))
-    pieces = F.split(F.concat(F.lit("\n"), body), line)
-
-    def children(all_: Column) -> Column:
-        end = F.array_position(F.transform(all_, lambda p: p.startswith("--")), F.lit(True))
-        count = F.when(end > 0, end - 2).otherwise(F.size(all_) - 1)
-        return F.transform(
-            F.slice(all_, F.lit(2), F.greatest(count.cast("int"), F.lit(0))),
-            lambda p: F.when(p.startswith("\r\n"), F.substr(p, F.lit(3)))
-            .when(p.startswith("\n"), F.substr(p, F.lit(2)))
-            .otherwise(p),
-        )
-
-    # Bound once: the pieces are used three times.
-    return F.get(F.transform(F.array(pieces), children), F.lit(0))
+def _bound(value: Column, then) -> Column:
+    """``then(value)`` with the value computed once."""
+    return F.get(F.transform(F.array(value), then), F.lit(0))
 
 
 def is_attachment(p, root: Column, inline: bool) -> Column:
@@ -67,141 +39,256 @@ def is_attachment(p, root: Column, inline: bool) -> Column:
     return F.when(disposition.isNull(), by_type).when(disposition != "inline", F.lit(True)).otherwise(inline_rule)
 
 
-# Columns of a part, in the order in which levels pass them on.
+# Columns of a part.
 PART_COLUMNS = [
     "part_path", "type", "subtype", "content_type", "disposition", "disposition_value", "encoding", "content_id",
     "location", "description", "has_name", "n_children", "hidden", "hidden_inline", "parent_kind", "grand_kind",
-    "parent_type", "headers", "body",
+    "parent_type", "headers", "body", "prolog", "epilog",
 ]
 
+# What a part takes along from the multiparts around it.
+_FACTS = ["hidden", "hidden_inline", "parent_kind", "grand_kind", "parent_type"]
+_FACT_TYPES = "hidden:boolean,hidden_inline:boolean,parent_kind:string,grand_kind:string,parent_type:string"
+_PATH = "array<int>"
+# Multiparts whose end has not been seen, outermost first; places where a part begins or a multipart
+# ends; finished multiparts.
+_OPEN = f"array<struct<boundary:string,path:{_PATH},kids:int,{_FACT_TYPES}>>"
+_EVENTS = f"array<struct<ends:boolean,path:{_PATH},at:int,skip:int,pos:int,{_FACT_TYPES}>>"
+_DONE = f"array<struct<path:{_PATH},kids:int,stop:int>>"
+
 
 def _row() -> dict[str, Column]:
     return {c: F.col(c) for c in PART_COLUMNS}
 
 
-def _node(**known: Column) -> Column:
-    """A row that still has to be parsed: place in the tree and text, all other columns null."""
+def _first(fields: Column, name: str) -> Column:
+    return F.get(F.filter(fields, lambda f: F.lower(f["name"]) == name), F.lit(0))["value"]
+
+
+def _disposition(value: Column) -> Column:
+    return F.lower(text.trim_blanks(mail.main_value(value)))
+
+
+def _subtype(main: Column) -> Column:
+    return text.trim_blanks(F.regexp_extract(main, r"^[^/]*/(.*)$", 1))
+
+
+def _without_first_line_end(t: Column) -> Column:
+    return F.when(t.startswith("\r\n"), F.substr(t, F.lit(3))).when(t.startswith("\n"), F.substr(t, F.lit(2))).otherwise(t)
+
+
+def _line_end(t: Column) -> Column:
+    """Length of the line end that a text closes with."""
+    return F.when(t.endswith("\r\n"), 2).when(t.endswith("\n"), 1).otherwise(0)
+
+
+def _pushed(open_: Column, head: Column, path: Column, facts, following: Column) -> Column:
+    """The stack with the part that has this header on top, if it is a multipart.
+
+    Without a boundary parameter the first line with two dashes tells the boundary, unless it is
+    that of a multipart around it.
+    """
+
+    def entry(fields: Column) -> Column:
+        content_type = _first(fields, "content-type")
+        main = F.lower(mail.main_value(content_type))
+        part = {
+            "type": F.lit("multipart"), "has_name": F.lit(False),
+            "disposition": _disposition(_first(fields, "content-disposition")),
+            "content_id": mail.message_id(_first(fields, "content-id")),
+            "location": _first(fields, "content-location"),
+        }
+        root = F.size(path) == 0
+        rest = F.ltrim(F.substr(following, F.lit(3)), F.lit(" \t"))
+        around = F.exists(open_, lambda o: F.startswith(rest, o["boundary"]))
+        guess = F.rtrim(F.regexp_extract(following, r"\A--[ \t\r\n]*([^\r\n]*)", 1), F.lit(" \t"))
+        guess = F.when(F.char_length(guess).between(1, 99) & ~F.coalesce(around, F.lit(False)), guess)
+        boundary = F.coalesce(mail.param(content_type, "boundary"), guess)
+        new = F.struct(
+            boundary.alias("boundary"), path.alias("path"), F.lit(0).alias("kids"),
+            (facts["hidden"] | is_attachment(part, root, False)).alias("hidden"),
+            (facts["hidden_inline"] | is_attachment(part, root, True)).alias("hidden_inline"),
+            _subtype(main).alias("parent_kind"), facts["parent_kind"].alias("grand_kind"),
+            content_type.alias("parent_type"),
+        )
+        return F.when(main.startswith("multipart/") & boundary.isNotNull(), F.concat(open_, F.array(new))).otherwise(open_)
+
+    return F.when(F.rlike(head, F.lit("(?i)multipart/")), _bound(mail.header_fields(head), entry)).otherwise(open_)
+
+
+def _state(open_, events, done, head, path, facts, pos) -> Column:
     return F.struct(
-        *[known[c].alias(c) if c in known else F.lit(None).cast(_TYPES[c]).alias(c) for c in PART_COLUMNS],
-        known["raw"].alias("raw"),
+        open_.cast(_OPEN).alias("open"), events.cast(_EVENTS).alias("events"), done.cast(_DONE).alias("done"),
+        head.cast("string").alias("head"), path.cast(_PATH).alias("path"),
+        F.struct(*[facts[f].alias(f) for f in _FACTS]).cast(f"struct<{_FACT_TYPES}>").alias("facts"), pos.cast("int").alias("pos"),
     )
 
 
-_TYPES = {
-    **{c: "string" for c in PART_COLUMNS},
-    "part_path": "array<int>",
-    "has_name": "boolean",
-    "hidden": "boolean",
-    "hidden_inline": "boolean",
-    "n_children": "int",
-    "headers": "array<struct<pos:int,name:string,value:string>>",
-}
-
-
-def _child(parent, raw: Column, i: Column, path: Column, depth: Column) -> Column:
-    root = depth == 0
-    return _node(
-        part_path=F.concat(path, F.array(i)),
-        hidden=parent["hidden"] | is_attachment(parent, root, False),
-        hidden_inline=parent["hidden_inline"] | is_attachment(parent, root, True),
-        parent_kind=F.when(parent["type"] == "multipart", parent["subtype"]),
-        grand_kind=parent["parent_kind"],
-        parent_type=parent["content_type"],
-        raw=raw,
+def _event(ends: bool, path: Column, at: Column, skip: Column, pos: Column, facts) -> Column:
+    return F.array(
+        F.struct(
+            F.lit(ends).alias("ends"), path.alias("path"), at.alias("at"), skip.cast("int").alias("skip"), pos.alias("pos"),
+            *[facts[f].alias(f) for f in _FACTS],
+        ).cast(_EVENTS[6:-1])
     )
 
 
-def _level_steps() -> list[dict[str, Column]]:
-    """The projections that parse the rows which still have text; finished rows pass through.
+def _with_header(open_, events, done, so_far, path, facts, at, pos) -> Column:
+    """The state with the text of a new part, which goes on the stack as soon as its header has ended."""
+
+    def split(m: Column) -> Column:
+        ended = F.size(m) > 1
+        following = F.get(F.col("__pieces"), at + 1)
+        stack = F.when(ended, _pushed(open_, F.get(m, F.lit(0)), path, facts, following)).otherwise(open_)
+        return _state(stack, events, done, F.when(~ended, so_far), path, facts, pos)
+
+    return _bound(mail.split_message(so_far), split)
+
+
+def _finished(parts: Column, stop: Column) -> Column:
+    return F.transform(parts, lambda o: F.struct(o["path"].alias("path"), o["kids"].alias("kids"), stop.alias("stop")).cast(_DONE[6:-1]))
+
+
+def _step(state: Column, x: Column) -> Column:
+    """One more line with two dashes: the outermost multipart that has it as its boundary goes on or ends."""
+    piece, at = x["piece"], x["at"]
+    pos = state["pos"] + F.char_length(piece)
+
+    def matched(rest: Column) -> Column:
+        def is_of(o: Column) -> Column:
+            return F.startswith(rest, o["boundary"]) & F.substr(
+                rest, F.char_length(o["boundary"]) + 1, F.lit(1)
+            ).isin("\r", "\n", "-")
+
+        level = F.array_position(F.transform(state["open"], is_of), F.lit(True)).cast("int")
+
+        def on(n: Column) -> Column:
+            o = F.get(state["open"], n - 1)
+            skip = F.char_length(piece) - F.char_length(rest) + F.char_length(o["boundary"])
+            ends = F.startswith(F.substr(rest, F.char_length(o["boundary"]) + 1, F.lit(2)), F.lit("--"))
+            stop = state["pos"] - _line_end(F.get(F.col("__pieces"), at - 1))
+            above = F.slice(state["open"], F.lit(1), n - 1)
+            inner = F.slice(state["open"], n + 1, F.size(state["open"]))
+            child = F.concat(o["path"], F.array(o["kids"]))
+            counted = o.withField("kids", o["kids"] + 1)
+            # It stays on the stack without a boundary, for what follows up to the next line above it is its epilog.
+            closed = _state(
+                F.concat(above, F.array(o.withField("boundary", F.lit(None).cast("string")))),
+                F.concat(state["events"], _event(True, o["path"], at, skip + 2, state["pos"], o)),
+                F.concat(state["done"], _finished(inner, stop)),
+                F.lit(None), o["path"], o, pos,
+            )
+            begun = _with_header(
+                F.concat(above, F.array(counted)),
+                F.concat(state["events"], _event(False, child, at, skip, state["pos"], o)),
+                F.concat(state["done"], _finished(inner, stop)),
+                _without_first_line_end(F.substr(piece, skip + 1)), child, o, at, pos,
+            )
+            other = F.when(state["head"].isNull(), state.withField("pos", pos)).otherwise(
+                _with_header(
+                    state["open"], state["events"], state["done"], F.concat(state["head"], piece), state["path"], state["facts"], at, pos
+                )
+            )
+            return F.when(n == 0, other).when(ends, closed).otherwise(begun)
+
+        return _bound(level, on)
+
+    return _bound(F.ltrim(F.substr(piece, F.lit(3)), F.lit(" \t")), matched)
+
+
+def _folded() -> Column:
+    """The events of a message in order, from one pass over ``__pieces`` with a stack of open multiparts."""
+    none = {"hidden": F.lit(False), "hidden_inline": F.lit(False), **{f: F.lit(None).cast("string") for f in _FACTS[2:]}}
+    top, zero, empty = F.array().cast(_PATH), F.lit(0), lambda kind: F.array().cast(kind)
+    first = F.get(F.col("__pieces"), zero)
+    start = _with_header(empty(_OPEN), _event(False, top, zero, zero, zero, none), empty(_DONE), first, top, none, zero, F.char_length(first))
+    numbered = F.transform("__pieces", lambda p, i: F.struct(p.alias("piece"), i.alias("at")))
+    return F.aggregate(F.slice(numbered, F.lit(2), F.size("__pieces")), start, _step)
+
+
+def _parts() -> Column:
+    """The begun parts with their texts, the number of their children and what follows their closing line."""
+    pieces, state = F.col("__pieces"), F.col("__state")
+    all_done = F.concat(state["done"], _finished(state["open"], state["pos"]))
+    count = F.size(state["events"])
+
+    def texts(e: Column, i: Column) -> Column:
+        following = F.get(state["events"], i + 1)["at"]
+        own = F.array_join(F.slice(pieces, e["at"] + 1, F.coalesce(following, F.size(pieces)) - e["at"]), "")
+        own = F.substr(own, e["skip"] + 1)
+        cut = F.when(i + 1 < count, F.substr(own, F.lit(1), F.char_length(own) - _line_end(own))).otherwise(own)
+        return e.withField("raw", cut)
+
+    def whole(events: Column) -> Column:
+        return F.transform(
+            F.filter(events, lambda e: ~e["ends"]),
+            lambda e: _bound(
+                F.get(F.filter(all_done, lambda d: d["path"] == e["path"]), F.lit(0)),
+                lambda d: F.struct(
+                    e["path"].alias("part_path"), *[e[f].alias(f) for f in _FACTS], F.coalesce(d["kids"], F.lit(0)).alias("n_children"),
+                    F.when(e["at"] == 0, e["raw"]).otherwise(_without_first_line_end(e["raw"])).alias("raw"),
+                    F.when(d.isNotNull(), F.regexp_replace(
+                        F.get(F.filter(events, lambda x: x["ends"] & (x["path"] == e["path"])), F.lit(0))["raw"],
+                        r"\A[ \t]*\r?\n", "",
+                    )).alias("epilog"),
+                    # Of a multipart: where its header begins and its last child or epilog ends.
+                    (d["stop"] - e["pos"] - e["skip"] - F.when(e["at"] == 0, 0).otherwise(
+                        F.char_length(e["raw"]) - F.char_length(_without_first_line_end(e["raw"]))
+                    )).alias("extent"),
+                ),
+            ),
+        )
 
-    Each step uses the columns of the one before, so a header is parsed once however
-    many fields are taken from it. All levels share these expressions.
-    """
+    return _bound(F.transform(state["events"], texts), whole)
+
+
+def _parsed() -> list[dict[str, Column]]:
+    """The projections that give a part its columns; each step uses the columns of the one before."""
     first = lambda name: mail.header_first("headers", name)
-    fresh = F.col("raw").isNotNull()
-    new = lambda name, value: F.when(fresh, value).otherwise(F.col(name))
     main = F.lower(mail.main_value(F.col("content_type")))
     name_given = F.rlike("content_type", F.lit(r";\s*name\*?[0-9]*\*?\s*="))
-    no_parts = F.array().cast("array<string>")
+    own = F.coalesce(F.get("__m", F.lit(1)), F.lit(""))
+    opened = F.col("n_children") > 0
     return [
-        {"__m": F.when(fresh, mail.split_message(F.col("raw")))},
+        {"__m": mail.split_message(F.col("raw"))},
         {
-            "headers": new("headers", mail.header_fields(F.get("__m", F.lit(0)))),
-            "body": new("body", F.coalesce(F.get("__m", F.lit(1)), F.lit(""))),
+            "headers": mail.header_fields(F.get("__m", F.lit(0))),
+            "body": F.when(~opened, own),
+            "prolog": F.when(opened, own),
+            "size": F.when(opened, F.col("extent") - F.char_length("raw") + F.char_length(own)).otherwise(F.char_length(own)),
         },
         {
-            "content_type": new("content_type", first("content-type")),
-            "disposition_value": new("disposition_value", first("content-disposition")),
-            "encoding": new("encoding", F.lower(mail.main_value(first("content-transfer-encoding")))),
-            "content_id": new("content_id", mail.message_id(first("content-id"))),
-            "location": new("location", mail.unfold(first("content-location"))),
-            "description": new("description", mail.unfold(first("content-description"))),
+            "content_type": first("content-type"),
+            "disposition_value": first("content-disposition"),
+            "encoding": F.lower(mail.main_value(first("content-transfer-encoding"))),
+            "content_id": mail.message_id(first("content-id")),
+            "location": mail.unfold(first("content-location")),
+            "description": mail.unfold(first("content-description")),
         },
         {
-            "type": new("type", text.trim_blanks(F.regexp_extract(main, r"^([^/]*)", 1))),
-            "subtype": new("subtype", text.trim_blanks(F.regexp_extract(main, r"^[^/]*/(.*)$", 1))),
-            "disposition": new("disposition", F.lower(text.trim_blanks(mail.main_value(F.col("disposition_value"))))),
-            "has_name": new("has_name", F.coalesce(name_given, F.lit(False))),
-            "__b": F.when(
-                fresh & main.startswith("multipart/"), _boundary(F.col("content_type"), F.col("body"))
-            ),
+            "type": text.trim_blanks(F.regexp_extract(main, r"^([^/]*)", 1)),
+            "subtype": _subtype(main),
+            "disposition": _disposition(F.col("disposition_value")),
+            "has_name": F.coalesce(name_given, F.lit(False)),
         },
-        {"__children": F.coalesce(F.when(F.col("__b").isNotNull(), _pieces(F.col("body"), F.col("__b"))), no_parts)},
-        {"n_children": new("n_children", F.size("__children"))},
     ]
 
 
-def _open_tree(rows: DataFrame, keep: list[str], levels: int) -> DataFrame:
-    steps = _level_steps()
-    done = F.struct(*PART_COLUMNS, F.lit(None).cast("string").alias("raw"))
-    children = F.transform(
-        "__children", lambda raw, i: _child(_row(), raw, i, F.col("part_path"), F.size("part_path"))
-    )
-    with_children = F.inline(F.concat(F.array(done), children))
-    for level in range(levels):
-        for step in steps:
-            rows = rows.withColumns(step)
-        if level + 1 < levels:
-            # A part is followed by its children, which the next level parses.
-            rows = rows.select(*keep, with_children)
-    return rows.select(
-        *keep, F.size("part_path").alias("depth"), *PART_COLUMNS, F.char_length("body").alias("size"),
-        F.col("__children").alias("pending"),
-    )
-
-
-def _nesting(messages: DataFrame) -> int:
-    """No part lies deeper than the most multipart types that a message names."""
-    names = F.regexp_count(text.octets(F.col("raw")), F.lit("(?i)multipart/"))
-    return messages.agg(F.max(names)).first()[0] or 0
-
-
-def explode_parts(messages: DataFrame, levels: int = LEVELS) -> DataFrame:
+def explode_parts(messages: DataFrame) -> DataFrame:
     """One row per part of each message, at any depth, the message itself being the part with an empty path.
 
-    A scan bounds the depth. Trees of up to ``levels`` levels are opened in one projection; for
-    deeper ones the texts below are written to the shared folder and opened from there, pass
-    after pass, until none is left.
+    A message is cut at its lines with two dashes, and one pass over them with a stack of the open
+    multiparts gives all parts: nothing is parsed twice and nothing is stored. A line belongs to the
+    outermost multipart that has it as its boundary. A multipart with children has no body of its
+    own, but the text before the first and behind the last of them, ``prolog`` and ``epilog``; its
+    ``size`` is that of all it holds.
     """
     keep = [c for c in messages.columns if c != "raw"]
-    root = _node(
-        part_path=F.array().cast("array<int>"),
-        hidden=F.lit(False),
-        hidden_inline=F.lit(False),
-        raw=text.octets(F.col("raw")),
-    )
-    needed = _nesting(messages) + 1
-    opened = _open_tree(messages.select(*keep, F.inline(F.array(root))), keep, min(needed, levels))
-    result = opened.drop("pending")
-    while needed > levels:
-        children = F.transform("pending", lambda raw, i: _child(_row(), raw, i, F.col("part_path"), F.col("depth")))
-        below = materialise(opened.filter(F.size("pending") > 0).select(*keep, F.inline(children)), "parts")
-        if below.isEmpty():
-            break
-        needed -= levels
-        opened = _open_tree(below, keep, min(needed, levels))
-        result = result.unionByName(opened.drop("pending"))
-    return result
+    rows = messages.select(*keep, F.split(text.octets(F.col("raw")), _AT_DASHES).alias("__pieces"))
+    rows = rows.withColumn("__state", _folded()).select(*keep, F.inline(_parts()))
+    for step in _parsed():
+        rows = rows.withColumns(step)
+    return rows.select(*keep, F.size("part_path").alias("depth"), *PART_COLUMNS, "size")
 
 
 def part_tree(parts: DataFrame) -> DataFrame:

@@ -113,6 +113,33 @@ def document_messages(spark: SparkSession, sf: str) -> DataFrame:
     return c.compose(h.encode_words(rows, "subject")).drop("error")
 
 
+# Multiparts around the attachment of a nested message: one to so many.
+NESTED = 7
+
+
+def nested_messages(spark: SparkSession, sf: str) -> DataFrame:
+    """A text as an attachment inside one to seven multiparts, each with a text part of its own, a prolog and an epilog."""
+    d = texts(spark, sf, "documents")
+    depth = (F.col("doc_id") % NESTED + 1).cast("int")
+    inner_first = F.sequence(F.lit(1), depth)
+    begin = lambda k: F.concat(
+        F.lit('Content-Type: multipart/mixed; boundary="b'), k, F.lit('x"\r\n\r\nprolog '), k, F.lit("\r\n--b"), k,
+        F.lit("x\r\nContent-Type: text/plain\r\n\r\nlevel "), k, F.lit("\r\n--b"), k, F.lit("x\r\n"),
+    )
+    end = lambda k: F.concat(F.lit("\r\n--b"), k, F.lit("x--\r\nepilog "), k)
+    name = F.concat("source", F.lit("-"), "doc_id", F.lit(".txt"))
+    leaf = F.concat(
+        F.lit("Content-Type: text/plain; charset=utf-8\r\nContent-Disposition: attachment; filename="), name, F.lit("\r\n\r\n"), F.col("text")
+    )
+    return d.select(
+        F.concat(F.lit("n"), "doc_id").alias("msg_key"),
+        F.concat(
+            F.lit("From: archive@corpus.example\r\n"), F.array_join(F.transform(F.reverse(inner_first), begin), ""), leaf,
+            F.array_join(F.transform(inner_first, end), ""),
+        ).alias("raw"),
+    )
+
+
 def page_messages(spark: SparkSession, sf: str) -> DataFrame:
     """Html with an embedded object and a plain alternative."""
     p = texts(spark, sf, "pages")

@@ -39,6 +39,21 @@ def explode_parts(spark: SparkSession, sf: str) -> DataFrame:
     return page_parts(spark, sf).select("msg_key", path_text("part_path").alias("part_path"), "depth", "type", "subtype")
 
 
+@query("e30_nested_parts", f"""
+WITH d AS (SELECT doc_id, text, CAST(doc_id % {corpus.NESTED} + 1 AS BIGINT) AS d FROM documents), l AS (SELECT *, unnest(range(1, d + 1)) AS k FROM d)
+SELECT 'n' || doc_id AS msg_key, rtrim(repeat('1.', d - k), '.') AS part_path, CAST(d - k AS INT) AS depth, 'multipart' AS type, 'mixed' AS subtype, 2 AS n_children,
+  'prolog ' || k AS prolog, 'epilog ' || k AS epilog, NULL AS digest FROM l
+UNION ALL SELECT 'n' || doc_id, repeat('1.', d - k) || '0', CAST(d - k + 1 AS INT), 'text', 'plain', 0, NULL, NULL, md5('level ' || k) FROM l
+UNION ALL SELECT 'n' || doc_id, rtrim(repeat('1.', d), '.'), CAST(d AS INT), 'text', 'plain', 0, NULL, NULL, md5(text) FROM d""")
+def nested_parts(spark: SparkSession, sf: str) -> DataFrame:
+    """Messages of one to seven levels, with what stands in front of the first part and behind the last one."""
+    parts = b.explode_parts(corpus.nested_messages(spark, sf))
+    return parts.select(
+        "msg_key", path_text("part_path").alias("part_path"), "depth", "type", "subtype", "n_children", "prolog", "epilog",
+        F.md5(text.octets_to_bytes(F.col("body"))).alias("digest"),
+    )
+
+
 CRLF_TEXT = "regexp_replace({t}, '\\r\\n|\\r|\\n', chr(13) || chr(10), 'g')"
 
 

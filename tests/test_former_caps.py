@@ -38,6 +38,52 @@ def test_attachments_at_any_depth(spark):
     assert sorted(r["msg_key"] for r in files.collect()) == [str(d) for d in range(1, 8)]
 
 
+def test_part_tree_in_one_pass(spark):
+    """Prologs, epilogs, sizes, lines that only look like boundaries, unclosed and closed multiparts, equal boundaries."""
+    inner = 'Content-Type: multipart/alternative; boundary="in"\n\npre\n--in\n\none\n--inner\n--in\r\n\r\ntwo\r\n--in--  \nafter\n--x'
+    raw = f"A: b\nContent-Type: multipart/mixed; boundary=out\n\n\n--  out\n{inner}\n--out\n\nlast\n-- \n--out--\nbye\n--in\n"
+    lost = "Content-Type: multipart/mixed\n\n--guess\n\na\n--guess\nContent-Type: multipart/mixed; boundary=g2\n\n--g2\n\nb"
+    same = "Content-Type: multipart/mixed; boundary=s\n\n--s\nContent-Type: multipart/mixed; boundary=s\n\n--s\n\nc\n--s--\n"
+    head = "Content-Type: text/plain\n--odd: 1\nContent-Type: multipart/mixed; boundary=h\n\n--h\n\nd\n"
+    late = "--odd: 1\nContent-Type: multipart/mixed; boundary=h\n\n--h\n\nd\n--h--"
+    mails = {"raw": raw, "lost": lost, "same": same, "head": head, "late": late, "plain": "no header", "empty": "", "null": None}
+    df = spark.createDataFrame(list(mails.items()), "msg_key string, raw string")
+    got = {}
+    for r in bodies.explode_parts(df).collect():
+        got.setdefault(r.msg_key, {})[tuple(r.part_path)] = (r.n_children, r.body, r.prolog, r.epilog, r.size)
+    body = raw.split("\n\n", 1)[1]
+    region = inner.split("\n\n", 1)[1]
+    assert got["raw"] == {
+        (): (2, None, "", "bye\n--in\n", len(body)),
+        (0,): (2, None, "pre", "after\n--x", len(region)),
+        (0, 0): (0, "one\n--inner", None, None, 11),
+        (0, 1): (0, "two", None, None, 3),
+        (1,): (0, "last\n-- ", None, None, 8),
+    }
+    assert {k: v[:2] for k, v in got["lost"].items()} == {(): (2, None), (0,): (0, "a"), (1,): (1, None), (1, 0): (0, "b")}
+    assert {k: v[:2] for k, v in got["same"].items()} == {(): (2, None), (0,): (0, ""), (1,): (0, "c")}
+    assert {k: v[:2] for k, v in got["head"].items()} == {(): (0, "--h\n\nd\n")}
+    assert {k: v[:2] for k, v in got["late"].items()} == {(): (1, None), (0,): (0, "d")}
+    assert [got[k][()][0] for k in ("plain", "empty")] == [0, 0]
+
+
+def test_many_parts_and_dashes(spark):
+    """Work grows with the text: thousands of parts, and a text of lines that look like boundaries."""
+    many = "Content-Type: multipart/mixed; boundary=b\n\n" + "".join(f"--b\n\np{i}\n" for i in range(5000)) + "--b--\n"
+    lines = "Content-Type: multipart/mixed; boundary=b\n\n--b\n\n" + "--a\n" * 20_000 + "--b--\n"
+    df = spark.createDataFrame([("m", many), ("l", lines)], "msg_key string, raw string")
+    parts = bodies.explode_parts(df).cache()
+    assert parts.filter("msg_key = 'm'").count() == 5001 and parts.filter("msg_key = 'm' and body = 'p4999'").count() == 1
+    assert parts.filter("msg_key = 'l' and depth = 1").first()["size"] == 4 * 20_000 - 1
+    parts.unpersist()
+
+
+def test_nothing_runs_when_parts_are_asked_for(spark):
+    df = spark.createDataFrame([("k", nested(3))], "msg_key string, raw string")
+    plan = bodies.explode_parts(df.withColumn("raw", F.concat("raw", F.raise_error(F.lit("ran")))))._jdf.queryExecution()
+    assert plan.executedPlan().toString().count("Scan") == 1
+
+
 @pytest.mark.parametrize("depth", [1, 4, 5, 9, 40])
 def test_comments_at_any_depth(spark, depth):
     value = "(" * depth + "deep" + ")" * depth + "a@b"
