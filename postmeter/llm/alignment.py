@@ -23,7 +23,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from postmeter.llm.shared import shrink, stored, unshrink
+from postmeter.llm.bytelevel import byte_level as byte_level_ids
+from postmeter.llm.shared import release, shrink, stored, unshrink
 
 BYTE_LEVEL = "byte_bpe_50k.json"
 PIECES = "piece_bpe_32k.model"
@@ -32,25 +33,16 @@ BLOCK_BYTES = 2 << 20
 #: Links of a group from which on they are counted by id instead of one by one.
 LARGE_GROUP = 1 << 16
 
-# Byte-level vocabularies show each byte as a printable character: itself, or one from 256 on.
-_PRINTED = [*range(33, 127), *range(161, 173), *range(174, 256)]
-_BYTE_OF = {chr(b): b for b in _PRINTED} | {
-    chr(256 + i): b for i, b in enumerate(sorted(set(range(256)) - set(_PRINTED)))
-}
-
 
 class Pair:
     """Both tokenizers, and the bytes of each of their tokens."""
 
     def __init__(self, byte_level: str, pieces: str) -> None:
         from sentencepiece import SentencePieceProcessor
-        from tokenizers import Tokenizer
 
-        self.a = Tokenizer.from_file(byte_level)
-        self.a.encode_special_tokens = True
+        self.a = byte_level_ids(byte_level, special=False)
         self.b = SentencePieceProcessor(model_file=pieces)
-        shown = {i: t for t, i in self.a.get_vocab(with_added_tokens=False).items()}
-        self.bytes_a = [bytes(map(_BYTE_OF.__getitem__, shown[i])) if i in shown else b"" for i in range(max(shown) + 1)]
+        self.bytes_a = self.a.bytes
         self.bytes_b = [self._piece(i) for i in range(self.b.get_piece_size())]
         self.sizes = [np.array([len(t) for t in side], np.int64) for side in (self.bytes_a, self.bytes_b)]
 
@@ -58,19 +50,18 @@ class Pair:
         piece = self.b.id_to_piece(i)
         return bytes([int(piece[3:5], 16)]) if self.b.is_byte(i) else piece.replace("▁", " ").encode()
 
-    def encode(self, texts: list[str]) -> list[tuple[list[int], list[int]]]:
+    def encode(self, texts: list[str]) -> list[tuple[np.ndarray, np.ndarray]]:
         """Ids of both sides; none for a text that is empty or that either side does not give back byte by byte."""
-        found_a = self.a.encode_batch_fast([" " + t for t in texts], add_special_tokens=False)
-        found_b = self.b.encode(texts, num_threads=1)
+        none = np.zeros(0, np.int64)
         out = []
-        for text, x, b in zip(texts, found_a, found_b, strict=True):
-            a, whole = x.ids, b" " + text.encode()
+        for text, a in zip(texts, self.a.encode([" " + t for t in texts]), strict=True):
+            b, whole = self.b.encode(text), b" " + text.encode()
             same = (
                 text
-                and b"".join(map(self.bytes_a.__getitem__, a)) == whole
+                and b"".join(map(self.bytes_a.__getitem__, a.tolist())) == whole
                 and b"".join(map(self.bytes_b.__getitem__, b)) == whole
             )
-            out.append((a, b) if same else ([], []))
+            out.append((a.astype(np.int64), np.array(b, np.int64)) if same else (none, none))
         return out
 
 
@@ -143,9 +134,9 @@ def _written(a: np.ndarray, b: np.ndarray, of_a: np.ndarray, of_b: np.ndarray, s
     return text[np.arange(text.shape[1]) <= size[:, None]], np.cumsum(size + 1)[ends - 1]
 
 
-def align(encoded: list[tuple[list[int], list[int]]], sizes: list[np.ndarray]) -> dict:
+def align(encoded: list[tuple[np.ndarray, np.ndarray]], sizes: list[np.ndarray]) -> dict:
     """Facts of each document of a block, its distinct pairs of ids and where documents hold them."""
-    held = [i for i, (a, _) in enumerate(encoded) if a]
+    held = [i for i, (a, _) in enumerate(encoded) if len(a)]
     count = {side: np.array([len(e[k]) for e in encoded], np.int64) for k, side in ((0, "n_a"), (1, "n_b"))}
     n = len(encoded)
     facts = count | {"n_groups": np.zeros(n, np.int64), "n_links": np.zeros(n, np.int64)}
@@ -153,7 +144,7 @@ def align(encoded: list[tuple[list[int], list[int]]], sizes: list[np.ndarray]) -
     none = np.zeros(0, np.int64)
     if not held:
         return facts | {"groups_sha256": digest, "pair": none, "docs": none, "doc": none, "at": none, "times": none}
-    a, b = (np.concatenate([np.array(encoded[i][k], np.int64) for i in held]) for k in (0, 1))
+    a, b = (np.concatenate([encoded[i][k] for i in held]) for k in (0, 1))
     of_a, of_b = groups(np.cumsum(sizes[0][a]), np.cumsum(sizes[1][b]))
     size_a, size_b = np.bincount(of_a), np.bincount(of_b)
     # Documents end where both sides end, so each group lies in one of them.
@@ -231,6 +222,7 @@ def _blocks(docs: DataFrame, key: str, text: str, byte_level: str, pieces: str,
                         keys, encoded, size = [], [], 0
         if keys:
             yield made(keys, encoded)
+        release()
 
     kind = dict(docs.dtypes)[key]
     plain = docs.select(F.col(key).alias("k"), F.col(text).alias("t"))
