@@ -10,80 +10,20 @@ packed best-fit by counts. Pieces find their sequence by their number within the
 
 from __future__ import annotations
 
-import re
 import zlib
-from array import array
 from collections.abc import Iterator
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from postmeter.llm.bytelevel import byte_level
 from postmeter.llm.shared import numbered
 
 CAPACITY = 1024
 END = 2
 VOCABULARY = "byte_bpe_50k.json"
-#: Chunks whose ids a task keeps.
-KEPT = 400_000
-
-# No token of the vocabulary crosses from text into white space, from a letter into these marks,
-# or from a single line feed into text, so chunks may end there.
-_CHUNK = re.compile(
-    "\n(?=[^ \n\t\r])|[ \n\t\r]*[A-Za-zÀ-ÖØ-öø-ɏ]+(?=[.,;:!?%*$&#])|[ \n\t\r]*[^ \n\t\r]+|[ \n\t\r]+"
-)
-_WORD = re.compile(" ?[A-Za-zÀ-ÖØ-öø-ɏ]+\\Z")
-# Byte-level vocabularies show each byte as a printable character: itself, or one from 256 on.
-_PRINTED = [*range(33, 127), *range(161, 173), *range(174, 256)]
-_SHOWN = {b: b for b in _PRINTED} | {b: 256 + i for i, b in enumerate(sorted(set(range(256)) - set(_PRINTED)))}
-# White space of other kinds may join a run; such texts are encoded in one piece.
-_OTHER_SPACE = re.compile("[\x0b\x0c\x1c-\x1f\x85\xa0  -     　]")
-
-
-class Encoder:
-    """Token ids of a text as little-endian 32-bit numbers; repeated chunks are looked up."""
-
-    def __init__(self, path: str) -> None:
-        from tokenizers import Tokenizer
-
-        self.tokenizer = Tokenizer.from_file(path)
-        self.kept: dict[str, bytes] = {}
-        self.model = self.tokenizer.model
-
-    def _encode(self, texts: list[str]) -> list[bytes]:
-        found = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
-        return [np.array(e.ids, "<u4").tobytes() for e in found]
-
-    def _encode_chunks(self, chunks: list[str]) -> list[bytes]:
-        """A word goes to the tokenizer's model directly, as it is one piece for it."""
-        rest = [c for c in chunks if not _WORD.match(c)]
-        found = dict(zip(rest, self._encode(rest), strict=True))
-        split = self.model.tokenize
-        return [
-            found[c] if c in found else array("I", [t.id for t in split(c.encode().decode("latin-1").translate(_SHOWN))]).tobytes()
-            for c in chunks
-        ]
-
-    def __call__(self, texts: list[str]) -> list[bytes]:
-        whole = [bool(_OTHER_SPACE.search(t)) for t in texts]
-        chunks = [[t] if w else _CHUNK.findall(t) for t, w in zip(texts, whole, strict=True)]
-        if len(self.kept) > KEPT:
-            self.kept.clear()
-        kept = self.kept
-        found = [[None] if w else list(map(kept.get, own)) for own, w in zip(chunks, whole, strict=True)]
-        open_ = [i for i, values in enumerate(found) if not whole[i] and None in values]
-        new = list({c for i in open_ for c, v in zip(chunks[i], found[i], strict=True) if v is None})
-        kept.update(zip(new, self._encode_chunks(new), strict=True))
-        for i in open_:
-            found[i] = list(map(kept.__getitem__, chunks[i]))
-        return [self._encode(own)[0] if w else b"".join(v) for own, v, w in zip(chunks, found, whole, strict=True)]
-
-
-@lru_cache(maxsize=2)
-def encoder(path: str) -> Encoder:
-    return Encoder(path)
 
 
 def cut(n: int, capacity: int = CAPACITY) -> list[tuple[int, int]]:
@@ -102,13 +42,13 @@ def pieces(docs: DataFrame, key: str, text: str, path: str, capacity: int, end:
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         last = np.array([end], "<u4").tobytes()
-        encode = encoder(path)
+        encode = byte_level(path, special=True).encode
         for batch in batches:
             for at in range(0, batch.num_rows, 256):
                 part = batch.slice(at, 256)
                 rows, out = [], []
                 for i, ids in enumerate(encode([t or "" for t in part.column(1).to_pylist()])):
-                    ids += last
+                    ids = ids.astype("<u4").tobytes() + last
                     for n, (start, length) in enumerate(cut(len(ids) // 4, capacity)):
                         rows.append(i)
                         out.append((n, start, length, zlib.crc32(ids[4 * start : 4 * (start + length)])))
