@@ -1,6 +1,6 @@
 """Sharding by vector bin packing.
 
-Units are groups of equal texts; groups that are too large for a shard are split. A unit's
+Units are groups of equal texts; only groups that exceed a shard are split. A unit's
 vector is its share of bytes, tokens and rows. It goes to the shard where the dot product with
 what the shard has room for is highest, large units first. Large units, bounded in number, are
 placed in one pass; the others are placed by many tasks at once, each with its share of every
@@ -22,7 +22,7 @@ from postmeter.llm.shared import numbered, stored
 SHARDS = 24
 #: A unit above this part of a shard is placed with the large ones, SHARDS * 3 * LARGE at most.
 LARGE = 100
-#: A group above this part of a shard is split.
+#: Parts for each shard that a group would fill, where it exceeds one.
 SPLIT = 40
 UNITS_PER_TASK = 50_000
 
@@ -41,7 +41,9 @@ def shards(df: DataFrame, key: str = "doc_id", text: str = "text", count: int =
     """(key, size, text_crc32, shard, slot) for each row.
 
     ``size`` is the UTF-8 bytes of the text plus 8. Equal texts share a shard unless their group
-    exceeds a fortieth of one. Null texts are a group of their own, apart from empty ones.
+    exceeds one in bytes, tokens or rows; then it is dealt out over many in fortieths. Ties between
+    shards go to the lower one, ties between units by the order of their group. An empty table
+    gives no rows; other columns are left out, whatever their names. Null texts are a group of their own, apart from empty ones.
     ``slot`` numbers the rows of a shard from 0 without gaps.
     """
     body = F.coalesce(F.col(text), F.lit(""))
@@ -59,8 +61,8 @@ def shards(df: DataFrame, key: str = "doc_id", text: str = "text", count: int =
     share = [max(1.0, (x or 0) / count) for x in total]
     groups = rows.groupBy("group").agg(F.count("*").alias("n"), F.max("size").alias("s"), F.max("tokens").alias("t"))
     most = F.greatest(F.col("n") * F.col("s") / share[0], F.col("n") * F.col("t") / share[1], F.col("n") / share[2])
-    # At most SPLIT parts for each shard and measure, and one row more for each group above the bound.
-    split = groups.withColumn("parts", F.ceil(most * SPLIT)).filter("parts > 1 AND n > 1").select(
+    # Fewer than three groups per shard exceed one, as each measure of all shards is shared by all groups.
+    split = groups.filter((most > 1) & (F.col("n") > 1)).withColumn("parts", F.ceil(most * SPLIT)).select(
         "group", F.least("parts", "n").cast("int").alias("parts")
     )
     parted = rows.join(split, "group", "left").withColumn(
