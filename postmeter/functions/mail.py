@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from postmeter.functions import codecs
-from postmeter.functions.text import is_ascii, octets_to_text, trim_blanks, unescape
+from postmeter.functions.text import bound, is_ascii, octets_to_text, trim_blanks, unescape
 
 # Where a header ends, for a text with a line feed put in front: an empty line, or
 # a blank line at the top or behind lines that are no fields. A blank line behind a
@@ -57,19 +57,23 @@ def header_first(headers: str, name: str) -> Column:
 # Encoded words -------------------------------------------------------------
 
 _WORD = r"=\?[^?\n]*\?[^?\n]*\?(?:(?!\?=)[^\n])*+\?="
-_WORD_PARTS = r"(?s)\A=\?([^?*]*)(?:\*([^?]*))?\?([^?]*)\?(.*)\?=\z"
+# A text in pieces: encoded words, what stands between them, and equals signs that begin no word.
+_TOKEN = rf"{_WORD}|[^=]++|="
 _KNOWN_CHARSETS = r"(?i)us-ascii|ascii|utf-8|utf8|iso-8859-1|latin1"
 _RARE_WORD = rf"=\?(?!(?:{_KNOWN_CHARSETS})[*?])[^?\n]*\?[BbQq][^?\n]*\?"
 
 
 def _decode_word(word: Column) -> Column:
-    charset = F.regexp_extract(word, _WORD_PARTS, 1)
-    kind = F.upper(F.substring(F.regexp_extract(word, _WORD_PARTS, 3), 1, 1))
-    data = F.regexp_extract(word, _WORD_PARTS, 4)
-    raw = F.when(kind == "B", codecs.base64_bytes(data)).when(
-        kind == "Q", codecs.quoted_printable_bytes(data, header=True)
-    )
-    return F.coalesce(codecs.text_of(raw, charset), word)
+    def decode(parts: Column) -> Column:
+        charset = F.substring_index(F.get(parts, F.lit(0)), "*", 1)
+        kind = F.upper(F.substring(F.get(parts, F.lit(1)), 1, 1))
+        data = F.get(parts, F.lit(2))
+        raw = F.when(kind == "B", codecs.base64_bytes(data)).when(
+            kind == "Q", codecs.quoted_printable_bytes(data, header=True)
+        )
+        return F.coalesce(codecs.text_of(raw, charset), word)
+
+    return bound(F.split(F.substr(word, F.lit(3), F.char_length(word) - 4), r"\?", 3), decode)
 
 
 def unfold(text: Column) -> Column:
@@ -81,14 +85,17 @@ def decoded(text: Column) -> Column:
 
     Charsets that need Python read as UTF-8 here; ``rare_words`` covers them.
     """
+    is_word = lambda t: t.startswith("=?")
+
+    def pieces(tokens: Column) -> Column:
+        between = lambda t, i: (
+            F.rlike(t, F.lit(r"\A\s+\z")) & is_word(F.get(tokens, F.greatest(i - 1, F.lit(0)))) & F.coalesce(is_word(F.get(tokens, i + 1)), F.lit(False))
+        )
+        kept = F.filter(tokens, lambda t, i: ~between(t, i))
+        return F.array_join(F.transform(kept, lambda t: F.when(is_word(t), _decode_word(t)).otherwise(t)), "")
+
     flat = unfold(text)
-    joined = F.regexp_replace(flat, rf"({_WORD})\s+(?={_WORD})", "$1")
-    between = F.split(joined, _WORD)
-    words = F.regexp_extract_all(joined, F.lit(_WORD), F.lit(0))
-    pieces = F.zip_with(
-        between, words, lambda b, w: F.concat(b, F.when(w.isNotNull(), _decode_word(w)).otherwise(""))
-    )
-    return F.when(text.contains("=?"), F.array_join(pieces, "")).otherwise(flat)
+    return F.when(text.contains("=?"), bound(F.regexp_extract_all(flat, F.lit(_TOKEN), F.lit(0)), pieces)).otherwise(flat)
 
 
 def has_rare_words(text: Column) -> Column:
@@ -157,13 +164,8 @@ def header_params(value: Column) -> Column:
     )
     good = F.filter(chunks, lambda c: (c["base"] != "") & (c["data"] != ""))
 
-    def value_of(base: Column) -> Column:
-        mine = F.filter(good, lambda c: c["base"] == base)
-        starred = F.transform(mine, lambda c: c["extended"])
-        first = F.array_position(starred, F.lit(True))
-        kept = F.when(first > 0, F.slice(mine, first.cast("int"), F.size(mine))).otherwise(F.slice(mine, -1, 1))
-        lead_at = F.array_position(F.transform(kept, lambda c: c["encoded"]), F.lit(True))
-        lead = F.get(F.filter(kept, lambda c: c["encoded"]), F.lit(0))["data"]
+    def text_of(kept: Column, lead_at: Column) -> Column:
+        lead = F.get(kept, lead_at - 1)["data"]
         charset = F.lower(F.regexp_extract(lead, r"^([^']*)'", 1))
         # The first encoded section carries charset'language' in front of its text.
         escaped = F.transform(
@@ -179,14 +181,39 @@ def header_params(value: Column) -> Column:
                 ),
             ).otherwise(F.replace(decoded(c["data"]), F.lit("%"), F.lit("%25"))),
         )
-        body = F.array_join(escaped, "")
-        utf8 = F.url_decode(F.replace(body, F.lit("+"), F.lit("%2B")))
-        as_qp = F.regexp_replace(F.replace(body, F.lit("="), F.lit("%3D")), r"%([0-9A-Fa-f]{2})", "=$1")
-        latin = F.decode(codecs.quoted_printable_bytes(as_qp), "ISO-8859-1")
-        return F.when(charset.isin("iso-8859-1", "latin1"), latin).otherwise(utf8)
-
-    names = F.array_distinct(F.transform(good, lambda c: c["base"]))
-    return F.map_from_arrays(names, F.transform(names, value_of))
+
+        def read(body: Column) -> Column:
+            utf8 = F.url_decode(F.replace(body, F.lit("+"), F.lit("%2B")))
+            as_qp = F.regexp_replace(F.replace(body, F.lit("="), F.lit("%3D")), r"%([0-9A-Fa-f]{2})", "=$1")
+            latin = F.decode(codecs.quoted_printable_bytes(as_qp), "ISO-8859-1")
+            return F.when(charset.isin("iso-8859-1", "latin1"), latin).otherwise(utf8)
+
+        return bound(F.array_join(escaped, ""), read)
+
+    def value_of(mine: Column) -> Column:
+        first = F.array_position(F.transform(mine, lambda c: c["extended"]), F.lit(True))
+        kept = F.when(first > 0, F.slice(mine, first.cast("int"), F.size(mine))).otherwise(F.slice(mine, -1, 1))
+        position = lambda k: F.nullif(F.array_position(F.transform(k, lambda c: c["encoded"]), F.lit(True)), F.lit(0)).cast("int")
+        return bound(kept, lambda k: bound(position(k), lambda at: text_of(k, at)))
+
+    # Chunks of one name lie side by side when sorted, in their order.
+    numbered = F.transform(
+        good,
+        lambda c, i: F.struct(c["base"].alias("base"), i.alias("at"), c["extended"].alias("extended"), c["encoded"].alias("encoded"), c["data"].alias("data")),
+    )
+
+    def groups(ordered: Column) -> Column:
+        places = F.when(F.size(ordered) > 0, F.sequence(F.lit(0), F.size(ordered) - 1)).otherwise(F.array().cast("array<int>"))
+        begins = F.filter(places, lambda i: (i == 0) | (F.get(ordered, i)["base"] != F.get(ordered, F.greatest(i - 1, F.lit(0)))["base"]))
+        return bound(
+            begins,
+            lambda b: F.transform(
+                b, lambda at, j: F.slice(ordered, at + 1, F.coalesce(F.get(b, j + 1), F.size(ordered)) - at)
+            ),
+        )
+
+    entry = lambda g: F.struct(F.get(g, F.lit(0))["base"].alias("key"), value_of(g).alias("value"))
+    return F.map_from_entries(F.transform(bound(F.array_sort(numbered), groups), entry))
 
 
 def param(value: Column, name: str) -> Column:

@@ -22,6 +22,11 @@ def lit_or_col(value: Column | str | None) -> Column:
     return value if isinstance(value, Column) else F.lit(value)
 
 
+def bound(value: Column, then) -> Column:
+    """``then(value)`` with the value computed once."""
+    return F.get(F.transform(F.array(value), then), F.lit(0))
+
+
 def trim_blanks(text: Column) -> Column:
     return F.btrim(text, F.lit(BLANKS))
 

@@ -8,7 +8,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from postmeter.functions import fixed
-from postmeter.functions.text import trim_blanks
+from postmeter.functions.text import bound, trim_blanks
 
 # Characters that url_encode escapes although a style keeps them, per style.
 _KEPT = {
@@ -71,12 +71,16 @@ def query_params(query: Column) -> Column:
             ).alias("value"),
         ),
     )
-    keep_last = F.filter(
-        pairs,
-        lambda p, i: F.array_position(F.transform(F.slice(pairs, i + 2, F.size(pairs)), lambda q: q["key"]), p["key"]) == 0,
+    # Equal keys lie side by side when sorted, the last one at the end.
+    numbered = F.transform(pairs, lambda p, i: F.struct(p["key"].alias("key"), i.alias("at"), p["value"].alias("value")))
+    last = bound(
+        F.array_sort(numbered),
+        lambda s: F.filter(s, lambda p, i: ~F.coalesce(F.get(s, i + 1)["key"] == p["key"], F.lit(False))),
     )
+    in_order = F.array_sort(F.transform(last, lambda p: F.struct(p["at"].alias("at"), p["key"].alias("key"), p["value"].alias("value"))))
+    entries = F.transform(in_order, lambda p: F.struct(p["key"].alias("key"), p["value"].alias("value")))
     empty = F.coalesce(query, F.lit("")) == ""
-    return F.when(empty, F.map_from_entries(F.slice(pairs, 1, 0))).otherwise(F.map_from_entries(keep_last))
+    return F.map_from_entries(F.when(empty, F.slice(entries, 1, 0)).otherwise(entries))
 
 
 def normalise_path(path: Column) -> Column:

@@ -16,11 +16,6 @@ from postmeter.functions import codecs, mail, text
 _AT_DASHES = r"(?<=\n)(?=--)"
 
 
-def _bound(value: Column, then) -> Column:
-    """``then(value)`` with the value computed once."""
-    return F.get(F.transform(F.array(value), then), F.lit(0))
-
-
 def is_attachment(p, root: Column, inline: bool) -> Column:
     """Attachment test on a part's facts. With ``inline`` embedded objects count as well."""
     disposition, has_id, has_loc = p["disposition"], p["content_id"].isNotNull(), p["location"].isNotNull()
@@ -113,7 +108,7 @@ def _pushed(open_: Column, head: Column, path: Column, facts, following: Column)
         )
         return F.when(main.startswith("multipart/") & boundary.isNotNull(), F.concat(open_, F.array(new))).otherwise(open_)
 
-    return F.when(F.rlike(head, F.lit("(?i)multipart/")), _bound(mail.header_fields(head), entry)).otherwise(open_)
+    return F.when(F.rlike(head, F.lit("(?i)multipart/")), text.bound(mail.header_fields(head), entry)).otherwise(open_)
 
 
 def _state(open_, events, done, head, path, facts, pos) -> Column:
@@ -142,7 +137,7 @@ def _with_header(open_, events, done, so_far, path, facts, at, pos) -> Column:
         stack = F.when(ended, _pushed(open_, F.get(m, F.lit(0)), path, facts, following)).otherwise(open_)
         return _state(stack, events, done, F.when(~ended, so_far), path, facts, pos)
 
-    return _bound(mail.split_message(so_far), split)
+    return text.bound(mail.split_message(so_far), split)
 
 
 def _finished(parts: Column, stop: Column) -> Column:
@@ -191,9 +186,9 @@ def _step(state: Column, x: Column) -> Column:
             )
             return F.when(n == 0, other).when(ends, closed).otherwise(begun)
 
-        return _bound(level, on)
+        return text.bound(level, on)
 
-    return _bound(F.ltrim(F.substr(piece, F.lit(3)), F.lit(" \t")), matched)
+    return text.bound(F.ltrim(F.substr(piece, F.lit(3)), F.lit(" \t")), matched)
 
 
 def _folded() -> Column:
@@ -222,7 +217,7 @@ def _parts() -> Column:
     def whole(events: Column) -> Column:
         return F.transform(
             F.filter(events, lambda e: ~e["ends"]),
-            lambda e: _bound(
+            lambda e: text.bound(
                 F.get(F.filter(all_done, lambda d: d["path"] == e["path"]), F.lit(0)),
                 lambda d: F.struct(
                     e["path"].alias("part_path"), *[e[f].alias(f) for f in _FACTS], F.coalesce(d["kids"], F.lit(0)).alias("n_children"),
@@ -239,7 +234,7 @@ def _parts() -> Column:
             ),
         )
 
-    return _bound(F.transform(state["events"], texts), whole)
+    return text.bound(F.transform(state["events"], texts), whole)
 
 
 def _parsed() -> list[dict[str, Column]]:

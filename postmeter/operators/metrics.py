@@ -296,13 +296,23 @@ def lookup_content(requests: DataFrame, contents: DataFrame) -> DataFrame:
     )
 
 
+#: Why a sample belongs to no interval.
+RESAMPLE_REJECTS = ("unknown_kind", "no_time")
+
+
+def resample_reject(cadence: Mapping[str, int], kind: str = "kind") -> Column:
+    """Why a sample belongs to no interval, or null."""
+    known = F.coalesce(F.col(kind).isin(list(cadence)), F.lit(False))
+    return F.when(~known, "unknown_kind").when(F.col("ts").isNull(), "no_time")
+
+
 def resample(df: DataFrame, cadence: Mapping[str, int], kind: str = "kind") -> DataFrame:
-    """Last sample of each series per sampling interval of its kind."""
+    """Last sample of each series per sampling interval of its kind; see ``resample_rejects`` for the rest."""
     every = F.create_map(*[F.lit(x) for pair in cadence.items() for x in pair])[F.col(kind)].cast("bigint")
     bucket = F.floor(F.unix_micros(F.col("ts").cast("timestamp")) / (every * 1_000_000)) * every
     return (
-        df.withColumn("bucket", bucket)
-        .filter(F.col("bucket").isNotNull())
+        df.filter(resample_reject(cadence, kind).isNull())
+        .withColumn("bucket", bucket)
         .groupBy("node", "metric", kind, "bucket")
         .agg(
             F.max_by("value", F.struct("ts", "id")).alias("value"),
@@ -311,6 +321,11 @@ def resample(df: DataFrame, cadence: Mapping[str, int], kind: str = "kind") -> D
     )
 
 
+def resample_rejects(df: DataFrame, cadence: Mapping[str, int], kind: str = "kind") -> DataFrame:
+    """The samples that ``resample`` leaves out, with the reason."""
+    return df.withColumn("reason", resample_reject(cadence, kind)).filter("reason is not null")
+
+
 def server_uid(df: DataFrame, port: str = "port", mac: str = "mac") -> DataFrame:
     """base64(sha1(port, two bytes, low first, then the six address bytes))."""
     low = F.lpad(F.hex(F.col(port).bitwiseAND(255).cast("bigint")), 2, "0")

@@ -12,7 +12,7 @@ from postmeter.functions import dates, urls
 
 
 def parse_access_log(df: DataFrame, col: str) -> DataFrame:
-    """Log lines to columns; lines of another form give no row."""
+    """Log lines to columns; lines of another form give no row, see ``access_log_rejects``."""
     keep = [c for c in df.columns if c != col]
     pieces = df.select(*keep, urls.access_log_pieces(F.col(col)).alias("__p"))
     return (
@@ -22,6 +22,24 @@ def parse_access_log(df: DataFrame, col: str) -> DataFrame:
     )
 
 
+def access_log_reject(line: Column) -> Column:
+    """Why a log line is not parsed, or null. The reason names the first part that is missing."""
+    quoted = F.rlike(line, F.lit(r'"[^"]* [^"]* HTTP/[^"]*"'))
+    return (
+        F.when(line.isNull(), "missing")
+        .when(F.trim(line) == "", "empty")
+        .when(F.size(urls.access_log_pieces(line)) == len(urls.LOG_FIELDS), F.lit(None))
+        .when(~F.rlike(line, F.lit(r"\[[^\]]*\]")), "no date")
+        .when(~quoted, "no request")
+        .otherwise("other form")
+    )
+
+
+def access_log_rejects(df: DataFrame, col: str) -> DataFrame:
+    """The lines that ``parse_access_log`` leaves out, with the reason."""
+    return df.withColumn("reason", access_log_reject(F.col(col))).filter("reason is not null")
+
+
 def render_access_log(df: DataFrame, col: str = "line") -> DataFrame:
     """Columns back to log lines."""
     line = urls.access_log_line(*[F.col("ts" if c == "date" else c) for c in urls.LOG_FIELDS])
@@ -30,6 +48,7 @@ def render_access_log(df: DataFrame, col: str = "line") -> DataFrame:
 
 
 def parse_requests(df: DataFrame, col: str) -> DataFrame:
+    """Request texts to columns; malformed ones give no row, see ``request_rejects``."""
     keep = [c for c in df.columns if c != col]
     return (
         df.select(*keep, urls.request_fields(F.col(col)).alias("__r"))
@@ -38,6 +57,23 @@ def parse_requests(df: DataFrame, col: str) -> DataFrame:
     )
 
 
+def request_reject(raw: Column) -> Column:
+    """Why a request is malformed, or null."""
+    line = F.regexp_extract(raw, r"\A[ \t\r\n\x0B\f]*([^\r\n]*)", 1)
+    return (
+        F.when(raw.isNull(), "missing")
+        .when(line == "", "empty")
+        .when(urls.request_fields(raw).isNotNull(), F.lit(None))
+        .when(~F.contains(line, F.lit(" HTTP/")), "no version")
+        .otherwise("no target")
+    )
+
+
+def request_rejects(df: DataFrame, col: str) -> DataFrame:
+    """The requests that ``parse_requests`` leaves out, with the reason."""
+    return df.withColumn("reason", request_reject(F.col(col))).filter("reason is not null")
+
+
 def query_var(df: DataFrame, name: str, query: str = "query", body: str = "body", out: str = "value") -> DataFrame:
     return df.withColumn(out, urls.query_var(F.col(query), F.col(body), name))
 

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from postmeter.functions import dates, mail, text, urls
 from postmeter.operators import bodies, metrics, weblog
 from postmeter.operators.headers import with_headers
+from postmeter.plans.workspace import remove_folder
 from postmeter.sources import nodes
 
 
@@ -26,6 +27,19 @@ def clean_requests(log: DataFrame, col: str, rules: str | None, types: dict[str,
     return weblog.ip_access(weblog.mime_type(rows, "path", types), "ip", rules)
 
 
+def log_outcome(log: DataFrame, col: str) -> DataFrame:
+    """How many lines were parsed and how many were not, by reason, in one pass; all lines are counted."""
+    reason = F.coalesce(weblog.access_log_reject(F.col(col)), F.lit("parsed"))
+    return log.groupBy(reason.alias("outcome")).agg(F.count(F.lit(1)).alias("lines"))
+
+
+def endpoint_outcome(lists: DataFrame, col: str) -> DataFrame:
+    """The same for the addresses of node and sink lists."""
+    each = lists.select(F.explode(F.split(F.col(col), ",")).alias("url"))
+    reason = F.coalesce(nodes.endpoint_reject(F.col("url")), F.lit("parsed"))
+    return each.groupBy(reason.alias("outcome")).agg(F.count(F.lit(1)).alias("addresses"))
+
+
 def traffic_report(requests: DataFrame) -> DataFrame:
     return requests.groupBy("day", "path", "mime_type", "reason", "access").agg(
         F.count(F.lit(1)).alias("requests"),
@@ -74,11 +88,13 @@ def reject_reason(raw: Column) -> Column:
 
 
 def ingest(spark: SparkSession, messages: DataFrame, path: str) -> DataFrame:
-    """Write ``messages``, ``headers``, ``parts`` and ``rejects`` by folder; returns counts per folder.
+    """Write ``messages``, ``headers``, ``parts``, ``rejects`` and ``counts`` by folder; returns the counts per folder.
 
-    The raw table is written first and read back, so each message is rendered or
-    fetched once. A folder may hold a third of all mail: rows are rebalanced by folder at
-    run time, which splits it by its size.
+    The raw table is written first, so each message is rendered or fetched once; its parts are
+    parsed once into a staging table, from which all other tables are written, and which goes in
+    the end. Every table is overwritten, so a job that is run again leaves the same rows. A folder
+    may hold a third of all mail: rows are rebalanced by folder at run time, which splits it by
+    its size.
     """
     by_folder = lambda df: df.hint("rebalance", "folder")
     raw = messages.select(
@@ -89,12 +105,17 @@ def ingest(spark: SparkSession, messages: DataFrame, path: str) -> DataFrame:
     stored.filter("reason is not null").groupBy("folder", "reason").agg(
         F.count(F.lit(1)).alias("messages")
     ).write.mode("overwrite").parquet(f"{path}/rejects")
-    parts = bodies.explode_parts(stored.filter("reason is null").drop("reason"))
+    opened = bodies.explode_parts(stored.filter("reason is null").drop("reason"))
+    opened.write.mode("overwrite").parquet(f"{path}/_staging")
+    parts = spark.read.schema(opened.schema).parquet(f"{path}/_staging")
     fields = parts.select("folder", "msg_key", "part_path", F.inline("headers"))
     by_folder(fields).write.mode("overwrite").partitionBy("folder").parquet(f"{path}/headers")
     bare = parts.drop("headers")
     by_folder(bare).write.mode("overwrite").partitionBy("folder").parquet(f"{path}/parts")
-    return ingest_counts(parts)
+    counts = ingest_counts(parts)
+    counts.write.mode("overwrite").parquet(f"{path}/counts")
+    remove_folder(spark, f"{path}/_staging")
+    return spark.read.schema(counts.schema).parquet(f"{path}/counts")
 
 
 def ingest_counts(parts: DataFrame) -> DataFrame:

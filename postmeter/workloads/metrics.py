@@ -426,6 +426,17 @@ def resample(spark: SparkSession, sf: str) -> DataFrame:
     return m.resample(kinded(spark, sf), slow)
 
 
+@query("m17_rejects", """
+SELECT CASE WHEN event_id % 10 < 2 THEN 'unknown_kind' ELSE 'no_time' END AS reason, count(*) AS samples FROM events WHERE event_id % 10 < 3 GROUP BY 1""")
+def resample_rejects(spark: SparkSession, sf: str) -> DataFrame:
+    """Samples of kinds without a cadence, and samples without a time."""
+    k = F.col("id") % 10
+    damaged = kinded(spark, sf).withColumns(
+        {"kind": F.when(k == 0, "odd").when(k != 1, F.col("kind")), "ts": F.when(k != 2, F.col("ts"))}
+    )
+    return m.resample_rejects(damaged, fixed.CADENCE).groupBy("reason").agg(F.count(F.lit(1)).alias("samples"))
+
+
 @query("m18_server_uid", """
 SELECT s_suppkey AS k, to_base64(unhex(sha1(from_hex(
   printf('%02X%02X', (3306 + s_suppkey) % 256, (3306 + s_suppkey) // 256) || printf('%012X', s_suppkey * 7919 + 123456789))))) AS server_uid

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from postmeter.functions import fixed
 from postmeter.plans.workspace import new_folder
 from postmeter.sources.nodes import write_contents as write
-from postmeter.sources.tables import tick_of
+from postmeter.sources.tables import table, tick_of
 from postmeter.streaming import jobs
 from postmeter.workloads.metrics import BATCHES, CHANGES, CONTENTS, DUE, METRICS, contents
 from postmeter.workloads.registry import query
@@ -40,6 +40,39 @@ def change_stream(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+# Samples arrive in four waves by time; one in fifty comes a wave late.
+WAVES = """span AS (SELECT min(epoch_us(ts)) AS lo, max(epoch_us(ts)) AS hi FROM metrics),
+waves AS (SELECT metrics.*, (epoch_us(ts) - lo) * 3 // (hi - lo + 1) + CASE WHEN id % 50 = 0 THEN 1 ELSE 0 END AS wave FROM metrics, span),
+judged AS (SELECT *, max(ts) OVER (PARTITION BY node, metric ORDER BY wave RANGE BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS known FROM waves),
+fresh AS (SELECT *, row_number() OVER w AS n, lag(value) OVER w AS before FROM judged WHERE known IS NULL OR ts > known
+  WINDOW w AS (PARTITION BY node, metric ORDER BY ts, id))"""
+
+
+@query("t1_late_stream", f"""
+WITH {METRICS}, {WAVES}
+SELECT 'change' AS kind, node, metric, epoch_us(ts) AS ts_us, id, value FROM fresh WHERE n = 1 OR value IS DISTINCT FROM before
+UNION ALL SELECT 'late', node, metric, NULL, NULL, CAST(count(*) AS VARCHAR) FROM judged WHERE ts <= known GROUP BY node, metric""")
+def late_stream(spark: SparkSession, sf: str) -> DataFrame:
+    """Four micro-batches: changes against the state of the batches before, and how many samples came too late."""
+    out = new_folder(spark, "waves")
+    samples = table(spark, sf, "events").select(
+        F.concat(F.lit("n"), F.col("user_id")).alias("node"), F.upper("event_type").alias("metric"), "ts",
+        F.col("event_id").alias("id"), F.floor(F.col("value") / 50).cast("string").alias("value"),
+    )
+    low, high = samples.select(F.unix_micros("ts").alias("t")).agg(F.min("t"), F.max("t")).first()
+    wave = F.expr(f"(unix_micros(ts) - {low or 0}L) * 3 div {(high or 0) - (low or 0) + 1}L + CASE WHEN id % 50 = 0 THEN 1 ELSE 0 END")
+    for n in range(4):
+        samples.filter(wave == n).write.mode("append").parquet(f"{out}/source")
+        source = spark.readStream.schema(samples.schema).parquet(f"{out}/source")
+        jobs.change_stream(source, out, f"{out}/checkpoint").awaitTermination()
+    changes = spark.read.parquet(f"{out}/changes").select(
+        F.lit("change").alias("kind"), "node", "metric", F.unix_micros("ts").alias("ts_us"), "id", "value"
+    )
+    none = F.lit(None).cast("bigint")
+    late = spark.read.parquet(f"{out}/late").groupBy("node", "metric").agg(F.sum("late").cast("string").alias("value"))
+    return changes.unionByName(late.select(F.lit("late").alias("kind"), "node", "metric", none.alias("ts_us"), none.alias("id"), "value"))
+
+
 @query("t2_cadence_stream", f"""
 WITH {METRICS}, kinded AS (
   SELECT *, ['query', 'explain', 'schema', 'replication', 'variable', 'status'][CAST(id % 6 AS INT) + 1] AS kind,

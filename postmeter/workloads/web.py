@@ -10,6 +10,7 @@ from postmeter.operators import weblog as w
 from postmeter.plans import jobs
 from postmeter.sources.corpus import pick
 from postmeter.sources.tables import table, texts
+from postmeter.workloads.metrics import endpoint_lists
 from postmeter.workloads.registry import query
 
 SUFFIXES = [".html", ".PNG", ".js", ".tar.gz", ".odd", ""]
@@ -66,6 +67,22 @@ def cleaned(spark: SparkSession, sf: str) -> DataFrame:
     return jobs.clean_requests(log_lines(spark, sf), "line", RULES, {"tar.gz": "application/x-tgz"})
 
 
+@query("j1_log_outcome", """
+SELECT CASE event_id % 13 WHEN 0 THEN 'empty' WHEN 1 THEN 'missing' WHEN 2 THEN 'no date' WHEN 3 THEN 'no request' WHEN 4 THEN 'other form' ELSE 'parsed' END AS outcome,
+  count(*) AS lines FROM events GROUP BY 1""")
+def log_outcome(spark: SparkSession, sf: str) -> DataFrame:
+    """Five in thirteen lines are damaged, each in its own way; all of them are counted."""
+    k, line = F.col("event_id") % 13, F.col("line")
+    damaged = (
+        F.when(k == 0, F.lit(" "))
+        .when(k == 2, F.regexp_replace(line, r"\[[^\]]*\] ", ""))
+        .when(k == 3, F.replace(line, F.lit(" HTTP/1.1"), F.lit("")))
+        .when(k == 4, F.regexp_replace(line, r"( HTTP/1\.1\").*$", "$1"))
+        .when(k != 1, line)
+    )
+    return jobs.log_outcome(log_lines(spark, sf).select(damaged.alias("line")), "line")
+
+
 @query("j1_traffic_report", f"""
 WITH {LOG}
 SELECT CAST(CAST(ts AS DATE) AS VARCHAR) AS day, path, mime_type, reason, access, count(*) AS requests, CAST(sum(bytes) AS BIGINT) AS bytes, count(DISTINCT ip) AS addresses
@@ -145,6 +162,12 @@ def url_catalogue(spark: SparkSession, sf: str) -> DataFrame:
     return out
 
 
+@query("j2_endpoint_outcome", """
+SELECT CASE c_custkey % 8 WHEN 6 THEN 'unknown scheme' WHEN 7 THEN 'no host' ELSE 'parsed' END AS outcome, count(*) AS addresses FROM customer GROUP BY 1""")
+def endpoint_outcome(spark: SparkSession, sf: str) -> DataFrame:
+    return jobs.endpoint_outcome(endpoint_lists(spark, sf), "urls")
+
+
 @query("j2_endpoint_catalogue", """
 SELECT scheme, host, port, count(*) AS endpoints, count(DISTINCT path) AS paths FROM (
   SELECT CASE c_custkey % 3 WHEN 0 THEN 'mysql' WHEN 1 THEN 'http' ELSE 'smtps' END AS scheme, 'h' || c_nationkey AS host,
