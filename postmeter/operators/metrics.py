@@ -213,10 +213,29 @@ def fill_forward(
     )
 
 
-def recent(df: DataFrame, n: int = 10, keys: Sequence[str] = ("node",), tick: str = "ts") -> DataFrame:
-    """Rows of the last ``n`` ticks per node; the limit is applied before the shuffle."""
-    rank = F.dense_rank().over(Window.partitionBy(*keys).orderBy(F.desc(tick)))
-    return df.withColumn("__r", rank).filter(F.col("__r") <= n).drop("__r")
+#: Ranks up to which Spark limits the rows of a window before the shuffle.
+_LIMITED = 1000
+
+
+def recent(
+    df: DataFrame, n: int = 10, keys: Sequence[str] = ("node",), tick: str = "ts", slice_seconds: int = SLICE_SECONDS
+) -> DataFrame:
+    """Rows of the last ``n`` ticks per node.
+
+    Up to a thousand ticks the limit is applied before the shuffle. Beyond, the different ticks are
+    numbered in slices, and the rows are filtered by the oldest tick of their node.
+    """
+    if n <= _LIMITED:
+        rank = F.dense_rank().over(Window.partitionBy(*keys).orderBy(F.desc(tick)))
+        return df.withColumn("__r", rank).filter(F.col("__r") <= n).drop("__r")
+    is_time = dict(df.dtypes)[tick].startswith("timestamp")
+    back = -(F.unix_micros(F.col(tick).cast("timestamp")) if is_time else F.col(tick))
+    width = slice_seconds * 1_000_000 if is_time else slice_seconds
+    ticks = df.filter(F.col(tick).isNotNull()).select(*keys, back.alias("__back")).distinct()
+    numbered = sliced.row_numbers(ticks, keys, ["__back"], F.floor(F.col("__back") / width), "__n")
+    oldest = numbered.filter(F.col("__n") <= n).groupBy(F.struct(*keys).alias("__k")).agg(F.max("__back").alias("__oldest"))
+    kept = df.withColumns({"__k": F.struct(*keys), "__back": back}).join(oldest, "__k")
+    return kept.filter(F.col("__back") <= F.col("__oldest")).select(*df.columns)
 
 
 def assign_batch(ticks: DataFrame, n: int = 10, width: int = 1024) -> DataFrame:

@@ -55,14 +55,21 @@ def previous(
     slice_by: Column,
     name: str,
 ) -> DataFrame:
-    """Add ``name``: ``struct(v)`` of the row before this one, null for the first row."""
+    """Add ``name``: ``struct(v)`` of the row before this one, null for the first row.
+
+    Only the first row of a slice needs a value from outside: that of the last row of the slice
+    before. These edge rows, two a slice at most, go through a window over the key; all others are
+    done. Both branches take whole rows, so they read the same exchange and the source once.
+    """
     w = Window.partitionBy(KEY, SLICE).orderBy(*order)
     boxed = _prepare(df, keys, slice_by).withColumn("__v", F.struct(value.alias("v")))
-    carried = _carry(
-        boxed, F.max_by("__v", F.struct(*order)), lambda c: F.last(c, ignorenulls=True)
-    )
-    out = _attach(boxed.withColumn("__p", F.lag("__v").over(w)), carried)
-    return out.withColumn(name, F.coalesce("__p", "__carry")).drop("__v", "__p", "__carry", KEY, SLICE)
+    seen = boxed.withColumns({"__p": F.lag("__v").over(w), "__last": F.lead(F.lit(True)).over(w).isNull()})
+    first = F.col("__p").isNull()
+    across = Window.partitionBy(KEY).orderBy(SLICE, *order)
+    edges = seen.filter(first | F.col("__last")).withColumn("__q", F.lag("__v").over(across))
+    carried = edges.filter(first).withColumn("__p", F.col("__q")).drop("__q")
+    both = seen.filter(~first).unionByName(carried)
+    return both.withColumn(name, F.col("__p")).drop("__v", "__p", "__last", KEY, SLICE)
 
 
 def last_known(
@@ -109,17 +116,3 @@ def row_numbers(
     return out.withColumn(name, F.col("__p") + F.coalesce("__carry", F.lit(0))).drop(
         "__p", "__carry", KEY, SLICE
     )
-
-
-def dense_ranks(
-    df: DataFrame, keys: Sequence[str], order: str, slice_by: Column, name: str
-) -> DataFrame:
-    """Add ``name``: dense rank of ``order`` within the key."""
-    w = Window.partitionBy(KEY, SLICE).orderBy(order)
-    rows = _prepare(df, keys, slice_by)
-    distinct = rows.select(KEY, SLICE, order).distinct()
-    carried = _carry(distinct, F.count(F.lit(1)), F.sum)
-    out = _attach(rows.withColumn("__p", F.dense_rank().over(w)), carried)
-    return out.withColumn(name, F.col("__p") + F.coalesce("__carry", F.lit(0))).drop(
-        "__p", "__carry", KEY, SLICE
-    )
