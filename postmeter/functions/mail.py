@@ -216,6 +216,21 @@ def header_params(value: Column) -> Column:
     return F.map_from_entries(F.transform(bound(F.array_sort(numbered), groups), entry))
 
 
+def receipt_disposition(value: Column) -> Column:
+    """``struct(action_mode, sending_mode, type, modifiers)`` of a receipt: ``action/sending; type/modifier, modifier``."""
+    mode = trim_blanks(F.regexp_extract(value, r"^([^;]*)", 1))
+    rest = F.regexp_extract(value, r"^[^;]*;(.*)$", 1)
+    modifiers = F.filter(
+        F.transform(F.split(F.regexp_extract(rest, r"^[^/]*/(.*)$", 1), ","), trim_blanks), lambda m: m != ""
+    )
+    return F.struct(
+        F.regexp_extract(mode, r"^([^/]*)", 1).alias("action_mode"),
+        F.regexp_extract(mode, r"^[^/]*/(.*)$", 1).alias("sending_mode"),
+        trim_blanks(F.regexp_extract(rest, r"^([^/]*)", 1)).alias("type"),
+        modifiers.alias("modifiers"),
+    )
+
+
 def param(value: Column, name: str) -> Column:
     """One plain parameter, by name without case; for structural fields such as a boundary."""
     pattern = rf';\s*(?i:{name})\s*=\s*("(?:[^"\\]|\\.)*+"?|[^;]*)'

@@ -464,19 +464,11 @@ def receipts(parts: DataFrame) -> DataFrame:
     content = codecs.transfer_bytes(F.col("body"), codecs.encoding_name(F.col("encoding")))
     fields = mail.header_fields(F.get(mail.split_message(F.decode(content, "ISO-8859-1")), F.lit(0)))
     rows = notices.select("msg_key", "part_path", fields.alias("f"))
-    value = mail.header_first("f", "disposition")
-    mode = text.trim_blanks(F.regexp_extract(value, r"^([^;]*)", 1))
-    rest = F.regexp_extract(value, r"^[^;]*;(.*)$", 1)
-    modifiers = F.filter(
-        F.transform(F.split(F.regexp_extract(rest, r"^[^/]*/(.*)$", 1), ","), text.trim_blanks), lambda m: m != ""
-    )
+    rows = rows.withColumn("__d", mail.receipt_disposition(mail.header_first("f", "disposition")))
     return rows.select(
         "msg_key", "part_path",
         mail.message_id(mail.header_first("f", "original-message-id")).alias("original_id"),
-        F.regexp_extract(mode, r"^([^/]*)", 1).alias("action_mode"),
-        F.regexp_extract(mode, r"^[^/]*/(.*)$", 1).alias("sending_mode"),
-        text.trim_blanks(F.regexp_extract(rest, r"^([^/]*)", 1)).alias("type"),
-        modifiers.alias("modifiers"),
+        "__d.action_mode", "__d.sending_mode", "__d.type", "__d.modifiers",
         mail.header_first("f", "received-content-mic").alias("mic"),
     )
 

@@ -52,23 +52,29 @@ def header(headers: DataFrame, name: str, all: bool = False, key: str = "msg_key
     return hits.agg(F.transform(ordered, lambda x: x["value"]).alias("values"))
 
 
-def envelope(messages: DataFrame, ingest_ts: Column | None = None, host: str = "localhost") -> DataFrame:
-    """From, To, Cc, Bcc, Subject and date.
+def envelope(
+    messages: DataFrame, ingest_ts: Column | None = None, host: str = "localhost", rare: bool = False
+) -> DataFrame:
+    """From, Reply-To, To, Cc, Bcc, Subject, id and date.
 
     The date is that of the first Received field, else of Date, else ``ingest_ts``;
-    both header dates are kept.
+    both header dates are kept. With ``rare`` subjects in any charset are read, and only those
+    that need it reach Python.
     """
     keep = [c for c in messages.columns if c != "raw"]
-    names = ("from", "to", "cc", "bcc", "subject", "received", "date")
+    names = ("from", "reply-to", "to", "cc", "bcc", "subject", "received", "date", "message-id")
     # The values come out in a projection of their own: each is looked up once.
     values = with_headers(messages).select(
-        *keep, *[mail.header_first("headers", n).alias(f"__{n}") for n in names]
+        *keep, *[mail.header_first("headers", n).alias("__" + n.replace("-", "_")) for n in names]
     )
+    values = decode_words(values, "__subject", rare)
     rows = values.select(
         *keep,
         mail.mailbox(F.col("__from")).alias("from"),
+        mail.mailbox(F.col("__reply_to")).alias("reply_to"),
         *[mail.address_list(F.col(f"__{n}")).alias(n) for n in ("to", "cc", "bcc")],
-        mail.decoded(F.col("__subject")).alias("subject"),
+        F.col("__subject").alias("subject"),
+        mail.message_id(F.col("__message_id")).alias("message_id"),
         dates.mail_date(mail.received_date(F.col("__received")), ingest_ts).alias("received_date"),
         dates.mail_date(F.col("__date"), ingest_ts).alias("header_date"),
         F.col("__received").isNotNull().alias("has_received"),
@@ -100,6 +106,7 @@ def typed_headers(headers: DataFrame) -> DataFrame:
         F.when(F.col("kind") == "message_id_sequence", mail.message_ids(v)).alias("ids"),
         F.when(F.col("kind").isin("media_type", "disposition", "encoding"), F.lower(mail.main_value(v))).alias("main"),
         F.when(F.col("kind").isin("media_type", "disposition"), mail.header_params(v)).alias("params"),
+        F.when(F.col("kind") == "receipt_disposition", mail.receipt_disposition(v)).alias("receipt"),
     )
 
 

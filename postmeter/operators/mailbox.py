@@ -332,7 +332,7 @@ def since_uid(state: DataFrame, uid: int, include_last: bool = False) -> DataFra
 
 # Columns behind each attribute group.
 FETCH_GROUPS: Mapping[str, Sequence[str]] = {
-    "envelope": ("from", "to", "subject", "date"),
+    "envelope": ("from", "reply_to", "to", "cc", "bcc", "subject", "date", "message_id"),
     "structure": ("structure",),
     "content_info": ("content_type",),
     "flags": ("flags",),

@@ -244,6 +244,20 @@ def fetch(spark: SparkSession, sf: str) -> DataFrame:
     return flat(got).withColumnRenamed("num", "msg_key")
 
 
+@query("e74_fetch_envelope", """
+SELECT 'c' || conv_id || '.t' || turn AS msg_key, CASE WHEN role = 'user' THEN 'user' || conv_id || '@d' || (conv_id % 5) || '.example' ELSE 'assistant@corpus.example' END AS "from",
+  'c' || conv_id || '.t' || turn || '@corpus.example' AS message_id, CASE WHEN turn % 3 = 0 THEN 4 ELSE 1 END AS recipients, 'Re: conversation ' || conv_id AS subject FROM conversations""")
+def fetch_envelope(spark: SparkSession, sf: str) -> DataFrame:
+    """The envelope group: sender, all recipients, subject, date and id."""
+    rows = h.envelope(corpus.conversation_messages(spark, sf)).withColumn("num", F.col("msg_key"))
+    got = mb.fetch(rows, ["envelope"])
+    count = lambda c: F.size(F.coalesce(c, F.array()))
+    return got.select(
+        F.col("num").alias("msg_key"), F.col("from.address").alias("from"), "message_id",
+        (count("to") + count("cc") + count("bcc")).alias("recipients"), "subject",
+    )
+
+
 @query("s4_parse_listing", """
 SELECT o_custkey AS k, CAST(o_orderkey AS BIGINT) AS number, 'uid ' || o_orderkey || '  x' AS value FROM orders""")
 def parse_listing(spark: SparkSession, sf: str) -> DataFrame:

@@ -130,6 +130,30 @@ def test_several_updates_of_a_message(spark):
     assert got == {"1": 4, "2": 1}
 
 
+def test_rare_subjects_and_reply_to(spark):
+    raw = "From: a@b\nReply-To: R <r@b>\nSubject: =?koi8-r?B?8NLJ18XU?= =?utf-8?q?!?=\nMessage-ID: <m@b>\n\nx"
+    df = spark.createDataFrame([("k", raw), ("n", "Subject: plain\n\nx")], "msg_key string, raw string")
+    row, plain = headers.envelope(df, rare=True).orderBy("msg_key").collect()
+    assert (row.subject, row.reply_to.address, row.message_id, plain.subject) == ("Привет!", "r@b", "m@b", "plain")
+    plan = headers.envelope(df)._jdf.queryExecution().executedPlan().toString()
+    assert "Python" not in plan
+
+
+def test_receipt_disposition_is_typed(spark):
+    value = "manual-action/MDN-sent-manually; deleted/error, warning"
+    df = spark.createDataFrame([("k", 0, "Disposition", value)], "msg_key string, pos int, name string, value string")
+    row = headers.typed_headers(df).first()
+    assert tuple(row.receipt) == ("manual-action", "MDN-sent-manually", "deleted", ["error", "warning"])
+
+
+def test_append_to_a_new_folder(spark):
+    kind = "folder array<string>, num bigint, uid string, flags int, modseq bigint"
+    state = spark.createDataFrame([(["a"], 4, "4", 0, 1)], kind)
+    rows = spark.createDataFrame([(["new"], "s1", 1, 2), (["new"], "s2", 0, 2), (["a"], "s3", 0, 2)], "folder array<string>, source string, flags int, modseq bigint")
+    got = sorted((r.folder[0], r.num) for r in mailbox.append(state, rows).collect())
+    assert got == [("a", 4), ("a", 5), ("new", 1), ("new", 2)]
+
+
 def test_fetch_of_a_missing_column(spark):
     state = spark.createDataFrame([("f", 1)], "folder string, num int")
     with pytest.raises(ValueError, match="flags"):
