@@ -13,15 +13,17 @@ across the edge of a range are counted on both sides and summed up.
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import zstandard
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from postmeter.llm.shared import numbered, shrink, stored, unshrink
+from postmeter.llm.shared import shrink, stored, unshrink
 
 LONGEST = 5
 LEAST = 100
@@ -31,6 +33,8 @@ BLOCK_BYTES = 8 << 20
 #: Suffixes that a range holds on average, and of how many blocks and how many of each the cuts are a sample.
 RANGE_SUFFIXES = 1_000_000
 SAMPLE_BLOCKS, SAMPLE_SUFFIXES = 4096, 64
+#: Words of blocks that a part of the vocabulary sums up on average.
+PART_WORDS = 1_000_000
 #: Parts that the first places of a language are chosen from before they meet in one task.
 PARTS = 64
 
@@ -70,15 +74,15 @@ def _blocks(docs: DataFrame, text: str, lang: str, block_bytes: int) -> DataFram
                     counts = np.bincount(at, minlength=len(known) + 1)[1:]
                     number += 1
                     if len(at):
-                        row = [number, name, known, counts, shrink(at.astype(np.int32))]
-                        types = [pa.int64(), pa.string(), pa.list_(pa.string()), pa.list_(pa.int64()), pa.binary()]
+                        row = [number, name, known, counts, len(known), shrink(at.astype(np.int32))]
+                        types = [pa.int64(), pa.string(), pa.list_(pa.string()), pa.list_(pa.int64()), pa.int64(), pa.binary()]
                         yield pa.RecordBatch.from_arrays(
-                            [pa.array([v], t) for v, t in zip(row, types, strict=True)], ["block", "lang", "words", "counts", "at"]
+                            [pa.array([v], t) for v, t in zip(row, types, strict=True)], ["block", "lang", "words", "counts", "n_words", "at"]
                         )
                 start = stop
 
     plain = docs.select(F.coalesce(F.col(text), F.lit("")).alias("t"), F.coalesce(F.col(lang).cast("string"), F.lit("und")).alias("l"))
-    return plain.mapInArrow(run, "block long, lang string, words array<string>, counts array<long>, at binary")
+    return plain.mapInArrow(run, "block long, lang string, words array<string>, counts array<long>, n_words long, at binary")
 
 
 def suffixes(ids: np.ndarray, longest: int) -> np.ndarray:
@@ -173,16 +177,86 @@ def phrases_of(rows: np.ndarray, weight: np.ndarray, least: int, low: np.ndarray
     return out
 
 
-def _coded(blocks: DataFrame, vocabulary: DataFrame, longest: int) -> DataFrame:
+def _vocabulary(blocks: DataFrame, least: int, part_words: int) -> tuple[DataFrame, DataFrame]:
+    """The frequent words with their counts and numbers, and for each block where it has them.
+
+    Blocks send their different words by a hash, compressed, a row for each part of the hash range;
+    a part sums up its words and answers with numbers for those that are frequent in their language.
+    """
+    total = blocks.agg(F.sum("n_words")).first()[0] or 0
+    parts = max(1, -(-total // part_words))
+
+    def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for block, lang, words, counts in zip(*(batch.column(c) for c in ("block", "lang", "words", "counts")), strict=True):
+                known, counts = words.values, counts.values.to_numpy()
+                texts = known.to_pylist()
+                part = np.fromiter((zlib.crc32(w.encode()) % parts for w in texts), np.int64, len(texts))
+                part[counts == 0] = -1
+                rows = []
+                for p in np.unique(part[part >= 0]).tolist():
+                    at = np.flatnonzero(part == p)
+                    own = _BREAK.join([texts[i] for i in at.tolist()]).encode()
+                    rows.append((p, [zstandard.ZstdCompressor(level=1).compress(own), shrink(at.astype(np.int32), True), shrink(counts[at])]))
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        pa.array([p for p, _ in rows], pa.int32()), pa.array([block.as_py()] * len(rows), pa.int64()),
+                        pa.array([lang.as_py()] * len(rows), pa.string()), pa.array([c for _, c in rows], pa.list_(pa.binary())),
+                    ], ["part", "block", "lang", "sent"],
+                )
+
+    def judge(key: tuple, table: pa.Table) -> pa.Table:
+        part = key[0].as_py()
+        sent = table.column("sent").to_pylist()
+        texts = [zstandard.ZstdDecompressor().decompress(x[0]).decode() for x in sent]
+        words = pc.split_pattern(pa.array(texts, pa.large_string()), _BREAK)
+        sizes = pc.list_value_length(words).to_numpy()
+        coded = words.flatten().dictionary_encode()
+        langs = table.column("lang").combine_chunks().dictionary_encode()
+        width = len(coded.dictionary)
+        both = np.repeat(langs.indices.to_numpy().astype(np.int64), sizes) * width + coded.indices.to_numpy()
+        counts = np.concatenate([unshrink(x[2], "<i8") for x in sent])
+        different, at = np.unique(both, return_inverse=True)
+        f = np.bincount(at, counts).astype(np.int64)
+        often = f >= least
+        ids = np.where(often, (np.cumsum(often) - 1) * parts + part + 1, 0)
+        if len(ids) and ids.max() >= 1 << 31:
+            raise OverflowError("more frequent words than numbers of 32 bits; raise part_words")
+        told, ends = [], np.cumsum(sizes)
+        for block, x, end, n in zip(table.column("block").to_pylist(), sent, ends.tolist(), sizes.tolist(), strict=True):
+            own = ids[at[end - n : end]]
+            known = own > 0
+            told.append((block, [shrink(unshrink(x[1], "<i4", True)[known]), shrink(own[known].astype(np.int32))] if known.any() else []))
+        listed = []
+        for i, lang in enumerate(langs.dictionary.to_pylist()):
+            here = often & (different // width == i)
+            if here.any():
+                listed.append((lang, coded.dictionary.take(pa.array(different[here] % width)).to_pylist(), f[here], ids[here]))
+        return pa.table(
+            [
+                pa.array([b for b, _ in told] + [None] * len(listed), pa.int64()),
+                pa.array([a for _, a in told] + [None] * len(listed), pa.list_(pa.binary())),
+                pa.array([None] * len(told) + [r[0] for r in listed], pa.string()),
+                *(pa.array([None] * len(told) + [r[i] for r in listed], pa.list_(t)) for i, t in ((1, pa.string()), (2, pa.int64()), (3, pa.int32()))),
+            ], ["block", "answer", "lang", "word", "f", "id"],
+        )
+
+    sent = blocks.select("block", "lang", "words", "counts").mapInArrow(send, "part int, block long, lang string, sent array<binary>")
+    told, _ = stored(
+        sent.groupBy("part").applyInArrow(judge, "block long, answer array<binary>, lang string, word array<string>, f array<long>, id array<int>")
+    )
+    listed = told.filter("block IS NULL").select("lang", F.inline(F.arrays_zip("word", "f", "id")))
+    return listed, told.filter("block IS NOT NULL AND size(answer) > 0").select(F.col("block").alias("of"), "answer")
+
+
+def _coded(blocks: DataFrame, told: DataFrame, longest: int) -> DataFrame:
     """(block, ids, n, sample): word numbers of the whole corpus, 0 for a break or a rare word."""
-    held = blocks.select("block", "lang", F.posexplode("words").alias("at", "word"))
-    told = held.join(vocabulary.select("lang", "word", "id"), ["lang", "word"]).select(F.col("block").alias("of"), "at", "id")
 
     def run(own: pa.Table, told: pa.Table) -> pa.Table:
         at = unshrink(own.column("at")[0].as_py(), "<i4")
         ids = np.zeros(int(at.max()) + 1, np.int32)
-        if told.num_rows:
-            ids[told.column("at").to_numpy() + 1] = told.column("id").to_numpy()
+        for answer in told.column("answer").to_pylist():
+            ids[unshrink(answer[0], "<i4") + 1] = unshrink(answer[1], "<i4")
         ids = ids[at]
         ids = ids[(ids > 0) | (np.concatenate([[0], ids[:-1]]) > 0)]  # one 0 says as much as several
         rows = suffixes(ids, longest)
@@ -251,7 +325,7 @@ def _phrases(coded: DataFrame, longest: int, least: int, range_suffixes: int) ->
 
 def collocations(
     docs: DataFrame, text: str = "text", lang: str = "lang", longest: int = LONGEST, least: int = LEAST, top: int = TOP,
-    block_bytes: int = BLOCK_BYTES, range_suffixes: int = RANGE_SUFFIXES,
+    block_bytes: int = BLOCK_BYTES, range_suffixes: int = RANGE_SUFFIXES, part_words: int = PART_WORDS,
 ) -> DataFrame:
     """``lang, rank, phrase, a, l, r, n, score``: the first ``top`` phrases of each language by score.
 
@@ -263,14 +337,10 @@ def collocations(
     whatever their names.
     """
     blocks, _ = stored(_blocks(docs, text, lang, block_bytes))
-    counted = blocks.select("lang", F.explode(F.arrays_zip("words", "counts")).alias("x"))
-    counted = counted.select("lang", F.col("x.words").alias("word"), F.col("x.counts").alias("c")).filter("c > 0")
     size = blocks.select("lang", F.aggregate("counts", F.lit(0).cast("long"), lambda x, y: x + y).alias("c"))
     size = size.groupBy("lang").agg(F.sum("c").alias("n"))
-    often = counted.groupBy("lang", "word").agg(F.sum("c").alias("f")).filter(F.col("f") >= least)
-    listed = numbered(often.withColumn("_all", F.lit(0)), "_all", "id")
-    vocabulary, _ = stored(listed.select("lang", "word", "f", (F.col("id") + 1).cast("int").alias("id")))
-    coded, _ = stored(_coded(blocks, vocabulary, longest))
+    vocabulary, told = _vocabulary(blocks, least, part_words)
+    coded, _ = stored(_coded(blocks, told, longest))
     phrases, _ = stored(_phrases(coded, longest, least, range_suffixes))
 
     counts = phrases.unionByName(vocabulary.select(F.array("id").alias("ids"), "f"))

@@ -110,7 +110,7 @@ def by_hand(pair, text):
     if not text:
         return [], [], []
     whole = (" " + text).encode()
-    a = pair.a.encode(" " + text, add_special_tokens=False).ids
+    a = pair.a.own.encode(" " + text, add_special_tokens=False).ids
     b = pair.b.encode(text)
     ta, tb = [pair.bytes_a[i] for i in a], [pair.bytes_b[i] for i in b]
     if b"".join(ta) != whole or b"".join(tb) != whole:
@@ -180,6 +180,24 @@ def test_pointer_jumping_and_large_groups(pair, monkeypatch):
         assert np.array_equal(plain[k], counted[k]), k
 
 
+def test_fast_ids_are_the_tokenizers(pair):
+    """Random strings of all characters that go the fast way, and of some that do not, special strings included."""
+    import public_tokenizers as p
+    from tokenizers import Tokenizer
+
+    from postmeter.llm.bytelevel import byte_level
+
+    rng = random.Random(8)
+    common = [*map(chr, range(0x2B0)), *map(chr, range(0x391, 0x460)), *map(chr, range(0x2010, 0x2028)), "€", "<|endoftext|>", "'ll", "  "]
+    texts = ["".join(rng.choices(common, k=rng.randrange(30))) for _ in range(8000)]
+    texts += [a + c + b for c in common for a in ("", " ", "x", "1", ".", "\n") for b in (" ", "x", "'s")] + TEXTS[2:]
+    own = Tokenizer.from_file(p.path(alignment.BYTE_LEVEL))
+    for special in (True, False):
+        own.encode_special_tokens = not special
+        want = [e.ids for e in own.encode_batch_fast(texts, add_special_tokens=False)]
+        assert [x.tolist() for x in byte_level(p.path(alignment.BYTE_LEVEL), special).encode(texts)] == want
+
+
 # 13 --------------------------------------------------------------------------------------------
 
 
@@ -226,7 +244,7 @@ def test_collocations(spark, prose, block, span):
     df = spark.createDataFrame(prose, "text string, lang string")
     for c in "block words word at id f n a rank phrase ids first".split():
         df = df.withColumn(c, df.lang)
-    got = sorted(tuple(r) for r in collocations.collocations(df, least=20, top=40, block_bytes=block, range_suffixes=span).collect())
+    got = sorted(tuple(r) for r in collocations.collocations(df, least=20, top=40, block_bytes=block, range_suffixes=span, part_words=span).collect())
     want = phrases_by_hand(prose, 20, 40)
     assert got == want and {r[0] for r in want} == {"en", "de", "fr", "und"}
     assert collocations.collocations(df.limit(0)).count() == 0
