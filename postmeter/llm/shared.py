@@ -23,6 +23,11 @@ def shared_folder(spark: SparkSession) -> str:
     return str(spark.sparkContext.getCheckpointDir())
 
 
+def _delete(spark: SparkSession, path: str) -> None:
+    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(place, True)
+
+
 def stored(df: DataFrame) -> tuple[DataFrame, Callable[[], None]]:
     """The frame written to the shared folder and read again, and a call that removes it.
 
@@ -32,39 +37,60 @@ def stored(df: DataFrame) -> tuple[DataFrame, Callable[[], None]]:
     path = f"{shared_folder(spark)}/llm/{uuid.uuid4().hex}"
     df.write.parquet(path)
 
-    def remove() -> None:
-        place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-        place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(place, True)
-
-    return spark.read.schema(df.schema).parquet(path), remove
+    return spark.read.schema(df.schema).parquet(path), lambda: _delete(spark, path)
 
 
 def bucketed(df: DataFrame, by: str, count: int) -> tuple[DataFrame, Callable[[], None]]:
-    """The frame stored in the shared folder in buckets of ``by``, and a call that forgets the table.
+    """The frame stored in the shared folder in buckets of ``by``, and a call that removes the table and its files.
 
     Groups of ``by`` are then read as they lie, pass after pass, without a shuffle.
     """
     spark = df.sparkSession
     count = max(1, min(count, 100_000))
     name = f"llm_{uuid.uuid4().hex}"
-    df.repartition(count, by).write.bucketBy(count, by).option("path", f"{shared_folder(spark)}/llm/{name}").option(
-        "compression", "zstd"
-    ).saveAsTable(name)
-    return spark.table(name), lambda: spark.sql(f"DROP TABLE {name}")
+    path = f"{shared_folder(spark)}/llm/{name}"
+    df.repartition(count, by).write.bucketBy(count, by).option("path", path).option("compression", "zstd").saveAsTable(name)
+
+    def remove() -> None:
+        spark.sql(f"DROP TABLE {name}")
+        _delete(spark, path)
+
+    return spark.table(name), remove
+
+
+#: Texts that a task turns into Python objects at a time.
+TEXTS = 1024
 
 
 def release() -> None:
-    """Gives memory back at the end of a task: a worker that is used again keeps what its largest batch took."""
+    """Gives memory back: a worker that is used again keeps what its largest batch took."""
     import ctypes
-    import gc
 
     import pyarrow as pa
 
-    gc.collect()
     pa.default_memory_pool().release_unused()
     ctypes.CDLL(None).malloc_trim(0)
 
 
+def releasing(f: Callable) -> Callable:
+    """A function on one group or a pair of groups that gives memory back when it returns."""
+    from inspect import signature
+
+    def one(rows):
+        try:
+            return f(rows)
+        finally:
+            release()
+
+    def two(rows, others):
+        try:
+            return f(rows, others)
+        finally:
+            release()
+
+    return one if len(signature(f).parameters) == 1 else two
+
+
 def components(links: DataFrame) -> DataFrame:
     """``links(a, b)`` to ``(node, root)``: the smallest node that each linked node reaches.
 

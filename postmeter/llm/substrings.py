@@ -32,7 +32,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from postmeter.llm.shared import bucketed, shrink, stored, unshrink
+from postmeter.llm.shared import bucketed, releasing, shrink, stored, unshrink
 
 LENGTH = 50
 GRAM = 32
@@ -116,7 +116,8 @@ class Batch:
         step = np.arange(int(pieces.sum())) - np.repeat(np.cumsum(pieces) - pieces, pieces)
         self.head = np.repeat(head, pieces) + step * WIDTH
         self.size = np.diff(np.append(self.head, len(low)))
-        self.low = low[self.head]
+        # Smallest ones crowd at zero; mixed again they spread evenly over the ranges.
+        self.low = _mix(low[self.head])
         self.document = np.searchsorted(self.first, self.head, "right") - 1  # of each run, among those with windows
         self.rank = rank[np.array(self.at, np.int64)][self.document] if self.at else np.empty(0, np.int64)
         self.values, self.bucket = np.unique(self.low, return_inverse=True)
@@ -137,7 +138,8 @@ class Batch:
         last = self.grams[start + size + LENGTH - GRAM - 1]
         middle = self.grams[start + np.minimum(GRAM, size + LENGTH - GRAM - 1)]
         refined = _mix(self.grams[start] + _mix(middle + _mix(last + size.astype(np.uint64))))
-        return _distinct(self.low[runs], refined)
+        # With the 64 bits of the bucket, 40 more tell runs apart.
+        return _distinct(self.low[runs], refined >> np.uint64(24))
 
     def windows(self, runs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """The windows of the runs, and the run of each."""
@@ -304,8 +306,8 @@ def _dedup(docs: DataFrame, key: str, text: str, keep: bool) -> DataFrame:
 
     def first(rows: pd.DataFrame) -> pd.DataFrame:
         batch = Batch(rows[k], rows[t])
-        # 48 bits do here: a bucket that is wrongly kept is settled by the next step.
-        return _split(number(rows), parts, batch.values, more=batch.shared(), drop=16)
+        # A bucket that is wrongly kept is settled by the next step, so a few bits more than places tell apart do.
+        return _split(number(rows), parts, batch.values, more=batch.shared(), drop=max(0, 64 - 12 - size.bit_length()))
 
     def second(rows: pd.DataFrame, flags: pd.DataFrame) -> pd.DataFrame:
         batch = Batch(rows[k], rows[t])
@@ -318,12 +320,15 @@ def _dedup(docs: DataFrame, key: str, text: str, keep: bool) -> DataFrame:
         return _split(number(rows), parts, one, two)
 
     texts = table.select("batch", k, t).groupBy("batch")
-    flags, _ = stored(
-        texts.applyInPandas(first, SENT).groupBy("part").applyInPandas(_in_several, BITS).withColumn("step", F.lit(1))
+    removers = []
+    flags, remove = stored(
+        texts.applyInPandas(releasing(first), SENT).groupBy("part").applyInPandas(releasing(_in_several), BITS).withColumn("step", F.lit(1))
     )
+    removers.append(remove)
     for step, ask in ((2, second), (3, third)):
-        sent = texts.cogroup(flags.groupBy("batch")).applyInPandas(ask, SENT)
-        known, _ = stored(sent.groupBy("part").applyInPandas(_in_lower_batch, BITS).withColumn("step", F.lit(step)))
+        sent = texts.cogroup(flags.groupBy("batch")).applyInPandas(releasing(ask), SENT)
+        known, remove = stored(sent.groupBy("part").applyInPandas(releasing(_in_lower_batch), BITS).withColumn("step", F.lit(step)))
+        removers.append(remove)
         flags = flags.union(known)
 
     kinds = ", ".join(f"c{i} {kind}" for i, (_, kind) in enumerate(docs.dtypes))
@@ -367,6 +372,7 @@ def _dedup(docs: DataFrame, key: str, text: str, keep: bool) -> DataFrame:
         return pa.Table.from_arrays(columns, wanted.names)
 
     both = table.groupBy("batch").cogroup(flags.groupBy("batch"))
-    result, _ = stored(both.applyInArrow(last, wanted))
-    forget()
+    result, _ = stored(both.applyInArrow(releasing(last), wanted))
+    for remove in (*removers, forget):
+        remove()
     return result
