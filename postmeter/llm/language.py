@@ -7,7 +7,6 @@ regression learns the languages, and texts are scored in blocks by matrix produc
 
 from __future__ import annotations
 
-import re
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -27,7 +26,6 @@ LENGTHS = (1, 2, 3, 4)
 SLOTS = 1 << 18
 UNKNOWN = "und"
 
-_LETTER = re.compile(r"[^\W\d_]")
 
 
 @dataclass(frozen=True)
@@ -161,13 +159,15 @@ def train(docs: DataFrame, text: str = "text", lang: str = "lang", sample_rows:
 def languages(docs: DataFrame, model: Model | None, key: str = "doc_id", text: str = "text") -> DataFrame:
     """(key, lang_pred, score) for each row, over the whole text.
 
-    ``und`` with score 0 if the text is null or has no letter, or nothing was learned.
+    ``und`` with score 0 if the text is null or has no letter, or nothing was learned; number signs
+    of any script are no letters. Ties go to the language that sorts first; repeated rows are each
+    scored, an empty table gives no rows, other columns are left out, whatever their names.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = batch.column(1).to_pylist()
-            at = [i for i, t in enumerate(texts) if model and t and _LETTER.search(t)]
+            at = [i for i, t in enumerate(texts) if model and t and any(map(str.isalpha, t))]
             named, score = [UNKNOWN] * len(texts), np.zeros(len(texts))
             for start in range(0, len(at), 256):
                 part = at[start : start + 256]

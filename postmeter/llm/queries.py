@@ -95,7 +95,7 @@ starts AS (SELECT doc_id, w, n, unnest(range(0, len(w) - n + 1)) AS s FROM d, le
 hit AS (SELECT doc_id, s, x.n, item_id FROM (SELECT doc_id, s, n, array_to_string(w[s + 1:s + n], ' ') AS t FROM starts) x
   JOIN win ON win.t = x.t AND win.n = x.n),
 place AS (SELECT doc_id, count(DISTINCT p) AS n_hit FROM (SELECT doc_id, unnest(range(s, s + n)) AS p FROM hit) GROUP BY ALL),
-item AS (SELECT doc_id, count(*) AS n_items, string_agg(k, ',' ORDER BY k) AS ids
+item AS (SELECT doc_id, count(k) AS n_items, string_agg(k, ',' ORDER BY k) AS ids
   FROM (SELECT DISTINCT doc_id, item_id::VARCHAR AS k FROM hit) GROUP BY ALL)
 SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, coalesce(n_items, 0)::BIGINT AS n_items,
   sha256(coalesce(ids, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(w) AS contaminated

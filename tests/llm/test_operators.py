@@ -493,6 +493,9 @@ def test_language(spark, docs, empty):
     assert np.mean([got[i] == s for i, _, s in rows if i >= 300]) > 0.97
     odd = {r.doc_id: r for r in language.languages(docs, model).collect() if r.doc_id}
     assert {odd[i].lang_pred for i in (3, 4, 10)} == {"und"} and odd[7].lang_pred in stems and 0 <= odd[7].score <= 1
+    signs = spark.createDataFrame([(i, t) for i, t in enumerate(["½ ² 7", "Ⅷ", "①", "٣", "_-·", "7 ª", "x"])], "doc_id long, text string")
+    found = {r.doc_id: r.lang_pred for r in language.languages(signs, model).collect()}
+    assert {found[i] for i in range(5)} == {"und"} and "und" not in (found[5], found[6])
     assert language.languages(empty, model).count() == 0
     assert language.train(empty) is None
     assert {r.lang_pred for r in language.languages(docs, None).collect()} == {"und"}
