@@ -91,7 +91,9 @@ def change_stream(
         newest = seeded.groupBy(*KEYS).agg(
             F.max_by(F.struct("ts", "id", "value"), F.struct("ts", "id")).alias("s")
         )
-        newest.select(*KEYS, "s.*", bucket).write.mode("overwrite").partitionBy("bucket").parquet(f"{out}/state/version={batch}")
+        # Dealt by bucket, or each task would write a file into each folder.
+        kept = newest.select(*KEYS, "s.*", bucket).hint("rebalance", "bucket")
+        kept.write.mode("overwrite").partitionBy("bucket").parquet(f"{out}/state/version={batch}")
         joined.filter(late).groupBy(*KEYS).agg(F.count(F.lit(1)).alias("late")).write.mode("overwrite").parquet(
             f"{out}/late/batch={batch}"
         )
