@@ -43,6 +43,13 @@ def field(messages: DataFrame, name: str) -> DataFrame:
     return with_headers(messages).select(*keep, value).filter("value is not null")
 
 
+def field_all(messages: DataFrame, name: str) -> DataFrame:
+    """All values of a field of each message that has it, in order, read off the row: no explode, no shuffle."""
+    keep = [c for c in messages.columns if c != "raw"]
+    values = mail.header_all("headers", name).alias("values")
+    return with_headers(messages).select(*keep, values).filter(F.size("values") > 0)
+
+
 def header(headers: DataFrame, name: str, all: bool = False, key: str = "msg_key") -> DataFrame:
     """First value of a field per message of a flat header table, or all values in order."""
     hits = headers.filter(F.lower("name") == name.lower()).groupBy(key)

@@ -68,15 +68,15 @@ def explode_headers(spark: SparkSession, sf: str) -> DataFrame:
 WITH {HEADERS}
 SELECT msg_key, min_by(value, CASE WHEN value LIKE 'from video%' THEN 0 ELSE 1 END) AS value FROM headers WHERE name = 'Received' GROUP BY msg_key""")
 def header_first(spark: SparkSession, sf: str) -> DataFrame:
-    return h.header(h.explode_headers(corpus.conversation_messages(spark, sf)), "received")
+    return h.field(corpus.conversation_messages(spark, sf), "received").select("msg_key", "value")
 
 
 @query("e2_header_all", f"""
 WITH {HEADERS}
 SELECT msg_key, string_agg(value, ' | ' ORDER BY CASE WHEN value LIKE 'from video%' THEN 0 ELSE 1 END) AS "values" FROM headers WHERE name = 'Received' GROUP BY msg_key""")
 def header_all(spark: SparkSession, sf: str) -> DataFrame:
-    flat = h.explode_headers(corpus.conversation_messages(spark, sf))
-    return h.header(flat, "RECEIVED", all=True).select("msg_key", F.array_join("values", " | ").alias("values"))
+    found = h.field_all(corpus.conversation_messages(spark, sf), "RECEIVED")
+    return found.select("msg_key", F.array_join("values", " | ").alias("values"))
 
 
 @query("e3_envelope", f"""

@@ -130,6 +130,14 @@ def test_several_updates_of_a_message(spark):
     assert got == {"1": 4, "2": 1}
 
 
+def test_values_of_a_field_stay_on_the_row(spark):
+    df = spark.createDataFrame([("k", "A: 1\nb: x\na: 2\n\nbody"), ("n", "B: y\n\n")], "msg_key string, raw string")
+    flat = headers.explode_headers(df)
+    assert headers.field_all(df, "a").collect() == headers.header(flat, "A", all=True).collect()
+    assert headers.field(df, "b").collect()[0].value == "x"
+    assert "Exchange" not in headers.field_all(df, "a")._jdf.queryExecution().executedPlan().toString()
+
+
 def test_rare_subjects_and_reply_to(spark):
     raw = "From: a@b\nReply-To: R <r@b>\nSubject: =?koi8-r?B?8NLJ18XU?= =?utf-8?q?!?=\nMessage-ID: <m@b>\n\nx"
     df = spark.createDataFrame([("k", raw), ("n", "Subject: plain\n\nx")], "msg_key string, raw string")
