@@ -16,7 +16,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from postmeter.llm.shared import stored
+from postmeter.llm.shared import TEXTS, release, stored
 
 WINDOW = 13
 SHINGLE = 5
@@ -85,7 +85,7 @@ def _find(lengths: list[int], slots: bytes):
         kind = pa.list_(
             pa.struct([("pos", pa.int32()), ("shingle", pa.int64()), ("first", pa.int32()), ("near", pa.list_(pa.string()))])
         )
-        for batch in batches:
+        for batch in (b.slice(at, TEXTS) for b in batches for at in range(0, b.num_rows, TEXTS)):
             counts, found = [], []
             for text in batch.column("text").cast(pa.binary()).to_pylist():
                 words = words_of(text)
@@ -104,6 +104,7 @@ def _find(lengths: list[int], slots: bytes):
                 [batch.column("row"), pa.array(counts, pa.int64()), pa.array(found, kind)], ["row", "n_words", "places"]
             )
         _seen.clear()
+        release()
 
     return run
 
@@ -117,7 +118,8 @@ def contamination(
     if shorter); a document is contaminated if they are a twentieth of its words or more. Null
     or empty texts have no words, items without words match nothing. An item whose id is null
     hits like any other, but is not among the ids counted in ``n_items`` and hashed. Repeated rows
-    are judged each for themselves.
+    are judged each for themselves. Empty tables give no rows, or none contaminated; other columns are
+    left out, whatever their names.
     """
     shingles, _ = stored(
         benchmark.select(F.col(item).cast("string").alias("item"), F.col(text).alias("text"))

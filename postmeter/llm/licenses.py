@@ -78,7 +78,8 @@ def scan_licenses(df: DataFrame, text: str = "text", templates: list[Template] |
 
     ``score`` is the largest share of a found template's words that stand in place, 0 without
     one. A null or empty text has no words, no labels and score 0. Repeated rows are scanned
-    each for themselves. Columns of the input with those names are replaced.
+    each for themselves. Columns of the input with those names are replaced. Ties between templates
+    keep all their labels; an empty table gives no rows.
     """
     templates = TEMPLATES if templates is None else templates
     added = ["n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score", "places"]

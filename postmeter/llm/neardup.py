@@ -158,7 +158,8 @@ def near_duplicates(
     Vectors that are null, empty or zero, or hold null or non-finite components, link with
     nothing; vectors of different lengths do not either. A row without a key links like any
     other; a component takes the smallest key it has. ``recall`` is what the tables reach for
-    pairs at the threshold itself; nearer pairs are found more surely.
+    pairs at the threshold itself; nearer pairs are found more surely. An empty table gives no rows;
+    other columns are left out, whatever their names.
     """
     fine = "size(v) > 0 AND forall(v, x -> x IS NOT NULL AND NOT isnan(x) AND abs(x) < double('Infinity')) AND exists(v, x -> x <> 0)"
     rows = df.select(F.col(key), F.col(vector).alias("v")).withColumn("fine", F.coalesce(F.expr(fine), F.lit(False)))

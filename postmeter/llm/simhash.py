@@ -16,7 +16,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from postmeter.llm.shared import components, roots, run_pairs, stored, whole_runs
+from postmeter.llm.shared import TEXTS, components, release, roots, run_pairs, stored, whole_runs
 
 BITS = 3
 #: Beyond this many fingerprints under one variant, the variants of the other half are used too.
@@ -46,11 +46,17 @@ def fingerprint(text: str | None) -> int:
 def with_fingerprint(df: DataFrame, text: str = "text", name: str = "fp") -> DataFrame:
     """Adds the fingerprint as a signed long; a null or empty text has fingerprint zero."""
 
-    @F.pandas_udf("long")
-    def of(texts):
-        return texts.map(lambda t: (v := fingerprint(t)) - (1 << 64 if v >> 63 else 0)).astype("int64")
+    def of(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for batch in batches:
+            found: list[int] = []
+            for at in range(0, len(batch), TEXTS):
+                values = map(fingerprint, batch.slice(at, TEXTS).to_pylist())
+                found += [v - (1 << 64 if v >> 63 else 0) for v in values]
+            yield pa.array(found, pa.int64())
+        release()
 
-    return df.withColumn(name, of(F.coalesce(F.col(text), F.lit(""))))
+    of.__annotations__ = {"batches": Iterator[pa.Array], "return": Iterator[pa.Array]}
+    return df.withColumn(name, F.arrow_udf(of, "long")(F.coalesce(F.col(text), F.lit(""))))
 
 
 def _linked(fps: np.ndarray, sizes: np.ndarray, again: bool = True) -> Iterator[tuple[np.ndarray, np.ndarray]]:
@@ -128,7 +134,9 @@ def simhash_classes(df: DataFrame, key: str = "doc_id", text: str = "text") -> D
     """(key, fp, component_id): the smallest key whose fingerprint is reached over links.
 
     Equal fingerprints are one node, so copies are never paired. Null keys are not chosen as
-    a class's key unless it has no other. Repeated rows return one row each.
+    a class's key unless it has no other. Repeated rows return one row each. Null and empty texts
+    have fingerprint zero and link like any other; a bit set in exactly half of the shingles is 0. An
+    empty table gives no rows; other columns are left out, whatever their names.
     """
     prints, _ = stored(with_fingerprint(df.select(F.col(key), F.col(text).alias("_t")), "_t").select(key, "fp"))
     rooted = _rooted(prints, F.min(key))

@@ -264,7 +264,8 @@ def dedup_substrings(docs: DataFrame, key: str = "doc_id", text: str = "text") -
     """One row per row of the input: key, n_bytes, n_removed, n_spans, kept_sha256.
 
     Null texts are empty. Rows that share a key are not earlier than each other; null keys come
-    after all others and not before each other. A task holds a batch of texts, about
+    after all others and not before each other. Keys are numbers. An empty table gives no rows, and
+    other columns are left out, whatever their names. A task holds a batch of texts, about
     ``BATCH_BYTES``, or a single longer document, at some eighty bytes per byte.
     """
     found = _dedup(docs.select(key, text), key, text, keep=False)

@@ -21,6 +21,8 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from postmeter.llm.shared import TEXTS, release
+
 #: Labelled documents of each class that training may take; the rest of the corpus is only scored.
 SAMPLE_ROWS = 2000
 THRESHOLDS = (2, 3, 4, 5, 6)
@@ -149,14 +151,17 @@ def score(words: list[bytes], model: Model) -> float:
 
 
 def _scores(texts: pa.Array, model: Model | None) -> list[float]:
-    return [score(words_of(t), model) if model else 0.0 for t in texts.to_pylist()]
+    parts = (texts.slice(at, TEXTS).to_pylist() for at in range(0, len(texts), TEXTS))
+    return [score(words_of(t), model) if model else 0.0 for part in parts for t in part]
 
 
 def train(docs: DataFrame, labels: DataFrame, label: str, key: str = "doc_id", text: str = "text",
           sample_rows: int = SAMPLE_ROWS) -> Model | None:
     """Fits on at most ``sample_rows`` labelled documents of each class, chosen by a hash.
 
-    Half of them trains the dictionaries, half calibrates. None if a class has under two.
+    Half of them trains the dictionaries, half calibrates. None if a class has under two. An id
+    with several labels is toxic if one says so; of several rows of an id one text trains. Ties in
+    the hash go to the smaller id; other columns are left out, whatever their names.
     """
     known = labels.filter(F.col(key).isNotNull() & F.col(label).isNotNull()).groupBy(key).agg(F.max(label).alias("y"))
     sizes = dict(known.groupBy((F.col("y") > 0).cast("int")).count().collect())
@@ -164,9 +169,10 @@ def train(docs: DataFrame, labels: DataFrame, label: str, key: str = "doc_id", t
     for y in (0, 1):
         part = known.filter((F.col("y") > 0) == F.lit(bool(y))).orderBy(F.xxhash64(key), key).limit(sample_rows)
         chosen = part if chosen is None else chosen.union(part)
-    # At most twice sample_rows ids.
+    # At most twice sample_rows ids, and one text of each, however many rows have it.
     texts = docs.select(F.col(key), F.col(text).alias("t"))
-    rows = texts.join(F.broadcast(chosen), key).select("t", "y", F.xxhash64(key).alias("h")).collect()
+    one = texts.join(F.broadcast(chosen), key).groupBy(key, "y").agg(F.min("t").alias("t"))
+    rows = one.select("t", "y", F.xxhash64(key).alias("h")).collect()
     rows.sort(key=lambda r: (r.h, r.y, r.t or ""))
     split: dict[tuple[int, int], list[list[bytes]]] = {(h, y): [] for h in (0, 1) for y in (0, 1)}
     for n, r in enumerate(rows):
@@ -186,7 +192,8 @@ def train(docs: DataFrame, labels: DataFrame, label: str, key: str = "doc_id", t
 def toxicity(docs: DataFrame, model: Model | None, key: str = "doc_id", text: str = "text") -> DataFrame:
     """(key, score) for each row; the whole text counts. Null is scored as empty text.
 
-    Without a model (too few labels) the score is 0.
+    Without a model (too few labels) the score is 0. Repeated rows are each scored, an empty table
+    gives no rows.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -194,6 +201,7 @@ def toxicity(docs: DataFrame, model: Model | None, key: str = "doc_id", text: st
             scores = _scores(batch.column(1), model)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(scores, pa.float64())], ["k", "score"])
         _savings.cache_clear()
+        release()
 
     kind = dict(docs.dtypes)[key]
     plain = docs.select(F.col(key).alias("k"), F.col(text).alias("t"))
@@ -203,11 +211,12 @@ def toxicity(docs: DataFrame, model: Model | None, key: str = "doc_id", text: st
 def without_toxic(docs: DataFrame, model: Model | None, text: str = "text", limit: float = 0.5) -> DataFrame:
     """The rows whose text scores below the limit, with the columns of the input."""
 
-    at = docs.columns.index(text)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            yield batch.filter(pa.array(np.array(_scores(batch.column(at), model)) < limit))
+    def run(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for part in texts:
+            yield pa.array(np.array(_scores(part, model)) < limit, pa.bool_())
         _savings.cache_clear()
+        release()
 
-    return docs.mapInArrow(run, docs.schema)
+    # Only the text goes to Python, and only the verdict comes back.
+    run.__annotations__ = {"texts": Iterator[pa.Array], "return": Iterator[pa.Array]}
+    return docs.filter(F.arrow_udf(run, "boolean")(F.col(text)))

@@ -536,3 +536,13 @@ def test_numbered(spark):
     for v, n in ((0, 857), (1, 143)):
         got = sorted(r.number for r in shared.numbered(df, "v", "number").filter(f"v = {v}").collect())
         assert got == list(range(n))
+
+
+def test_toxicity_takes_one_text_of_an_id(spark):
+    """A labelled id that a third of all rows share sends one text to training."""
+    rows = [(i, f"plain words {i}" if i % 2 else f"horrid vermin {i}") for i in range(40)] + [(3, f"copy {i}") for i in range(2000)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    labels = spark.createDataFrame([(i, 1 - i % 2) for i in range(40)], "doc_id long, toxic int")
+    assert toxicity.train(df, labels, "toxic") is not None
+    texts = df.join(labels, "doc_id").groupBy("doc_id", F.col("toxic").alias("y")).agg(F.min("text").alias("t"))
+    assert toxicity.train(df, labels, "toxic") == toxicity.train(texts.selectExpr("doc_id", "t AS text"), labels, "toxic")
