@@ -12,9 +12,13 @@ FOLD_AT = 78
 
 
 def fold(line: Column) -> Column:
-    """Fold a header line at blanks so that lines stay within the limit where they can."""
+    """Fold a header line at blanks so that lines stay within the limit where they can.
+
+    The pattern tries every place of a text, so it only sees lines with a blank inside: encoded words have none.
+    """
     pattern = rf"(?=[^\r\n]{{{FOLD_AT - 1}}})([^\r\n]{{1,{FOLD_AT - 2}}}) (?=\S)"
-    return F.regexp_replace(line, pattern, "$1\r\n ")
+    folded = lambda t: F.when(F.rlike(t, F.lit(r"[^\r\n] \S")), F.regexp_replace(t, pattern, "$1\r\n ")).otherwise(t)
+    return F.array_join(F.transform(F.split(line, "\n"), folded), "\n")
 
 
 def field(name: str, value: Column) -> Column:

@@ -130,21 +130,23 @@ def decode_words(df: DataFrame, col: str, rare: bool = False) -> DataFrame:
 def encode_words(df: DataFrame, col: str, charset: str = "utf-8", chunk: int = 15) -> DataFrame:
     """Header text to encoded words where needed, whole characters per word."""
     value = F.col(col)
-    kind = text.choose_word_encoding(value, charset)
     pieces = F.regexp_extract_all(value, F.lit(rf"(?s).{{1,{chunk}}}"), F.lit(0))
-    words = F.transform(
-        pieces,
-        lambda p: F.concat(
-            F.lit(f"=?{charset}?"),
-            kind,
-            F.lit("?"),
-            F.when(kind == "B", codecs.base64_text(p)).otherwise(codecs.word_q(p)),
-            F.lit("?="),
-        ),
-    )
-    return df.withColumn(
-        col, F.when(text.word_needs_encoding(value, charset), F.array_join(words, "\r\n ")).otherwise(value)
-    )
+
+    def words(kind: Column) -> Column:
+        # The kind comes from the whole text, so it is found once and not once a word.
+        return F.transform(
+            pieces,
+            lambda p: F.concat(
+                F.lit(f"=?{charset}?"),
+                kind,
+                F.lit("?"),
+                F.when(kind == "B", codecs.base64_text(p)).otherwise(codecs.word_q(p)),
+                F.lit("?="),
+            ),
+        )
+
+    encoded = F.array_join(text.bound(text.choose_word_encoding(value, charset), words), "\r\n ")
+    return df.withColumn(col, F.when(text.word_needs_encoding(value, charset), encoded).otherwise(value))
 
 
 def explode_addresses(df: DataFrame, col: str) -> DataFrame:
