@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from postmeter.functions.text import bound
+
 # One pass over a mail date. Every piece is possessive, so a date is read from
 # left to right without going back, and each piece may be missing.
 _MAIL_DATE = (
@@ -75,38 +77,41 @@ def mail_date(text: Column, now: Column | None = None) -> Column:
 
     ``now`` gives the year of a date that has none before its time.
     """
-    parts = F.split(F.regexp_replace(text, _MAIL_DATE, _PIECES), _SEP)
-
-    def part(i: int) -> Column:
-        return F.get(parts, F.lit(i))
-
-    def number(c: Column, top: int, low: int, default: int) -> Column:
-        n = c.try_cast("int")
-        return F.when(n.between(low, top), n).otherwise(default)
-
-    day = number(F.when(part(0) != "", part(0)).otherwise(part(2)), 31, 1, 1)
-    raw_year = part(4).try_cast("int")
-    this_year = F.year(now) if now is not None else F.lit(1970)
-    year = (
-        F.when(part(3) != "", this_year)
-        .when(part(4) == "", 1970)
-        .when(raw_year < 70, raw_year + 2000)
-        .when(raw_year < 1000, raw_year + 1900)
-        .when(raw_year <= 9999, raw_year)
-    )
-    zone = _zone(part(8), part(9), part(10))
-    # Days and minutes are added to the first of the month, so 31 June is 1 July.
-    seconds = (
-        F.unix_date(F.make_date(year, _month(part(1)), F.lit(1))).cast("bigint") * 86400
-        + (day - 1) * 86400
-        + number(part(5), 23, 0, 0) * 3600
-        + number(part(6), 59, 0, 0) * 60
-        + number(part(7), 59, 0, 0)
-        - zone * 60
-    )
-    return F.when(
-        text.isNotNull(), F.struct(F.timestamp_seconds(seconds).alias("ts"), zone.alias("zone_min"))
-    )
+    pieces = F.split(F.regexp_replace(text, _MAIL_DATE, _PIECES), _SEP)
+
+    def read(parts: Column) -> Column:
+        def part(i: int) -> Column:
+            return F.get(parts, F.lit(i))
+
+        def number(c: Column, top: int, low: int, default: int) -> Column:
+            n = c.try_cast("int")
+            return F.when(n.between(low, top), n).otherwise(default)
+
+        day = number(F.when(part(0) != "", part(0)).otherwise(part(2)), 31, 1, 1)
+        raw_year = part(4).try_cast("int")
+        this_year = F.year(now) if now is not None else F.lit(1970)
+        year = (
+            F.when(part(3) != "", this_year)
+            .when(part(4) == "", 1970)
+            .when(raw_year < 70, raw_year + 2000)
+            .when(raw_year < 1000, raw_year + 1900)
+            .when(raw_year <= 9999, raw_year)
+        )
+        # Days and minutes are added to the first of the month, so 31 June is 1 July.
+        local = (
+            F.unix_date(F.make_date(year, _month(part(1)), F.lit(1))).cast("bigint") * 86400
+            + (day - 1) * 86400
+            + number(part(5), 23, 0, 0) * 3600
+            + number(part(6), 59, 0, 0) * 60
+            + number(part(7), 59, 0, 0)
+        )
+        return bound(
+            _zone(part(8), part(9), part(10)),
+            lambda zone: F.struct(F.timestamp_seconds(local - zone * 60).alias("ts"), zone.alias("zone_min")),
+        )
+
+    # A date is taken apart once; all its numbers come from that.
+    return F.when(text.isNotNull(), bound(pieces, read))
 
 
 # The web date layouts differ in the separator and a leading weekday.

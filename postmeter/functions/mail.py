@@ -45,13 +45,18 @@ def header_fields(head: Column) -> Column:
     return F.transform(lines, one)
 
 
+def _is_named(name: str) -> str:
+    # Names of another length are passed over before their case is looked at.
+    return f"h -> char_length(h.name) = {len(name)} and lower(h.name) = '{name.lower()}'"
+
+
 def header_all(headers: str, name: str) -> Column:
     """All values of a field, in order, from the header column of that name."""
-    return F.expr(f"transform(filter({headers}, h -> lower(h.name) = '{name.lower()}'), h -> h.value)")
+    return F.expr(f"transform(filter({headers}, {_is_named(name)}), h -> h.value)")
 
 
 def header_first(headers: str, name: str) -> Column:
-    return F.expr(f"get(filter({headers}, h -> lower(h.name) = '{name.lower()}'), 0).value")
+    return F.expr(f"get(filter({headers}, {_is_named(name)}), 0).value")
 
 
 # Encoded words -------------------------------------------------------------

@@ -7,7 +7,7 @@ are byte sizes, and nothing is lost when a message is not valid UTF-8.
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 BLANKS = " \t\r\n"
@@ -27,6 +27,17 @@ def bound(value: Column, then) -> Column:
     return F.get(F.transform(F.array(value), then), F.lit(0))
 
 
+def settled(df: DataFrame, cols: list[str]) -> DataFrame:
+    """The same rows with these columns computed, once each.
+
+    The optimizer puts the expressions of a column back into every filter, join key and projection
+    behind it, so that a parse runs again for each of them and plans grow. It does not look through a
+    generator; the outer form keeps it from testing for empty arrays below.
+    """
+    keep = [c for c in df.columns if c not in cols]
+    return df.select(*keep, F.inline_outer(F.array(F.struct(*cols)))).select(*df.columns)
+
+
 def trim_blanks(text: Column) -> Column:
     return F.btrim(text, F.lit(BLANKS))
 

@@ -283,7 +283,8 @@ def explode_parts(messages: DataFrame) -> DataFrame:
     rows = rows.withColumn("__state", _folded()).select(*keep, F.inline(_parts()))
     for step in _parsed():
         rows = rows.withColumns(step)
-    return rows.select(*keep, F.size("part_path").alias("depth"), *PART_COLUMNS, "size")
+    rows = rows.select(*keep, F.size("part_path").alias("depth"), *PART_COLUMNS, "size")
+    return text.settled(rows, ["depth", *PART_COLUMNS, "size"])
 
 
 def part_tree(parts: DataFrame) -> DataFrame:
@@ -463,14 +464,15 @@ def receipts(parts: DataFrame) -> DataFrame:
     notices = parts.filter("depth = 1 and type = 'message' and subtype = 'disposition-notification'").filter(in_report)
     content = codecs.transfer_bytes(F.col("body"), codecs.encoding_name(F.col("encoding")))
     fields = mail.header_fields(F.get(mail.split_message(F.decode(content, "ISO-8859-1")), F.lit(0)))
-    rows = notices.select("msg_key", "part_path", fields.alias("f"))
+    rows = text.settled(notices.select("msg_key", "part_path", fields.alias("f")), ["f"])
     rows = rows.withColumn("__d", mail.receipt_disposition(mail.header_first("f", "disposition")))
-    return rows.select(
+    read = rows.select(
         "msg_key", "part_path",
         mail.message_id(mail.header_first("f", "original-message-id")).alias("original_id"),
         "__d.action_mode", "__d.sending_mode", "__d.type", "__d.modifiers",
         mail.header_first("f", "received-content-mic").alias("mic"),
     )
+    return text.settled(read, ["original_id"])
 
 
 def receipt_rate(receipts: DataFrame, sent: DataFrame, by: str) -> DataFrame:

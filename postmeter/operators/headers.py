@@ -25,14 +25,12 @@ def with_headers(messages: DataFrame, keep_body: bool = False) -> DataFrame:
     cols = [mail.header_fields(F.get("__m", F.lit(0))).alias("headers")]
     if keep_body:
         cols.append(F.coalesce(F.get("__m", F.lit(1)), F.lit("")).alias("body"))
-    return rows.select(*keep, *cols)
+    return text.settled(rows.select(*keep, *cols), ["headers", "body"] if keep_body else ["headers"])
 
 
 def explode_headers(messages: DataFrame) -> DataFrame:
     """One row per header field."""
     keep = [c for c in messages.columns if c != "raw"]
-    # The outer form keeps the optimizer from testing for empty headers below the
-    # parse, which would parse every message twice.
     return with_headers(messages).select(*keep, F.inline_outer("headers")).filter("pos is not null")
 
 

@@ -35,3 +35,31 @@ def test_fold_without_blanks_is_quick(spark):
         assert long.agg(F.sum(F.length(folded))).first()[0] == 4 * (4000 * 603 - 3)
         times[name] = time.monotonic() - begin
     assert times["new"] < times["old"] / 2, times
+
+
+def test_parse_is_not_put_into_filters(spark):
+    """A filter or join behind the parse reads its columns; the parse stands in the plan once."""
+    from postmeter.operators import bodies as b
+
+    raw = "From: a@b\r\nContent-Type: multipart/report; boundary=x\r\n\r\n--x\r\n\r\none\r\n--x--\r\n"
+    messages = spark.createDataFrame([("k", raw)], "msg_key string, raw string")
+    found = h.field(messages, "from")
+    assert [r["value"] for r in found.collect()] == ["a@b"]
+    one = plan_of(h.with_headers(messages)).count("regexp_replace")
+    assert plan_of(found).count("regexp_replace") == one
+    parts = b.explode_parts(messages)
+    once = plan_of(parts).count("split(")
+    assert plan_of(b.attachment_inventory(parts).select("msg_key")).count("split(") <= once
+    assert plan_of(parts.filter("type is null and content_id is null")).count("split(") <= once
+    assert [tuple(r) for r in parts.filter("type is null").select("part_path", "body").collect()] == [([0], "one")]
+
+
+def test_date_is_taken_apart_once(spark):
+    """The pattern of a date stands in the plan once, whatever is read from it."""
+    from postmeter.functions import dates
+
+    rows = spark.createDataFrame([("Mon, 01 Jan 2024 10:00:00 +0530",), (None,)], "s string")
+    read = rows.select(dates.mail_date(F.col("s")).alias("d")).select("d.ts", "d.zone_min")
+    assert plan_of(read).count("regexp_replace") <= 2
+    got = read.select(F.unix_seconds("ts"), "zone_min").collect()
+    assert [tuple(r) for r in got] == [(1704083400, 330), (None, None)]
