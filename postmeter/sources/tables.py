@@ -16,13 +16,16 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def spread(df: DataFrame) -> DataFrame:
-    """Use all cores where a scan has fewer tasks than the cluster has cores.
+    """Use all cores where a scan may have fewer tasks with rows than the cluster has cores.
 
-    Parsing is work per row. A table of few row groups would leave cores idle, so
-    it is dealt out; a table with enough splits of its own is left as it is.
+    Parsing is work per row. A file is read by its row groups, however many splits it is cut into:
+    splits that hold the middle of none stay empty, so splits tell nothing about tasks with rows.
+    Tables of fewer files than cores are dealt out; others are left as they are.
     """
     cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+    if len(df.inputFiles()) >= cores:
+        return df
+    return df.repartition(max(cores, df.rdd.getNumPartitions()))
 
 
 def texts(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -63,3 +63,20 @@ def test_date_is_taken_apart_once(spark):
     assert plan_of(read).count("regexp_replace") <= 2
     got = read.select(F.unix_seconds("ts"), "zone_min").collect()
     assert [tuple(r) for r in got] == [(1704083400, 330), (None, None)]
+
+
+def test_one_row_group_uses_all_cores(spark, tmp_path):
+    """A file of one row group is cut into many splits, but only one of them has rows."""
+    from postmeter.sources.tables import texts
+
+    rows = spark.range(4000).select("id", F.concat_ws("", F.transform(F.sequence(F.lit(1), F.lit(60)), lambda x: F.uuid())).alias("t"))
+    rows.coalesce(1).write.parquet(str(tmp_path / "rows.parquet"))
+    before = spark.conf.get("spark.sql.files.openCostInBytes")
+    spark.conf.set("spark.sql.files.openCostInBytes", "65536")
+    try:
+        cores = spark.sparkContext.defaultParallelism
+        assert spark.read.parquet(str(tmp_path / "rows.parquet")).rdd.getNumPartitions() >= cores
+        used = texts(spark, str(tmp_path), "rows").groupBy(F.spark_partition_id().alias("p")).count().collect()
+    finally:
+        spark.conf.set("spark.sql.files.openCostInBytes", before)
+    assert len(used) >= cores and sum(r["count"] for r in used) == 4000
