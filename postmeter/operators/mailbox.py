@@ -240,16 +240,21 @@ def to_ranges(df: DataFrame, keys: Sequence[str], n: str, width: int = NUMBER_WI
     """Numbers to the least list of ranges per key.
 
     Islands are found inside slices of the number line. Only islands that touch
-    the edge of their slice, two per slice at most, go on to be joined up.
+    the edge of their slice, two per slice at most, go on to be joined up. Inside a slice the
+    numbers are sorted once and only ends of islands are kept: no table of numbers is held.
     """
-    numbers = df.select(*keys, F.col(n).cast("bigint").alias("n")).distinct()
-    sl = F.floor(F.col("n") / width)
+    numbers = df.select(*keys, F.col(n).cast("bigint").alias("n")).filter("n is not null")
     w = Window.partitionBy(*keys, "s").orderBy("n")
+    ends = (
+        numbers.withColumn("s", F.floor(F.col("n") / width))
+        .withColumns({"begins": F.coalesce(F.col("n") > F.lag("n").over(w) + 1, F.lit(True)), "ends": F.coalesce(F.lead("n").over(w) > F.col("n") + 1, F.lit(True))})
+        .filter("begins or ends")
+    )
+    # Behind the begin of an island its end comes next; a lone number is both.
     islands = (
-        numbers.withColumn("s", sl)
-        .withColumn("g", F.col("n") - F.row_number().over(w))
-        .groupBy(*keys, "s", "g")
-        .agg(F.min("n").alias("lo"), F.max("n").alias("hi"))
+        ends.withColumn("hi", F.when(F.col("ends"), F.col("n")).otherwise(F.lead("n").over(w)))
+        .filter("begins")
+        .select(*keys, "s", F.col("n").alias("lo"), "hi")
     )
     touches = (F.col("lo") == F.col("s") * width) | (F.col("hi") == F.col("s") * width + width - 1)
     inner = islands.filter(~touches).select(*keys, "lo", "hi")

@@ -80,3 +80,15 @@ def test_one_row_group_uses_all_cores(spark, tmp_path):
     finally:
         spark.conf.set("spark.sql.files.openCostInBytes", before)
     assert len(used) >= cores and sum(r["count"] for r in used) == 4000
+
+
+def test_ranges_hold_no_numbers(spark):
+    """Islands come from sorted numbers; only islands at the edge of a slice are grouped."""
+    from postmeter.operators import mailbox as mb
+
+    ns = [1, 1, 2, 3, 3, 5, 7, 8, 9, 15, 16, 16, 17, None, -1, -2, 0]
+    rows = spark.createDataFrame([(k, n) for k in ("a", None) for n in ns] + [("b", None), ("c", 4)], "k string, n long")
+    got = mb.to_ranges(rows, ["k"], "n", width=4)
+    assert plan_of(got).count("Aggregate") == 1
+    want = [(-2, 3), (5, 5), (7, 9), (15, 17)]
+    assert sorted((str(r.k), r.lo, r.hi) for r in got.collect()) == sorted([(k, *x) for k in ("a", "None") for x in want] + [("c", 4, 4)])
