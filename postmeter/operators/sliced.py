@@ -17,6 +17,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from postmeter.functions.text import settled
+
 KEY, SLICE = "__key", "__slice"
 
 
@@ -80,13 +82,22 @@ def last_known(
     slice_by: Column,
     name: str,
 ) -> DataFrame:
-    """Add ``name``: the newest non-null ``value`` at or before this row."""
-    w = Window.partitionBy(KEY, SLICE).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    """Add ``name``: the newest non-null ``value`` at or before this row.
+
+    The last row of a slice knows what the slice ends with, so nothing is grouped. Both branches take
+    whole rows, so they read the same exchange and the source once.
+    """
+    w = Window.partitionBy(KEY, SLICE).orderBy(*order)
+    up_to = w.rowsBetween(Window.unboundedPreceding, 0)
     rows = _prepare(df, keys, slice_by).withColumn("__v", value)
-    newest = F.max_by("__v", F.when(F.col("__v").isNotNull(), F.struct(*order)))
-    carried = _carry(rows, newest, lambda c: F.last(c, ignorenulls=True))
-    out = _attach(rows.withColumn("__p", F.last("__v", ignorenulls=True).over(w)), carried)
-    return out.withColumn(name, F.coalesce("__p", "__carry")).drop("__v", "__p", "__carry", KEY, SLICE)
+    seen = rows.withColumns(
+        {"__p": F.last("__v", ignorenulls=True).over(up_to), "__last": F.lead(F.lit(True)).over(w).isNull()}
+    )
+    seen = settled(seen, seen.columns)
+    before = Window.partitionBy(KEY).orderBy(SLICE).rowsBetween(Window.unboundedPreceding, -1)
+    carried = seen.filter("__last").select(KEY, SLICE, F.last("__p", ignorenulls=True).over(before).alias("__carry"))
+    out = _attach(seen, carried)
+    return out.withColumn(name, F.coalesce("__p", "__carry")).drop("__v", "__p", "__last", "__carry", KEY, SLICE)
 
 
 def running_max(

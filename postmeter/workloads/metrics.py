@@ -322,7 +322,10 @@ SELECT node, metric, epoch_us(ts) AS ts_us, known AS value FROM (
 WHERE mark = 1 AND known IS NOT NULL""")
 def fill_forward(spark: SparkSession, sf: str) -> DataFrame:
     base = metrics(spark, sf)
-    wanted = base.select("node", "metric").distinct().join(ticks(spark, sf), "node").select(
+    # Small tables with a large product: a fixed number keeps their partitions from being merged.
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    series = base.select("node", "metric").distinct().repartition(parts, "node")
+    wanted = series.join(ticks(spark, sf).repartition(parts, "node"), "node").select(
         "node", "metric", F.timestamp_micros(F.col("tick") * TICK_SECONDS * 1_000_000).alias("ts")
     )
     return m.fill_forward(m.changes_only(base), wanted).select(

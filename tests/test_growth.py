@@ -92,3 +92,14 @@ def test_ranges_hold_no_numbers(spark):
     assert plan_of(got).count("Aggregate") == 1
     want = [(-2, 3), (5, 5), (7, 9), (15, 17)]
     assert sorted((str(r.k), r.lo, r.hi) for r in got.collect()) == sorted([(k, *x) for k in ("a", "None") for x in want] + [("c", 4, 4)])
+
+
+def test_fill_forward_sorts_once(spark):
+    """What a slice ends with comes from its window: no grouping by sort, and the rows are computed once."""
+    from postmeter.workloads import QUERIES
+
+    df = QUERIES["m11_fill_forward"](spark, "/root/testdata/sf0.001")
+    assert "SortAggregate" not in df._jdf.queryExecution().executedPlan().toString()
+    df.collect()
+    plan = df._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
+    assert plan.count("Union") == 1 and plan.count("REPARTITION_BY_NUM") == 2
