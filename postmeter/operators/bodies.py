@@ -364,42 +364,88 @@ def attachment_inventory(parts: DataFrame, inline: bool = False) -> DataFrame:
     )
 
 
-def text_parts(parts: DataFrame) -> DataFrame:
-    """Plain and html texts: the root of a message of one part, else the inline text children."""
+def is_text_part() -> Column:
+    """Texts of a message: its root where that is its only part, else the inline text children."""
     alone = (F.col("depth") == 0) & (F.col("n_children") == 0)
     typed_text = F.col("type") == "text"
     child = (F.col("depth") > 0) & typed_text & (F.coalesce("disposition", F.lit("inline")) == "inline")
+    return (alone & (typed_text | F.col("type").isNull())) | child
+
+
+def text_parts(parts: DataFrame) -> DataFrame:
+    """Plain and html texts: the root of a message of one part, else the inline text children."""
     subtype = F.when(F.col("type").isNull(), F.lit("plain")).otherwise(F.col("subtype"))
-    return parts.filter((alone & (typed_text | F.col("type").isNull())) | child).withColumn(
+    return parts.filter(is_text_part()).withColumn(
         "kind", subtype
     ).filter(F.col("kind").isin("plain", "html"))
 
 
+def _with_objects(parts: DataFrame, keep: list[str]) -> DataFrame:
+    """``msg_key, texts, objects``: the decoded html texts of a message and its parts that have a content id or location.
+
+    Both are rows of the same parse, so a message is opened once and its rows meet in one exchange.
+    """
+    html = F.col("__kind") == "html"
+    content = F.decode(codecs.transfer_bytes(F.col("body"), codecs.encoding_name(F.col("encoding"))), "ISO-8859-1")
+    octet = lambda c: F.decode(F.col(c).cast("binary"), "ISO-8859-1")
+    kind = F.when(is_text_part(), F.when(F.col("type").isNull(), "plain").otherwise(F.col("subtype")))
+    rows = parts.withColumn("__kind", kind).select(
+        "msg_key",
+        F.when(html, F.struct(F.col("part_path").alias("path"), content.alias("html"))).alias("t"),
+        F.when(
+            F.col("content_id").isNotNull() | F.col("location").isNotNull(),
+            F.struct(*keep, octet("content_id").alias("id_octets"), octet("location").alias("location_octets")),
+        ).alias("o"),
+    )
+    found = text.settled(rows, ["t", "o"]).filter("t is not null or o is not null")
+    return found.groupBy("msg_key").agg(F.collect_list("t").alias("texts"), F.collect_list("o").alias("objects"))
+
+
+def _shown_by_id(html: Column, o: Column) -> Column:
+    return F.contains(html, F.concat(F.lit("cid:"), o["id_octets"])) | F.contains(html, F.concat(F.lit("CID:"), o["id_octets"]))
+
+
+def _shown_by_location(html: Column, o: Column) -> Column:
+    return F.contains(html, o["location_octets"])
+
+
 def embedded_objects(parts: DataFrame) -> DataFrame:
     """Html parts with the parts they show, by content id or by location.
 
     An object matches when the html holds ``cid:`` and its id, or its location,
     anywhere; both rules can list the same object. Pairs form within a message only.
     """
-    html = text_parts(parts).filter("kind = 'html'")
-    content = codecs.transfer_bytes(F.col("body"), codecs.encoding_name(F.col("encoding")))
-    texts = html.select("msg_key", F.col("part_path").alias("html_path"), F.decode(content, "ISO-8859-1").alias("html"))
-    octet = lambda c: F.decode(c.cast("binary"), "ISO-8859-1")
-    keys = F.array_compact(
-        F.array(
-            F.when(F.col("content_id").isNotNull(), F.struct(F.lit("id").alias("rule"), F.col("content_id").alias("ref"))),
-            F.when(F.col("location").isNotNull(), F.struct(F.lit("location").alias("rule"), F.col("location").alias("ref"))),
+    rows = _with_objects(parts, ["part_path", "content_id", "location"]).filter("msg_key is not null")
+
+    def pairs(t: Column) -> Column:
+        def rules(o: Column) -> Column:
+            pair = lambda rule, ref: F.struct(
+                t["path"].alias("html_path"), o["part_path"].alias("object_path"), F.lit(rule).alias("rule"), ref.alias("ref")
+            )
+            return F.array_compact(
+                F.array(
+                    F.when(_shown_by_id(t["html"], o), pair("id", o["content_id"])),
+                    F.when(_shown_by_location(t["html"], o), pair("location", o["location"])),
+                )
+            )
+
+        return F.flatten(F.transform(F.filter("objects", lambda o: F.size(o["part_path"]) > 0), rules))
+
+    return rows.select("msg_key", F.inline(F.flatten(F.transform("texts", pairs))))
+
+
+def object_coverage(parts: DataFrame) -> DataFrame:
+    """Parts with a content id, ``msg_key, part_path, subtype``, and whether an html part of their message shows them."""
+
+    def shown(o: Column) -> Column:
+        by_any = F.exists(
+            "texts", lambda t: F.coalesce(_shown_by_id(t["html"], o), F.lit(False)) | F.coalesce(_shown_by_location(t["html"], o), F.lit(False))
         )
-    )
-    objects = parts.filter("depth > 0").select(
-        "msg_key", F.col("part_path").alias("object_path"), F.inline(keys)
-    )
-    ref = octet(F.col("ref"))
-    shown = F.when(
-        F.col("rule") == "id",
-        F.contains("html", F.concat(F.lit("cid:"), ref)) | F.contains("html", F.concat(F.lit("CID:"), ref)),
-    ).otherwise(F.contains("html", ref))
-    return texts.join(objects, "msg_key").filter(shown).select("msg_key", "html_path", "object_path", "rule", "ref")
+        return F.col("msg_key").isNotNull() & (F.size(o["part_path"]) > 0) & by_any
+
+    named = F.filter("objects", lambda o: o["content_id"].isNotNull())
+    listed = F.transform(named, lambda o: F.struct(o["part_path"].alias("part_path"), o["subtype"].alias("subtype"), shown(o).alias("shown")))
+    return _with_objects(parts, ["part_path", "subtype", "content_id"]).select("msg_key", F.inline(listed))
 
 
 def plain_alternative(parts: DataFrame) -> DataFrame:

@@ -71,11 +71,8 @@ def attachment_report(spark: SparkSession, sf: str) -> DataFrame:
 @query("j6_embedded_coverage", "SELECT subtype, count(*) AS objects, count(CASE WHEN subtype = 'png' THEN 1 END) AS shown FROM pages, (VALUES ('png'), ('gif')) t(subtype) GROUP BY 1")
 def embedded_coverage(spark: SparkSession, sf: str) -> DataFrame:
     """Objects with a content id, and how many of them an html part shows."""
-    parts = page_parts(spark, sf)
-    shown = b.embedded_objects(parts).select("msg_key", F.col("object_path").alias("part_path"), F.lit(1).alias("s")).distinct()
-    objects = parts.filter("content_id is not null").select("msg_key", "part_path", "subtype")
-    return objects.join(shown, ["msg_key", "part_path"], "left").groupBy("subtype").agg(
-        F.count(F.lit(1)).alias("objects"), F.count("s").alias("shown")
+    return b.object_coverage(page_parts(spark, sf)).groupBy("subtype").agg(
+        F.count(F.lit(1)).alias("objects"), F.count_if("shown").alias("shown")
     )
 
 

@@ -103,3 +103,26 @@ def test_fill_forward_sorts_once(spark):
     df.collect()
     plan = df._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
     assert plan.count("Union") == 1 and plan.count("REPARTITION_BY_NUM") == 2
+
+
+def test_objects_are_opened_once(spark):
+    """Html texts and the objects they show come from one parse of their message."""
+    from postmeter.operators import bodies as b
+    from postmeter.workloads import QUERIES
+
+    for name in ("e42_embedded_objects", "j6_embedded_coverage"):
+        plan = QUERIES[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+        assert plan.count("FileScan") == 1
+    part = "\r\n--B\r\nContent-Type: image/{}\r\n{}\r\n\r\n1"
+    raw = (
+        "Content-Type: multipart/related; boundary=B\r\nContent-ID: <a>\r\n\r\n--B\r\nContent-Type: text/html\r\n\r\n<img src=\"cid:a\"> http://h/2"
+        + part.format("png", "Content-ID: <a>") + part.format("gif", "Content-ID: <no>\r\nContent-Location: http://h/2")
+        + part.format("png", "Content-ID: <no>") + part.format("bmp", "Content-Location: http://h/2") + "\r\n--B--"
+    )
+    messages = spark.createDataFrame([("k", raw), ("l", "From: a@b\r\n\r\nx"), (None, raw)], "msg_key string, raw string")
+    parts = b.explode_parts(messages)
+    got = sorted((r.msg_key, list(r.html_path), list(r.object_path), r.rule, r.ref) for r in b.embedded_objects(parts).collect())
+    assert got == [("k", [0], [1], "id", "a"), ("k", [0], [2], "location", "http://h/2"), ("k", [0], [4], "location", "http://h/2")]
+    seen = sorted((str(r.msg_key), list(r.part_path), r.subtype, r.shown) for r in b.object_coverage(parts).collect())
+    each = lambda key, known: [(key, [], "related", False), (key, [1], "png", known), (key, [2], "gif", known), (key, [3], "png", False)]
+    assert seen == each("None", False) + each("k", True)
