@@ -24,8 +24,21 @@ _FIELD = r"^(?![ \t])[^\s:]*[ \t]*:"
 
 
 def split_message(text: Column) -> Column:
-    """Octet string to ``[head, body]``; the body is missing when no line ends the header."""
-    return F.split(F.concat(F.lit("\n"), text), HEADER_END, 2)
+    """Octet string to ``[head, body]``; the body is missing when no line ends the header.
+
+    The end is looked for once: a split with a limit would go on through the whole body.
+    """
+
+    def cut(whole: Column) -> Column:
+        parts = lambda end, at: F.array(F.substr(whole, F.lit(1), at - 1), F.substr(whole, at + F.char_length(end)))
+        return bound(
+            F.regexp_extract(whole, HEADER_END, 0),
+            lambda end: F.when(end == "", F.array(whole)).otherwise(
+                bound(F.regexp_instr(whole, F.lit(HEADER_END)), lambda at: parts(end, at))
+            ),
+        )
+
+    return F.when(text.isNotNull(), bound(F.concat(F.lit("\n"), text), cut))
 
 
 def header_fields(head: Column) -> Column:

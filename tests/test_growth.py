@@ -126,3 +126,21 @@ def test_objects_are_opened_once(spark):
     seen = sorted((str(r.msg_key), list(r.part_path), r.subtype, r.shown) for r in b.object_coverage(parts).collect())
     each = lambda key, known: [(key, [], "related", False), (key, [1], "png", known), (key, [2], "gif", known), (key, [3], "png", False)]
     assert seen == each("None", False) + each("k", True)
+
+
+def test_header_end_is_found_without_the_body(spark):
+    """Time to split a message does not grow with the lines of its body as a scan of all of them does."""
+    from postmeter.functions import mail
+
+    raw = F.concat(F.lit("A: b\r\n\r\n"), F.repeat(F.lit("word " * 14 + "\r\n\r\n"), 20000))
+    rows = spark.range(0, 40, 1, 1).select(F.concat(raw, F.col("id").cast("string")).alias("t"))
+    cases = ["A: b\n\nbody\n\nmore", "\n\nx", "no end", "", " \nbody", "bad line\n \nbody", "A: b\n \nB: c\r\n\r\n", None]
+    texts = spark.createDataFrame([(c,) for c in cases], "t string")
+    old = lambda c: F.split(F.concat(F.lit("\n"), c), mail.HEADER_END, 2)
+    assert texts.filter(~mail.split_message(F.col("t")).eqNullSafe(old(F.col("t")))).count() == 0
+    times = {}
+    for name, rule in (("new", mail.split_message), ("old", old), ("new", mail.split_message)):
+        begin = time.monotonic()
+        assert rows.agg(F.sum(F.size(rule(F.col("t"))))).first()[0] == 80
+        times[name] = time.monotonic() - begin
+    assert times["new"] < times["old"] * 0.7, times
