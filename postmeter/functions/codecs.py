@@ -49,26 +49,16 @@ def _percent(data: Column) -> Column:
     return F.replace(F.url_encode(data), F.lit("+"), F.lit("%20"))
 
 
-def _unescape_printable(text: Column, keep_escaped: str) -> Column:
-    """Turn ``%XX`` of printable ASCII back into characters, but for those in ``keep_escaped``."""
-    out = text
-    for code in range(33, 127):
-        ch = chr(code)
-        if ch.isalnum() or ch in "*-._%" or ch in keep_escaped:
-            continue
-        out = F.replace(out, F.lit(f"%{code:02X}"), F.lit(ch))
-    return out
+# Percent escapes of all bytes but printable ASCII and line ends; ``=`` and ``?`` stay escaped as well.
+_KEPT_ESCAPES = "%(3D|3F|7F|0[0-9BCEF]|1[0-9A-F]|[89A-F][0-9A-F])"
 
 
 def quoted_printable(text: Column, wrap: int | None = 74) -> Column:
     """Encode text lines; ``=``, ``?``, tabs, trailing blanks and a leading dot are escaped."""
-    body = _unescape_printable(_percent(text), keep_escaped="=?")
-    body = F.replace(F.replace(body, F.lit("%0D"), F.lit("\r")), F.lit("%0A"), F.lit("\n"))
-    body = F.regexp_replace(body, r"%20(?![\r\n]|\z)", " ")
-    body = F.regexp_replace(body, r"(?<=\n|\A)\.", "%2E")
-    # A literal percent sign was escaped by the first step as well.
-    body = F.replace(F.replace(body, F.lit("%25"), F.lit("\x00")), F.lit("%"), F.lit("="))
-    body = F.replace(body, F.lit("\x00"), F.lit("%"))
+    # Escapes that stay are taken out of the way of one pass that undoes the others.
+    body = F.url_decode(F.regexp_replace(F.url_encode(text), _KEPT_ESCAPES, "=$1"))
+    body = F.regexp_replace(body, r" (?=[\r\n]|\z)", "=20")
+    body = F.regexp_replace(body, r"(\n|\A)\.", "$1=2E")
     if wrap is None:
         return body
     # A soft break falls once a line has reached its columns, never inside an
@@ -77,7 +67,7 @@ def quoted_printable(text: Column, wrap: int | None = 74) -> Column:
     columns = wrap - 1
     line = rf"(?:\G|(?<=\n))((?:\.[^\r\n]{{{columns - 3}}}|[^.\r\n][^\r\n]{{{columns - 1}}}){whole})"
     body = F.regexp_replace(body, line, "$1=\r\n")
-    return F.regexp_replace(body, r"(?<==\r\n)\.", "=2E")
+    return F.regexp_replace(body, r"=\r\n\.", "=\r\n=2E")
 
 
 def quoted_printable_bytes(text: Column, header: bool = False) -> Column:

@@ -120,7 +120,7 @@ def choose_encoding(
     # Bytes below 127: ASCII without DEL.
     low = F.char_length(F.regexp_replace(text, r"[^\x00-\x7E]+", ""))
     high = size - low
-    long_line = F.rlike(text, F.lit(r"[^\n]{%d}" % (LINE_LIMIT + 1))) | text.contains("\n.")
+    long_line = F.rlike(text, F.lit(r"(?:\A|\n)[^\n]{%d}" % (LINE_LIMIT + 1))) | text.contains("\n.")
     by_content = (
         F.when((size == 0) | (size >= inspect_below if inspect_below else F.lit(False)), F.lit("base64"))
         .when(high == 0, F.when(long_line, F.lit("quoted-printable")).otherwise(F.lit("7bit")))

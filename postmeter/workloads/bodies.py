@@ -106,7 +106,7 @@ def encode_parts(spark: SparkSession, sf: str) -> DataFrame:
     back = codecs.transfer_bytes(octet, codecs.encoding_name(F.col("encoding")))
     return out.select(
         "doc_id", F.md5(back).alias("digest"),
-        ((F.col("encoding") == "7bit") | ~F.rlike("t", F.lit(r"[^\n]{78}"))).alias("lines_ok"),
+        ((F.col("encoding") == "7bit") | ~F.rlike("t", F.lit(r"(?:\A|\n)[^\n]{78}"))).alias("lines_ok"),
     )
 
 

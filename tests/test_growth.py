@@ -144,3 +144,18 @@ def test_header_end_is_found_without_the_body(spark):
         assert rows.agg(F.sum(F.size(rule(F.col("t"))))).first()[0] == 80
         times[name] = time.monotonic() - begin
     assert times["new"] < times["old"] * 0.7, times
+
+
+def test_printable_is_unescaped_in_one_pass(spark):
+    """Quoted-printable does not look for each printable character apart."""
+    from postmeter.functions import codecs
+
+    plan = plan_of(spark.range(1).select(codecs.quoted_printable(F.col("id").cast("string")).alias("t")))
+    assert plan.count("replace(") < 10
+    cases = ["a=b?", "100% a+b %41", " x \r\n.y \n\t~\x7f", "é😀", "", None, "." * 100, "a b " * 40 + " "]
+    rows = spark.createDataFrame([(c,) for c in cases], "t string")
+    got = [r.q for r in rows.select(codecs.quoted_printable(F.col("t")).alias("q")).collect()]
+    assert got[:6] == ["a=3Db=3F", "100% a+b %41", " x=20\r\n=2Ey=20\n=09~=7F", "=C3=A9=F0=9F=98=80", "", None]
+    assert got[6] == "=2E" + "." * 70 + "=\r\n=2E" + "." * 28
+    back = [r.b for r in rows.select(codecs.quoted_printable_bytes(codecs.quoted_printable(F.col("t"))).alias("b")).collect()]
+    assert [x if x is None else bytes(x).decode() for x in back] == cases
