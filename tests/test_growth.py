@@ -159,3 +159,18 @@ def test_printable_is_unescaped_in_one_pass(spark):
     assert got[6] == "=2E" + "." * 70 + "=\r\n=2E" + "." * 28
     back = [r.b for r in rows.select(codecs.quoted_printable_bytes(codecs.quoted_printable(F.col("t"))).alias("b")).collect()]
     assert [x if x is None else bytes(x).decode() for x in back] == cases
+
+
+def test_listing_takes_many_files_a_task(spark, tmp_path):
+    """Files that are not opened are not counted as megabytes: a store needs few tasks to be listed."""
+    from postmeter.sources import maildir
+
+    mails = spark.range(1500).select(
+        F.array(F.lit("box")).alias("folder"), F.concat(F.lit("m"), "id").alias("uid"), (F.col("id") % 2).cast("int").alias("flags"), F.lit("A: b").alias("raw")
+    )
+    root = str(tmp_path / "store")
+    maildir.write_maildir(mails, root, "nested")
+    listed = maildir.store_listing(spark, root, "nested")
+    assert listed.rdd.getNumPartitions() <= spark.sparkContext.defaultParallelism < 1500 // 32
+    got = listed.groupBy("folder", "state", "flags", "size").count().collect()
+    assert sorted((list(r.folder), r.state, r.flags, r.size, r["count"]) for r in got) == [(["box"], "cur", 1, 4, 750), (["box"], "new", 0, 4, 750)]
