@@ -138,6 +138,20 @@ def unshrink(data: bytes, kind: str, delta: bool = False) -> np.ndarray:
     return np.cumsum(values, dtype=kind) if delta else values
 
 
+def text_bytes(texts) -> tuple[np.ndarray, np.ndarray]:
+    """The bytes of an Arrow column of texts in a row, and the offsets of the texts; a null text is empty."""
+    import pyarrow as pa
+    import pyarrow.compute as pc
+
+    whole = pc.fill_null(texts.cast(pa.large_binary()), b"").combine_chunks()
+    if not len(whole):
+        return np.empty(0, np.uint8), np.zeros(1, np.int64)
+    _, ends, data = whole.buffers()
+    offsets = np.frombuffer(ends, np.int64)[whole.offset : whole.offset + len(whole) + 1]
+    raw = np.frombuffer(data or b"", np.uint8)[offsets[0] : offsets[-1]]
+    return raw, offsets - offsets[0]
+
+
 def run_pairs(sizes: np.ndarray, most: int = 1 << 21) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """Index pairs (i < j) within consecutive runs of the given sizes, about ``most`` at a time."""
     ends = np.repeat(np.cumsum(sizes), sizes)

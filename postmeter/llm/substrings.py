@@ -14,6 +14,9 @@ text and never updated or fed back. Three steps settle more and more windows of
    bucket are equal, the first of them is settled as well.
 3. What is left, mostly at the ends of shared passages, is refined window by window.
 
+A batch notes the places of the runs of step 2, so that the texts are hashed as a whole in the
+first two steps only; after them the bytes of the runs that are left do.
+
 Documents are dealt into batches in the order of their keys. A batch sends the distinct
 identifiers that it holds, split by range, and gets bits back for each. However often a string
 occurs, a batch sends it once, so there is no hot key.
@@ -23,34 +26,47 @@ from __future__ import annotations
 
 import hashlib
 import math
-from collections.abc import Callable, Iterable
+from collections.abc import Callable
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from postmeter.llm.shared import bucketed, releasing, shrink, stored, unshrink
+from postmeter.llm.shared import bucketed, releasing, shrink, stored, text_bytes, unshrink
 
 LENGTH = 50
 GRAM = 32
-#: Text of a batch, and identifiers of a range, in bytes.
-BATCH_BYTES = 1_000_000
-RANGE_BYTES = 4_000_000
+#: Text of a batch, and text whose identifiers make a range, in bytes. A batch sends a row to each range.
+BATCH_BYTES = 4_000_000
+RANGE_BYTES = 8_000_000
+#: Places hashed at a time, so that they stay in the processor's cache.
+CHUNK = 1 << 14
 #: Cuts of the key order that the driver holds; more batches divide these evenly.
 CUTS = 2000
 
 _A = np.uint64(0x9E3779B97F4A7C15)
 _BYTES = np.random.default_rng(0).integers(1, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+#: Factors of the doublings.
+_POWERS = {1 << i: np.uint64(pow(int(_A), 1 << i, 1 << 64)) for i in range(GRAM.bit_length() - 1)}
 #: Windows that can share a smallest identifier at one place; longer runs are cut at this length.
 WIDTH = LENGTH - GRAM + 1
 
 
 def _mix(h: np.ndarray) -> np.ndarray:
-    h = (h ^ (h >> np.uint64(32))) * _A
-    return h ^ (h >> np.uint64(29))
+    h = h ^ (h >> np.uint64(32))
+    h *= _A
+    h ^= h >> np.uint64(29)
+    return h
+
+
+def _spread(start: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The places of stretches in a row, and the stretch of each."""
+    own = np.repeat(np.arange(len(size)), size)
+    return np.arange(len(own)) + np.repeat(start - (np.cumsum(size) - size), size), own
 
 
 def identifiers(raw: np.ndarray) -> np.ndarray:
@@ -58,7 +74,9 @@ def identifiers(raw: np.ndarray) -> np.ndarray:
     h = _BYTES[raw]
     k = 1
     while k < GRAM:
-        h = h[:-k] * np.uint64(pow(int(_A), k, 1 << 64)) + h[k:]
+        longer = h[:-k] * _POWERS[k]
+        longer += h[k:]
+        h = longer
         k *= 2
     return _mix(h)
 
@@ -88,44 +106,44 @@ def _lowest(index: np.ndarray, rank: np.ndarray, count: int) -> np.ndarray:
     return out
 
 
+def _rank(keys: pd.Series) -> np.ndarray:
+    return keys.rank(method="dense", na_option="bottom").to_numpy().astype(np.int64)
+
+
 class Batch:
     """Windows of a batch's texts, in runs that share a bucket within a document."""
 
-    def __init__(self, keys: pd.Series, texts: Iterable[str | None]) -> None:
-        self.texts = [("" if t is None else t).encode() for t in texts]
-        rank = keys.rank(method="dense", na_option="bottom").to_numpy().astype(np.int64)
-        grams, low, self.at = [], [], []
-        for i, t in enumerate(self.texts):
-            if len(t) >= LENGTH:
-                h = identifiers(np.frombuffer(t, np.uint8))
-                grams.append(h)
-                low.append(smallest(h))
-                self.at.append(i)
-        none = np.empty(0, np.uint64)
-        self.grams = np.concatenate([none, *grams])
-        low = np.concatenate([none, *low])
-        sizes = np.array([len(self.texts[i]) - LENGTH + 1 for i in self.at], np.int64)
-        self.first = np.cumsum(sizes) - sizes  # window of each document with windows
+    def __init__(self, keys: pd.Series, texts: pa.ChunkedArray) -> None:
+        raw, offsets = text_bytes(texts)
+        # All texts are hashed in a row; windows that reach into the next text are left out below.
+        self.grams = np.empty(max(0, len(raw) - GRAM + 1), np.uint64)
+        low = np.empty(max(0, len(raw) - LENGTH + 1), np.uint64)
+        for start in range(0, len(low), CHUNK):
+            h = identifiers(raw[start : start + CHUNK + LENGTH - 1])
+            self.grams[start : start + len(h)] = h
+            low[start : start + CHUNK] = smallest(h)
+        sizes = np.diff(offsets)
+        wide = np.flatnonzero(sizes >= LENGTH)
+        begins = offsets[wide]
+        ends = begins + sizes[wide] - LENGTH + 1
         new = np.ones(len(low), bool)
-        new[1:] = low[1:] != low[:-1]
-        new[self.first] = True
+        np.not_equal(low[1:], low[:-1], out=new[1:])
+        new[begins] = True
+        new[ends[ends < len(low)]] = True
         head = np.flatnonzero(new)
         size = np.diff(np.append(head, len(low)))
+        document = np.searchsorted(begins, head, "right") - 1  # of each run, among those with windows
+        inside = head < np.append(ends, 0)[document]
+        head, size, document = head[inside], size[inside], document[inside]
         # A run of repeated bytes is cut, so that three identifiers cover a run.
-        pieces = -(-size // WIDTH)
-        step = np.arange(int(pieces.sum())) - np.repeat(np.cumsum(pieces) - pieces, pieces)
-        self.head = np.repeat(head, pieces) + step * WIDTH
-        self.size = np.diff(np.append(self.head, len(low)))
+        step, run = _spread(np.zeros_like(size), -(-size // WIDTH))
+        self.head = head[run] + step * WIDTH
+        self.size = np.minimum(size[run] - step * WIDTH, WIDTH)
         # Smallest ones crowd at zero; mixed again they spread evenly over the ranges.
         self.low = _mix(low[self.head])
-        self.document = np.searchsorted(self.first, self.head, "right") - 1  # of each run, among those with windows
-        self.rank = rank[np.array(self.at, np.int64)][self.document] if self.at else np.empty(0, np.int64)
+        self.rank = _rank(keys)[wide[document[run]]]
         self.values, self.bucket = np.unique(self.low, return_inverse=True)
 
-    def _gram(self, window: np.ndarray, document: np.ndarray) -> np.ndarray:
-        # A document has so many more 32-grams than windows.
-        return window + (LENGTH - GRAM) * document
-
     def shared(self) -> np.ndarray:
         """Whether several documents of the batch hold a bucket."""
         low = _lowest(self.bucket, self.rank, len(self.values))
@@ -133,34 +151,33 @@ class Batch:
 
     def contexts(self, runs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Distinct (bucket, refined identifier) of the runs, and the index of each run among them."""
-        start = self._gram(self.head[runs], self.document[runs])
-        size = self.size[runs]
+        start, size = self.head[runs], self.size[runs]
         last = self.grams[start + size + LENGTH - GRAM - 1]
         middle = self.grams[start + np.minimum(GRAM, size + LENGTH - GRAM - 1)]
         refined = _mix(self.grams[start] + _mix(middle + _mix(last + size.astype(np.uint64))))
         # With the 64 bits of the bucket, 40 more tell runs apart.
         return _distinct(self.low[runs], refined >> np.uint64(24))
 
-    def windows(self, runs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """The windows of the runs, and the run of each."""
-        run = np.repeat(runs, self.size[runs])
-        step = np.arange(len(run)) - np.repeat(np.cumsum(self.size[runs]) - self.size[runs], self.size[runs])
-        return self.head[run] + step, run
 
-    def strings(self, window: np.ndarray, run: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Distinct identifiers of 50 bytes, in 64 and 16 bits, and the index of each window among them."""
-        gram = self._gram(window, self.document[run])
-        near, far = self.grams[gram], self.grams[gram + LENGTH - GRAM]
-        return _distinct(_mix(near + _mix(far)), _mix(far + _mix(near)) >> np.uint64(48))
+def strings(raw: np.ndarray, head: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """The places of the windows of runs; distinct identifiers of their 50 bytes, in 64 and 16 bits, and the index of each among them."""
+    window, run = _spread(head, size)
+    h = identifiers(raw[_spread(head, size + LENGTH - 1)[0]]) if len(run) else np.empty(0, np.uint64)
+    at = np.arange(len(run)) + (LENGTH - 1) * run
+    near, far = h[at], h[at + LENGTH - GRAM]
+    return window, *_distinct(_mix(near + _mix(far)), _mix(far + _mix(near)) >> np.uint64(48))
 
 
 SENT = "batch int, part int, one binary, two binary, more binary"
-BITS = "batch int, part int, bits binary"
+BITS = "batch int, part int, n int, bits binary"
 
 
 def _split(batch: int, parts: int, one: np.ndarray, two: np.ndarray | None = None, more: np.ndarray | None = None,
-           drop: int = 0) -> pd.DataFrame:
-    """Sorted identifiers cut into ``parts`` ranges, a row for each that has some; ``drop`` low bits are not sent."""
+           drop: int = 0, note: np.ndarray | None = None) -> pa.Table:
+    """Sorted identifiers cut into ``parts`` ranges, a row for each that has some; ``drop`` low bits are not sent.
+
+    A note to the batch itself has a part of its own, below zero.
+    """
     step = (1 << 64) // parts
     cuts = np.searchsorted(one, np.array([i * step for i in range(1, parts)], np.uint64))
     cuts = np.concatenate([[0], cuts, [len(one)]])
@@ -169,7 +186,10 @@ def _split(batch: int, parts: int, one: np.ndarray, two: np.ndarray | None = Non
          b"" if more is None else np.packbits(more[i:j]).tobytes())
         for p, (i, j) in enumerate(zip(cuts[:-1], cuts[1:], strict=True)) if i < j
     ]
-    return pd.DataFrame(rows, columns=["batch", "part", "one", "two", "more"])
+    if note is not None and len(note):
+        rows.append((batch, -1 - batch, shrink(note), b"", b""))
+    kinds = {"batch": pa.int32(), "part": pa.int32(), "one": pa.binary(), "two": pa.binary(), "more": pa.binary()}
+    return pa.table({name: pa.array([r[i] for r in rows], kind) for i, (name, kind) in enumerate(kinds.items())})
 
 
 def _answers(rows: pd.DataFrame, judge: Callable) -> pd.DataFrame:
@@ -180,7 +200,7 @@ def _answers(rows: pd.DataFrame, judge: Callable) -> pd.DataFrame:
     bits = np.atleast_2d(judge(rows, np.concatenate(own), sizes))
     ends = np.cumsum(sizes)
     packed = [np.packbits(bits[:, e - n : e]).tobytes() for n, e in zip(sizes, ends, strict=True)]
-    return pd.DataFrame({"batch": rows["batch"], "part": rows["part"], "bits": packed})
+    return pd.DataFrame({"batch": rows["batch"], "part": rows["part"], "n": sizes, "bits": packed})
 
 
 def _in_several(rows: pd.DataFrame) -> pd.DataFrame:
@@ -195,7 +215,9 @@ def _in_several(rows: pd.DataFrame) -> pd.DataFrame:
 
 
 def _in_lower_batch(rows: pd.DataFrame) -> pd.DataFrame:
-    """Which pairs a batch of smaller keys holds too, and which have a bucket of several pairs."""
+    """Which pairs a batch of smaller keys holds too, and which have a bucket of several pairs. Notes go back as they are."""
+    if rows["part"].iloc[0] < 0:
+        return pd.DataFrame({"batch": rows["batch"], "part": rows["part"], "n": 0, "bits": rows["one"]})
 
     def judge(rows: pd.DataFrame, one: np.ndarray, sizes: list[int]) -> np.ndarray:
         two = np.concatenate([unshrink(d, "<u8") for d in rows["two"]])
@@ -215,32 +237,38 @@ def _bits(packed: bytes, n: int, layers: int) -> np.ndarray:
     return np.unpackbits(np.frombuffer(packed, np.uint8), count=layers * n).astype(bool).reshape(layers, n)
 
 
-def _gather(flags: pd.DataFrame, step: int, parts: int, one: np.ndarray) -> np.ndarray:
+def _gather(flags: pd.DataFrame, step: int) -> np.ndarray:
     """The bits of a batch's sorted identifiers from the answers of the ranges."""
-    flags = flags[flags["step"] == step]
+    flags = flags[(flags["step"] == step) & (flags["part"] >= 0)].sort_values("part")
     layers = 1 if step == 1 else 2
-    width = (1 << 64) // parts
-    out = np.zeros((layers, len(one)), bool)
-    for part, bits in zip(flags["part"], flags["bits"], strict=True):
-        i = int(np.searchsorted(one, np.uint64(part * width)))
-        j = len(one) if part == parts - 1 else int(np.searchsorted(one, np.uint64((part + 1) * width)))
-        out[:, i:j] = _bits(bits, j - i, layers)
-    return out
+    bits = [_bits(b, n, layers) for b, n in zip(flags["bits"], flags["n"], strict=True)]
+    return np.concatenate([np.empty((layers, 0), bool), *bits], axis=1)
+
 
+def _refined(batch: Batch, flags: pd.DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct pairs of the runs whose bucket several documents hold, and a note of the runs."""
+    runs = np.flatnonzero(_gather(flags, 1)[0][batch.bucket])
+    one, two, index = batch.contexts(runs)
+    later = batch.rank[runs] > _lowest(index, batch.rank[runs], len(one))[index]
+    return one, two, np.concatenate([np.diff(batch.head[runs], prepend=0), index, 2 * batch.size[runs] + later])
 
-def _candidates(batch: Batch, flags: pd.DataFrame, parts: int) -> np.ndarray:
-    """Runs whose bucket several documents hold."""
-    return np.flatnonzero(_gather(flags, 1, parts, batch.values)[0][batch.bucket])
 
+def _undecided(flags: pd.DataFrame) -> tuple[tuple[np.ndarray, np.ndarray], tuple[np.ndarray, np.ndarray]]:
+    """Heads and sizes of runs that an earlier document holds as a whole, and of runs to be looked at window by window."""
+    notes = flags[(flags["step"] == 2) & (flags["part"] < 0)]["bits"]
+    gap, index, rest = np.concatenate([np.empty(0, np.int64), *[unshrink(x, "<i8") for x in notes]]).reshape(3, -1)
+    head, size = np.cumsum(gap), rest >> 1
+    lower, varied = _gather(flags, 2)
+    held = lower[index] | (rest & 1 > 0)
+    left = ~held & varied[index]
+    return (head[held], size[held]), (head[left], size[left])
 
-def _undecided(batch: Batch, flags: pd.DataFrame, parts: int) -> tuple[np.ndarray, np.ndarray]:
-    """Runs that an earlier document holds as a whole, and runs to be looked at window by window."""
-    runs = _candidates(batch, flags, parts)
-    one, _, index = batch.contexts(runs)
-    lower, varied = _gather(flags, 2, parts, one)
-    later = batch.rank[runs] > _lowest(index, batch.rank[runs], len(one))[index]
-    held = lower[index] | later
-    return runs[held], runs[~held & varied[index]]
+
+def _without(raw: np.ndarray, offsets: np.ndarray, gone: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """What is left of texts in a row, and their offsets there."""
+    before = np.zeros(len(raw) + 1, np.int64)
+    np.cumsum(gone, out=before[1:])
+    return raw[~gone], offsets - before[offsets]
 
 
 def _batch_of(docs: DataFrame, key: str, batches: int) -> Column:
@@ -266,7 +294,7 @@ def dedup_substrings(docs: DataFrame, key: str = "doc_id", text: str = "text") -
     Null texts are empty. Rows that share a key are not earlier than each other; null keys come
     after all others and not before each other. Keys are numbers. An empty table gives no rows, and
     other columns are left out, whatever their names. A task holds a batch of texts, about
-    ``BATCH_BYTES``, or a single longer document, at some eighty bytes per byte.
+    ``BATCH_BYTES``, or a single longer document, at some thirty bytes per byte.
     """
     found = _dedup(docs.select(key, text), key, text, keep=False)
     return found.select(F.col("c0").alias(key), "n_bytes", "n_removed", "n_spans", "kept_sha256")
@@ -294,7 +322,7 @@ def _dedup(docs: DataFrame, key: str, text: str, keep: bool) -> DataFrame:
     columns = docs.columns
     size = docs.agg(F.sum(F.octet_length(text))).first()[0] or 0
     batches = max(1, math.ceil(size / BATCH_BYTES))
-    parts = max(4, math.ceil(size / RANGE_BYTES))
+    parts = max(16, math.ceil(size / RANGE_BYTES))
     # The names of the input are set aside: they may clash with those added.
     plain = docs.select(*[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(columns)])
     k, t = (f"c{columns.index(c)}" for c in (key, text))
@@ -302,32 +330,34 @@ def _dedup(docs: DataFrame, key: str, text: str, keep: bool) -> DataFrame:
     # Each pass reads the batches as they lie.
     table, forget = bucketed(plain, "batch", batches)
 
-    def number(rows: pd.DataFrame) -> int:
-        return int(rows["batch"].iloc[0])
+    def number(rows: pa.Table) -> int:
+        return rows.column("batch")[0].as_py()
+
+    def opened(rows: pa.Table) -> Batch:
+        return Batch(rows.column(k).to_pandas(), rows.column(t))
 
-    def first(rows: pd.DataFrame) -> pd.DataFrame:
-        batch = Batch(rows[k], rows[t])
+    def first(rows: pa.Table) -> pa.Table:
+        batch = opened(rows)
         # A bucket that is wrongly kept is settled by the next step, so a few bits more than places tell apart do.
         return _split(number(rows), parts, batch.values, more=batch.shared(), drop=max(0, 64 - 12 - size.bit_length()))
 
-    def second(rows: pd.DataFrame, flags: pd.DataFrame) -> pd.DataFrame:
-        batch = Batch(rows[k], rows[t])
-        one, two, _ = batch.contexts(_candidates(batch, flags, parts))
-        return _split(number(rows), parts, one, two)
+    def second(rows: pa.Table, flags: pa.Table) -> pa.Table:
+        one, two, note = _refined(opened(rows), flags.to_pandas())
+        return _split(number(rows), parts, one, two, note=note)
 
-    def third(rows: pd.DataFrame, flags: pd.DataFrame) -> pd.DataFrame:
-        batch = Batch(rows[k], rows[t])
-        one, two, _ = batch.strings(*batch.windows(_undecided(batch, flags, parts)[1]))
+    def third(rows: pa.Table, flags: pa.Table) -> pa.Table:
+        _, left = _undecided(flags.to_pandas())
+        _, one, two, _ = strings(text_bytes(rows.column(t))[0], *left)
         return _split(number(rows), parts, one, two)
 
     texts = table.select("batch", k, t).groupBy("batch")
     removers = []
     flags, remove = stored(
-        texts.applyInPandas(releasing(first), SENT).groupBy("part").applyInPandas(releasing(_in_several), BITS).withColumn("step", F.lit(1))
+        texts.applyInArrow(releasing(first), SENT).groupBy("part").applyInPandas(releasing(_in_several), BITS).withColumn("step", F.lit(1))
     )
     removers.append(remove)
     for step, ask in ((2, second), (3, third)):
-        sent = texts.cogroup(flags.groupBy("batch")).applyInPandas(releasing(ask), SENT)
+        sent = texts.cogroup(flags.groupBy("batch")).applyInArrow(releasing(ask), SENT)
         known, remove = stored(sent.groupBy("part").applyInPandas(releasing(_in_lower_batch), BITS).withColumn("step", F.lit(step)))
         removers.append(remove)
         flags = flags.union(known)
@@ -337,39 +367,33 @@ def _dedup(docs: DataFrame, key: str, text: str, keep: bool) -> DataFrame:
     wanted = StructType.fromDDL(f"{kinds}, {added}")
 
     def last(rows: pa.Table, flags: pa.Table) -> pa.Table:
-        old = rows.column(t).to_pylist()
-        batch, answers = Batch(rows.column(k).to_pandas(), old), flags.to_pandas()
-        held, open_runs = _undecided(batch, answers, parts)
-        window, run = batch.windows(open_runs)
-        one, _, index = batch.strings(window, run)
-        lowest = _lowest(index, batch.rank[run], len(one))
-        gone = _gather(answers, 3, parts, one)[0][index] | (lowest[index] < batch.rank[run])
-        window = np.concatenate([batch.windows(held)[0], window[gone]])
-        # Windows to bytes: a document with windows has 49 bytes more than those.
-        owner = np.searchsorted(batch.first, window, "right") - 1
-        sizes = np.array([len(x) for x in batch.texts], np.int64)
-        begins = (np.cumsum(sizes) - sizes)[np.array(batch.at, np.int64)]
-        starts = window - batch.first[owner] + begins[owner] if len(window) else window
-        edge = np.zeros(int(sizes.sum()) + 1, np.int32)
-        np.add.at(edge, starts, 1)
-        np.add.at(edge, starts + LENGTH, -1)
-        covered = np.cumsum(edge[:-1]) > 0
-        counts, texts, begin = [], [], 0
-        for body, kept in zip(batch.texts, old, strict=True):
-            end = begin + len(body)
-            own, hit = np.frombuffer(body, np.uint8), covered[begin:end]
-            spans = int(hit[:1].sum() + (hit[1:] > hit[:-1]).sum())
-            counts.append((end - begin, int(hit.sum()), spans, hashlib.sha256(own[~hit].tobytes()).hexdigest()))
-            if keep and hit.any():
-                head = np.flatnonzero((own & 0xC0) != 0x80)
-                stay = ~np.logical_and.reduceat(hit, head)
-                kept = own[np.repeat(stay, np.diff(np.append(head, len(own))))].tobytes().decode()
-            texts.append(kept)
-            begin = end
+        raw, offsets = text_bytes(rows.column(t))
+        answers = flags.to_pandas()
+        (head, size), left = _undecided(answers)
+        window, one, _, index = strings(raw, *left)
+        rank = _rank(rows.column(k).to_pandas())[np.searchsorted(offsets, window, "right") - 1]
+        window = window[_gather(answers, 3)[0][index] | (_lowest(index, rank, len(one))[index] < rank)]
+        edge = np.zeros(len(raw) + 1, np.int32)
+        np.add.at(edge, np.append(head, window), 1)
+        np.add.at(edge, np.append(head + size - 1, window) + LENGTH, -1)
+        covered = np.cumsum(edge[:-1], dtype=np.int32) > 0
+        starts = covered.copy()
+        starts[1:] &= ~covered[:-1]
+        begins = offsets[:-1][offsets[1:] > offsets[:-1]]
+        starts[begins] = covered[begins]
+        spans = np.diff(np.searchsorted(np.flatnonzero(starts), offsets))
+        rest, ends = _without(raw, offsets, covered)
+        sizes, kept = np.diff(offsets), np.diff(ends)
+        hashes = [hashlib.sha256(rest[i:j]).hexdigest() for i, j in zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True)]
         columns = [rows.column(c) for c in rows.column_names if c != "batch"]
         if keep:
-            columns[int(t[1:])] = pa.array(texts, pa.string())
-        columns += [pa.array(c) for c in zip(*counts, strict=True)]
+            old = columns[int(t[1:])]
+            char = np.flatnonzero((raw & 0xC0) != 0x80)
+            whole = np.logical_and.reduceat(covered, char) if len(char) else covered
+            rest, ends = _without(raw, offsets, np.repeat(whole, np.diff(np.append(char, len(raw)))))
+            texts = pa.LargeStringArray.from_buffers(len(old), pa.py_buffer(ends), pa.py_buffer(rest))
+            columns[int(t[1:])] = pc.if_else(old.is_null(), None, texts).cast(old.type)
+        columns += [pa.array(c) for c in (sizes, sizes - kept, spans, pa.array(hashes, pa.string()))]
         return pa.Table.from_arrays(columns, wanted.names)
 
     both = table.groupBy("batch").cogroup(flags.groupBy("batch"))

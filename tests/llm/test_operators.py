@@ -8,6 +8,8 @@ import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pandas as pd
+import pyarrow as pa
 import pytest
 import xxhash
 from pyspark.sql import functions as F
@@ -224,6 +226,35 @@ def test_substrings_keep_columns(docs, empty):
     assert (2, "s") not in got and got[6, None].n_chars == len(got[6, None].text) < 60
 
 
+def test_substrings_hash_what_is_left(monkeypatch):
+    """Texts are hashed as a whole in two steps; the steps after them see the runs that are left."""
+    chars = np.random.default_rng(3).integers(97, 123, (6, 4000), dtype=np.uint8)
+    chars[3:, 1000:1500] = chars[:3, 500:1000]
+    texts = [c.tobytes().decode() for c in chars] + ["", None, "short"]
+    column = pa.chunked_array([texts[:4], texts[4:]], pa.string())
+    raw, offsets = shared.text_bytes(column)
+    assert raw.tobytes() == b"".join((t or "").encode() for t in texts)
+    assert offsets.tolist() == [0, *np.cumsum([len(t or "") for t in texts]).tolist()]
+    batch = substrings.Batch(pd.Series(range(9)), column)
+    monkeypatch.setattr(substrings, "CHUNK", 64)
+    cut = substrings.Batch(pd.Series(range(9)), column)
+    assert all((getattr(batch, n) == getattr(cut, n)).all() for n in ("grams", "head", "size", "low", "rank"))
+    asked = [substrings._split(0, 2, batch.values, more=batch.shared()).to_pandas()]
+    flags = substrings._in_several(asked[0]).assign(step=1)
+    one, two, note = substrings._refined(batch, flags)
+    sent = substrings._split(0, 2, one, two, note=note).to_pandas()
+    for _, rows in sent.groupby("part"):
+        flags = pd.concat([flags, substrings._in_lower_batch(rows).assign(step=2)])
+    seen = []
+    monkeypatch.setattr(substrings, "identifiers", lambda r, f=substrings.identifiers: seen.append(len(r)) or f(r))
+    (head, size), left = substrings._undecided(flags)
+    window, *_ = substrings.strings(raw, *left)
+    whole = {int(w) for h, n in zip(head, size, strict=True) for w in range(h, h + n)}
+    found = whole | set(window.tolist())
+    wanted = {4000 * i + 1000 + j for i in (3, 4, 5) for j in range(451)}
+    assert whole <= wanted <= found and 0 < sum(seen) < 0.1 * len(raw)
+
+
 # 6 ---------------------------------------------------------------------------------------------
 
 
