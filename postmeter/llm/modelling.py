@@ -15,65 +15,88 @@ gathered grows with the corpus, and no table of the model is broadcast.
 from __future__ import annotations
 
 import math
-import zlib
-from collections import Counter
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from postmeter.llm.shared import bucketed, shrink, stored, unshrink
+from postmeter.llm.shared import bucketed, shrink, stored, text_bytes, unshrink
 
 DEPTH = 5
 BATCH_BYTES = 4_000_000
 PART_BYTES = 12_000_000
+#: Texts of a batch; their numbers take 16 bits beside a string. Batches vary by chance.
+BATCH_TEXTS = 1 << 15
+#: Strings made at a time, so that they stay in the processor's cache.
+CHUNK = 1 << 14
 #: Stands for the end of a text among the words; no word holds white space.
 END = b"\n"
 
+_LOWER = np.frombuffer(bytes(range(256)).lower(), np.uint8)
+_IN_WORD = ~np.isin(np.arange(256), list(b" \t\n\v\f\r"))
+_MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
+
 SENT = "batch int, slot int, n long, ids binary, counts binary"
 
 
-def grams(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """A number for each byte and end of text: nearest context byte first, the byte itself last.
+def grams(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The distinct strings as sorted numbers, where each begins among all of them, and the text of each of all.
 
-    Also the end of each text among them. The context before a text is zero bytes, and its end
-    is coded as a zero byte.
+    There is one for each byte and end of text: nearest context byte first, the byte itself last. The
+    context before a text is zero bytes, and its end is coded as a zero byte.
     """
-    gap = b"\0" * DEPTH
-    raw = np.frombuffer(gap + b"".join(t + b"\0" + gap for t in texts), np.uint8).astype(np.uint64)
-    key = np.zeros(len(raw) - DEPTH, np.uint64)
-    for back in range(1, DEPTH + 1):
-        key = (key << np.uint64(8)) | raw[DEPTH - back : len(raw) - back]
-    key = (key << np.uint64(8)) | raw[DEPTH:]
-    sizes = np.array([len(t) + 1 for t in texts], np.int64)
-    starts = np.cumsum(sizes + DEPTH) - sizes - DEPTH
-    at = np.arange(int(sizes.sum())) + np.repeat(starts - (np.cumsum(sizes) - sizes), sizes)
-    return key[at], np.cumsum(sizes)
-
-
-def tally(sorted_: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct values of sorted numbers and how often each occurs."""
-    if not len(sorted_):
-        return sorted_, np.empty(0, np.int64)
-    starts = np.flatnonzero(np.append(True, sorted_[1:] != sorted_[:-1]))
-    return sorted_[starts], np.diff(np.append(starts, len(sorted_)))
-
-
-def places(keys: np.ndarray, code: np.ndarray) -> np.ndarray:
-    """The index of each code among the sorted keys, which hold it: by a hash table, the rest by search."""
-    bits = max(8, int(len(keys)).bit_length() + 2)
-
-    def slot(values: np.ndarray) -> np.ndarray:
-        return (values * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - bits)
-
-    table = np.zeros(1 << bits, np.int32)
-    table[slot(keys)] = np.arange(len(keys), dtype=np.int32)
-    index = table[slot(code)]
-    missed = np.flatnonzero(keys[index] != code)
-    index[missed] = np.searchsorted(keys, code[missed])
-    return index
+    cuts = offsets.tolist()
+    joined = b"".join([bytes(DEPTH), *[raw[i:j].tobytes() + b"\0" for i, j in zip(cuts[:-1], cuts[1:], strict=True)], bytes(8)])
+    count = len(raw) + len(cuts) - 1
+    # Read as little-endian numbers, the bytes before a place stand nearest first.
+    before = np.ndarray((count,), "<u8", joined, strides=(1,))
+    last = np.frombuffer(joined, np.uint8, count, DEPTH)
+    text = np.repeat(np.arange(len(cuts) - 1, dtype=np.uint16), np.diff(offsets) + 1)
+    code = np.empty(count, np.uint64)
+    context = ((1 << 8 * DEPTH) - 1) << 24
+    for start in range(0, count, CHUNK):
+        part = slice(start, start + CHUNK)
+        h = before[part] << np.uint64(24)
+        h &= np.uint64(context)
+        h |= last[part].astype(np.uint64) << np.uint64(16)
+        h |= text[part]
+        code[part] = h
+    begins = offsets[:-1] + np.arange(len(cuts) - 1)
+    for seen in range(DEPTH):
+        # The bytes of the text before are no context.
+        at = begins[np.diff(offsets) >= seen] + seen
+        code[at] &= np.uint64(~(((1 << 8 * (DEPTH - seen)) - 1) << 24) & ((1 << 64) - 1))
+    code.sort()
+    text = code.astype(np.uint16)
+    code >>= np.uint64(16)
+    starts = np.flatnonzero(np.append(True, code[1:] != code[:-1])) if count else np.empty(0, np.int64)
+    return code[starts], starts, text
+
+
+def words(raw: np.ndarray, offsets: np.ndarray) -> tuple[pa.Array, np.ndarray, np.ndarray]:
+    """The distinct words in order, the index of each word of the texts among them, and how many each text has."""
+    low = _LOWER[raw]
+    inside = _IN_WORD[low]
+    first = inside.copy()
+    first[1:] &= ~inside[:-1]
+    begins = offsets[:-1][offsets[1:] > offsets[:-1]]
+    first[begins] = inside[begins]
+    counts = np.diff(np.searchsorted(np.flatnonzero(first), offsets))
+    low = low[inside]
+    found = _binaries(np.append(np.flatnonzero(first[inside]), len(low)), low).dictionary_encode()
+    order = pc.sort_indices(found.dictionary).to_numpy()
+    place = np.empty(len(order), np.int64)
+    place[order] = np.arange(len(order))
+    return found.dictionary.take(pa.array(order)), place[found.indices.to_numpy()], counts
+
+
+def _binaries(ends: np.ndarray, data: np.ndarray | bytes) -> pa.Array:
+    buffers = [None, pa.py_buffer(ends.astype(np.int64)), pa.py_buffer(data)]
+    return pa.Array.from_buffers(pa.large_binary(), len(ends) - 1, buffers)
 
 
 def log_gamma(x: np.ndarray) -> np.ndarray:
@@ -82,68 +105,103 @@ def log_gamma(x: np.ndarray) -> np.ndarray:
     return (y - 0.5) * np.log(y) - y + 0.9189385332046727 + 1 / (12 * y) - 1 / (360 * y**3) + 1 / (1260 * y**5) - shift
 
 
+#: Of counts below ``SMALL``: log gamma at half above, and at one above.
+SMALL = 1 << 12
+_HALF, _ONE = (log_gamma(np.arange(SMALL) + x) for x in (0.5, 1.0))
+
+
 def log_kt(zeros: np.ndarray, ones: np.ndarray) -> np.ndarray:
     """Log probability of the counts under the Krichevsky-Trofimov estimator."""
-    return log_gamma(zeros + 0.5) + log_gamma(ones + 0.5) - log_gamma(zeros + ones + 1.0) - math.log(math.pi)
+    total = zeros + ones
+    cut = [np.minimum(x, SMALL - 1).astype(np.int64) for x in (zeros, ones, total)]
+    out = _HALF[cut[0]] + _HALF[cut[1]] - _ONE[cut[2]]
+    large = total >= SMALL
+    zeros, ones, total = zeros[large], ones[large], total[large]
+    out[large] = log_gamma(zeros + 0.5) + log_gamma(ones + 0.5) - log_gamma(total + 1.0)
+    return out - math.log(math.pi)
 
 
 class Tree:
-    """The part of the tree below two nearest context bytes, for the given strings and counts."""
+    """The part of the tree below two nearest context bytes, for the given sorted strings and counts.
+
+    For a depth and a bit the nodes stand in the order of the strings cut to that depth, so they are
+    runs and need no sort; only the strings are made distinct again for each depth.
+    """
 
     def __init__(self, keys: np.ndarray, counts: np.ndarray) -> None:
-        self.keys = keys
-        last = keys & np.uint64(255)
-        code, bit = [], []
-        for b in range(8):
-            code.append(np.uint64(1 << b) | (last >> np.uint64(8 - b)))
-            bit.append((last >> np.uint64(7 - b)) & np.uint64(1))
-        self.code, self.bit = np.concatenate(code), np.concatenate(bit).astype(bool)
-        times = np.tile(counts, 8).astype(np.float64)
-        tiled = np.tile(keys, 8)
-        self.index, self.zeros, self.ones, self.share, self.log_weighted = {}, {}, {}, {}, {}
-        below: tuple | None = None
-        for depth in range(DEPTH, 1, -1):
-            node = ((tiled >> np.uint64(8 * (DEPTH + 1 - depth))) << np.uint64(8)) | self.code
-            nodes, index = np.unique(node, return_inverse=True)
-            zeros = np.bincount(index, times * ~self.bit, len(nodes))
-            ones = np.bincount(index, times * self.bit, len(nodes))
-            own = log_kt(zeros, ones)
-            if below is None:
-                weighted, share = own, np.ones(len(nodes))
-            else:
-                # A longer context's node leads to the one whose context lacks its last byte.
-                parent = (below[0] >> np.uint64(16) << np.uint64(8)) | (below[0] & np.uint64(255))
-                rest = np.bincount(np.searchsorted(nodes, parent), below[1], len(nodes))
-                weighted = np.logaddexp(own, rest) + math.log(0.5)
-                share = np.exp(math.log(0.5) + own - weighted)
-            self.index[depth], self.zeros[depth], self.ones[depth], self.share[depth] = index, zeros, ones, share
-            below = (nodes, weighted)
-        self.nodes, self.weighted = below
+        #: By depth: the strings with so many context bytes, and the index of each longer one among them.
+        self.keys, self.up = {DEPTH: keys}, {}
+        times = {DEPTH: counts.astype(np.float64)}
+        for depth in range(DEPTH - 1, 1, -1):
+            longer = self.keys[depth + 1]
+            cut = (longer >> np.uint64(16) << np.uint64(8)) | (longer & np.uint64(255))
+            self.keys[depth], self.up[depth] = np.unique(cut, return_inverse=True)
+            times[depth] = np.bincount(self.up[depth], times[depth + 1], len(self.keys[depth]))
+        #: By depth and bit: the node of each string, and the nodes' counts and shares.
+        self.index, self.zeros, self.ones, self.share = {}, {}, {}, {}
+        self.top = np.zeros((3, 1 << 16))
+        self.found = np.zeros(1 << 16, bool)
+        for bit in range(8):
+            for depth in range(DEPTH, 1, -1):
+                one, code = self.decision(depth, bit)
+                node = (self.keys[depth] >> np.uint64(8) << np.uint64(8)) | code
+                new = np.append(True, node[1:] != node[:-1])[: len(node)]
+                index = (np.cumsum(new) - 1).astype(np.int32)
+                starts = np.flatnonzero(new)
+                ones = np.bincount(index, times[depth] * one, len(starts))
+                zeros = np.bincount(index, times[depth] * ~one, len(starts))
+                own = log_kt(zeros, ones)
+                if depth == DEPTH:
+                    weighted, share = own, np.ones(len(starts))
+                else:
+                    # A longer context's node leads to the one whose context lacks its last byte.
+                    rest = np.bincount(index[self.up[depth][below]], weighted, len(starts))
+                    weighted = np.logaddexp(own, rest) + math.log(0.5)
+                    share = np.exp(math.log(0.5) + own - weighted)
+                below = starts
+                at = depth, bit
+                self.index[at], self.zeros[at], self.ones[at], self.share[at] = index, zeros, ones, share
+            group = ((node[starts] >> np.uint64(16) << np.uint64(8)) | code[starts]).astype(np.int64)
+            self.top += [np.bincount(group, x, 1 << 16) for x in (zeros, ones, weighted)]
+            self.found[group] = True
+
+    def decision(self, depth: int, bit: int) -> tuple[np.ndarray, np.ndarray]:
+        """Of the strings at a depth: whether the bit of the last byte is one, and the bits before it behind a one."""
+        last = self.keys[depth] & np.uint64(255)
+        return (last >> np.uint64(7 - bit)) & np.uint64(1) > 0, np.uint64(1 << bit) | (last >> np.uint64(8 - bit))
 
     def tops(self) -> pd.DataFrame:
         """(byte, code, zeros, ones, weighted) summed up for the nearest context byte."""
-        group = (self.nodes >> np.uint64(16) << np.uint64(8)) | (self.nodes & np.uint64(255))
-        found, index = np.unique(group, return_inverse=True)
-        sums = [np.bincount(index, x, len(found)) for x in (self.zeros[2], self.ones[2], self.weighted)]
+        found = np.flatnonzero(self.found)
         return pd.DataFrame(
-            {"byte": (found >> np.uint64(8)).astype(np.int32), "code": (found & np.uint64(255)).astype(np.int32),
-             "zeros": sums[0], "ones": sums[1], "weighted": sums[2]}
+            {"byte": (found >> 8).astype(np.int32), "code": (found & 255).astype(np.int32),
+             "zeros": self.top[0][found], "ones": self.top[1][found], "weighted": self.top[2][found]}
         )
 
     def log10(self, top: np.ndarray) -> np.ndarray:
         """Log10 probability of each string's last byte. ``top``: see ``top_of``."""
-        p = None
-        for depth in range(DEPTH, 1, -1):
-            i = self.index[depth]
-            hit = np.where(self.bit, self.ones[depth][i], self.zeros[depth][i])
-            own = (hit + 0.5) / (self.zeros[depth][i] + self.ones[depth][i] + 1.0)
-            p = own if p is None else self.share[depth][i] * own + (1 - self.share[depth][i]) * p
-        nearest = np.tile(self.keys >> np.uint64(8 * DEPTH), 8).astype(np.int64)
-        for row in (nearest, np.full(len(nearest), 256)):
-            zeros, ones, share = top[:, row, self.code.astype(np.int64)]
-            own = (np.where(self.bit, ones, zeros) + 0.5) / (zeros + ones + 1.0)
-            p = share * own + (1 - share) * p
-        return np.log10(p).reshape(8, -1).sum(axis=0)
+        out = np.ones(len(self.keys[DEPTH]))
+        for bit in range(8):
+            # What is known at a depth is ``fixed + part * p``, where p is what the longer contexts say.
+            one, code = self.decision(2, bit)
+            fixed, part = np.zeros(len(code)), np.ones(len(code))
+            for row in (np.full(len(code), 256), (self.keys[2] >> np.uint64(16)).astype(np.int64)):
+                zeros, ones, share = top[:, row, code.astype(np.int64)]
+                fixed += part * share * (np.where(one, ones, zeros) + 0.5) / (zeros + ones + 1.0)
+                part *= 1 - share
+            for depth in range(2, DEPTH + 1):
+                at = depth, bit
+                if depth > 2:
+                    fixed, part = fixed[self.up[depth - 1]], part[self.up[depth - 1]]
+                one, _ = self.decision(depth, bit)
+                total = self.zeros[at] + self.ones[at] + 1.0
+                share = self.share[at]
+                says = np.stack([share * (self.zeros[at] + 0.5) / total, share * (self.ones[at] + 0.5) / total])
+                i = self.index[at]
+                fixed += part * says[one.astype(np.int8), i]
+                part *= (1 - share)[i]
+            out *= fixed
+        return np.log10(out)
 
 
 def top_of(rows: list) -> np.ndarray:
@@ -159,20 +217,30 @@ def top_of(rows: list) -> np.ndarray:
     return np.stack([zeros, ones, np.exp(math.log(0.5) + own - weighted)])
 
 
-def _bytes(texts: pd.Series) -> list[bytes]:
-    return [(t or "").encode() for t in texts]
+def _by_slot(slots: np.ndarray, parts: int) -> tuple[np.ndarray, list[tuple[int, int, int]]]:
+    """The places in the order of their slots, and for each slot that has some where its places begin and end."""
+    order = np.argsort(slots.astype(np.min_scalar_type(parts)), kind="stable")
+    ends = np.cumsum(np.bincount(slots, minlength=parts))
+    return order, [(p, i, j) for p, (i, j) in enumerate(zip([0, *ends[:-1].tolist()], ends.tolist(), strict=True)) if i < j]
 
 
 def _gram_slots(keys: np.ndarray, parts: int) -> np.ndarray:
     pair = keys >> np.uint64(8 * (DEPTH - 1))
-    return ((pair * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(40)).astype(np.int64) % parts
+    return ((pair * _MULTIPLIER) >> np.uint64(40)).astype(np.int64) % parts
+
 
+def _word_slots(words: pa.Array, parts: int) -> np.ndarray:
+    """By a polynomial in the bytes of each word."""
+    raw, offsets = text_bytes(pa.chunked_array([words]))
+    sizes = np.diff(offsets)
+    powers = np.multiply.accumulate(np.full(int(sizes.max()), _MULTIPLIER))
+    step = np.arange(len(raw)) - np.repeat(offsets[:-1], sizes)
+    total = np.add.reduceat((raw.astype(np.uint64) + np.uint64(1)) * powers[step], offsets[:-1])
+    return (((total ^ (total >> np.uint64(29))) * _MULTIPLIER) >> np.uint64(40)).astype(np.int64) % parts
 
-def _word_lists(words: set[bytes], parts: int) -> dict[int, list[bytes]]:
-    lists: dict[int, list[bytes]] = {}
-    for w in sorted(words):
-        lists.setdefault(zlib.crc32(w) % parts, []).append(w)
-    return lists
+
+def _with_end(words: pa.Array) -> pa.Array:
+    return pa.concat_arrays([words, pa.array([END], pa.large_binary())])
 
 
 def score_texts(
@@ -191,41 +259,36 @@ def score_texts(
         F.col(key).alias("k"), F.col(text).alias("t"), F.coalesce(training, F.lit(False)).alias("train"),
         F.monotonically_increasing_id().alias("id"),
     )
-    size = docs.agg(F.sum(F.octet_length("t")) + F.count("*")).first()[0] or 0
-    batches, parts = max(1, math.ceil(size / BATCH_BYTES)), max(32, math.ceil(size / PART_BYTES))
+    size, rows = docs.agg(F.coalesce(F.sum(F.octet_length("t")), F.lit(0)) + F.count("*"), F.count("*")).first()
+    batches, parts = max(1, math.ceil(size / BATCH_BYTES), math.ceil(rows / BATCH_TEXTS)), max(32, math.ceil(size / PART_BYTES))
     table, forget = bucketed(
         docs.withColumn("batch", F.pmod(F.xxhash64("id"), F.lit(batches)).cast("int")).drop("id"), "batch", batches
     )
 
-    def send(rows: pd.DataFrame) -> pd.DataFrame:
-        out, batch = [], int(rows["batch"].iloc[0])
-        texts = _bytes(rows["t"])
-        trains = rows["train"].to_numpy(dtype=bool)
-        code, ends = grams(texts)
-        seen_keys, seen_counts = tally(np.sort(code[np.repeat(trains, np.diff(ends, prepend=0))]))
-        code.sort()
-        keys, _ = tally(code)
-        counts = np.zeros(len(keys), "<u4")
-        counts[np.searchsorted(keys, seen_keys)] = seen_counts
-        slots = _gram_slots(keys, parts)
-        for slot in np.unique(slots).tolist():
-            at = slots == slot
-            out.append((batch, slot, int(at.sum()), shrink(keys[at], True), shrink(counts[at])))
-        seen: Counter = Counter()
-        every = {END}
-        for t, train in zip(texts, trains, strict=True):
-            words = t.lower().split()
-            every.update(words)
-            if train:
-                seen.update(words)
-                seen[END] += 1
-        for slot, words in _word_lists(every, parts).items():
-            data = zstandard.ZstdCompressor(level=1).compress(b" ".join(words))
-            counts = np.array([seen[w] for w in words], "<u4")
-            out.append((batch, parts + slot, len(words), data, shrink(counts)))
-        return pd.DataFrame(out, columns=["batch", "slot", "n", "ids", "counts"])
-
-    sent, forget_sent = bucketed(table.groupBy("batch").applyInPandas(send, SENT), "slot", 2 * parts)
+    def send(rows: pa.Table) -> pa.Table:
+        out, batch = [], rows.column("batch")[0].as_py()
+        raw, offsets = text_bytes(rows.column("t"))
+        trains = rows.column("train").to_numpy()
+        keys, starts, text = grams(raw, offsets)
+        counts = np.add.reduceat(trains[text], starts, dtype="<u4")
+        order, slices = _by_slot(_gram_slots(keys, parts), parts)
+        keys, counts = keys[order], counts[order]
+        for slot, i, j in slices:
+            out.append((batch, slot, j - i, shrink(keys[i:j], True), shrink(counts[i:j])))
+        distinct, index, sizes = words(raw, offsets)
+        seen = np.bincount(index[np.repeat(trains, sizes)], minlength=len(distinct))
+        distinct, seen = _with_end(distinct), np.append(seen, np.count_nonzero(trains))
+        order, slices = _by_slot(_word_slots(distinct, parts), parts)
+        data, ends = text_bytes(pa.chunked_array([distinct.take(pa.array(order))]))
+        seen = seen[order]
+        for slot, i, j in slices:
+            ids = zstandard.ZstdCompressor(level=1).compress(data[ends[i] : ends[j]].tobytes())
+            counts = np.append(np.diff(ends[i : j + 1]), seen[i:j]).astype("<u4")
+            out.append((batch, parts + slot, j - i, ids, shrink(counts)))
+        kinds = {"batch": pa.int32(), "slot": pa.int32(), "n": pa.int64(), "ids": pa.binary(), "counts": pa.binary()}
+        return pa.table({name: pa.array([r[i] for r in out], kind) for i, (name, kind) in enumerate(kinds.items())})
+
+    sent, forget_sent = bucketed(table.groupBy("batch").applyInArrow(send, SENT), "slot", 2 * parts)
 
     def tree(rows: pd.DataFrame) -> tuple[Tree, list[np.ndarray]]:
         own = [unshrink(d, "<u8", True) for d in rows["ids"]]
@@ -233,26 +296,29 @@ def score_texts(
         counts = np.bincount(index, np.concatenate([unshrink(d, "<u4") for d in rows["counts"]]), len(keys))
         return Tree(keys, counts), np.split(index, np.cumsum([len(x) for x in own])[:-1])
 
-    def vocabulary(rows: pd.DataFrame) -> tuple[Counter, list[list[bytes]]]:
-        total: Counter = Counter()
-        own = [zstandard.ZstdDecompressor().decompress(d).split(b" ") for d in rows["ids"]]
-        for words, data in zip(own, rows["counts"], strict=True):
-            for w, c in zip(words, unshrink(data, "<u4").tolist(), strict=True):
-                if c:
-                    total[w] += c
-        return total, own
+    def vocabulary(rows: pd.DataFrame) -> tuple[np.ndarray, list[np.ndarray]]:
+        """The training count of each distinct word, and the indices of the batches' words among them."""
+        lists, seen = [], []
+        for n, ids, counts in zip(rows["n"], rows["ids"], rows["counts"], strict=True):
+            sizes, own = unshrink(counts, "<u4").reshape(2, n)
+            lists.append(_binaries(np.append(0, np.cumsum(sizes, dtype=np.int64)), zstandard.ZstdDecompressor().decompress(ids)))
+            seen.append(own)
+        found = pa.concat_arrays(lists).dictionary_encode()
+        index = found.indices.to_numpy()
+        total = np.bincount(index, np.concatenate(seen), len(found.dictionary)).astype("<i8")
+        return total, np.split(index, np.cumsum(rows["n"])[:-1])
 
     def learn(rows: pd.DataFrame) -> pd.DataFrame:
         if rows["slot"].iloc[0] < parts:
             return tree(rows)[0].tops()
         total, _ = vocabulary(rows)
-        sums = {"byte": [-1], "code": [0], "zeros": [float(sum(total.values()))], "ones": [float(len(total))]}
+        sums = {"byte": [-1], "code": [0], "zeros": [float(total.sum())], "ones": [float(np.count_nonzero(total))]}
         return pd.DataFrame(sums | {"weighted": [0.0]})
 
     learned = sent.groupBy("slot").applyInPandas(learn, "byte int, code int, zeros double, ones double, weighted double")
     # A row for each of 256 x 255 nodes at most, and one for the words.
     rows = learned.groupBy("byte", "code").agg(F.sum("zeros"), F.sum("ones"), F.sum("weighted")).collect()
-    train_tokens, distinct = next(((int(r[2]), int(r[3])) for r in rows if r[0] < 0), (0, 0))
+    train_tokens, distinct_tokens = next(((int(r[2]), int(r[3])) for r in rows if r[0] < 0), (0, 0))
     top = top_of([r for r in rows if r[0] >= 0])
 
     def answer(rows: pd.DataFrame) -> pd.DataFrame:
@@ -263,40 +329,37 @@ def score_texts(
             data = [shrink(values[i]) for i in own]
         else:
             total, lists = vocabulary(rows)
-            data = [shrink(np.array([total[w] for w in words], "<i8")) for words in lists]
+            data = [shrink(total[i]) for i in lists]
         return pd.DataFrame({"batch": rows["batch"], "slot": slot, "values": data})
 
     answers, _ = stored(sent.groupBy("slot").applyInPandas(answer, "batch int, slot int, values binary"))
 
-    def score(rows: pd.DataFrame, found: pd.DataFrame) -> pd.DataFrame:
-        texts = _bytes(rows["t"])
-        values = dict(zip(found["slot"].tolist(), found["values"], strict=True))
-        code, ends = grams(texts)
-        keys, _ = tally(np.sort(code))
-        logs = np.zeros(len(keys))
-        slots = _gram_slots(keys, parts)
-        for slot in np.unique(slots).tolist():
-            logs[slots == slot] = unshrink(values[slot], "<f4")
-        each = logs[places(keys, code)]
-        begins = np.append(0, ends[:-1]).astype(np.int64)
-        sums = np.add.reduceat(each, begins) if len(begins) else np.empty(0)
-        lists = [t.lower().split() + [END] for t in texts]
-        counts: dict[bytes, int] = {}
-        for slot, words in _word_lists({w for words in lists for w in words} | {END}, parts).items():
-            counts.update(zip(words, unshrink(values[parts + slot], "<i8").tolist(), strict=True))
-        known, base = [], []
-        for words in lists:
-            c = np.fromiter(map(counts.__getitem__, words), np.float64, len(words))
-            known.append(int((c > 0).sum()))
-            base.append(float(np.log10((c + 1) / (train_tokens + distinct + 1)).sum()))
-        return pd.DataFrame(
-            {"k": rows["k"], "n_tokens": [len(w) for w in lists], "n_known": known, "train_tokens": train_tokens,
-             "base_score": base, "score": sums}
-        )
+    def score(rows: pa.Table, found: pa.Table) -> pa.Table:
+        raw, offsets = text_bytes(rows.column("t"))
+        values = dict(zip(found.column("slot").to_pylist(), found.column("values").to_pylist(), strict=True))
+        keys, starts, text = grams(raw, offsets)
+        order, slices = _by_slot(_gram_slots(keys, parts), parts)
+        logs = np.empty(len(keys))
+        for slot, i, j in slices:
+            logs[order[i:j]] = unshrink(values[slot], "<f4")
+        sums = np.bincount(text, np.repeat(logs, np.diff(np.append(starts, len(text)))), len(rows))
+        distinct, index, sizes = words(raw, offsets)
+        order, slices = _by_slot(_word_slots(_with_end(distinct), parts), parts)
+        counts = np.empty(len(order), np.int64)
+        for slot, i, j in slices:
+            counts[order[i:j]] = unshrink(values[parts + slot], "<i8")
+        base = np.log10((counts + 1) / (train_tokens + distinct_tokens + 1))
+        text = np.repeat(np.arange(len(rows)), sizes)
+        known = np.bincount(text[counts[index] > 0], minlength=len(rows)) + (counts[-1] > 0)
+        columns = [
+            rows.column("k"), sizes + 1, known, np.full(len(rows), train_tokens),
+            np.bincount(text, base[index], len(rows)) + base[-1], sums,
+        ]
+        return pa.table(dict(zip(("k", "n_tokens", "n_known", "train_tokens", "base_score", "score"), columns, strict=True)))
 
     kind = dict(docs.dtypes)["k"]
     scored, _ = stored(
-        table.groupBy("batch").cogroup(answers.groupBy("batch")).applyInPandas(
+        table.groupBy("batch").cogroup(answers.groupBy("batch")).applyInArrow(
             score, f"k {kind}, n_tokens long, n_known long, train_tokens long, base_score double, score double"
         )
     )

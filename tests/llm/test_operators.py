@@ -508,6 +508,36 @@ def test_scores_without_training(docs, empty):
     assert got.base_score == 0 and math.isclose(got.score, 8 * math.log10(0.5), rel_tol=1e-6)
 
 
+def test_modelling_work_per_string(monkeypatch):
+    """Strings and words of a batch against plain Python; the tree makes each string distinct once for a depth."""
+    rng = np.random.default_rng(5)
+    texts = ["", None, "a", "\x00\x00", "Ab\x0b\x1cÉ É x\tab\r\n", "".join(rng.choice(list("abcd \n"), 40_000))] + ["xy z"] * 3
+    raw, offsets = shared.text_bytes(pa.chunked_array([texts[:3], texts[3:]], pa.string()))
+    whole = [(t or "").encode() for t in texts]
+    wanted = []
+    for i, t in enumerate(whole):
+        padded = bytes(modelling.DEPTH) + t + b"\0"
+        for p in range(modelling.DEPTH, len(padded)):
+            wanted.append((int.from_bytes(padded[p - modelling.DEPTH : p][::-1] + padded[p : p + 1]), i))
+    keys, starts, text = modelling.grams(raw, offsets)
+    assert sorted(wanted) == list(zip(np.repeat(keys, np.diff(np.append(starts, len(text)))).tolist(), text.tolist(), strict=True))
+    distinct, index, sizes = modelling.words(raw, offsets)
+    split = [t.lower().split() for t in whole]
+    assert distinct.to_pylist() == sorted({w for ws in split for w in ws}) and sizes.tolist() == [len(ws) for ws in split]
+    assert [distinct[i].as_py() for i in index.tolist()] == [w for ws in split for w in ws]
+    asked = []
+    monkeypatch.setattr(np, "unique", lambda x, *a, f=np.unique, **b: asked.append(len(x)) or f(x, *a, **b))
+    tree = modelling.Tree(keys, np.diff(np.append(starts, len(text))))
+    assert sum(asked) < modelling.DEPTH * len(keys)
+    assert tree.tops()[["zeros", "ones"]].to_numpy().sum() == 8 * len(text)
+
+
+def test_modelling_large_counts():
+    zeros, ones = np.array([0.0, 3.0, 5000.0, 4095.0, 1e9]), np.array([0.0, 4.0, 0.0, 1.0, 7.0])
+    wanted = [math.lgamma(a + 0.5) + math.lgamma(b + 0.5) - math.lgamma(a + b + 1) - math.log(math.pi) for a, b in zip(zeros, ones, strict=True)]
+    assert modelling.log_kt(zeros, ones) == pytest.approx(wanted, rel=1e-6, abs=1e-9)
+
+
 # 10 --------------------------------------------------------------------------------------------
 
 
