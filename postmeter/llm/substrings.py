@@ -41,7 +41,7 @@ from postmeter.llm.shared import bucketed, releasing, shrink, stored, text_bytes
 LENGTH = 50
 GRAM = 32
 #: Text of a batch, and text whose identifiers make a range, in bytes. A batch sends a row to each range.
-BATCH_BYTES = 4_000_000
+BATCH_BYTES = 2_000_000
 RANGE_BYTES = 8_000_000
 #: Places hashed at a time, so that they stay in the processor's cache.
 CHUNK = 1 << 14
@@ -264,13 +264,6 @@ def _undecided(flags: pd.DataFrame) -> tuple[tuple[np.ndarray, np.ndarray], tupl
     return (head[held], size[held]), (head[left], size[left])
 
 
-def _without(raw: np.ndarray, offsets: np.ndarray, gone: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """What is left of texts in a row, and their offsets there."""
-    before = np.zeros(len(raw) + 1, np.int64)
-    np.cumsum(gone, out=before[1:])
-    return raw[~gone], offsets - before[offsets]
-
-
 def _batch_of(docs: DataFrame, key: str, batches: int) -> Column:
     """Batch numbers in the order of the keys; equal keys share one, null keys the last."""
     wanted = min(batches, CUTS)
@@ -382,17 +375,19 @@ def _dedup(docs: DataFrame, key: str, text: str, keep: bool) -> DataFrame:
         begins = offsets[:-1][offsets[1:] > offsets[:-1]]
         starts[begins] = covered[begins]
         spans = np.diff(np.searchsorted(np.flatnonzero(starts), offsets))
-        rest, ends = _without(raw, offsets, covered)
-        sizes, kept = np.diff(offsets), np.diff(ends)
-        hashes = [hashlib.sha256(rest[i:j]).hexdigest() for i, j in zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True)]
+        before = np.append(0, np.cumsum(~covered))[offsets]
+        rest, sizes, kept = raw[~covered], np.diff(offsets), np.diff(before)
+        hashes = [hashlib.sha256(rest[i:j]).hexdigest() for i, j in zip(before[:-1].tolist(), before[1:].tolist(), strict=True)]
         columns = [rows.column(c) for c in rows.column_names if c != "batch"]
         if keep:
-            old = columns[int(t[1:])]
-            char = np.flatnonzero((raw & 0xC0) != 0x80)
-            whole = np.logical_and.reduceat(covered, char) if len(char) else covered
-            rest, ends = _without(raw, offsets, np.repeat(whole, np.diff(np.append(char, len(raw)))))
-            texts = pa.LargeStringArray.from_buffers(len(old), pa.py_buffer(ends), pa.py_buffer(rest))
-            columns[int(t[1:])] = pc.if_else(old.is_null(), None, texts).cast(old.type)
+            old, texts = columns[int(t[1:])].combine_chunks(), []
+            changed = kept < sizes
+            for i in np.flatnonzero(changed).tolist():
+                own, hit = raw[offsets[i] : offsets[i + 1]], covered[offsets[i] : offsets[i + 1]]
+                char = np.flatnonzero((own & 0xC0) != 0x80)
+                stay = ~np.logical_and.reduceat(hit, char)
+                texts.append(own[np.repeat(stay, np.diff(np.append(char, len(own))))].tobytes().decode())
+            columns[int(t[1:])] = pc.replace_with_mask(old, pa.array(changed), pa.array(texts, old.type))
         columns += [pa.array(c) for c in (sizes, sizes - kept, spans, pa.array(hashes, pa.string()))]
         return pa.Table.from_arrays(columns, wanted.names)
 
