@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from postmeter.functions import dates, mail, text, urls
 from postmeter.operators import bodies, metrics, weblog
 from postmeter.operators.headers import with_headers
-from postmeter.plans.workspace import remove_folder
+from postmeter.plans.workspace import remove_folder, shuffles_removed, slices
 from postmeter.sources import nodes
 
 
@@ -87,37 +87,67 @@ def reject_reason(raw: Column) -> Column:
     )
 
 
+#: Tasks write their own files of up to so many folders, unless they read files of fewer bytes than this on average.
+FOLDERS, FILE_BYTES = 64, 1 << 20
+#: Staged parts are copied in so many slices at most, each of so many bytes at least.
+SLICES, SLICE_BYTES = 8, 32 << 20
+
+
 def ingest(spark: SparkSession, messages: DataFrame, path: str) -> DataFrame:
     """Write ``messages``, ``headers``, ``parts``, ``rejects`` and ``counts`` by folder; returns the counts per folder.
 
     The raw table is written first, so each message is rendered or fetched once; its parts are
     parsed once into a staging table, from which all other tables are written, and which goes in
-    the end. Every table is overwritten, so a job that is run again leaves the same rows. A folder
-    may hold a third of all mail: rows are rebalanced by folder at run time, which splits it by
-    its size.
+    the end. Every table is overwritten, so a job that is run again leaves the same rows.
+
+    Texts are on disk twice, in ``messages`` and ``parts``, besides an eighth of them: staged parts are
+    copied slice by slice, and a slice goes as soon as it is copied. Texts are not shuffled: a folder may
+    hold a third of all mail, and its files are those of the tasks that have messages of it. Only where
+    folders are many or tasks read many small files, which would leave many small ones, messages are
+    rebalanced by folder at run time, which splits a busy one by its size. Parts are read and written as
+    messages lie.
     """
-    by_folder = lambda df: df.hint("rebalance", "folder")
     raw = messages.select(
         F.array_join("folder", "/").alias("folder"), "msg_key", "raw", reject_reason(F.col("raw")).alias("reason")
     )
-    by_folder(raw).write.mode("overwrite").partitionBy("folder").parquet(f"{path}/messages")
-    stored = spark.read.schema(raw.schema).parquet(f"{path}/messages")
-    stored.filter("reason is not null").groupBy("folder", "reason").agg(
-        F.count(F.lit(1)).alias("messages")
-    ).write.mode("overwrite").parquet(f"{path}/rejects")
-    opened = bodies.explode_parts(stored.filter("reason is null").drop("reason"))
-    opened.write.mode("overwrite").parquet(f"{path}/_staging")
-    parts = spark.read.schema(opened.schema).parquet(f"{path}/_staging")
-    fields = parts.select("folder", "msg_key", "part_path", F.inline("headers"))
-    by_folder(fields).write.mode("overwrite").partitionBy("folder").parquet(f"{path}/headers")
-    bare = parts.drop("headers")
-    by_folder(bare).write.mode("overwrite").partitionBy("folder").parquet(f"{path}/parts")
-    counts = ingest_counts(parts)
-    counts.write.mode("overwrite").parquet(f"{path}/counts")
+    with shuffles_removed(spark):
+        _written(raw if _few_files(raw) else _by_folder(raw), f"{path}/messages")
+        stored = spark.read.schema(raw.schema).parquet(f"{path}/messages")
+        stored.filter("reason is not null").groupBy("folder", "reason").agg(
+            F.count(F.lit(1)).alias("messages")
+        ).write.mode("overwrite").parquet(f"{path}/rejects")
+        opened = bodies.explode_parts(stored.filter("reason is null").drop("reason"))
+        opened.write.mode("overwrite").option("compression", "zstd").parquet(f"{path}/_staging")
+        parts = spark.read.schema(opened.schema).parquet(f"{path}/_staging")
+        fields = parts.select("folder", "msg_key", "part_path", F.inline("headers"))
+        _written(_by_folder(fields), f"{path}/headers")
+        counts = ingest_counts(parts)
+        counts.write.mode("overwrite").parquet(f"{path}/counts")
+        remove_folder(spark, f"{path}/parts")
+        for files in slices(spark, f"{path}/_staging", SLICES, SLICE_BYTES):
+            _written(spark.read.schema(opened.schema).parquet(*files).drop("headers"), f"{path}/parts", "append")
+            for file in files:
+                remove_folder(spark, file)
     remove_folder(spark, f"{path}/_staging")
     return spark.read.schema(counts.schema).parquet(f"{path}/counts")
 
 
+def _few_files(rows: DataFrame) -> bool:
+    """Whether tasks may each write files of their own: folders are few, and so are the files that are read for their size."""
+    size = int(str(rows._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    if size < len(rows._jdf.inputFiles()) * FILE_BYTES:
+        return False
+    return rows.select("folder").distinct().limit(FOLDERS + 1).count() <= FOLDERS
+
+
+def _by_folder(df: DataFrame) -> DataFrame:
+    return df.hint("rebalance", "folder")
+
+
+def _written(df: DataFrame, path: str, mode: str = "overwrite") -> None:
+    df.write.mode(mode).option("compression", "zstd").partitionBy("folder").parquet(path)
+
+
 def ingest_counts(parts: DataFrame) -> DataFrame:
     """Messages, header fields, parts and decoded leaf sizes per folder."""
     return parts.groupBy("folder").agg(

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -38,6 +40,34 @@ def remove_folder(spark: SparkSession, path: str) -> None:
     place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
 
 
+def slices(spark: SparkSession, path: str, most: int, least: int) -> list[list[str]]:
+    """The data files of a folder in groups of about equal size: ``most`` at most, of ``least`` bytes or more but the last."""
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    found = place.getFileSystem(spark._jsc.hadoopConfiguration()).listStatus(place)
+    files = sorted((f.getPath().toString(), f.getLen()) for f in found if not f.getPath().getName().startswith(("_", ".")))
+    share = max(least, sum(size for _, size in files) / most)
+    groups, room = [], 0.0
+    for file, size in files:
+        if room <= 0:
+            groups.append([])
+            room += share
+        groups[-1].append(file)
+        room -= size
+    return groups
+
+
+@contextmanager
+def shuffles_removed(spark: SparkSession) -> Iterator[None]:
+    """Inside, the shuffle files of a write go as soon as it ends, not when the driver next collects garbage."""
+    key = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(key, None)
+    spark.conf.set(key, "true")
+    try:
+        yield
+    finally:
+        spark.conf.unset(key) if before is None else spark.conf.set(key, before)
+
+
 def materialise(df: DataFrame, name: str) -> DataFrame:
     """Write a table to the shared folder and read it back: lineage ends there, and the work is done once."""
     path = new_folder(df.sparkSession, name)
