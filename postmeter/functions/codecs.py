@@ -29,7 +29,7 @@ _HEX_PAIR = "[0-9A-Fa-f]{2}"
 
 def base64_text(data: Column, wrap: int | None = None) -> Column:
     """Base64 on one line, or in CRLF lines of ``wrap`` characters."""
-    flat = F.translate(F.base64(data.cast("binary")), "\r\n", "")
+    flat = F.replace(F.base64(data.cast("binary")), F.lit("\r\n"), F.lit(""))
     if wrap is None:
         return flat
     return F.regexp_replace(flat, f"(.{{{wrap}}})(?=.)", "$1\r\n")

@@ -159,7 +159,8 @@ def _step(state: Column, x: Column) -> Column:
 
         def on(n: Column) -> Column:
             o = F.get(state["open"], n - 1)
-            skip = F.char_length(piece) - F.char_length(rest) + F.char_length(o["boundary"])
+            # Dashes and blanks stand before the rest: as many bytes as characters, and bytes need no pass to count.
+            skip = F.octet_length(piece) - F.octet_length(rest) + F.char_length(o["boundary"])
             ends = F.startswith(F.substr(rest, F.char_length(o["boundary"]) + 1, F.lit(2)), F.lit("--"))
             stop = state["pos"] - _line_end(F.get(F.col("__pieces"), at - 1))
             above = F.slice(state["open"], F.lit(1), n - 1)
